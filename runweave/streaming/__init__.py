@@ -1,0 +1 @@
+"""Empty on purpose: every analysis reads complete runs, so nothing here streams."""
