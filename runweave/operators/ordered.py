@@ -19,7 +19,7 @@ def scan_bytes(df: DataFrame) -> int | None:
     """Size of everything the plan of ``df`` reads, from file sizes; None when it cannot be told."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 

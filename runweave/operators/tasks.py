@@ -92,13 +92,19 @@ def wakeup_latency(trace: Trace) -> DataFrame:
     rows = trace.follow(
         woken.unionByName(ran), ["pid"], ["t_ns", "kind", "seq"], ahead={"then": F.struct("t_ns", "kind", "cpu")}
     )
+    latency = F.col("then.t_ns") - F.col("t_ns")
     return rows.filter("kind = 0 and then.kind = 1").select(
         *RUN_KEYS, "t_ns", *TASK,
-        seconds(F.col("then.t_ns") - F.col("t_ns")).alias("wakeup_latency"),
+        latency.alias("latency_ns"), seconds(latency).alias("wakeup_latency"),
         F.col("then.cpu").alias("cpu"), F.col("cpu").alias("target_cpu"),
     )
 
 
+def mean_latency() -> Column:
+    """Mean latency in s from the whole ns, so the result does not depend on the order of the rows."""
+    return (seconds(F.sum("latency_ns")) / F.count("latency_ns")).alias("wakeup_latency")
+
+
 def activations(trace: Trace) -> DataFrame:
     """Alternating rows of a task: ``active`` 1 while it runs, 0 while it waits for its next run.
 

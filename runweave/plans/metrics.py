@@ -152,7 +152,7 @@ def wakeup_latency(trace):
 
 def wakeup_latency_mean(trace):
     means = _latency(trace).filter(~F.col("comm").startswith("Hw")).groupBy(*RUN_KEYS, "comm").agg(
-        F.avg("wakeup_latency").alias("wakeup_latency")
+        tasks.mean_latency()
     )
     return means.select("wa_path", "iteration", "comm", "wakeup_latency")
 
@@ -223,7 +223,7 @@ def wakeup_latency_cgroup(trace):
 
 def wakeup_latency_cgroup_mean(trace):
     means = _latency_by_cgroup(trace).groupBy(*RUN_KEYS, "cgroup").agg(
-        F.avg("wakeup_latency").alias("wakeup_latency")
+        tasks.mean_latency()
     )
     return means.select("wa_path", "iteration", "cgroup", "wakeup_latency")
 
