@@ -13,7 +13,7 @@ Statistic = Callable[[Column], Column]
 def gmean(v: Column) -> Column:
     """Geometric mean: 0 when any value is 0, null when any is negative or none is there."""
     positive = F.exp(F.avg(F.when(v > 0, F.ln(v))))
-    return F.when(F.min(v) < 0, None).when(F.min(v) == 0, 0.0).otherwise(positive)
+    return F.when(F.min(v) < 0, None).when(F.min(v) == F.max(v), F.min(v)).when(F.min(v) == 0, 0.0).otherwise(positive)
 
 
 def sem(v: Column) -> Column:

@@ -36,11 +36,12 @@ def residency_columns(trace: Trace) -> list[Column]:
     """Aggregates of (``cpu``, ``ns``) rows: seconds per CPU, per cluster and ``Total``."""
     cpus = {f"cpu{cpu}": [cpu] for cpu in trace.options.cpus}
     groups = cpus | {cluster: list(members) for cluster, members in trace.options.clusters.items()}
+    sums = {name: f"cpu in ({', '.join(map(str, members))})" for name, members in groups.items()}
     columns = [
-        seconds(F.sum(F.when(F.col("cpu").isin(members), F.col("ns")).otherwise(0))).alias(name)
-        for name, members in groups.items()
+        F.expr(f"cast(coalesce(sum(ns) filter (where {which}), 0) as double) / 1e9D as `{name}`")
+        for name, which in sums.items()
     ]
-    return [*columns, seconds(F.sum("ns")).alias("Total")]
+    return [*columns, F.expr("cast(sum(ns) as double) / 1e9D as Total")]
 
 
 def task_names(trace: Trace) -> DataFrame:

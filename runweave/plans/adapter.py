@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options, local_table
 from runweave.functions.text import run_tag, run_workload
-from runweave.trace import RUN_KEYS, Trace
+from runweave.plans.datasets import Analysis, of_trace
+from runweave.trace import RUN_KEYS, Tables, Trace
 
 BASELINE = "synth_baseline_10_0101"
 CANDIDATE = "synth_candidate_10_0101"
@@ -21,6 +22,7 @@ TAGS = ["baseline", "candidate"]
 COMMS = ("swapper/0", "RenderThread", "surfaceflinger", "HwBinder:1", "GameThread", "writer")
 CHANNELS = ("CPU(little)", "CPU(mid)", "CPU(big)", "GPU", "DDR", "Display")
 COUNTERS = (17, 8, 27)
+TARGET_FPS = 0.005  # frames are minutes apart: this puts the target in their midst
 ITERATIONS = 11  # of each run: three-day steps of a month
 
 OPP_STEPS = 8
@@ -52,18 +54,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the keys of a trace; ``whole`` is the value's integer part, ``cents`` all of it."""
-    user, task = F.col("user_id"), F.floor(F.col("user_id") / 2).cast("long")
-    return read(spark, sf_dir, "events").select(
-        F.when(user % 2 == 0, BASELINE).otherwise(CANDIDATE).alias("wa_path"),
-        (F.floor((F.dayofmonth("ts") - 1) / 3) + 1).cast("int").alias("iteration"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000").alias("t_ns"),
-        F.col("event_id").alias("seq"),
-        (task % 8).cast("int").alias("cpu"),
-        user.alias("pid"),
-        F.element_at(F.array(*[F.lit(c) for c in COMMS]), (task % 6 + 1).cast("int")).alias("comm"),
-        F.col("event_type").alias("type"),
-        F.floor("value").cast("long").alias("whole"),
-        F.round(F.col("value") * 100).cast("long").alias("cents"),
+    names = ", ".join(f"'{c}'" for c in COMMS)
+    return read(spark, sf_dir, "events").selectExpr(
+        f"if(user_id % 2 = 0, '{BASELINE}', '{CANDIDATE}') as wa_path",
+        "cast((day(ts) - 1) div 3 + 1 as int) as iteration",
+        "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000 as t_ns",
+        "event_id as seq",
+        "cast((user_id div 2) % 8 as int) as cpu",
+        "user_id as pid",
+        f"array({names})[cast((user_id div 2) % {len(COMMS)} as int)] as comm",
+        "event_type as type",
+        "cast(floor(value) as bigint) as whole",
+        "cast(round(value * 100) as bigint) as cents",
     )
 
 
@@ -83,58 +85,58 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
 
     head = (*RUN_KEYS, "t_ns", "seq")
     pick = F.element_at
-    tables = {
-        "sched_switch": ev.filter("type <> 'signup'").select(
+    makers = {
+        "sched_switch": lambda: ev.filter("type <> 'signup'").select(
             *head, "cpu", F.col("pid").alias("next_pid"), F.col("comm").alias("next_comm")
         ),
-        "sched_wakeup": of("signup").select(
+        "sched_wakeup": lambda: of("signup").select(
             *head, "pid", "comm", ((F.col("cpu") + whole) % 8).cast("int").alias("target_cpu")
         ),
-        "cpu_idle": of().select(
+        "cpu_idle": lambda: of().select(
             *head, "cpu",
             F.when(F.col("type").isin("click", "error"), F.lit(4294967295)).when(F.col("type") == "view", 0)
             .otherwise(1).cast("long").alias("state"),
         ),
-        "cpu_idle_miss": of("error").select(*head, F.col("cpu").alias("cpu_id"), (whole % 2).alias("below")),
-        "cpu_frequency": of("view", "purchase").select(
+        "cpu_idle_miss": lambda: of("error").select(*head, F.col("cpu").alias("cpu_id"), (whole % 2).alias("below")),
+        "cpu_frequency": lambda: of("view", "purchase").select(
             *head, "cpu", (300_000 + (whole % OPP_STEPS) * 200_000).alias("frequency")
         ),
-        "cgroup_attach_task": of("error").select(
+        "cgroup_attach_task": lambda: of("error").select(
             *head, "pid", "comm",
             pick(
                 F.array(*[F.lit(p) for p in ("/background", "/foreground", "/system-background", "/top-app")]),
                 ((F.col("pid") + whole % 2) % 4 + 1).cast("int"),
             ).alias("dst_path"),
         ),
-        "uclamp_update_tsk": of("click").select(
+        "uclamp_update_tsk": lambda: of("click").select(
             *head, F.when(whole % 10 == 0, F.col("pid") + 1_000_000_000).otherwise(F.col("pid")).alias("pid"),
             (seq % 2).alias("uclamp_id"), (whole % 1024).alias("value"),
         ),
-        "pixel6_emeter": of("purchase", "view").select(
+        "pixel6_emeter": lambda: of("purchase", "view").select(
             *head, pick(F.array(*[F.lit(c) for c in CHANNELS]), (seq % 6 + 1).cast("int")).alias("chan_name"),
             (seq * 1_000_000_000 + cents).alias("value"),
         ),
-        "sched_pelt_cfs": of("view").select(
+        "sched_pelt_cfs": lambda: of("view").select(
             *head, "cpu", F.when(seq % 3 == 0, "/background").otherwise("/").alias("path"),
             (whole % 1024).alias("load"), (cents % 1024).alias("util"),
         ),
-        "sched_cpu_capacity": of("signup").select(*head, "cpu", (1024 - whole % 512).alias("capacity")),
-        "sched_overutilized": of("click", "purchase").select(*head, (seq % 2).alias("overutilized")),
-        "perf_counter": of("error", "view").select(
+        "sched_cpu_capacity": lambda: of("signup").select(*head, "cpu", (1024 - whole % 512).alias("capacity")),
+        "sched_overutilized": lambda: of("click", "purchase").select(*head, (seq % 2).alias("overutilized")),
+        "perf_counter": lambda: of("error", "view").select(
             *head, "cpu", pick(F.array(*[F.lit(c) for c in COUNTERS]), (seq % 3 + 1).cast("int")).alias("counter_id"),
             (seq * 1000 + whole).alias("value"),
         ),
-        "frames": of("purchase", "click", "error").select(
+        "frames": lambda: of("purchase", "click", "error").select(
             *RUN_KEYS, (t_ns - 8_000_000).alias("desired_present_time_us"),
             F.when(F.col("type") == "error", F.lit(9223372036854775807)).otherwise(t_ns)
             .alias("actual_present_time_us"),
             (t_ns - cents * 1000).alias("frame_ready_time_us"),
         ),
-        "thermal": of("view").select(
+        "thermal": lambda: of("view").select(
             *RUN_KEYS, (t_ns.cast("double") / 1e9).alias("time"),
             *[(30_000 + (cents * (zone + 1)) % 20_000).alias(f"thermal_zone{zone}-temp") for zone in range(3)],
         ),
-        "adpf": of("signup").select(
+        "adpf": lambda: of("signup").select(
             *RUN_KEYS, (t_ns.cast("double") / 1e9).alias("time"), seq.cast("double").alias("# frame count"),
             (whole % 60 + 1).cast("double").alias("average fps"), (whole % 5).cast("double").alias("sigma fps"),
             (whole % 3).cast("double").alias("thermal status"),
@@ -144,22 +146,26 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
             ],
         ),
     }
-    return Trace(spark, tables, runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev)
+    return Trace(spark, Tables(makers), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as benchmark results: priorities are metrics, every other status a perf counter."""
-    orders = read(spark, sf_dir, "orders")
-    counters = OPTIONS.perf_counters
-    perf = F.col("o_orderstatus") == "P"
-    counter = F.element_at(F.array(*[F.lit(c) for c in counters]), (F.col("o_orderkey") % len(counters) + 1).cast("int"))
-    return orders.select(
-        F.when(F.col("o_custkey") % 2 == 0, BASELINE).otherwise(CANDIDATE).alias("wa_path"),
-        (F.floor(F.dayofyear("o_orderdate") / 37) + 1).cast("int").alias("iteration"),
-        F.when(perf, F.concat(F.lit("perf-0-"), counter)).when(F.col("o_orderstatus") == "O", "jank_p")
-        .otherwise("mean").alias("metric"),
-        F.col("o_orderpriority").alias("test_name"),
-        F.when(F.col("o_orderkey") % 50 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("value"),
+    """``orders`` as benchmark results: the mean price per iteration, test and metric.
+
+    Statuses choose between two scores and the perf counters; priorities are tests. Every fiftieth
+    order counts to an idle test whose score is 0, which an analysis leaves out.
+    """
+    counters = ", ".join(f"'{c}'" for c in OPTIONS.perf_counters)
+    rows = read(spark, sf_dir, "orders").selectExpr(
+        f"if(o_custkey % 2 = 0, '{BASELINE}', '{CANDIDATE}') as wa_path",
+        "cast((day(o_orderdate) - 1) div 3 + 1 as int) as iteration",
+        f"case o_orderstatus when 'P' then concat('perf-0-', array({counters})[cast(o_orderkey % 9 as int)])"
+        " when 'O' then 'jank_p' else 'mean' end as metric",
+        "if(o_orderkey % 50 = 0, 'idle', o_orderpriority) as test_name",
+        "if(o_orderkey % 50 = 0, 0, cast(round(o_totalprice * 100) as bigint)) as cents",
+    )
+    return rows.groupBy("wa_path", "iteration", "metric", "test_name").agg(
+        (F.sum("cents").cast("double") / 100 / F.count("cents")).alias("value"),
         F.lit(100.0).alias("scaled from(%)"),
     )
 
@@ -178,3 +184,9 @@ def jank_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 2 == 0, BASELINE).otherwise(CANDIDATE).alias("wa_path"),
         (F.col("l_orderkey") % 10 + 1).cast("int").alias("iteration"), F.inline(forms),
     )
+
+
+def analysis(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Analysis:
+    return of_trace(
+        trace(spark, sf_dir, options), TAGS, "synth", results(spark, sf_dir), jank_frames(spark, sf_dir)
+    )

@@ -1,4 +1,8 @@
-"""All queries by name, as functions of a session and a directory of the given tables."""
+"""All queries by name, as functions of a session and a directory of the given tables.
+
+Plain names are datasets of a metric, ``runs_`` ones datasets across runs, ``view_`` ones the tables
+behind views, ``step_`` ones single building blocks.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,171 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.plans import adapter, metrics
+from runweave.plans import adapter, datasets, metrics, summary, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+EXACT_DIGITS = 6
+TEST_DIGITS = 9
+
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _dataset(make) -> Query:
-    return lambda spark, sf_dir: make(adapter.trace(spark, sf_dir))
+def _metric(make, *inexact) -> Query:
+    """A metric's dataset; columns whose last digits depend on the order of summing are rounded."""
+
+    def query(spark, sf_dir):
+        df = make(adapter.trace(spark, sf_dir))
+        return rounded(df, EXACT_DIGITS, *inexact) if inexact else df
+
+    return query
+
+
+def _runs(name, inexact=(), digits=EXACT_DIGITS) -> Query:
+    def query(spark, sf_dir):
+        df = adapter.analysis(spark, sf_dir).dataset(name)
+        return rounded(df, digits, *inexact) if inexact else df
+
+    return query
+
+
+def _view(make, *args, inexact=(), **how) -> Query:
+    def query(spark, sf_dir):
+        df = make(adapter.analysis(spark, sf_dir), *args, **how)
+        return rounded(df, EXACT_DIGITS, *inexact) if inexact else df
+
+    return query
+
+
+def _compared(make, *args, labels=True, **how) -> Query:
+    """A comparison; without rounding of its own, the value is rounded and the labels left out."""
+
+    def query(spark, sf_dir):
+        df = make(adapter.analysis(spark, sf_dir), *args, **how)
+        inexact = [c for c in ("std", "sem", "perc_diff") if c in df.columns]
+        if not labels:
+            df = rounded(df, EXACT_DIGITS, "value").drop("value_label", "bar_label")
+        df = rounded(df, EXACT_DIGITS, *inexact)
+        return rounded(df, TEST_DIGITS, "ks_p") if "ks_p" in df.columns else df
+
+    return query
+
+
+QUERIES: dict[str, Query] = {name: _metric(make) for name, make in metrics.DATASETS.items()}
+QUERIES["pixel6_emeter"] = _metric(metrics.pixel6_emeter, "power")
+QUERIES["pixel6_emeter_mean"] = _metric(metrics.pixel6_emeter_mean, "power")
 
+QUERIES |= {
+    "runs_results": _runs("results"),
+    "runs_results_perf": _runs("results_perf"),
+    "runs_jankbench": _runs("jankbench"),
+    "runs_jb_max_frame_duration": _runs("jb_max_frame_duration"),
+    "runs_jb_mean_frame_duration": _runs("jb_mean_frame_duration", ["value"]),
+    "runs_jankbench_percs": _runs("jankbench_percs"),
+    "runs_adpf": _runs("adpf"),
+    "runs_adpf_totals_melt": _runs("adpf_totals_melt"),
+    "runs_ds_adpf": _runs("ds_adpf"),
+    "runs_pixel6_emeter_mean": _runs("pixel6_emeter_mean", ["power"]),
+    "runs_overutilized": _runs("overutilized"),
+    "runs_overutilized_mean": _runs("overutilized_mean"),
+    "runs_freqs_mean": _runs("freqs_mean"),
+    "runs_thermal": _runs("thermal"),
+    "runs_thermal_melt": _runs("thermal_melt"),
+    "runs_idle_residency": _runs("idle_residency"),
+    "runs_cpu_idle_miss_counts": _runs("cpu_idle_miss_counts"),
+    "runs_energy_estimate_melt": _runs("energy_estimate_melt"),
+    "runs_sched_pelt_cfs_melt": _runs("sched_pelt_cfs_melt"),
+    "runs_wakeup_latency_mean": _runs("wakeup_latency_mean"),
+    "runs_wakeup_latency": _runs("wakeup_latency"),
+    "runs_wakeup_latency_quantiles": _runs("wakeup_latency_quantiles", ["wakeup_latency"], TEST_DIGITS),
+    "runs_wakeup_latency_execution_cluster": _runs("wakeup_latency_execution_cluster"),
+    "runs_wakeup_latency_target_cluster": _runs("wakeup_latency_target_cluster"),
+    "runs_wakeup_latency_cgroup": _runs("wakeup_latency_cgroup"),
+    "runs_wakeup_latency_cgroup_mean": _runs("wakeup_latency_cgroup_mean"),
+    "runs_wakeup_latency_cgroup_quantiles": _runs("wakeup_latency_cgroup_quantiles", ["value"], TEST_DIGITS),
+    "runs_tasks_residency_cpu_total_melt": _runs("tasks_residency_cpu_total_melt"),
+    "runs_tasks_residency_cpu_total_cluster_melt": _runs("tasks_residency_cpu_total_cluster_melt"),
+    "runs_tasks_residency_total": _runs("tasks_residency_total"),
+    "runs_tasks_residency_total_melt": _runs("tasks_residency_total_melt"),
+    "runs_tasks_residency_total_cluster_melt": _runs("tasks_residency_total_cluster_melt"),
+    "runs_tasks_residency_cluster_melt": _runs("tasks_residency_cluster_melt"),
+    "runs_tasks_residency_cgroup_total": _runs("tasks_residency_cgroup_total"),
+    "runs_cgroup_residency_total_melt": _runs("cgroup_residency_total_melt"),
+    "runs_cgroup_residency_total_cluster_melt": _runs("cgroup_residency_total_cluster_melt"),
+    "runs_task_activations_stats_cluster_melt": _runs("task_activations_stats_cluster_melt"),
+    "runs_uclamp_updates": _runs("uclamp_updates"),
+    "runs_fps": _runs("fps"),
+    "runs_frame_target_counts": _view(datasets.frame_target_counts, target_fps=adapter.TARGET_FPS),
+    "runs_capacity": _runs("capacity"),
+}
 
-QUERIES: dict[str, Query] = {name: _dataset(make) for name, make in metrics.DATASETS.items()}
+SCORES = ("jank_p", "mean")
+ADPF_SHOWN = ("average fps", "thermal status", "Adaptive LOD")
 
-# Means of quotients depend on the order of the rows in their last digits: rounded for comparing.
-for _name in ("pixel6_emeter", "pixel6_emeter_mean"):
-    QUERIES[_name] = lambda spark, sf_dir, q=QUERIES[_name]: rounded(q(spark, sf_dir), 6, "power")
+QUERIES |= {
+    "view_results_line": _view(views.results_line, SCORES),
+    "view_results_bar": _compared(views.results_bar, SCORES),
+    "view_perf_line": _view(views.perf_line),
+    "view_perf_bar": _compared(views.perf_bar),
+    "view_jankbench_max_frame_durations": _compared(views.jankbench_max_frame_durations),
+    "view_jankbench_mean_frame_durations_line": _view(
+        views.jankbench_mean_frame_durations_line, inexact=["value"]
+    ),
+    "view_jankbench_mean_frame_durations_bar": _compared(views.jankbench_mean_frame_durations_bar),
+    "view_jankbench_frame_durations_hist": _view(views.jankbench_frame_durations_hist),
+    "view_jankbench_frame_durations_ecdf": _view(views.jankbench_frame_durations_ecdf),
+    "view_jankbench_jank_percentage_line": _view(views.jankbench_jank_percentage_line),
+    "view_jankbench_jank_percentage_bar": _compared(views.jankbench_jank_percentage_bar),
+    "view_jankbench_metric_line": _view(views.jankbench_metric_line),
+    "view_jankbench_jank_percentage_metric_bar": _compared(views.jankbench_jank_percentage_metric_bar),
+    "view_jankbench_mean_duration_metric_bar": _compared(views.jankbench_mean_duration_metric_bar),
+    "view_drarm_adpf_fps_line": _view(views.drarm_adpf_fps_line),
+    "view_drarm_adpf_fps_bar": _compared(views.drarm_adpf_fps_bar),
+    "view_drarm_adpf_metric_line": _view(views.drarm_adpf_metric_line, ADPF_SHOWN),
+    "view_power_meter_line": _view(views.power_meter_line, inexact=["value"]),
+    "view_power_meter_bar": _compared(views.power_meter_bar),
+    "view_overutilized_table": _view(views.overutilized_table),
+    "view_overutilized_line": _view(views.overutilized_line),
+    "view_frequency_line": _view(views.frequency_line),
+    "view_frequency_bar": _compared(views.frequency_bar),
+    "view_thermal_line": _view(views.thermal_line),
+    "view_thermal_bar": _compared(views.thermal_bar),
+    "view_idle_miss_bar": _view(views.idle_miss_bar, inexact=["count_perc"]),
+    "view_energy_estimate_line": _view(views.energy_estimate_line),
+    "view_energy_estimate_bar": _compared(views.energy_estimate_bar),
+    "view_sched_pelt_cfs_line": _view(views.sched_pelt_cfs_line),
+    "view_sched_pelt_cfs_bar": _compared(views.sched_pelt_cfs_bar),
+    "view_wakeup_latency_line": _view(views.wakeup_latency_line),
+    "view_wakeup_latency_bar": _compared(views.wakeup_latency_bar, labels=False),
+    "view_wakeup_latency_quantiles_bar": _compared(views.wakeup_latency_quantiles_bar, labels=False),
+    "view_wakeup_latency_execution_cluster_bar": _view(views.wakeup_latency_execution_cluster_bar),
+    "view_wakeup_latency_target_cluster_bar": _view(views.wakeup_latency_target_cluster_bar),
+    "view_wakeup_latency_cgroup_line": _view(views.wakeup_latency_cgroup_line),
+    "view_wakeup_latency_cgroup_bar": _compared(views.wakeup_latency_cgroup_bar, labels=False),
+    "view_wakeup_latency_cgroup_quantiles_bar": _compared(views.wakeup_latency_cgroup_quantiles_bar, labels=False),
+    "view_tasks_cpu_residency_cluster_line": _view(views.tasks_cpu_residency_cluster_line),
+    "view_tasks_cpu_residency_cluster_bar": _compared(views.tasks_cpu_residency_cluster_bar),
+    "view_tasks_cpu_residency_per_task_bar": _compared(views.tasks_cpu_residency_per_task_bar),
+    "view_tasks_cpu_residency_cpu_bar": _compared(views.tasks_cpu_residency_cpu_bar),
+    "view_cgroup_cpu_residency_cluster_bar": _compared(views.cgroup_cpu_residency_cluster_bar),
+    "view_cgroup_cpu_residency_cpu_bar": _compared(views.cgroup_cpu_residency_cpu_bar),
+    "view_task_activations_stats_count_line": _view(views.task_activations_stats_count_line),
+    "view_task_activations_stats_duration_line": _view(views.task_activations_stats_duration_line),
+    "view_task_activations_stats_count_bar": _compared(views.task_activations_stats_count_bar),
+    "view_task_activations_stats_duration_bar": _compared(views.task_activations_stats_duration_bar),
+    "view_task_activations_detailed": _view(
+        views.task_activations_detailed, *adapter.TAGS, iteration=1, comm="RenderThread"
+    ),
+    "view_uclamp_per_task_line": _view(views.uclamp_per_task_line),
+    "view_frame_rendering_line": _view(views.frame_rendering_line, target_fps=adapter.TARGET_FPS),
+    "view_frame_target_count_line": _view(views.frame_target_count_line, target_fps=adapter.TARGET_FPS),
+    "view_frame_target_count_bar": _compared(views.frame_target_count_bar, target_fps=adapter.TARGET_FPS),
+    "view_capacity_line": _view(views.capacity_line, iteration=1, cpu=2),
+    "view_summary": _view(
+        summary.summary, ("results", "jb_mean_frame_duration", "jankbench_percs", "jb_max_frame_duration",
+                          "power_usage", "overutilized_mean", "thermal", "tasks_cpu_residency_per_task"),
+        SCORES,
+    ),
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -22,6 +22,28 @@ SLICE = "time_slice"
 MAX_BROADCAST_ITERATIONS = 500_000
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Event tables by name, each planned only when it is asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers = dict(makers)
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class Trace:
     """Event tables keyed by ``wa_path, iteration`` with ``t_ns`` and the file order ``seq``.
@@ -105,5 +127,7 @@ class Trace:
 
 
 def seconds(ns: str | Column) -> Column:
-    ns = F.col(ns) if isinstance(ns, str) else ns
+    """Seconds as a double; ``ns`` is a column or the text of an expression."""
+    if isinstance(ns, str):
+        return F.expr(f"cast({ns} as double) / 1e9D")
     return ns.cast("double") / F.lit(float(NS))
