@@ -288,5 +288,300 @@ DATASETS = {
 }
 
 
+# ---- across runs -------------------------------------------------------------------------------
+
+TAGGED = "JOIN (SELECT wa_path, tag, run_order FROM runs) USING (wa_path)"
+CLUSTER_RANK = "CASE {} WHEN 'little' THEN 0 WHEN 'mid' THEN 1 WHEN 'big' THEN 2 ELSE 3 END"
+RANK = CLUSTER_RANK.format("cluster")
+TAG_RANK = "CAST(CASE tag WHEN 'baseline' THEN 0 ELSE 1 END AS BIGINT)"
+CLUSTERS_TOTAL = [*CLUSTERS, "total"]
+CPU_COLUMNS = [f"cpu{c}" for c in CPUS]
+
+
+def _melt(part: str, ids: str, columns, variable="variable") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {ids}, '{c}' AS {variable}, CAST(\"{c}\" AS DOUBLE) AS value FROM {part}" for c in columns
+    )
+
+
+def _human(x: str) -> str:
+    return f"""CASE WHEN {x} > 1e9 THEN CAST(round({x} / 1e9, 3) AS VARCHAR) || 'B'
+      WHEN {x} > 1e6 THEN CAST(round({x} / 1e6, 3) AS VARCHAR) || 'M'
+      WHEN {x} > 1e4 THEN CAST(round({x} / 1e3, 2) AS VARCHAR) || 'k'
+      WHEN {x} <> 0 AND abs({x}) < 0.01 THEN CAST(round({x} * 1e6, 2) AS VARCHAR) || 'μ'
+      ELSE CAST({x} AS VARCHAR) END"""
+
+
+def _compare(rows: str, facets, value="value", digits=1, percentage=True, metric="'gmean'", unit="'x'", labels=True) -> str:
+    """Statistics per tag and facet; change and Kolmogorov-Smirnov test against the baseline.
+
+    The test's p-value is the closed form for equal sample sizes; all facets here have those.
+    """
+    by = ", ".join(facets)
+    using = f"USING ({by})" if facets else "ON true"
+    plus = f", {by}" if facets else ""
+    per = f"PARTITION BY {by} " if facets else ""
+    rnd = f"round({{}}, {digits})" if digits else "{}"
+    final = f"round({{}}, {digits})" if digits else "round({}, 6)"
+    body = f"""
+      SELECT s.*, ref.g AS ref_g FROM (
+        SELECT tag{plus}, count({value}) AS n,
+          CASE WHEN min({value}) < 0 THEN NULL WHEN min({value}) = max({value}) THEN min({value}) WHEN min({value}) = 0 THEN 0
+            ELSE exp(avg(CASE WHEN {value} > 0 THEN ln({value}) END)) END AS g,
+          stddev_samp({value}) AS sd FROM rows_ GROUP BY tag{plus}) s
+      LEFT JOIN (SELECT {by + ', ' if facets else ''}CASE WHEN min({value}) = max({value}) THEN min({value}) WHEN min({value}) = 0 THEN 0 ELSE exp(avg(CASE WHEN {value} > 0 THEN ln({value}) END)) END AS g
+        FROM rows_ WHERE tag = 'baseline' {'GROUP BY ' + by if facets else ''}) ref {using}"""
+    test = f"""
+      SELECT 'candidate' AS tag{plus}, max(abs(own * m - base * n)) AS gap, any_value(n) AS n, any_value(m) AS m FROM (
+        SELECT *, sum(o) OVER ({per}ORDER BY v) AS own, sum(b) OVER ({per}ORDER BY v) AS base,
+          sum(o) OVER ({per}) AS n, sum(b) OVER ({per}) AS m FROM (
+          SELECT {by + ', ' if facets else ''}{value} AS v, count(*) FILTER (tag = 'candidate') AS o, count(*) FILTER (tag = 'baseline') AS b
+          FROM rows_ GROUP BY ALL)) {'GROUP BY ' + by if facets else ''}"""
+    p = """CASE WHEN gap = 0 THEN 1.0 WHEN n = m THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(
+        range(1, CAST(n // (gap // n) AS BIGINT) + 1),
+        lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * list_product(list_transform(
+          range(1, CAST(k * (gap // n) AS BIGINT) + 1),
+          lambda j: CAST(n - k * (gap // n) + j AS DOUBLE) / CAST(n + j AS DOUBLE))))))) END"""
+    change = "(g / ref_g - 1) * 100"
+    out = [
+        "s.tag", *[f"s.{f}" for f in facets], "s.n", f"{final.format('g')} AS value", f"round({rnd.format('sd')}, 6) AS std",
+        f"round({rnd.format('sd / sqrt(s.n)')}, 6) AS sem", TAG_RANK.replace("tag", "s.tag") + " AS order_tag",
+    ]
+    if "metric" not in facets:
+        out.append(f"{metric} AS metric")
+    if "unit" not in facets:
+        out.append(f"{unit} AS unit")
+    if "cluster" in facets:
+        out.append(CLUSTER_RANK.format("s.cluster") + " AS order_cluster")
+    if labels:
+        out.append(f"{_human(rnd.format('g'))} AS value_label")
+    if percentage:
+        pc = f"round({change}, 2)"
+        out += [
+            f"round({change}, 6) AS perc_diff", "gap / (t.n * t.m) AS ks_d", f"round(p, 9) AS ks_p",
+            "coalesce(p < 0.02, false) AS significant", f"CAST({pc} AS VARCHAR) || '%' AS perc_label",
+        ]
+        if labels:
+            out.append(
+                f"{_human(rnd.format('g'))} || ' ' || CASE WHEN p < 0.02 THEN '* ' ELSE '' END || '(' || "
+                f"CASE WHEN {pc} > 0 THEN '+' ELSE '' END || CAST({pc} AS VARCHAR) || '%)' AS bar_label"
+            )
+    tests = f"LEFT JOIN (SELECT *, {p} AS p FROM ({test})) t USING (tag{plus})" if percentage else ""
+    return f"WITH rows_ AS MATERIALIZED ({rows}) SELECT {', '.join(out)} FROM ({body}) s {tests}"
+
+
+def _line(part: str, facets: str = "", value="value", x="iteration") -> str:
+    facets = f", {facets}" if facets else ""
+    return f"SELECT tag, {TAG_RANK} AS order_tag{facets}, {x}, {value} AS value FROM {part}"
+
+
+COUNTERS = (
+    "cpu-migrations", "context-switches", "stalled-cycles-backend", "page-faults",
+    "major-faults", "cache-misses", "instructions", "cpu-cycles", "cpu-clock",
+)
+QUANTILES = "(0.9), (0.95), (0.99)"
+
+
+def _quantile(part: str, keys: str, value: str) -> str:
+    return f"""
+      SELECT {keys}, CAST(q AS DOUBLE) AS quantile, round(v, 9) AS {value}, {TAG_RANK} AS "order" FROM (
+        SELECT {keys}, unnest([0.9, 0.95, 0.99]) AS q, unnest(quantile_cont({value}, [0.9, 0.95, 0.99])) AS v
+        FROM {part} GROUP BY {keys})"""
+
+
+PARTS |= {f"m_{name}": body for name, body in DATASETS.items()}
+_IDS = "iteration, tag, kernel"
+_FRAMES = f"""
+  SELECT CASE WHEN l_suppkey % 2 = 0 THEN '{BASE}' ELSE '{CAND}' END AS wa_path, CAST(l_orderkey % 10 + 1 AS INTEGER) AS iteration,
+    l_extendedprice, l_returnflag FROM lineitem"""
+RUNS = {
+    "results_all": f"""
+      SELECT wa_path, iteration, metric, test_name, CAST(sum(cents) AS BIGINT) / 100 / count(*) AS value, tag FROM (
+        SELECT CASE WHEN o_custkey % 2 = 0 THEN '{BASE}' ELSE '{CAND}' END AS wa_path,
+          CAST((day(o_orderdate) - 1) // 3 + 1 AS INTEGER) AS iteration,
+          CASE o_orderstatus WHEN 'P' THEN 'perf-0-' || {_nth(COUNTERS, 'o_orderkey % 9')} WHEN 'O' THEN 'jank_p' ELSE 'mean' END AS metric,
+          CASE WHEN o_orderkey % 50 = 0 THEN 'idle' ELSE o_orderpriority END AS test_name,
+          CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents FROM orders)
+      {TAGGED} GROUP BY ALL""",
+    "results": "SELECT * FROM r_results_all WHERE value <> 0 AND metric NOT LIKE '%perf%'",
+    "results_perf": "SELECT wa_path, iteration, metric[8:] AS metric, test_name, value, tag FROM r_results_all WHERE value <> 0 AND metric LIKE '%perf%'",
+    "jankbench": f"""
+      SELECT wa_path, iteration, 'total_duration' AS variable, l_extendedprice AS value, tag FROM ({_FRAMES}) {TAGGED}
+      UNION ALL SELECT wa_path, iteration, 'jank_frame', CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END, tag FROM ({_FRAMES}) {TAGGED}""",
+    "jb_max_frame_duration": "SELECT tag, max(iteration) AS iteration, max(value) AS value, 'max_frame_duration' AS variable FROM r_jankbench WHERE variable = 'total_duration' GROUP BY tag",
+    "jb_mean_frame_duration": "SELECT tag, iteration, avg(value) AS value, 'mean_frame_duration' AS variable FROM r_jankbench WHERE variable = 'total_duration' GROUP BY tag, iteration",
+    "jankbench_percs": "SELECT tag, iteration, count(*) AS count, count(*) FILTER (value = 1.0) AS jank_count, round(count(*) FILTER (value = 1.0) / count(*) * 100, 2) AS perc, 'jank_percentage' AS variable FROM r_jankbench WHERE variable = 'jank_frame' GROUP BY tag, iteration",
+    "adpf": f"SELECT m.*, tag, CAST(row_number() OVER (PARTITION BY wa_path ORDER BY iteration, time) - 1 AS INTEGER) AS ts FROM m_adpf m {TAGGED}",
+    "adpf_totals": f"SELECT m.*, tag FROM m_adpf_totals m {TAGGED}",
+    "adpf_totals_melt": _melt("r_adpf_totals", "iteration, tag", ["average fps", "frame count"]),
+    "ds_adpf": 'SELECT * EXCLUDE (wa_path, kernel, iteration, time, "# frame count") FROM r_adpf',
+    "pixel6_emeter_mean": f"""
+      SELECT tag, kernel, iteration, channel, power FROM m_pixel6_emeter_mean {TAGGED}
+      UNION ALL SELECT tag, kernel, iteration, 'CPU', sum(power) FROM m_pixel6_emeter_mean {TAGGED} WHERE channel LIKE 'CPU%' GROUP BY ALL
+      UNION ALL SELECT tag, kernel, iteration, 'Total', sum(power) FROM m_pixel6_emeter_mean {TAGGED} GROUP BY ALL""",
+    "overutilized": f"SELECT m.* EXCLUDE (time, total_time), round(time, 2) AS time, round(total_time, 2) AS total_time, tag FROM m_overutilized m {TAGGED}",
+    "overutilized_mean": f"SELECT m.*, tag FROM m_overutilized_mean m {TAGGED}",
+    "freqs_mean": f"SELECT m.* EXCLUDE (frequency), frequency AS value, 'MHz' AS unit, 'frequency' AS metric, {RANK} AS \"order\", tag FROM m_freqs_mean m {TAGGED}",
+    "thermal": f"""SELECT iteration, kernel, wa_path, tag, round(avg("Time"), 2) AS "Time", round(avg(little) / 1000, 2) AS little,
+      round(avg(mid) / 1000, 2) AS mid, round(avg(big) / 1000, 2) AS big FROM m_thermal {TAGGED} GROUP BY iteration, kernel, wa_path, tag""",
+    "thermal_melt": _melt("r_thermal", _IDS, CLUSTERS, "cluster"),
+    "idle_residency": f"SELECT tag, cluster, idle_state, round(avg(time), 2) AS time FROM m_idle_residency {TAGGED} GROUP BY ALL",
+    "cpu_idle_miss_counts": f"""
+      SELECT c.wa_path, kernel, cluster, below, CAST(sum(count) AS BIGINT) AS count, tag,
+        round(sum(count) / any_value(wakeups) * 100, 3) AS count_perc,
+        CASE below WHEN 0 THEN 'too deep' ELSE 'too shallow' END AS type, {RANK} AS "order"
+      FROM m_cpu_idle_miss_counts c JOIN (SELECT wa_path, count(*) AS wakeups FROM idle WHERE state = -1 GROUP BY wa_path) w USING (wa_path)
+      {TAGGED} GROUP BY c.wa_path, kernel, cluster, below, tag""",
+    "energy_estimate_mean": f"SELECT m.*, tag FROM m_energy_estimate_mean m {TAGGED}",
+    "energy_estimate_melt": _melt("r_energy_estimate_mean", "iteration, tag", CLUSTERS_TOTAL, "cluster"),
+    "sched_pelt_cfs_mean": f"SELECT m.*, tag FROM m_sched_pelt_cfs_mean m {TAGGED}",
+    "sched_pelt_cfs_melt": _melt("r_sched_pelt_cfs_mean", _IDS + ", cluster", ["util", "load"]),
+    "wakeup_latency_mean": f"SELECT wa_path, iteration, comm, wakeup_latency AS value, tag, {TAG_RANK} AS \"order\", 'x' AS unit FROM m_wakeup_latency_mean {TAGGED}",
+    "wakeup_latency": f"""
+      SELECT *, {RANK} AS order_cluster, {CLUSTER_RANK.format('target_cluster')} AS order_target_cluster FROM (
+        SELECT m.*, tag, {TAG_RANK} AS "order", {_cluster('cpu')} AS cluster, {_cluster('target_cpu')} AS target_cluster
+        FROM m_wakeup_latency m {TAGGED})""",
+    "wakeup_latency_quantiles": _quantile("r_wakeup_latency", "comm, tag, iteration", "wakeup_latency"),
+    "wakeup_latency_execution_cluster": f"SELECT comm, tag, cluster, {LAT_MEAN} FROM (SELECT *, {_cluster('cpu')} AS cluster FROM lat_main {TAGGED}) GROUP BY comm, tag, cluster",
+    "wakeup_latency_target_cluster": f"SELECT comm, tag, target_cluster, {LAT_MEAN} FROM (SELECT *, {_cluster('target_cpu')} AS target_cluster FROM lat_main {TAGGED}) GROUP BY comm, tag, target_cluster",
+    "wakeup_latency_cgroup": f"SELECT m.* EXCLUDE (wakeup_latency), wakeup_latency AS value, tag, {TAG_RANK} AS \"order\" FROM m_wakeup_latency_cgroup m {TAGGED}",
+    "wakeup_latency_cgroup_mean": f"SELECT tag, cgroup, iteration, {TAG_RANK} AS \"order\", {LAT_MEAN.replace('wakeup_latency', 'value')} FROM lat_cg {TAGGED} GROUP BY tag, cgroup, iteration",
+    "wakeup_latency_cgroup_quantiles": _quantile("r_wakeup_latency_cgroup", "cgroup, tag, iteration", "value"),
+    "tasks_residency_cpu_total": f'SELECT m.* EXCLUDE ("Total"), "Total" AS total, tag FROM m_tasks_residency_cpu_total m {TAGGED}',
+    "tasks_residency_cpu_total_melt": _melt("r_tasks_residency_cpu_total", _IDS, CPU_COLUMNS, "cpu"),
+    "tasks_residency_cpu_total_cluster_melt": _melt("r_tasks_residency_cpu_total", _IDS, CLUSTERS_TOTAL, "cluster"),
+    "tasks_residency_total": f'SELECT m.* EXCLUDE ("Total"), "Total" AS total, tag FROM m_tasks_residency_total m {TAGGED} WHERE comm IN (SELECT comm FROM main_tasks)',
+    "tasks_residency_total_melt": _melt("r_tasks_residency_total", _IDS + ", comm", CPU_COLUMNS, "cpu"),
+    "tasks_residency_total_cluster_melt": _melt("r_tasks_residency_total", _IDS + ", comm", CLUSTERS_TOTAL, "cluster"),
+    "tasks_residency": f'SELECT m.* EXCLUDE ("Total"), "Total" AS total, tag FROM m_tasks_residency m {TAGGED} WHERE comm IN (SELECT comm FROM main_tasks)',
+    "tasks_residency_cluster_melt": _melt("r_tasks_residency", _IDS + ", comm", CLUSTERS_TOTAL, "cluster"),
+    "tasks_residency_cgroup_total": f'SELECT tag, cgroup, iteration, "Total" AS total, little, mid, big, {", ".join(CPU_COLUMNS)} FROM m_tasks_residency_cgroup_total {TAGGED}',
+    "cgroup_residency_total_melt": _melt("r_tasks_residency_cgroup_total", "iteration, tag, cgroup", CPU_COLUMNS, "cpu"),
+    "cgroup_residency_total_cluster_melt": _melt("r_tasks_residency_cgroup_total", "iteration, tag, cgroup", CLUSTERS_TOTAL, "cluster"),
+    "task_activations_stats_cluster": f"SELECT m.*, tag FROM m_task_activations_stats_cluster m {TAGGED}",
+    "task_activations_stats_cluster_melt": _melt("r_task_activations_stats_cluster", "kernel, tag, iteration, cluster, comm", ["count", "duration"]),
+    "task_activations": f"SELECT m.*, tag FROM m_task_activations m {TAGGED}",
+    "uclamp_updates": f"SELECT m.*, tag FROM m_uclamp_updates m {TAGGED} WHERE task <> '<unknown>'",
+    "fps": f"SELECT m.*, tag FROM m_fps m {TAGGED}",
+    "frame_target_counts": "SELECT tag, iteration, render_time < 1000.0 / 0.005 AS on_target, count(*) AS count FROM r_fps GROUP BY ALL",
+    "capacity": f"SELECT m.*, tag FROM m_capacity m {TAGGED}",
+}
+PARTS |= {f"r_{name}": body for name, body in RUNS.items()}
+
+
+def _rounded(part: str, column: str) -> str:
+    return f"SELECT * REPLACE (round({column}, 6) AS {column}) FROM {part}"
+
+
+def _from(part: str) -> str:
+    return f"SELECT * FROM {part}"
+
+
+_SCORES = "SELECT * FROM r_results WHERE metric IN ('jank_p', 'mean')"
+_COUNTED = "SELECT * FROM r_results_perf"
+_DURATIONS = "SELECT tag, value FROM r_jankbench WHERE variable = 'total_duration'"
+
+
+def _activation(variable: str) -> str:
+    rows = f"SELECT * FROM r_task_activations_stats_cluster_melt WHERE variable = '{variable}' AND comm IN (SELECT comm FROM main_tasks)"
+    return _compare(rows, ["comm", "cluster"], percentage=False)
+
+
+VIEWS = {
+    "results_line": _line(f"({_SCORES})", "metric"),
+    "results_bar": _compare(_SCORES, ["metric"]),
+    "perf_line": _line(f"({_COUNTED})", "metric"),
+    "perf_bar": _compare(_COUNTED, ["metric"]),
+    "jankbench_max_frame_durations": _compare(_from("r_jb_max_frame_duration"), ["variable"]),
+    "jankbench_mean_frame_durations_line": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_line('r_jb_mean_frame_duration')})",
+    "jankbench_mean_frame_durations_bar": _compare(_from("r_jb_mean_frame_duration"), ["variable"]),
+    "jankbench_frame_durations_hist": f"""
+      SELECT tag, bin, low + bin * width AS bin_start, count(*) AS count FROM (
+        SELECT tag, low, width, least(CAST(floor((value - low) / width) AS BIGINT), 39) AS bin FROM ({_DURATIONS}),
+          (SELECT min(value) AS low, (max(value) - min(value)) / 40.0 AS width FROM ({_DURATIONS}))) GROUP BY tag, bin, low, width""",
+    "jankbench_frame_durations_ecdf": f"SELECT DISTINCT tag, value, cume_dist() OVER (PARTITION BY tag ORDER BY value) AS ecdf FROM ({_DURATIONS})",
+    "jankbench_jank_percentage_line": _line("r_jankbench_percs", value="perc"),
+    "jankbench_jank_percentage_bar": _compare(_from("r_jankbench_percs"), ["variable"], "perc"),
+    "jankbench_metric_line": _line("r_results", "test_name, metric"),
+    "jankbench_jank_percentage_metric_bar": _compare("SELECT * FROM r_results WHERE metric = 'jank_p'", ["metric", "test_name"]),
+    "jankbench_mean_duration_metric_bar": _compare("SELECT * FROM r_results WHERE metric = 'mean'", ["metric", "test_name"]),
+    "drarm_adpf_fps_line": _line("r_adpf_totals_melt", "variable"),
+    "drarm_adpf_fps_bar": _compare(_from("r_adpf_totals_melt"), ["variable"]),
+    "drarm_adpf_metric_line": _line(
+        "(" + _melt("r_ds_adpf", "ts, tag", ["average fps", "thermal status", "Adaptive LOD"], "metric") + ")", "metric", x="ts"),
+    "power_meter_line": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_line('r_pixel6_emeter_mean', 'channel', 'power')})",
+    "power_meter_bar": _compare(_from("r_pixel6_emeter_mean"), ["channel"], "power"),
+    "overutilized_table": "SELECT metric, tag, time, total_time, percentage FROM r_overutilized_mean",
+    "overutilized_line": _line("r_overutilized", value="percentage"),
+    "frequency_line": _line("r_freqs_mean", "cluster"),
+    "frequency_bar": _compare(_from("r_freqs_mean"), ["metric", "cluster"], unit="'MHz'"),
+    "thermal_line": _line("r_thermal_melt", "cluster"),
+    "thermal_bar": _compare(_from("r_thermal_melt"), ["cluster"]),
+    "idle_miss_bar": "SELECT tag, type, round(sum(count_perc), 6) AS count_perc FROM r_cpu_idle_miss_counts GROUP BY tag, type",
+    "energy_estimate_line": _line("r_energy_estimate_melt", "cluster"),
+    "energy_estimate_bar": _compare(_from("r_energy_estimate_melt"), ["cluster"]),
+    "sched_pelt_cfs_line": _line("r_sched_pelt_cfs_melt", "cluster, variable"),
+    "sched_pelt_cfs_bar": _compare(_from("r_sched_pelt_cfs_melt"), ["cluster", "variable"]),
+    "wakeup_latency_line": _line("r_wakeup_latency_mean", "comm"),
+    "wakeup_latency_bar": _compare(_from("r_wakeup_latency_mean"), ["comm"], digits=0, labels=False),
+    "wakeup_latency_quantiles_bar": _compare(_from("r_wakeup_latency_quantiles"), ["comm", "quantile"], "wakeup_latency", 0, labels=False),
+    "wakeup_latency_execution_cluster_bar": f"SELECT *, {_human('wakeup_latency')} AS label FROM r_wakeup_latency_execution_cluster",
+    "wakeup_latency_target_cluster_bar": f"SELECT *, {_human('wakeup_latency')} AS label FROM r_wakeup_latency_target_cluster",
+    "wakeup_latency_cgroup_line": _line("r_wakeup_latency_cgroup_mean", "cgroup"),
+    "wakeup_latency_cgroup_bar": _compare(_from("r_wakeup_latency_cgroup_mean"), ["cgroup"], digits=0, labels=False),
+    "wakeup_latency_cgroup_quantiles_bar": _compare(_from("r_wakeup_latency_cgroup_quantiles"), ["cgroup", "quantile"], digits=0, labels=False),
+    "tasks_cpu_residency_cluster_line": _line("r_tasks_residency_cpu_total_cluster_melt", "cluster"),
+    "tasks_cpu_residency_cluster_bar": _compare(_from("r_tasks_residency_cpu_total_cluster_melt"), ["cluster"]),
+    "tasks_cpu_residency_per_task_bar": _compare(_from("r_tasks_residency_total_cluster_melt"), ["comm", "cluster"]),
+    "tasks_cpu_residency_cpu_bar": _compare(_from("r_tasks_residency_total_melt"), ["comm", "cpu"]),
+    "cgroup_cpu_residency_cluster_bar": _compare(_from("r_cgroup_residency_total_cluster_melt"), ["cgroup", "cluster"]),
+    "cgroup_cpu_residency_cpu_bar": _compare(_from("r_cgroup_residency_total_melt"), ["cgroup", "cpu"]),
+    "task_activations_stats_count_line": _line("r_task_activations_stats_cluster", "comm, cluster", "count"),
+    "task_activations_stats_duration_line": _line("r_task_activations_stats_cluster", "comm, cluster", "duration"),
+    "task_activations_stats_count_bar": _activation("count"),
+    "task_activations_stats_duration_bar": _activation("duration"),
+    "task_activations_detailed": "SELECT * FROM r_task_activations WHERE iteration = 1 AND comm = 'RenderThread'",
+    "uclamp_per_task_line": _line("r_uclamp_updates", "task, iteration, uclamp_id", x="time_it"),
+    "frame_rendering_line": f"SELECT *, 1000.0 / 0.005 AS target_render_time FROM ({_line('r_fps', 'iteration', 'render_time', 'ts_iter')})",
+    "frame_target_count_line": _line("r_frame_target_counts", "on_target", "count"),
+    "frame_target_count_bar": _compare(_from("r_frame_target_counts"), ["on_target"], "count"),
+    "capacity_line": _line("(SELECT * FROM r_capacity WHERE iteration = 1 AND cpu = 2)", "iteration, cpu", "capacity", "time_it"),
+}
+
+
+def _cells(view: str, name: str, where: str = "", change: bool = True) -> str:
+    value = "value_label || ' (' || perc_label || ')'" if change else "value_label"
+    return f"SELECT {name} AS metric, tag, {value} AS value FROM ({VIEWS[view]}) {where}"
+
+
+_CELLS = [
+    (0, _cells("results_bar", "metric")),
+    (1, _cells("jankbench_mean_frame_durations_bar", "variable")),
+    (2, _cells("jankbench_jank_percentage_bar", "variable")),
+    (3, _cells("jankbench_max_frame_durations", "variable", change=False)),
+    (4, _cells("power_meter_bar", "'CPU_total_power'", "WHERE channel = 'CPU'")),
+    (5, "SELECT metric, tag, CAST(percentage AS VARCHAR) || '%' AS value FROM r_overutilized_mean"),
+    (6, _cells("thermal_bar", "'thermal (' || cluster || ')'")),
+    (8, _cells("tasks_cpu_residency_per_task_bar", "'CPU residency (' || comm || ')'", "WHERE cluster = 'total'")),
+]
+VIEWS["summary"] = f"""
+  SELECT CAST(block AS INTEGER) AS block, metric, any_value(value) FILTER (tag = 'baseline') AS baseline,
+    any_value(value) FILTER (tag = 'candidate') AS candidate
+  FROM ({' UNION ALL '.join(f'SELECT {i} AS block, * FROM ({c})' for i, c in _CELLS)}) GROUP BY block, metric"""
+
+_RUNS_ROUNDED = {"jb_mean_frame_duration": "value", "pixel6_emeter_mean": "power"}
+_RUNS_SHOWN = [n for n in RUNS if n not in (
+    "results_all", "adpf_totals", "energy_estimate_mean", "sched_pelt_cfs_mean", "tasks_residency",
+    "tasks_residency_cpu_total", "task_activations_stats_cluster", "task_activations",
+)]
+
+
 def all_queries() -> dict[str, str]:
-    return {name: with_parts(body) for name, body in DATASETS.items()}
+    sql = {name: with_parts(body) for name, body in DATASETS.items()}
+    for name in _RUNS_SHOWN:
+        column = _RUNS_ROUNDED.get(name)
+        body = _rounded(f"r_{name}", column) if column else f"SELECT * FROM r_{name}"
+        sql[f"runs_{name}"] = with_parts(body)
+    for name, body in VIEWS.items():
+        sql[f"view_{name}"] = with_parts(f"SELECT * FROM ({body.strip()})")
+    return sql
