@@ -304,6 +304,11 @@ def _melt(part: str, ids: str, columns, variable="variable") -> str:
     )
 
 
+def _half_up(x: str) -> str:
+    """Two decimals, ties away from zero as the printed number reads."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30, 12)), 2) AS DOUBLE)"
+
+
 def _human(x: str) -> str:
     return f"""CASE WHEN {x} > 1e9 THEN CAST(round({x} / 1e9, 3) AS VARCHAR) || 'B'
       WHEN {x} > 1e6 THEN CAST(round({x} / 1e6, 3) AS VARCHAR) || 'M'
@@ -315,7 +320,8 @@ def _human(x: str) -> str:
 def _compare(rows: str, facets, value="value", digits=1, percentage=True, metric="'gmean'", unit="'x'", labels=True) -> str:
     """Statistics per tag and facet; change and Kolmogorov-Smirnov test against the baseline.
 
-    The test's p-value is the closed form for equal sample sizes; all facets here have those.
+    The test's p-value is the closed form for equal sample sizes and, for others, one less the share
+    of lattice paths that stay inside the band, counted step by step.
     """
     by = ", ".join(facets)
     using = f"USING ({by})" if facets else "ON true"
@@ -337,12 +343,19 @@ def _compare(rows: str, facets, value="value", digits=1, percentage=True, metric
           sum(o) OVER ({per}) AS n, sum(b) OVER ({per}) AS m FROM (
           SELECT {by + ', ' if facets else ''}{value} AS v, count(*) FILTER (tag = 'candidate') AS o, count(*) FILTER (tag = 'baseline') AS b
           FROM rows_ GROUP BY ALL)) {'GROUP BY ' + by if facets else ''}"""
-    p = """CASE WHEN gap = 0 THEN 1.0 WHEN n = m THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(
+    step = f"SELECT {by + ', ' if facets else ''}n, m, gap, {{}} AS i, {{}} AS j, inside, paths FROM paths_"
+    paths = f"""
+      SELECT {by + ', ' if facets else ''}n, m, gap, 0 AS i, 0 AS j, CAST(1 AS DOUBLE) AS inside, CAST(1 AS DOUBLE) AS paths FROM tests_ WHERE n <> m
+      UNION ALL SELECT {by + ', ' if facets else ''}n, m, gap, i, j, sum(CASE WHEN abs(i * m - j * n) < gap THEN inside ELSE 0 END), sum(paths)
+      FROM ({step.format('i + 1', 'j')} UNION ALL {step.format('i', 'j + 1')}) WHERE i <= n AND j <= m
+      GROUP BY {by + ', ' if facets else ''}n, m, gap, i, j"""
+    ends = f"SELECT {by + ', ' if facets else ''}1 - inside / paths AS p_path FROM paths_ WHERE i = n AND j = m"
+    p = """CASE WHEN gap = 0 THEN 1.0 WHEN n <> m THEN p_path WHEN n = m THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(
         range(1, CAST(n // (gap // n) AS BIGINT) + 1),
         lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * list_product(list_transform(
           range(1, CAST(k * (gap // n) AS BIGINT) + 1),
           lambda j: CAST(n - k * (gap // n) + j AS DOUBLE) / CAST(n + j AS DOUBLE))))))) END"""
-    change = "(g / ref_g - 1) * 100"
+    change = "CASE WHEN s.tag = 'baseline' AND ref_g <> 0 THEN 0.0 ELSE (g / nullif(ref_g, 0) - 1) * 100 END"
     out = [
         "s.tag", *[f"s.{f}" for f in facets], "s.n", f"{final.format('g')} AS value", f"round({rnd.format('sd')}, 6) AS std",
         f"round({rnd.format('sd / sqrt(s.n)')}, 6) AS sem", TAG_RANK.replace("tag", "s.tag") + " AS order_tag",
@@ -356,18 +369,19 @@ def _compare(rows: str, facets, value="value", digits=1, percentage=True, metric
     if labels:
         out.append(f"{_human(rnd.format('g'))} AS value_label")
     if percentage:
-        pc = f"round({change}, 2)"
+        pc = f"(round({change}, 2) + 0.0)"
         out += [
             f"round({change}, 6) AS perc_diff", "gap / (t.n * t.m) AS ks_d", f"round(p, 9) AS ks_p",
             "coalesce(p < 0.02, false) AS significant", f"CAST({pc} AS VARCHAR) || '%' AS perc_label",
         ]
         if labels:
             out.append(
-                f"{_human(rnd.format('g'))} || ' ' || CASE WHEN p < 0.02 THEN '* ' ELSE '' END || '(' || "
-                f"CASE WHEN {pc} > 0 THEN '+' ELSE '' END || CAST({pc} AS VARCHAR) || '%)' AS bar_label"
+                f"{_human(rnd.format('g'))} || coalesce(' ' || CASE WHEN p < 0.02 THEN '* ' ELSE '' END || '(' || "
+                f"CASE WHEN {pc} > 0 THEN '+' ELSE '' END || CAST({pc} AS VARCHAR) || '%)', '') AS bar_label"
             )
-    tests = f"LEFT JOIN (SELECT *, {p} AS p FROM ({test})) t USING (tag{plus})" if percentage else ""
-    return f"WITH rows_ AS MATERIALIZED ({rows}) SELECT {', '.join(out)} FROM ({body}) s {tests}"
+    tests = f"LEFT JOIN (SELECT *, {p} AS p FROM tests_ LEFT JOIN ({ends}) {using}) t USING (tag{plus})" if percentage else ""
+    ctes = f"rows_ AS MATERIALIZED ({rows})" + (f", tests_ AS MATERIALIZED ({test}), paths_ AS ({paths})" if percentage else "")
+    return f"WITH RECURSIVE {ctes} SELECT {', '.join(out)} FROM ({body}) s {tests}"
 
 
 def _line(part: str, facets: str = "", value="value", x="iteration") -> str:
@@ -415,15 +429,16 @@ RUNS = {
     "adpf_totals": f"SELECT m.*, tag FROM m_adpf_totals m {TAGGED}",
     "adpf_totals_melt": _melt("r_adpf_totals", "iteration, tag", ["average fps", "frame count"]),
     "ds_adpf": 'SELECT * EXCLUDE (wa_path, kernel, iteration, time, "# frame count") FROM r_adpf',
-    "pixel6_emeter_mean": f"""
-      SELECT tag, kernel, iteration, channel, power FROM m_pixel6_emeter_mean {TAGGED}
-      UNION ALL SELECT tag, kernel, iteration, 'CPU', sum(power) FROM m_pixel6_emeter_mean {TAGGED} WHERE channel LIKE 'CPU%' GROUP BY ALL
-      UNION ALL SELECT tag, kernel, iteration, 'Total', sum(power) FROM m_pixel6_emeter_mean {TAGGED} GROUP BY ALL""",
+    "emeter_means": "SELECT tag, kernel, iteration, channel, avg(power) AS power FROM power JOIN runs USING (wa_path) GROUP BY ALL",
+    "pixel6_emeter_mean": """
+      SELECT * FROM r_emeter_means
+      UNION ALL SELECT tag, kernel, iteration, 'CPU', sum(power) FROM r_emeter_means WHERE channel LIKE 'CPU%' GROUP BY ALL
+      UNION ALL SELECT tag, kernel, iteration, 'Total', sum(power) FROM r_emeter_means GROUP BY ALL""",
     "overutilized": f"SELECT m.* EXCLUDE (time, total_time), round(time, 2) AS time, round(total_time, 2) AS total_time, tag FROM m_overutilized m {TAGGED}",
     "overutilized_mean": f"SELECT m.*, tag FROM m_overutilized_mean m {TAGGED}",
     "freqs_mean": f"SELECT m.* EXCLUDE (frequency), frequency AS value, 'MHz' AS unit, 'frequency' AS metric, {RANK} AS \"order\", tag FROM m_freqs_mean m {TAGGED}",
-    "thermal": f"""SELECT iteration, kernel, wa_path, tag, round(avg("Time"), 2) AS "Time", round(avg(little) / 1000, 2) AS little,
-      round(avg(mid) / 1000, 2) AS mid, round(avg(big) / 1000, 2) AS big FROM m_thermal {TAGGED} GROUP BY iteration, kernel, wa_path, tag""",
+    "thermal": f"""SELECT iteration, kernel, wa_path, tag, round(avg("Time"), 2) AS "Time", {_half_up('avg(little) / 1000')} AS little,
+      {_half_up('avg(mid) / 1000')} AS mid, {_half_up('avg(big) / 1000')} AS big FROM m_thermal {TAGGED} GROUP BY iteration, kernel, wa_path, tag""",
     "thermal_melt": _melt("r_thermal", _IDS, CLUSTERS, "cluster"),
     "idle_residency": f"SELECT tag, cluster, idle_state, round(avg(time), 2) AS time FROM m_idle_residency {TAGGED} GROUP BY ALL",
     "cpu_idle_miss_counts": f"""
@@ -571,7 +586,7 @@ VIEWS["summary"] = f"""
 
 _RUNS_ROUNDED = {"jb_mean_frame_duration": "value", "pixel6_emeter_mean": "power"}
 _RUNS_SHOWN = [n for n in RUNS if n not in (
-    "results_all", "adpf_totals", "energy_estimate_mean", "sched_pelt_cfs_mean", "tasks_residency",
+    "results_all", "emeter_means", "adpf_totals", "energy_estimate_mean", "sched_pelt_cfs_mean", "tasks_residency",
     "tasks_residency_cpu_total", "task_activations_stats_cluster", "task_activations",
 )]
 

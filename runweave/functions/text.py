@@ -71,6 +71,10 @@ def signed_percent(x: str | Column) -> Column:
 
 
 def marked_change(value: str | Column, change: str | Column, p_value: str | Column, below: float = SIGNIFICANT) -> Column:
-    """Value with its signed change, starred when the test finds the runs different."""
+    """Value with its signed change, starred when the test finds the runs different.
+
+    Without a change (there is none from 0) it is the value alone.
+    """
     star = F.when(_col(p_value) < below, "* ").otherwise("")
-    return F.concat(human_number(value), F.lit(" "), star, signed_percent(change))
+    change_text = F.coalesce(F.concat(F.lit(" "), star, signed_percent(change)), F.lit(""))
+    return F.concat(human_number(value), change_text)
