@@ -591,6 +591,82 @@ _RUNS_SHOWN = [n for n in RUNS if n not in (
 )]
 
 
+HOUR_NS = 3600000000000
+
+
+def _printed(x: str, digits: int) -> str:
+    """A number rounded as it is printed, ties away from zero."""
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(30, 12)), {digits}) AS DOUBLE) AS VARCHAR)"
+
+
+def _human_printed(x: str) -> str:
+    return f"""CASE WHEN {x} > 1e9 THEN {_printed(f'{x} / 1e9', 3)} || 'B' WHEN {x} > 1e6 THEN {_printed(f'{x} / 1e6', 3)} || 'M'
+      WHEN {x} > 1e4 THEN {_printed(f'{x} / 1e3', 2)} || 'k'
+      WHEN {x} <> 0 AND abs({x}) < 0.01 THEN {_printed(f'{x} * 1e6', 2)} || 'μ' ELSE CAST(CAST({x} AS DOUBLE) AS VARCHAR) END"""
+
+
+_CHANGE = "(o_custkey / 7 - 100)"
+_SIGNED = f"'(' || CASE WHEN CAST(round(CAST({_CHANGE} AS DECIMAL(30, 12)), 2) AS DOUBLE) > 0 THEN '+' ELSE '' END || {_printed(_CHANGE, 2)} || '%)'"
+STEPS = {
+    "trace_windows": "SELECT * FROM win",
+    "switch_intervals": f"SELECT {KEYS}, t_ns, seq, cpu, pid, comm, t_end_ns FROM iv",
+    "cluster_residency": f"SELECT {KEYS}, comm, {_cluster('cpu')} AS cluster, CAST(sum(ns) AS BIGINT) / 1e9 AS time FROM cpu_ns GROUP BY ALL",
+    "power_spans": f"""
+      SELECT p.wa_path, p.iteration, {_cluster('p.cpu')} AS cluster, p.cpu, p.t_ns, c.t_end_ns, CAST(power AS DOUBLE) AS power
+      FROM cpu_power p JOIN chg_iv c ON p.wa_path = c.wa_path AND p.iteration = c.iteration AND p.cpu = c.cpu AND p.t_ns = c.t_ns
+      WHERE power IS NOT NULL""",
+    "task_names": f"SELECT DISTINCT {KEYS}, pid, comm FROM ev WHERE type <> 'signup'",
+    "names_by_pid": "SELECT * FROM names",
+    "cgroup_members": "SELECT * FROM member",
+    "held_mean": f"""
+      SELECT {KEYS}, cpu, round(sum(CAST(frequency AS DOUBLE) * held) / sum(held), 6) AS frequency FROM (
+        SELECT f.wa_path, f.iteration, cpu, frequency,
+          CAST(coalesce(lead(t_ns) OVER (PARTITION BY f.wa_path, f.iteration, cpu ORDER BY t_ns, seq), end_ns) - t_ns AS DOUBLE) AS held
+        FROM freq f JOIN win USING ({KEYS})) GROUP BY {KEYS}, cpu""",
+    "frequency_as_of": """
+      SELECT s.wa_path, s.iteration, s.cpu, s.t_ns, s.pid, coalesce(f.frequency, 0) AS frequency FROM sw s ASOF LEFT JOIN freq f
+      ON s.wa_path = f.wa_path AND s.iteration = f.iteration AND s.cpu = f.cpu AND s.t_ns >= f.t_ns""",
+    "unique_times": f"""
+      SELECT {KEYS}, seq, hour + row_number() OVER (PARTITION BY {KEYS}, hour ORDER BY seq) - 1 AS t_ns
+      FROM (SELECT *, t_ns - t_ns % {HOUR_NS} AS hour FROM ev)""",
+    "time_checks": f"""
+      SELECT {KEYS}, min(t) AS start_ns, max(t) AS end_ns, count(*) FILTER (t IS NULL) AS without_time,
+        count(*) FILTER (t < was) AS out_of_order
+      FROM (SELECT *, lag(t) OVER (PARTITION BY {KEYS} ORDER BY seq) AS was FROM (
+        SELECT {KEYS}, seq, CASE WHEN cents % 10 <> 0 THEN t_ns + whole * {HOUR_NS} END AS t FROM ev)) GROUP BY {KEYS}""",
+    "missing_events": f"""
+      SELECT {KEYS}, event FROM win, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'logout']) AS event)
+      EXCEPT SELECT {KEYS}, type FROM ev WHERE cents % 97 = 0""",
+    "missing_iterations": f"SELECT {KEYS} FROM win EXCEPT SELECT {KEYS} FROM ev WHERE whole > 300",
+    "human_labels": f"""
+      SELECT o_orderkey, {_human_printed('o_totalprice')} AS plain, {_human_printed('(o_totalprice * 1000)')} AS large,
+        {_human_printed('(o_custkey / 1e6)')} AS small, {_SIGNED} AS change,
+        {_human_printed('o_custkey')} || ' ' || CASE WHEN o_orderkey % 10 < 2 THEN '* ' ELSE '' END || {_SIGNED} AS marked FROM orders""",
+    "names": """
+      SELECT c_custkey, lower(c_mktsegment) || '_k' || c_nationkey AS tag, 'wl' AS workload, '' AS no_tag, c_name || ':x' AS comm,
+        lower(c_mktsegment) AS event, c_name[8:] AS perf,
+        CASE c_custkey % 3 WHEN 0 THEN 'too deep' WHEN 1 THEN 'too shallow' ELSE '2' END AS miss FROM customer""",
+    "price_quantiles": """
+      SELECT l_returnflag, l_linestatus, CAST(q AS DOUBLE) AS quantile, round(v, 6) AS l_extendedprice FROM (
+        SELECT l_returnflag, l_linestatus, unnest([0.9, 0.95, 0.99]) AS q, unnest(quantile_cont(l_extendedprice, [0.9, 0.95, 0.99])) AS v
+        FROM lineitem GROUP BY l_returnflag, l_linestatus)""",
+    "frame_test": f"""
+      SELECT variable, 'candidate' AS tag, gap / (n * m) AS ks_d,
+        round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k:
+          (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2 * k * k * lam * lam))))), 9) AS ks_p
+      FROM (SELECT *, sqrt(CAST(n AS DOUBLE) * m / (n + m)) * gap / (CAST(n AS DOUBLE) * m) AS lam FROM (
+        SELECT variable, max(abs(own * m - base * n)) AS gap, any_value(n) AS n, any_value(m) AS m FROM (
+          SELECT *, sum(o) OVER (ORDER BY value) AS own, sum(b) OVER (ORDER BY value) AS base, sum(o) OVER () AS n, sum(b) OVER () AS m
+          FROM (SELECT variable, value, count(*) FILTER (tag = 'candidate') AS o, count(*) FILTER (tag = 'baseline') AS b
+            FROM r_jankbench WHERE variable = 'total_duration' GROUP BY ALL)) GROUP BY variable))""",
+    "value_statistics": """
+      SELECT pid, count(*) AS n, round(CASE WHEN min(v) = max(v) THEN min(v) WHEN min(v) = 0 THEN 0 ELSE exp(avg(CASE WHEN v > 0 THEN ln(v) END)) END, 6) AS gmean,
+        round(stddev_samp(v), 6) AS std, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem
+      FROM (SELECT pid, CAST(whole AS DOUBLE) AS v FROM ev) GROUP BY pid""",
+}
+VIEWS["show"] = f"SELECT wa_path, tag, kernel, {TAG_RANK} AS order_tag FROM runs"
+
+
 def all_queries() -> dict[str, str]:
     sql = {name: with_parts(body) for name, body in DATASETS.items()}
     for name in _RUNS_SHOWN:
@@ -599,4 +675,5 @@ def all_queries() -> dict[str, str]:
         sql[f"runs_{name}"] = with_parts(body)
     for name, body in VIEWS.items():
         sql[f"view_{name}"] = with_parts(f"SELECT * FROM ({body.strip()})")
+    sql |= {f"step_{name}": with_parts(body) for name, body in STEPS.items()}
     return sql

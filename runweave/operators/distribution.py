@@ -20,8 +20,8 @@ def signal_mean(
     """Mean of a signal per key: plain, or weighted by how long each value holds (``weight_ns``)."""
     if weight_ns is None:
         return df.groupBy(*keys).agg(F.avg(value).alias(value))
-    held = F.when(F.col(value).isNotNull(), F.col(weight_ns))
-    return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * held), F.sum(held)).alias(value))
+    held = F.when(F.col(value).isNotNull(), F.col(weight_ns).cast("double"))
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value).cast("double") * held), F.sum(held)).alias(value))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, limit: int, *aggregates: Column):

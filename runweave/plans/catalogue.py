@@ -11,7 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.functions import text
+from runweave.functions.stats import statistics
+from runweave.operators import cpus, distribution, tasks
 from runweave.plans import adapter, datasets, metrics, summary, views
+from runweave.sources import quality
+from runweave.sources.scan import unique_times
+from runweave.trace import RUN_KEYS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,3 +185,135 @@ QUERIES |= {
         SCORES,
     ),
 }
+
+
+def _trace(make, *inexact) -> Query:
+    def query(spark, sf_dir):
+        df = make(adapter.trace(spark, sf_dir))
+        return rounded(df, EXACT_DIGITS, *inexact) if inexact else df
+
+    return query
+
+
+HOUR_NS = 3_600_000_000_000
+
+
+def step_unique_times(spark, sf_dir):
+    """Events put on the hour, so many share an instant."""
+    ev = adapter.base_events(spark, sf_dir)
+    return unique_times(ev.select(*RUN_KEYS, (F.col("t_ns") - F.col("t_ns") % HOUR_NS).alias("t_ns"), "seq"))
+
+
+def step_time_checks(spark, sf_dir):
+    """Times moved by the value, so some rows are earlier than the one before."""
+    ev = adapter.base_events(spark, sf_dir)
+    moved = F.when(F.col("cents") % 10 != 0, F.col("t_ns") + F.col("whole") * HOUR_NS)
+    return quality.time_checks(ev.select(*RUN_KEYS, moved.alias("t_ns"), "seq"))
+
+
+def step_missing_events(spark, sf_dir):
+    """Kinds of events of every iteration that a day of it lacks, and one that none has."""
+    trace = adapter.trace(spark, sf_dir)
+    found = trace.clock.filter("cents % 97 = 0").select(*RUN_KEYS, F.col("type").alias("event"))
+    return quality.missing_events(trace.windows, found, ("click", "error", "purchase", "signup", "view", "logout"))
+
+
+def step_missing_iterations(spark, sf_dir):
+    trace = adapter.trace(spark, sf_dir)
+    return quality.missing_iterations(trace.windows, trace.clock.filter("whole > 300"))
+
+
+def step_held_mean(trace):
+    """Mean frequency per CPU, each value weighted by how long it holds."""
+    spans = trace.spans(cpus.frequency_events(trace), ["cpu"]).withColumn("held", F.expr("t_end_ns - t_ns"))
+    return distribution.signal_mean(spans, [*RUN_KEYS, "cpu"], "frequency", "held")
+
+
+def step_frequency_as_of(trace):
+    """The frequency of a task's CPU at each of its switch-ins, 0 before the first change."""
+    none = F.lit(None).cast("long")
+    rows = tasks.switch_ins(trace).select(*RUN_KEYS, "cpu", "t_ns", F.lit(1).alias("kind"), "seq", "pid", none.alias("f"))
+    freqs = cpus.frequency_events(trace).select(
+        *RUN_KEYS, "cpu", "t_ns", F.lit(0).alias("kind"), "seq", none.alias("pid"), F.col("frequency").alias("f")
+    )
+    held = trace.follow(rows.unionByName(freqs), ["cpu"], ["t_ns", "kind", "seq"], fill={"frequency": "f"})
+    known = F.coalesce("frequency", F.lit(0)).alias("frequency")
+    return held.filter("kind = 1").select(*RUN_KEYS, "cpu", "t_ns", "pid", known)
+
+
+def step_cluster_residency(trace):
+    """CPU time per task name and cluster, in long form."""
+    cluster = trace.options.cluster_of("cpu").alias("cluster")
+    per = tasks.task_cpu_ns(trace).groupBy(*RUN_KEYS, "comm", cluster).agg(F.sum("ns").alias("ns"))
+    return per.withColumns({"time": F.expr("cast(ns as double) / 1e9D")}).drop("ns")
+
+
+def step_human_labels(spark, sf_dir):
+    orders = adapter.read(spark, sf_dir, "orders")
+    price = F.col("o_totalprice")
+    return orders.select(
+        "o_orderkey", text.human_number(price).alias("plain"), text.human_number(price * 1000).alias("large"),
+        text.human_number(F.col("o_custkey") / 1e6).alias("small"),
+        text.signed_percent(F.col("o_custkey") / 7 - 100).alias("change"),
+        text.marked_change(F.col("o_custkey"), F.col("o_custkey") / 7 - 100, F.col("o_orderkey") % 10 / 100).alias("marked"),
+    )
+
+
+def step_names(spark, sf_dir):
+    """Run names, event files and task labels made of the customers', taken apart again."""
+    customers = adapter.read(spark, sf_dir, "customer")
+    run = F.concat(F.lit("wl_"), F.lower("c_mktsegment"), F.lit("_k"), F.col("c_nationkey"), F.lit("_10_0101"))
+    label = F.concat(F.lit("["), F.col("c_custkey"), F.lit(":"), F.col("c_name"), F.lit(":x]"))
+    file = F.concat(F.when(F.col("c_custkey") % 2 == 0, "lisa__").otherwise(""), F.lower("c_mktsegment"), F.lit(".pq"))
+    return customers.select(
+        "c_custkey", text.run_tag(run).alias("tag"), text.run_workload(run).alias("workload"),
+        text.run_tag("c_mktsegment").alias("no_tag"), text.task_comm(label).alias("comm"),
+        text.event_name(file).alias("event"), text.perf_name("c_name").alias("perf"),
+        text.miss_type(F.col("c_custkey") % 3).alias("miss"),
+    )
+
+
+def step_price_quantiles(spark, sf_dir):
+    lines = adapter.read(spark, sf_dir, "lineitem")
+    found = distribution.quantiles(
+        lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", datasets.QUANTILES,
+        adapter.OPTIONS.slice_above_bytes,
+    )
+    return rounded(found, EXACT_DIGITS, "l_extendedprice")
+
+
+def step_frame_test(spark, sf_dir):
+    """The two-sample test on all frame durations of both runs: tens of thousands of values each."""
+    ana = adapter.analysis(spark, sf_dir)
+    frames = ana.dataset("jankbench").filter("variable = 'total_duration'")
+    return rounded(distribution.two_sample_test(frames, ["variable"], "value", ana.tags, ana.limit), TEST_DIGITS, "ks_p")
+
+
+def step_value_statistics(spark, sf_dir):
+    """Statistics per user, zeros among the values."""
+    ev = adapter.base_events(spark, sf_dir).withColumn("value", F.col("whole").cast("double"))
+    return rounded(ev.groupBy("pid").agg(F.count("value").alias("n"), *statistics("value")), EXACT_DIGITS,
+                   "gmean", "std", "sem")
+
+
+QUERIES |= {
+    "step_trace_windows": _trace(lambda trace: trace.windows),
+    "step_switch_intervals": _trace(tasks.switch_intervals),
+    "step_cluster_residency": _trace(step_cluster_residency),
+    "step_power_spans": _trace(cpus.power_spans),
+    "step_task_names": _trace(tasks.task_names),
+    "step_names_by_pid": _trace(tasks.names_by_pid),
+    "step_cgroup_members": _trace(tasks.cgroup_members),
+    "step_held_mean": _trace(step_held_mean, "frequency"),
+    "step_frequency_as_of": _trace(step_frequency_as_of),
+    "step_unique_times": step_unique_times,
+    "step_time_checks": step_time_checks,
+    "step_missing_events": step_missing_events,
+    "step_missing_iterations": step_missing_iterations,
+    "step_human_labels": step_human_labels,
+    "step_names": step_names,
+    "step_price_quantiles": step_price_quantiles,
+    "step_frame_test": step_frame_test,
+    "step_value_statistics": step_value_statistics,
+    "view_show": _view(views.show),
+}
