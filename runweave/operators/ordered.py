@@ -88,7 +88,7 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
     told |= {f"_{out}": F.max_by(c, F.when(c.isNotNull(), place)) for out, c in asks["fill"].items()}
     told |= {f"_{out}": F.sum(c) for out, c in (asks["total"] | asks["whole"]).items()}
     told |= {f"_{out}": F.min_by(F.struct(c.alias("v")), place) for out, c in asks["first"].items()}
-    told["_rows"] = F.count(F.lit(1))
+    told["_piece_rows"] = F.count(F.lit(1))
     pieces = df.groupBy(*piece).agg(*[c.alias(out) for out, c in told.items()])
 
     across = Window.partitionBy(*keys).orderBy(slice_col)
@@ -104,7 +104,7 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
         out: F.first(f"_{out}").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         for out in asks["first"]
     }
-    brought["rows"] = F.sum("_rows").over(before)
+    brought["piece_rows"] = F.sum("_piece_rows").over(before)
     carried = pieces.select(*piece, *[c.alias(f"_from_{out}") for out, c in brought.items()])
 
     along = Window.partitionBy(*piece).orderBy(*order)
@@ -115,7 +115,7 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
     inside |= {f"_in_{out}": F.last(c, ignorenulls=True).over(so_far) for out, c in asks["fill"].items()}
     inside |= {f"_in_{out}": F.sum(c).over(so_far) for out, c in asks["total"].items()}
     if number:
-        inside["_in_rows"] = F.row_number().over(along)
+        inside["_in_piece_rows"] = F.row_number().over(along)
     joined = df.withColumns(inside).join(carried, piece, "left")
 
     result = {}
@@ -132,7 +132,7 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
     for out in asks["whole"]:
         result[out] = F.col(f"_from_{out}")
     if number:
-        result[number] = (F.col("_in_rows") + F.coalesce("_from_rows", F.lit(0))).cast("int")
+        result[number] = (F.col("_in_piece_rows") + F.coalesce("_from_piece_rows", F.lit(0))).cast("int")
     kept = [c for c in df.columns if c not in result]
     return joined.select(*kept, *[c.alias(out) for out, c in result.items()])
 
