@@ -14,14 +14,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def run_tag(wa_path: str | Column) -> Column:
+def run_tag(wa_path: str) -> Column:
     """The tag in ``<workload>_<tag>_<iterations>_<date>``; it may hold underscores, or be empty."""
-    parts = F.split(_col(wa_path), "_")
-    return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 3, F.lit(0))), "_")
+    parts = f"split({wa_path}, '_')"
+    return F.expr(f"array_join(slice({parts}, 2, greatest(size({parts}) - 3, 0)), '_')")
 
 
-def run_workload(wa_path: str | Column) -> Column:
-    return F.split(_col(wa_path), "_")[0]
+def run_workload(wa_path: str) -> Column:
+    return F.expr(f"split({wa_path}, '_')[0]")
 
 
 def tag_order(tag: str | Column, tags: list[str]) -> Column:
@@ -48,33 +48,40 @@ def miss_type(below: str | Column) -> Column:
     return F.when(below == 0, "too deep").when(below == 1, "too shallow").otherwise(below.cast("string"))
 
 
-def human_number(x: str | Column) -> Column:
+# The functions below take the text of a numeric expression.
+
+def _human(x: str) -> str:
+    return f"""case
+        when {x} > 1e9D then concat(cast(round({x} / 1e9D, 3) as string), 'B')
+        when {x} > 1e6D then concat(cast(round({x} / 1e6D, 3) as string), 'M')
+        when {x} > 1e4D then concat(cast(round({x} / 1e3D, 2) as string), 'k')
+        when {x} != 0 and abs({x}) < 0.01D then concat(cast(round({x} * 1e6D, 2) as string), 'μ')
+        else cast({x} as string) end"""
+
+
+def _signed(x: str) -> str:
+    rounded = f"round(cast({x} as double), 2)"
+    return f"concat('(', if({rounded} > 0, '+', ''), cast({rounded} as string), '%)')"
+
+
+def human_number(x: str) -> Column:
     """A number shortened for a label: billions ``B``, millions ``M``, above ten thousand ``k``, tiny ``μ``."""
-    x = _col(x).cast("double")
-    return (
-        F.when(x > 1e9, F.concat(F.round(x / 1e9, 3).cast("string"), F.lit("B")))
-        .when(x > 1e6, F.concat(F.round(x / 1e6, 3).cast("string"), F.lit("M")))
-        .when(x > 1e4, F.concat(F.round(x / 1e3, 2).cast("string"), F.lit("k")))
-        .when((x != 0) & (F.abs(x) < 0.01), F.concat(F.round(x * 1e6, 2).cast("string"), F.lit("μ")))
-        .otherwise(x.cast("string"))
-    )
+    return F.expr(_human(f"cast({x} as double)"))
 
 
-def percent(x: str | Column) -> Column:
-    return F.concat(F.round(_col(x), 2).cast("string"), F.lit("%"))
+def percent(x: str) -> Column:
+    return F.expr(f"concat(cast(round(cast({x} as double), 2) as string), '%')")
 
 
-def signed_percent(x: str | Column) -> Column:
+def signed_percent(x: str) -> Column:
     """``(+1.5%)``, ``(-1.5%)`` or ``(0.0%)``."""
-    rounded = F.round(_col(x), 2)
-    return F.concat(F.lit("("), F.when(rounded > 0, "+").otherwise(""), rounded.cast("string"), F.lit("%)"))
+    return F.expr(_signed(x))
 
 
-def marked_change(value: str | Column, change: str | Column, p_value: str | Column, below: float = SIGNIFICANT) -> Column:
+def marked_change(value: str, change: str, p_value: str, below: float = SIGNIFICANT) -> Column:
     """Value with its signed change, starred when the test finds the runs different.
 
     Without a change (there is none from 0) it is the value alone.
     """
-    star = F.when(_col(p_value) < below, "* ").otherwise("")
-    change_text = F.coalesce(F.concat(F.lit(" "), star, signed_percent(change)), F.lit(""))
-    return F.concat(human_number(value), change_text)
+    star = f"if(coalesce({p_value} < {below}, false), '* ', '')"
+    return F.expr(f"concat({_human(f'cast({value} as double)')}, coalesce(concat(' ', {star}, {_signed(change)}), ''))")

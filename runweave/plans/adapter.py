@@ -188,5 +188,6 @@ def jank_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Analysis:
     return of_trace(
-        trace(spark, sf_dir, options), TAGS, "synth", results(spark, sf_dir), jank_frames(spark, sf_dir)
+        trace(spark, sf_dir, options), TAGS, "synth",
+        lambda: results(spark, sf_dir), lambda: jank_frames(spark, sf_dir),
     )

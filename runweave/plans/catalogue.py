@@ -250,19 +250,18 @@ def step_cluster_residency(trace):
 
 def step_human_labels(spark, sf_dir):
     orders = adapter.read(spark, sf_dir, "orders")
-    price = F.col("o_totalprice")
     return orders.select(
-        "o_orderkey", text.human_number(price).alias("plain"), text.human_number(price * 1000).alias("large"),
-        text.human_number(F.col("o_custkey") / 1e6).alias("small"),
-        text.signed_percent(F.col("o_custkey") / 7 - 100).alias("change"),
-        text.marked_change(F.col("o_custkey"), F.col("o_custkey") / 7 - 100, F.col("o_orderkey") % 10 / 100).alias("marked"),
+        "o_orderkey", text.human_number("o_totalprice").alias("plain"),
+        text.human_number("o_totalprice * 1000").alias("large"), text.human_number("o_custkey / 1e6D").alias("small"),
+        text.signed_percent("o_custkey / 7 - 100").alias("change"),
+        text.marked_change("o_custkey", "o_custkey / 7 - 100", "o_orderkey % 10 / 100").alias("marked"),
     )
 
 
 def step_names(spark, sf_dir):
     """Run names, event files and task labels made of the customers', taken apart again."""
     customers = adapter.read(spark, sf_dir, "customer")
-    run = F.concat(F.lit("wl_"), F.lower("c_mktsegment"), F.lit("_k"), F.col("c_nationkey"), F.lit("_10_0101"))
+    run = "concat('wl_', lower(c_mktsegment), '_k', c_nationkey, '_10_0101')"
     label = F.concat(F.lit("["), F.col("c_custkey"), F.lit(":"), F.col("c_name"), F.lit(":x]"))
     file = F.concat(F.when(F.col("c_custkey") % 2 == 0, "lisa__").otherwise(""), F.lower("c_mktsegment"), F.lit(".pq"))
     return customers.select(

@@ -22,6 +22,7 @@ QUANTILES = (0.9, 0.95, 0.99)
 TARGET_FPS = 30
 
 Hook = Callable[[DataFrame], DataFrame]
+Table = Callable[[], DataFrame]
 
 
 @dataclass
@@ -29,7 +30,8 @@ class Analysis:
     """Several runs of one workload, in the order they are compared.
 
     ``source`` gives a metric's dataset by name for all runs, or None when there is none; it may
-    compute it from a trace or read what was written. ``dataset`` gives the named tables below,
+    compute it from a trace or read what was written. ``all_results`` and ``frames`` give the
+    benchmark results and the per-frame table of all runs. ``dataset`` gives the named tables below,
     each planned once and run by Spark only when used.
     """
 
@@ -39,8 +41,8 @@ class Analysis:
     tags: Sequence[str]
     label: str
     options: Options = field(default_factory=Options)
-    all_results: DataFrame | None = None
-    frames: DataFrame | None = None
+    all_results: Table | None = None
+    frames: Table | None = None
     made: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -95,7 +97,7 @@ class Analysis:
 
 
 def of_trace(
-    trace: Trace, tags: Sequence[str], label: str, results: DataFrame | None = None, frames: DataFrame | None = None
+    trace: Trace, tags: Sequence[str], label: str, results: Table | None = None, frames: Table | None = None
 ) -> Analysis:
     """An analysis that computes what it needs from a trace."""
 
@@ -110,7 +112,7 @@ def of_trace(
 
 def of_store(
     spark: SparkSession, path: str, runs: DataFrame, tags: Sequence[str], label: str, options: Options | None = None,
-    results: DataFrame | None = None, frames: DataFrame | None = None,
+    results: Table | None = None, frames: Table | None = None,
 ) -> Analysis:
     """An analysis of datasets written by ``run_metrics``."""
 
@@ -135,7 +137,7 @@ def mean_of_seconds(column: str, out: str) -> Column:
 def _results(ana: Analysis) -> DataFrame:
     if ana.all_results is None:
         raise MissingRuns("no benchmark results were given")
-    scaled = ana.all_results.drop("scaled from(%)").withColumn("tag", run_tag("wa_path"))
+    scaled = ana.all_results().drop("scaled from(%)").withColumn("tag", run_tag("wa_path"))
     return scaled.filter("value is null or value != 0")
 
 
@@ -150,7 +152,7 @@ def results_perf(ana):
 def jankbench(ana):
     if ana.frames is None:
         raise MissingRuns("no frame table was given")
-    return ana.frames.withColumn("tag", run_tag("wa_path"))
+    return ana.frames().withColumn("tag", run_tag("wa_path"))
 
 
 def _durations(ana):
