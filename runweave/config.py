@@ -68,7 +68,8 @@ class Options:
     (cluster, state, power); both empty means that no energy model is known.
 
     Ordered work on inputs above ``slice_above_bytes`` is cut into time slices of about
-    ``rows_per_slice`` rows of an iteration, so no task gets a whole hot group.
+    ``rows_per_slice`` rows of an iteration, so no task gets a whole hot group. Distributions of
+    inputs above ``count_above_bytes`` are found from sliced counts per value.
     """
 
     clusters: Mapping[str, tuple[int, ...]] = field(default_factory=lambda: dict(CLUSTERS))
@@ -82,6 +83,7 @@ class Options:
     allow_missing: bool = False
     slice_above_bytes: int = 256 * 1024 * 1024
     rows_per_slice: int = 2_000_000
+    count_above_bytes: int = 8 * 1024 * 1024
 
     def overridden(self, values: Mapping) -> Options:
         """A copy with some settings replaced; an unknown name is an error."""

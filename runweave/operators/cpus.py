@@ -25,8 +25,10 @@ def idle_steps(trace: Trace) -> DataFrame:
     changes = trace.follow(
         idle_events(trace).filter(F.col("cluster").isNotNull()), ["cpu"], behind={"before": "state"}
     )
-    return changes.withColumn("before", F.coalesce("before", F.lit(AWAKE).cast("long"))).filter(
-        F.col("before") != F.col("state")
+    return trace.staged(
+        changes.withColumn("before", F.coalesce("before", F.lit(AWAKE).cast("long"))).filter(
+            F.col("before") != F.col("state")
+        )
     )
 
 
@@ -154,7 +156,7 @@ def energy_estimate(trace: Trace) -> DataFrame:
     changes = power_spans(trace).groupBy(*RUN_KEYS, "t_ns").agg(
         *[F.max(F.when(F.col("cpu") == cpu, F.col("power"))).alias(f"set_{cpu}") for cpu in cpus]
     )
-    held = trace.follow(changes, [], ["t_ns"], fill={f"cpu{cpu}": f"set_{cpu}" for cpu in cpus})
+    held = trace.follow(trace.staged(changes), [], ["t_ns"], fill={f"cpu{cpu}": f"set_{cpu}" for cpu in cpus})
     return held.select(
         *RUN_KEYS, "t_ns", *[f"cpu{cpu}" for cpu in cpus],
         *[

@@ -29,6 +29,29 @@ def needs_slices(df: DataFrame, limit: int) -> bool:
     return size is None or size > limit
 
 
+def cut_by(df: DataFrame, place: Column, limit: int, name: str = "piece") -> tuple[DataFrame, str | None]:
+    """``df`` with the slice column ``place`` when it reads more than ``limit`` bytes, and that column's name."""
+    if not needs_slices(df, limit):
+        return df, None
+    return df.withColumn(name, place), name
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the cluster's checkpoint folder, for steps that read it twice.
+
+    The folder is shared, so the rows outlive a lost executor. Where the session names none, ``df``
+    stays as it is and is computed again when needed.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def follow(
     df: DataFrame,
     keys: Sequence[str],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +70,24 @@ def names_by_pid(trace: Trace) -> DataFrame:
 
 def only_important(trace: Trace, df: DataFrame) -> DataFrame:
     """Rows of the tasks listed for the workload of their run."""
-    labels = trace.options.important_tasks
+    lists = trace.options.important_tasks
     wanted = F.lit(False)
-    for label, comms in labels.items():
+    for label, comms in lists.items():
         wanted = wanted | ((F.col("label") == label) & F.col("comm").isin(list(comms)))
-    return trace.with_run(df, "label").filter(wanted).drop("label")
+    # The names of all lists first: unlike the look at the label, this reaches the scan.
+    listed = df.filter(F.col("comm").isin(sorted({c for comms in lists.values() for c in comms})))
+    return trace.with_run(listed, "label").filter(wanted).drop("label")
+
+
+Keep = Callable[[Trace, DataFrame], DataFrame]
+
+
+def all_tasks(trace: Trace, df: DataFrame) -> DataFrame:
+    return df
 
 
-def wakeup_latency(trace: Trace) -> DataFrame:
-    """Time from each wakeup of a task to its next switch-in.
+def wakeup_latency(trace: Trace, keep: Keep = all_tasks) -> DataFrame:
+    """Time from each wakeup of a task to its next switch-in, for the tasks that ``keep`` leaves.
 
     Wakeups and switch-ins of a pid are put in one order; a wakeup counts when the next row is a
     switch-in, so of several wakeups only the last does, and one that is never followed gives no row.
@@ -84,10 +95,10 @@ def wakeup_latency(trace: Trace) -> DataFrame:
     wakeups = trace.event("sched_wakeup")
     if trace.has("sched_wakeup_new"):
         wakeups = wakeups.unionByName(trace.event("sched_wakeup_new"), allowMissingColumns=True)
-    woken = wakeups.select(
+    woken = keep(trace, wakeups).select(
         *RUN_KEYS, "t_ns", "seq", F.lit(0).alias("kind"), "pid", "comm", F.col("target_cpu").alias("cpu")
     )
-    ran = switch_ins(trace).select(
+    ran = keep(trace, switch_ins(trace)).select(
         *RUN_KEYS, "t_ns", "seq", F.lit(1).alias("kind"), "pid", F.lit(None).cast("string").alias("comm"), "cpu"
     )
     rows = trace.follow(
@@ -106,14 +117,17 @@ def mean_latency() -> Column:
     return (seconds(F.sum("latency_ns")) / F.count("latency_ns")).alias("wakeup_latency")
 
 
-def activations(trace: Trace) -> DataFrame:
+def activations(trace: Trace, keep: Keep = all_tasks) -> DataFrame:
     """Alternating rows of a task: ``active`` 1 while it runs, 0 while it waits for its next run.
 
     ``duration`` is the length of the row; ``duty_cycle`` of a run is its share of the time up to
     the task's next run and is null for the last one. The last wait lasts to the end of the
     iteration. A wait of no length gives no row.
     """
-    runs = trace.follow(switch_intervals(trace), ["pid"], ahead={"next_ns": "t_ns"})
+    intervals = keep(trace, switch_intervals(trace))
+    if "switch_intervals" not in trace.prepared:
+        intervals = trace.staged(intervals)
+    runs = trace.follow(intervals, ["pid"], ahead={"next_ns": "t_ns"})
     runs = trace.with_window(runs, "end_ns")
     active = F.col("t_end_ns") - F.col("t_ns")
     waits_to = F.coalesce("next_ns", "end_ns")

@@ -276,7 +276,7 @@ def step_price_quantiles(spark, sf_dir):
     lines = adapter.read(spark, sf_dir, "lineitem")
     found = distribution.quantiles(
         lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", datasets.QUANTILES,
-        adapter.OPTIONS.slice_above_bytes,
+        adapter.OPTIONS.count_above_bytes,
     )
     return rounded(found, EXACT_DIGITS, "l_extendedprice")
 

@@ -12,6 +12,7 @@ from runweave.config import Options
 from runweave.functions.stats import STATISTICS, Statistic, statistics
 from runweave.functions.text import SIGNIFICANT, human_number, marked_change, percent, tag_order
 from runweave.operators.distribution import two_sample_test
+from runweave.operators.ordered import needs_slices, staged
 
 log = logging.getLogger(__name__)
 
@@ -46,6 +47,8 @@ def compare_runs(
         log.error("percentage differences need two runs or more")
         percentage = False
 
+    if percentage and needs_slices(df, options.slice_above_bytes):
+        df = staged(df.select("tag", *facets, value))
     made = statistics(value, STATISTICS | (stats or {}))
     table = df.groupBy("tag", *facets).agg(F.count(value).alias("n"), *made)
     if percentage:
@@ -53,7 +56,7 @@ def compare_runs(
         facet = Window.partitionBy(*facets)
         reference = F.max(F.when(F.col("tag") == tags[0], F.col("gmean"))).over(facet)
         table = table.withColumn("perc_diff", (F.try_divide("gmean", reference) - 1) * 100)
-        tests = two_sample_test(df, facets, value, tags, options.slice_above_bytes)
+        tests = two_sample_test(df, facets, value, tags, options.count_above_bytes)
         matched = [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ["tag", *facets]]
         table = table.alias("c").join(tests.alias("t"), matched, "left").select("c.*", "t.ks_d", "t.ks_p")
 

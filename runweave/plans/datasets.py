@@ -13,7 +13,7 @@ from runweave.config import Options
 from runweave.errors import MissingEvent, MissingRuns, RunweaveError
 from runweave.functions.text import UNKNOWN, miss_type, perf_name, run_tag, tag_order
 from runweave.operators.distribution import quantiles, signal_mean
-from runweave.operators.ordered import follow, needs_slices
+from runweave.operators.ordered import cut_by, follow
 from runweave.operators.reshape import melt, roll_up_channels
 from runweave.plans import metrics
 from runweave.trace import NS, Trace
@@ -76,7 +76,7 @@ class Analysis:
 
     @property
     def limit(self) -> int:
-        return self.options.slice_above_bytes
+        return self.options.count_above_bytes
 
     @property
     def cluster_names_total(self) -> list[str]:
@@ -186,12 +186,10 @@ def adpf(ana):
     """Report rows with their number in the run, from 0, in order of iteration and time."""
 
     def numbered(df):
-        cut = None
-        if needs_slices(df, ana.limit):
-            cut = "part"
-            df = df.withColumn(cut, F.struct("iteration", F.floor(F.col("time") / 10).alias("at")))
-        rows = follow(df, ["wa_path"], ["iteration", "time"], slice_col=cut, number="row")
-        return rows.withColumn("ts", F.col("row") - 1).drop("row", "part")
+        place = F.struct("iteration", F.floor(F.col("time") / 10).alias("at"))
+        df, part = cut_by(df, place, ana.options.slice_above_bytes)
+        rows = follow(df, ["wa_path"], ["iteration", "time"], slice_col=part, number="row")
+        return rows.withColumn("ts", F.col("row") - 1).drop("row", "piece")
 
     return ana.load("adpf", preprocess=numbered)
 

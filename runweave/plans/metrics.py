@@ -143,7 +143,7 @@ def fps(trace):
 
 
 def _latency(trace):
-    return tasks.only_important(trace, tasks.wakeup_latency(trace))
+    return tasks.wakeup_latency(trace, keep=tasks.only_important)
 
 
 def wakeup_latency(trace):
@@ -158,7 +158,7 @@ def wakeup_latency_mean(trace):
 
 
 def _activations(trace):
-    return tasks.only_important(trace, tasks.activations(trace))
+    return tasks.activations(trace, keep=tasks.only_important)
 
 
 def task_activations(trace):
@@ -273,6 +273,12 @@ METRICS: dict[str, tuple[Dataset, ...]] = {
 }
 DATASETS: dict[str, Dataset] = {make.__name__: make for made in METRICS.values() for make in made}
 
+# Datasets that only filter and project what a scan reads.
+STRAIGHT = (
+    "cpu_idle", "cpu_idle_miss", "freqs", "sched_pelt_cfs", "sched_pelt_cfs_root", "capacity", "adpf", "thermal",
+    "cgroup_attach_task",
+)
+
 NEEDS_TASK_LIST = ("wakeup-latency", "tasks-activations")
 USE_INTERVALS = ("tasks-activations", "tasks-residency", "tasks-residency-cgroup")
 
@@ -299,17 +305,15 @@ def run_metrics(
     unknown = [m for m in wanted if m not in METRICS]
     if unknown:
         raise RunweaveError(f"unknown metrics: {', '.join(unknown)}")
-    if stage and trace.has("sched_switch") and len([m for m in wanted if m in USE_INTERVALS]) > 1:
-        write_table(tasks.switch_intervals(trace), f"{stage}/switch_intervals")
-        prepared = {**trace.prepared, "switch_intervals": read_table(trace.spark, f"{stage}/switch_intervals")}
-        trace = replace(trace, prepared=prepared)
+    if stage:
+        trace = _prepared(trace, stage, len([m for m in wanted if m in USE_INTERVALS]) > 1)
     failed = {}
     for metric in wanted:
         try:
             if metric in NEEDS_TASK_LIST:
                 _require_task_lists(trace)
             for make in METRICS[metric]:
-                write_dataset(make(trace), path, make.__name__)
+                write_dataset(make(trace), path, make.__name__, gather=make.__name__ not in STRAIGHT)
                 if read_table(trace.spark, f"{path}/{make.__name__}").isEmpty():
                     raise EmptyMetric(f"{make.__name__} has no row for any iteration")
         except RunweaveError as error:
@@ -318,6 +322,19 @@ def run_metrics(
     return failed
 
 
+def _prepared(trace: Trace, stage: str, intervals: bool) -> Trace:
+    """The trace with its windows, and the switch intervals if asked, written out once."""
+
+    def kept(trace, name, df):
+        write_table(df, f"{stage}/{name}")
+        return replace(trace, prepared={**trace.prepared, name: read_table(trace.spark, f"{stage}/{name}")})
+
+    trace = kept(trace, "windows", trace.windows)
+    if intervals and trace.has("sched_switch"):
+        trace = kept(trace, "switch_intervals", tasks.switch_intervals(trace))
+    return trace
+
+
 def _require_task_lists(trace: Trace) -> None:
     """Runs of workloads without a task list give no rows; an error when no run has one."""
     known = list(trace.options.important_tasks)

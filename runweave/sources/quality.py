@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.operators.ordered import follow
+from runweave.config import Options
+from runweave.operators.ordered import cut_by, follow
 from runweave.sources.scan import Runs, scan_event
 from runweave.sources.schema import EVENT_FIELDS, EXPECTED_EVENTS
 from runweave.trace import RUN_KEYS, Trace
@@ -36,13 +37,11 @@ def unread_files(runs: Runs, trace: Trace) -> DataFrame:
     return listed.join(read, [*RUN_KEYS, "event"], "left_anti")
 
 
-def time_checks(df: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+def time_checks(df: DataFrame, options: Options | None = None) -> DataFrame:
     """Per iteration: first and last time, rows without a time, rows earlier than the row before them."""
-    cut = None
-    if rows_per_slice:
-        cut = "part"
-        df = df.withColumn(cut, F.floor(F.col("seq") / rows_per_slice))
-    rows = follow(df, RUN_KEYS, ["seq"], slice_col=cut, behind={"was_ns": "t_ns"})
+    options = options or Options()
+    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice), options.slice_above_bytes)
+    rows = follow(cut, RUN_KEYS, ["seq"], slice_col=part, behind={"was_ns": "t_ns"})
     return rows.groupBy(*RUN_KEYS).agg(
         F.min("t_ns").alias("start_ns"), F.max("t_ns").alias("end_ns"),
         F.count_if(F.col("t_ns").isNull()).alias("without_time"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from runweave.config import Options, local_table
 from runweave.errors import MissingRuns
 from runweave.functions.text import UNKNOWN, event_name, run_tag
-from runweave.operators.ordered import follow
+from runweave.operators.ordered import cut_by, follow
 from runweave.sources.schema import EVENT_FIELDS, HEADER, PROJECTIONS, RENAMED, SIDE_FILES
 from runweave.sources.sink import read_table
 from runweave.trace import RUN_KEYS, Tables, Trace
@@ -145,17 +145,12 @@ def with_events_at(trace: Trace, path: str) -> Trace:
     return replace(trace, tables=Tables(makers))
 
 
-def unique_times(df: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
-    """Events of one instant get one ns more each, in file order, so times are unique.
-
-    ``rows_per_slice`` splits an instant that holds very many rows.
-    """
-    cut = None
-    if rows_per_slice:
-        cut = "part"
-        df = df.withColumn(cut, F.floor(F.col("seq") / rows_per_slice))
-    numbered = follow(df, [*RUN_KEYS, "t_ns"], ["seq"], slice_col=cut, number="nth")
-    return numbered.withColumn("t_ns", F.col("t_ns") + F.col("nth") - 1).drop("nth", "part")
+def unique_times(df: DataFrame, options: Options | None = None) -> DataFrame:
+    """Events of one instant get one ns more each, in file order, so times are unique."""
+    options = options or Options()
+    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice), options.slice_above_bytes)
+    numbered = follow(cut, [*RUN_KEYS, "t_ns"], ["seq"], slice_col=part, number="nth")
+    return numbered.withColumn("t_ns", F.col("t_ns") + F.col("nth") - 1).drop("nth", "piece")
 
 
 def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

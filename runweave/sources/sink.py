@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_dataset(df: DataFrame, path: str, name: str) -> None:
-    """Write a dataset of one or more runs; a rerun replaces the runs it holds and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wa_path").parquet(
+def write_dataset(df: DataFrame, path: str, name: str, gather: bool = True) -> None:
+    """Write a dataset of one or more runs; a rerun replaces the runs it holds and leaves the others.
+
+    ``gather`` brings a run's rows together in files of even size, large runs in several. Leave it
+    out for rows straight from a scan: their splits hold one run each already.
+    """
+    rows = df.hint("rebalance", "wa_path") if gather else df
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wa_path").parquet(
         f"{path}/{name}"
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import follow, needs_slices
+from runweave.operators.ordered import follow, needs_slices, staged
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
@@ -73,6 +73,8 @@ class Trace:
     @cached_property
     def windows(self) -> DataFrame:
         """First and last time of each iteration over all of its events, and how many there are."""
+        if "windows" in self.prepared:
+            return self.prepared["windows"]
         if self.clock is not None:
             times = self.clock.select(*RUN_KEYS, "t_ns")
         else:
@@ -116,6 +118,10 @@ class Trace:
         cut = cut.withColumn(SLICE, F.floor(place / width).cast("long")).drop("start_ns", "end_ns", "events")
         return follow(cut, group, order, slice_col=SLICE, **asks).drop(SLICE)
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """An ordered step that another ordered step builds on: kept once when the input is large."""
+        return staged(df) if self.sliced else df
+
     def spans(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_ns", "seq"), **asks
     ) -> DataFrame:

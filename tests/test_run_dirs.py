@@ -193,7 +193,9 @@ def test_quality(spark, runs, trace):
 def test_unique_times(trace):
     frequency = scan.unique_times(trace.event("cpu_frequency"))
     assert sorted(r.t_ns for r in rows(frequency)) == [10 * 10**9, 10 * 10**9 + 1, 12 * 10**9, 13 * 10**9]
-    again = scan.unique_times(trace.event("cpu_frequency"), rows_per_slice=1)
+    again = scan.unique_times(
+        trace.event("cpu_frequency"), Options().overridden({"slice_above_bytes": 0, "rows_per_slice": 1})
+    )
     assert sorted(r.t_ns for r in rows(again)) == sorted(r.t_ns for r in rows(frequency))
 
 

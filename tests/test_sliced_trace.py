@@ -7,7 +7,7 @@ from runweave.plans import adapter, metrics, views
 from tests.side_by_side import difference
 
 SF = "/root/testdata/sf0.001"
-SLICED = adapter.OPTIONS.overridden({"slice_above_bytes": 0, "rows_per_slice": 7})
+SLICED = adapter.OPTIONS.overridden({"slice_above_bytes": 0, "rows_per_slice": 7, "count_above_bytes": 0})
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,16 @@ ACROSS = [
 ]
 
 
+@pytest.mark.parametrize("name", ("idle_residency", "freqs_residency", "energy_estimate", "task_activations"))
+def test_steps_kept_in_the_checkpoint_folder(spark, skewed_dir, tmp_path, name):
+    make = metrics.DATASETS[name]
+    want = make(adapter.trace(spark, skewed_dir)).toPandas()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    got = make(adapter.trace(spark, skewed_dir, SLICED))
+    assert any(tmp_path.rglob("part-*"))
+    assert difference(got.toPandas().round(9), want.round(9)) is None
+
+
 @pytest.mark.parametrize("view,args", ACROSS, ids=[v.__name__ for v, _ in ACROSS])
 def test_view(spark, skewed_dir, view, args):
     plain = view(adapter.analysis(spark, skewed_dir), *args)
