@@ -51,7 +51,8 @@ def quantiles(
         return found.filter("found is not null").select(*keys, F.inline(pairs).alias("quantile", value))
     counted, slice_col = value_counts(df, keys, value, limit)
     ranked = follow(
-        counted, keys, [value], slice_col=slice_col, total={"upto": "count"}, whole={"rows": "count"}
+        counted, keys, [value], slice_col=slice_col, nullable_keys=True,
+        total={"upto": "count"}, whole={"rows": "count"},
     )
     at_rank = F.col("quantile") * (F.col("rows") - 1)
     ranked = ranked.withColumn("quantile", F.explode(F.array(*[F.lit(q) for q in points])))
@@ -89,7 +90,10 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40) ->
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
     """Share of the values of a key that are at most each distinct value."""
     counted, slice_col = value_counts(df, keys, value, limit)
-    upto = follow(counted, keys, [value], slice_col=slice_col, total={"upto": "count"}, whole={"rows": "count"})
+    upto = follow(
+        counted, keys, [value], slice_col=slice_col, nullable_keys=True,
+        total={"upto": "count"}, whole={"rows": "count"},
+    )
     return upto.select(*keys, value, (F.col("upto") / F.col("rows")).alias("ecdf"))
 
 
@@ -112,7 +116,7 @@ def two_sample_test(
         F.sum("base").alias("base"), F.sum(1 - F.col("base")).alias("own"),
     )
     run = follow(
-        counted, [*facets, "tag"], [value], slice_col=slice_col,
+        counted, [*facets, "tag"], [value], slice_col=slice_col, nullable_keys=True,
         total={"base_upto": "base", "own_upto": "own"}, whole={"m": "base", "n": "own"},
     )
     gap = F.abs(F.col("own_upto") * F.col("m") - F.col("base_upto") * F.col("n"))

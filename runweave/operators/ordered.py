@@ -65,6 +65,7 @@ def follow(
     first: Mapping[str, str | Column] | None = None,
     whole: Mapping[str, str | Column] | None = None,
     number: str | None = None,
+    nullable_keys: bool = False,
 ) -> DataFrame:
     """``df`` with columns that look along the rows of each group ``keys`` in ``order`` (ascending).
 
@@ -72,6 +73,8 @@ def follow(
     null, up to the row itself. ``total``: running sum, the row included. ``first``: value in the
     group's first row. ``whole``: sum over the group. ``number``: 1-based row number.
     ``order`` must be total within a group. Pieces of ``slice_col`` must ascend with ``order``.
+    Keys that may be null need ``nullable_keys`` when sliced: they are then matched as one struct,
+    in which nulls are equal.
     """
     asks = {
         name: {out: F.col(c) if isinstance(c, str) else c for out, c in (given or {}).items()}
@@ -81,6 +84,9 @@ def follow(
     }
     if slice_col is None:
         return _plain(df, list(keys), list(order), asks, number)
+    if nullable_keys:
+        grouped = df.withColumn("_group", F.struct(*keys))
+        return _sliced(grouped, ["_group"], list(order), slice_col, asks, number).drop("_group")
     return _sliced(df, list(keys), list(order), slice_col, asks, number)
 
 

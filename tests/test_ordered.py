@@ -37,6 +37,15 @@ def test_slices_do_not_change_results(rows, width):
     assert collected(sliced) == collected(plain)
 
 
+def test_null_keys(spark):
+    data = [(None, t, t, t, 1) for t in range(20)] + [("a", t, t, None, 2) for t in range(20)]
+    rows = spark.createDataFrame(data, "key string, t long, seq long, v long, n long")
+    plain = follow(rows, ["key"], ["t", "seq"], **ASKS)
+    cut = rows.withColumn("piece", F.floor(F.col("t") / 6))
+    sliced = follow(cut, ["key"], ["t", "seq"], slice_col="piece", nullable_keys=True, **ASKS).drop("piece")
+    assert collected(sliced) == collected(plain)
+
+
 def test_against_pandas(rows):
     pdf = rows.toPandas().sort_values(["key", "t", "seq"])
     g = pdf.groupby("key")

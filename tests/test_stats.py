@@ -56,6 +56,14 @@ def test_two_sample_test(spark, a, b):
     assert got.ks_p == pytest.approx(p, abs=1e-12)
 
 
+def test_two_sample_test_of_a_null_facet(spark):
+    rows = [(t, None, float(v)) for t, vs in (("base", range(6)), ("new", range(3, 9))) for v in vs]
+    df = spark.createDataFrame(rows, "tag string, facet string, v double")
+    for limit in (0, 10**12):
+        got = two_sample_test(df, ["facet"], "v", ["base", "new"], limit).collect()
+        assert [(r.facet, r.tag, r.ks_d) for r in got] == [(None, "new", 0.5)]
+
+
 def test_p_of_larger_samples(spark):
     # the limiting distribution is near the exact one where both apply, and is used beyond it
     df = spark.createDataFrame([(16_000, 400, 400), (22_500, 500, 500), (27_500, 550, 550)], "gap long, n long, m long")
