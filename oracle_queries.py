@@ -636,8 +636,11 @@ STEPS = {
         SELECT {KEYS}, seq, CASE WHEN cents % 10 <> 0 THEN t_ns + whole * {HOUR_NS} END AS t FROM ev)) GROUP BY {KEYS}""",
     "missing_events": f"""
       SELECT {KEYS}, event FROM win, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'logout']) AS event)
-      EXCEPT SELECT {KEYS}, type FROM ev WHERE cents % 97 = 0""",
+      EXCEPT SELECT {KEYS}, type FROM ev WHERE whole > 150""",
     "missing_iterations": f"SELECT {KEYS} FROM win EXCEPT SELECT {KEYS} FROM ev WHERE whole > 300",
+    "missing_tasks": f"""
+      SELECT {KEYS}, comm FROM win, (SELECT comm FROM main_tasks UNION ALL SELECT 'decon0_kthread')
+      EXCEPT SELECT {KEYS}, comm FROM sw""",
     "human_labels": f"""
       SELECT o_orderkey, {_human_printed('o_totalprice')} AS plain, {_human_printed('(o_totalprice * 1000)')} AS large,
         {_human_printed('(o_custkey / 1e6)')} AS small, {_SIGNED} AS change,

@@ -212,9 +212,9 @@ def step_time_checks(spark, sf_dir):
 
 
 def step_missing_events(spark, sf_dir):
-    """Kinds of events of every iteration that a day of it lacks, and one that none has."""
+    """Kinds of events an iteration has none of with a large value, and one that none has at all."""
     trace = adapter.trace(spark, sf_dir)
-    found = trace.clock.filter("cents % 97 = 0").select(*RUN_KEYS, F.col("type").alias("event"))
+    found = trace.clock.filter("whole > 150").select(*RUN_KEYS, F.col("type").alias("event"))
     return quality.missing_events(trace.windows, found, ("click", "error", "purchase", "signup", "view", "logout"))
 
 
@@ -223,6 +223,12 @@ def step_missing_iterations(spark, sf_dir):
     return quality.missing_iterations(trace.windows, trace.clock.filter("whole > 300"))
 
 
+def step_missing_tasks(spark, sf_dir):
+    """The task list with a name that is in no run."""
+    longer = {"synth": (*adapter.OPTIONS.tasks_of("synth"), "decon0_kthread")}
+    return quality.missing_tasks(adapter.trace(spark, sf_dir, adapter.OPTIONS.overridden({"important_tasks": longer})))
+
+
 def step_held_mean(trace):
     """Mean frequency per CPU, each value weighted by how long it holds."""
     spans = trace.spans(cpus.frequency_events(trace), ["cpu"]).withColumn("held", F.expr("t_end_ns - t_ns"))
@@ -309,6 +315,7 @@ QUERIES |= {
     "step_time_checks": step_time_checks,
     "step_missing_events": step_missing_events,
     "step_missing_iterations": step_missing_iterations,
+    "step_missing_tasks": step_missing_tasks,
     "step_human_labels": step_human_labels,
     "step_names": step_names,
     "step_price_quantiles": step_price_quantiles,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.operators.ordered import cut_by, follow
+from runweave.operators.tasks import task_names
 from runweave.sources.scan import Runs, scan_event
 from runweave.sources.schema import EVENT_FIELDS, EXPECTED_EVENTS
 from runweave.trace import RUN_KEYS, Trace
@@ -37,6 +38,16 @@ def unread_files(runs: Runs, trace: Trace) -> DataFrame:
     return listed.join(read, [*RUN_KEYS, "event"], "left_anti")
 
 
+def missing_tasks(trace: Trace) -> DataFrame:
+    """Tasks of a workload's list that an iteration of it never ran."""
+    listed = F.lit(None).cast("array<string>")
+    for label, comms in trace.options.important_tasks.items():
+        listed = F.when(F.col("label") == label, F.array(*[F.lit(c) for c in comms])).otherwise(listed)
+    wanted = trace.with_run(trace.windows.select(*RUN_KEYS), "label").select(*RUN_KEYS, F.explode(listed).alias("comm"))
+    seen = task_names(trace).select(*RUN_KEYS, "comm").distinct()
+    return wanted.join(seen, [*RUN_KEYS, "comm"], "left_anti")
+
+
 def time_checks(df: DataFrame, options: Options | None = None) -> DataFrame:
     """Per iteration: first and last time, rows without a time, rows earlier than the row before them."""
     options = options or Options()

@@ -10,7 +10,9 @@ from runweave.functions import text
 from runweave.functions.stats import statistics
 from runweave.operators.distribution import ecdf, histogram, quantiles, two_sample_p, two_sample_test
 from runweave.operators.reshape import roll_up_channels
-from runweave.plans.compare import compare_runs, series, series_order
+from runweave.plans.compare import compare_runs, comparison_order, series, series_order
+from runweave.plans.metrics import sort_by_clusters
+from runweave.trace import Trace
 
 
 def test_gmean_of_zero_negative_equal(spark):
@@ -134,6 +136,21 @@ def test_compare_runs(spark):
     assert {r.top for r in own.filter("tag = 'new'").collect()} == {8.0, 3.0}
 
 
+def test_row_orders(spark):
+    df = spark.createDataFrame(
+        [("w", "k", i, c, 1.0) for i in (2, 1) for c in ("big", "little", "mid")],
+        "wa_path string, kernel string, iteration int, cluster string, v double",
+    )
+    trace = Trace(spark, {}, df.select("wa_path", "kernel").distinct())
+    got = [(r.iteration, r.cluster) for r in sort_by_clusters(trace, df, ["v"]).collect()]
+    assert got == [(i, c) for i in (1, 2) for c in ("little", "mid", "big")]
+    values = df.withColumns({"tag": F.concat(F.lit("t"), F.col("iteration")), "value": F.col("iteration") * 1.0})
+    table = compare_runs(values, ["t2", "t1"], ["cluster"])
+    got = [(r.cluster, r.tag) for r in comparison_order(table, order_cluster=True).collect()]
+    assert got == [(c, t) for c in ("little", "mid", "big") for t in ("t2", "t1")]
+    assert [r.tag for r in comparison_order(table, ["tag", "cluster"]).collect()] == ["t1"] * 3 + ["t2"] * 3
+
+
 def test_series_in_run_order(spark):
     df = spark.createDataFrame([("b", 2, 1.0), ("a", 1, 2.0), ("b", 1, 3.0)], "tag string, iteration int, value double")
     got = series_order(series(df, ["b", "a"])).collect()
