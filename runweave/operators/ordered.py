@@ -84,10 +84,13 @@ def follow(
     }
     if slice_col is None:
         return _plain(df, list(keys), list(order), asks, number)
+    # Outputs that are the first order column itself: the first and last of a piece are its min and max.
+    looks = [*(ahead or {}).items(), *(behind or {}).items(), *(first or {}).items()]
+    times = {out for out, c in looks if isinstance(c, str) and c == order[0]}
     if nullable_keys:
         grouped = df.withColumn("_group", F.struct(*keys))
-        return _sliced(grouped, ["_group"], list(order), slice_col, asks, number).drop("_group")
-    return _sliced(df, list(keys), list(order), slice_col, asks, number)
+        return _sliced(grouped, ["_group"], list(order), slice_col, asks, number, times).drop("_group")
+    return _sliced(df, list(keys), list(order), slice_col, asks, number, times)
 
 
 def _plain(df, keys, order, asks, number) -> DataFrame:
@@ -106,17 +109,23 @@ def _plain(df, keys, order, asks, number) -> DataFrame:
     return df.withColumns(new)
 
 
-def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
+def _sliced(df, keys, order, slice_col, asks, number, times) -> DataFrame:
     place = F.struct(*order)
     piece = [*keys, slice_col]
 
+    def at_start(out, c):
+        return F.min(c) if out in times else F.min_by(c, place)
+
+    def at_end(out, c):
+        return F.max(c) if out in times else F.max_by(c, place)
+
     # One row per piece: what neighbouring pieces need to know of it.
     told = {}
-    told |= {f"_{out}": F.min_by(F.struct(c.alias("v")), place) for out, c in asks["ahead"].items()}
-    told |= {f"_{out}": F.max_by(F.struct(c.alias("v")), place) for out, c in asks["behind"].items()}
+    told |= {f"_{out}": at_start(out, c) for out, c in asks["ahead"].items()}
+    told |= {f"_{out}": at_end(out, c) for out, c in asks["behind"].items()}
     told |= {f"_{out}": F.max_by(c, F.when(c.isNotNull(), place)) for out, c in asks["fill"].items()}
     told |= {f"_{out}": F.sum(c) for out, c in (asks["total"] | asks["whole"]).items()}
-    told |= {f"_{out}": F.min_by(F.struct(c.alias("v")), place) for out, c in asks["first"].items()}
+    told |= {f"_{out}": at_start(out, c) for out, c in asks["first"].items()}
     told["_piece_rows"] = F.count(F.lit(1))
     pieces = df.groupBy(*piece).agg(*[c.alias(out) for out, c in told.items()])
 
@@ -149,7 +158,8 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
 
     result = {}
     for out in [*asks["ahead"], *asks["behind"]]:
-        result[out] = F.coalesce(f"_in_{out}", f"_from_{out}")["v"]
+        neighbour = F.col(f"_in_{out}")
+        result[out] = F.when(neighbour.isNotNull(), neighbour["v"]).otherwise(F.col(f"_from_{out}"))
     for out in asks["fill"]:
         result[out] = F.coalesce(f"_in_{out}", f"_from_{out}")
     for out in asks["total"]:
@@ -157,7 +167,7 @@ def _sliced(df, keys, order, slice_col, asks, number) -> DataFrame:
         summed = F.coalesce(f"_in_{out}", F.lit(0)) + F.coalesce(f"_from_{out}", F.lit(0))
         result[out] = F.when(~nothing, summed)
     for out in asks["first"]:
-        result[out] = F.col(f"_from_{out}")["v"]
+        result[out] = F.col(f"_from_{out}")
     for out in asks["whole"]:
         result[out] = F.col(f"_from_{out}")
     if number:

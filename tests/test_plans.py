@@ -43,6 +43,11 @@ def test_sliced_windows_hold_a_slice(spark, name):
     assert any("time_slice" in keys for keys in shuffled)
 
 
+def test_borders_of_intervals_need_no_sort(spark):
+    """What neighbouring slices need of an interval's start is a hash aggregate."""
+    assert "SortAggregate" not in plan(metrics.tasks_residency(adapter.trace(spark, SF, SLICED)))
+
+
 def test_only_small_sides_are_broadcast(spark):
     """Hinted sides are settings, the run list and the windows, all of a known number of rows."""
     hinted = re.compile(r"strategy=broadcast")
