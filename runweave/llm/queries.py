@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe
+from runweave.llm import bpe, decontaminate, oracle
 from runweave.llm.settings import vocabulary
 
 
@@ -17,5 +17,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside 13-word windows of benchmark items."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
