@@ -28,3 +28,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN item_of USING (doc_id)
 """
+
+_HIDDEN = r"<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+_BLOCK = (r"</?(?:html|head|title|body|p|div|br|hr|li|ul|ol|dl|dt|dd|nav|h1|h2|h3|h4|h5|h6|article|section|aside|main"
+          r"|header|footer|table|tr|td|th|pre|blockquote|form)\b[^>]*>")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL["op5_line_dedup"] = rf"""
+WITH page AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(html, '{_HIDDEN}', '', 'gis'), '{_BLOCK}', chr(10), 'gi'), '<[^>]*>', '', 'g') AS text
+  FROM pages),
+total AS (SELECT coalesce(host, '') AS h, count(DISTINCT text) AS pages FROM page WHERE text IS NOT NULL GROUP BY 1),
+line AS (
+  SELECT coalesce(host, '') AS h, text, trim(unnest(list_distinct(string_split(text, chr(10)))), {_BLANK}) AS line FROM page),
+common AS (
+  SELECT h, line FROM line JOIN total USING (h) WHERE line <> '' GROUP BY h, line
+  HAVING count(DISTINCT text) >= 3 AND count(DISTINCT text) > 0.1 * any_value(pages)),
+drops AS (SELECT h, list(line) AS dropped FROM common GROUP BY 1),
+split AS (SELECT page_id, host, coalesce(host, '') AS h, string_split(text, chr(10)) AS lines FROM page),
+kept AS (
+  SELECT page_id, host, lines,
+    CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(dropped, trim(x, {_BLANK}))) END AS kept
+  FROM split LEFT JOIN drops USING (h))
+SELECT page_id, host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(lines), 0) - coalesce(len(kept), 0) AS BIGINT) AS n_dropped,
+  sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
+FROM kept
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, oracle
+from runweave.llm import bpe, decontaminate, lines, oracle
 from runweave.llm.settings import vocabulary
 
 
@@ -22,5 +22,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op10_bpe": op10_bpe}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's lines without those that more than a tenth of its host's pages carry."""
+    return lines.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
