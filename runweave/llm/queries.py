@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, lines, oracle
+from runweave.llm import bpe, decontaminate, lines, minhash, oracle
 from runweave.llm.settings import vocabulary
 
 
@@ -27,5 +27,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
