@@ -9,16 +9,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe
+from runweave.llm import bpe, decontaminate, lines, minhash, toxicity
 from runweave.llm.settings import vocabulary
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the labels learned from are the table's."""
+    return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that more than a tenth of their source's documents carry."""
+    return lines.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: that of the least id."""
+    return minhash.kept_documents(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark passages."""
+    return decontaminate.removed(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
     return bpe.digest(docs, vocabulary())
 
 
-STAGES = [("bpe", encode_decode)]
+STAGES = [
+    ("toxicity", reject_toxic), ("line dedup", drop_boilerplate), ("minhash", drop_near_copies),
+    ("decontamination", drop_contaminated), ("bpe", encode_decode),
+]
 #: learned scores and hashed signatures have no SQL form
 ORACLE_SQL = None
 
@@ -32,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if number == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        out.write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, lines, minhash, oracle
+from runweave.llm import bpe, decontaminate, lines, minhash, oracle, toxicity
 from runweave.llm.settings import vocabulary
 
 
@@ -32,5 +32,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labelled rows that are not held out."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
