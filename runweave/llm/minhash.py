@@ -41,7 +41,7 @@ HASHES = 32
 PIECES = 16
 AGREE = 12
 TASK_SHINGLES = 4_000_000
-TASK_SETS = 6_000
+TASK_SETS = 1_000
 BROADCAST_ROWS = 200_000
 
 _random = np.random.default_rng(20240607)
