@@ -100,7 +100,9 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 def table_ties(sets: DataFrame) -> DataFrame:
     """u, v: every set with the least set of each table in which it is not alone."""
     keys = F.array(*(F.xxhash64(F.lit(a * PIECES + b), F.col(f"p{a}"), F.col(f"p{b}")) for a, b in combinations(range(PIECES), 2)))
-    rows = sets.select("id", F.explode(keys).alias("key"))
+    # many small parts: 120 rows come from each
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.repartition(parts, "id").select("id", F.explode(keys).alias("key"))
     least = rows.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("last")).filter("v < last").select("key", "v")
     return rows.join(least, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
