@@ -56,3 +56,60 @@ SELECT page_id, host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
 FROM kept
 """
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STEP = "CAST(floor(least(40, 40 * ({0}))) AS INT)"
+_RULES = {
+    "symbols": "n_symbols / greatest(1, word_chars)", "dup_lines": "n_dup_lines / greatest(1, n_lines)",
+    "repeats": "n_repeat_words / greatest(1, n_words)", "long_words": "word_chars / (20 * greatest(1, n_words))"}
+_STEPS_OF = ", ".join(f"{_STEP.format(v)} AS {k}" for k, v in _RULES.items())
+
+SQL["op6_quality"] = rf"""
+WITH word AS (SELECT doc_id, lang, text, {_WORDS} AS w FROM documents),
+gram AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM word)),
+again AS (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY 1),
+line AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l, {_BLANK}) <> '' GROUP BY 1),
+stat AS (
+  SELECT doc_id, coalesce(lang, 'none') AS stratum, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(coalesce(text, '')) - len(translate(coalesce(text, ''), '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(line.n - line.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(line.n, 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM word LEFT JOIN line USING (doc_id) LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STEPS_OF} FROM stat),
+known AS (
+  SELECT stratum, rule, step, quality FROM (
+    SELECT stratum, quality, symbols, dup_lines, repeats, long_words FROM judged JOIN labels USING (doc_id)
+    WHERE NOT base_failed AND quality IN (0, 1))
+  UNPIVOT (step FOR rule IN (symbols, dup_lines, repeats, long_words))),
+grid AS (SELECT stratum, rule, unnest(range(1, 41)) AS cut FROM (SELECT DISTINCT stratum, rule FROM known)),
+rate AS (
+  SELECT stratum, rule, cut, sum(quality) AS n, sum(1 - quality) AS m, sum(quality) FILTER (step >= cut) AS k0,
+    sum(1 - quality) FILTER (step >= cut) AS b0 FROM grid JOIN known USING (stratum, rule) GROUP BY ALL),
+term AS (
+  SELECT stratum, rule, cut, n, m, coalesce(k0, 0) AS k, coalesce(b0, 0) AS b, unnest(range(0, CAST(coalesce(k0, 0) + 1 AS BIGINT))) AS i
+  FROM rate WHERE coalesce(k0, 0) <= n * 0.005),
+tail AS (
+  SELECT stratum, rule, cut, n, m, k, b, sum(exp(CASE WHEN n = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln(0.005) + (n - i) * ln(0.995) END)) AS p FROM term GROUP BY ALL),
+safe AS (
+  SELECT *, b / greatest(1, m) - k / greatest(1, n) AS gain FROM tail
+  WHERE p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM known) * 4 * 40)),
+cuts AS (
+  SELECT stratum, rule, cut FROM safe WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cut DESC) = 1),
+wide AS (
+  SELECT stratum, min(cut) FILTER (rule = 'symbols') AS c1, min(cut) FILTER (rule = 'dup_lines') AS c2,
+    min(cut) FILTER (rule = 'repeats') AS c3, min(cut) FILTER (rule = 'long_words') AS c4 FROM cuts GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(symbols >= c1, false) AND NOT coalesce(dup_lines >= c2, false)
+    AND NOT coalesce(repeats >= c3, false) AND NOT coalesce(long_words >= c4, false) AS kept
+FROM judged LEFT JOIN wide USING (stratum)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, lines, minhash, oracle, toxicity
+from runweave.llm import bpe, decontaminate, lines, minhash, oracle, quality, sharding, toxicity
 from runweave.llm.settings import vocabulary
 
 
@@ -37,5 +37,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it after a two-pass shuffle."""
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base statistics and the verdict of cutoffs learned from labels."""
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_sharding": op4_sharding, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
