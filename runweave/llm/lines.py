@@ -48,11 +48,14 @@ def digest_of(line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """_host, _drop: digests of the lines to drop, one row per host that has any. Written to the shared folder."""
     page = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.unhex(F.md5(text.cast("binary"))).alias("page"), text.alias("text")).filter("text is not null")
-    totals = page.groupBy("_host").agg(F.count_distinct("page").alias("pages"))
-    line = page.select("_host", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    line = line.filter(F.trim("line", F.lit(BLANK)) != "").select("_host", "page", digest_of(F.col("line")).alias("line"))
-    seen = line.groupBy("_host", "line").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= least)
-    common = seen.join(totals, "_host").filter(F.col("n") > ratio * F.col("pages"))
+    # one more empty line for each page: the pages that have it are all pages
+    line = page.select("_host", "page", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("text", "\n")))).alias("line"))
+    line = line.select("_host", "page", digest_of(F.col("line")).alias("line"))
+    empty = digest_of(F.lit(""))
+    seen = line.groupBy("_host", "line").agg(F.count_distinct("page").alias("n"))
+    seen = checkpointed(seen.filter((F.col("n") >= least) | (F.col("line") == empty)))
+    totals = seen.filter(F.col("line") == empty).select("_host", F.col("n").alias("pages"))
+    common = seen.filter(F.col("line") != empty).join(totals, "_host").filter((F.col("n") > ratio * F.col("pages")) & (F.col("n") >= least))
     return checkpointed(common.groupBy("_host").agg(F.collect_set("line").alias("_drop")))
 
 
