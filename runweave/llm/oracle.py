@@ -113,3 +113,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND NOT coalesce(repeats >= c3, false) AND NOT coalesce(long_words >= c4, false) AS kept
 FROM judged LEFT JOIN wide USING (stratum)
 """
+
+
+def _pattern(items: list) -> str:
+    """A regular expression over words with a space behind each."""
+    out = []
+    for item in items:
+        if isinstance(item, str):
+            out.append(item.replace(".", r"\.") + " ")
+        elif isinstance(item, tuple):
+            out.append(f"(?:[^ ]+ ){{{item[0]},{item[1]}}}")
+        else:
+            out.append(f"(?:{_pattern(item)})?")
+    return "".join(out)
+
+
+def _license_sql() -> str:
+    from runweave.llm.licenses import BASE, TEMPLATES, parsed
+
+    bases, labels = [], []
+    for phrase, label in BASE.items():
+        w = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(w))
+        bases.append(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM place WHERE {same}")
+    for label, text in TEMPLATES:
+        labels.append(f"SELECT doc_id, '{label}' AS label FROM word WHERE regexp_matches(joined, ' {_pattern(parsed(text))}')")
+    return f"""
+    WITH word AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM (SELECT doc_id, {ALNUM_WORDS.format("text")} AS w FROM documents)),
+    place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word),
+    base AS ({" UNION ALL ".join(bases)}),
+    own AS ({" UNION ALL ".join(labels)}),
+    b AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM base GROUP BY 1),
+    bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY 1),
+    al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s
+      FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM own) GROUP BY 1),
+    t AS (SELECT DISTINCT doc_id, 1 AS x FROM own)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word,
+      CAST(hi AS BIGINT) AS last_word, coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels,
+      CAST(CASE WHEN x = 1 THEN 1 WHEN n > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+    FROM word LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN t USING (doc_id)
+    """
+
+
+SQL["op2_licenses"] = _license_sql()

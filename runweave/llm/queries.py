@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, lines, minhash, oracle, quality, sharding, toxicity
+from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, quality, sharding, toxicity
 from runweave.llm.settings import vocabulary
 
 
@@ -47,5 +47,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places of license names and the license templates it matches."""
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_licenses": op2_licenses, "op4_sharding": op4_sharding, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
