@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, quality, sharding, toxicity
+from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, quality, sharding, suffixes, toxicity
 from runweave.llm.settings import vocabulary
 
 
@@ -52,5 +52,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op4_sharding": op4_sharding, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_minhash": op8_minhash, "op3_decontaminate": op3_decontaminate, "op5_line_dedup": op5_line_dedup, "op10_bpe": op10_bpe}
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that a 100-byte string covers which also starts earlier."""
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op8_minhash, op9_toxicity, op10_bpe)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
