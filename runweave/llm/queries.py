@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, quality, sharding, suffixes, toxicity
+from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, passages, quality, sharding, suffixes, toxicity
 from runweave.llm.settings import vocabulary
 
 
@@ -57,6 +57,11 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 and more words that an earlier document has too, whole or nearly."""
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op8_minhash, op9_toxicity, op10_bpe)}
+    op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op7_passages, op8_minhash, op9_toxicity, op10_bpe)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
