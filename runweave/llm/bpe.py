@@ -15,7 +15,7 @@ chunks. `TextDecoder` is the other direction: bytes go in, text comes out as soo
 malformed bytes become U+FFFD by the usual rule of maximal parts. Pre-tokens (the file's split pattern) that have been
 seen are kept in a table of a fixed number of entries.
 
-Null texts encode as empty ones; other columns are passed on, and a clash with an output column raises an error.
+Null texts encode as empty ones; other columns are passed on, and an output column takes the place of one of its name.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runweave.llm.columns import without
+
 #: fixed values: the split pattern of this kind of vocabulary
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 KNOWN_WORDS = 400_000  # entries of each of two tables of seen pre-tokens; the older one is dropped when the newer is full
@@ -282,9 +284,6 @@ def decode_ids(packed: bytes, path: str) -> str:
 
 
 def _added(df: DataFrame, names: dict[str, str]) -> str:
-    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} {t}" for n, t in names.items())])
 
 
@@ -297,6 +296,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             packed = [encode_text(t.as_py() or "", path) for t in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, ids])
 
+    docs = without(docs, ids)
     return docs.mapInArrow(task, _added(docs, {ids: "binary"}))
 
 
@@ -309,6 +309,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             texts = [decode_ids(v.as_py() or b"", path) for v in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
+    df = without(df, text)
     return df.mapInArrow(task, _added(df, {text: "string"}))
 
 
@@ -325,6 +326,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     [*batch.slice(i, 256).columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
                     names=[*batch.schema.names, "ids", "decoded"])
 
+    docs = without(docs, "ids", "decoded")
     return docs.mapInArrow(task, _added(docs, {"ids": "binary", "decoded": "string"}))
 
 

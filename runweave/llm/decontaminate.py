@@ -14,7 +14,7 @@ broadcast has a fixed bound; every block is one more step over the same rows, in
 
 **Cases.** Null and empty texts have no words and no hits; null or empty items have no windows. Repeated documents
 are judged one by one; items with equal ids count once; an item with a null id is reported as "null". An empty
-benchmark finds nothing. Other columns are passed on; a clash with an output column raises an error.
+benchmark finds nothing. Other columns are passed on; `n_words` and `hits` take the place of columns of those names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runweave.llm import textbytes as tb
+from runweave.llm.columns import set_aside, without
 
 WIDTH = 13
 BLOCK_WORDS = 60_000
@@ -159,8 +160,7 @@ def _runs(block: Block, window, start, exact, owner, firsts) -> dict[int, list[d
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
             item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK_WORDS) -> DataFrame:
     """The columns `keep` of docs (default all), `n_words` and `hits`: item, first word, words, exact or near."""
-    if clash := {"n_words", "hits"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = without(docs, "n_words", "hits")
     spark, keep = docs.sparkSession, docs.columns if keep is None else keep
     found = list(blocks(benchmark, item_id, item_text, limit)) or [_block([], [])]
     out = docs.select(*docs.columns, F.lit(0).cast("bigint").alias("n_words"), F.expr(f"CAST(array() AS {HITS_DDL})").alias("hits"))
@@ -215,5 +215,6 @@ def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFr
 
 def removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    return judged(matches(docs, benchmark)).filter(~F.col("contaminated")).select(*docs.columns)
+    rows, restored = set_aside(docs, "text")
+    return restored(judged(matches(rows, benchmark)).filter(~F.col("contaminated")))
 

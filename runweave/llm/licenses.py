@@ -12,7 +12,7 @@ base phrases are templates without marks and run in the same way.
 **Scale.** One pass over whole texts, no shuffle; what a task holds is a few MB of text and the automata.
 
 **Cases.** Null and empty texts have no words and no labels. Copies, ties and repeated rows are judged one by one. Other
-columns are passed on; a clash with `n_words` or `matches` raises an error.
+columns are passed on; `n_words` and `matches` take the place of columns of those names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runweave.llm import textbytes as tb
+from runweave.llm.columns import without
 
 #: fixed values: names of licenses
 BASE = {
@@ -236,9 +237,7 @@ def scanner() -> Scanner:
 
 def scanned(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default all), `n_words`, and `matches`: label, template (the first ones are BASE), start, words."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"n_words", "matches"} & set(keep):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    keep = without(docs, "n_words", "matches").columns if keep is None else keep
     names = [*keep, "n_words", "matches"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ one row per host and written once; that table is broadcast if it is at most `BRO
 joined by host, where adaptive execution splits a hot host. Texts are never shuffled in the first case.
 
 **Cases.** Lines are compared without surrounding white space; empty lines are never boilerplate and stay. Null texts
-stay null, pages with a null host form one site. Copies and ties are treated alike. Other columns stay as they are;
-a clash with `_host` or `_drop` raises an error.
+stay null, pages with a null host form one site. Copies and ties are treated alike. Other columns stay as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runweave.llm.columns import set_aside
 from runweave.llm.storage import checkpointed
 
 RATIO = 0.1
@@ -60,9 +61,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 
 def split_lines(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """All columns of pages and `lines` (all), `kept` (those that stay); both null where the text is null."""
-    if clash := {"_host", "_drop", "lines", "kept"} & set(pages.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    """Columns of pages (none named `_host`, `_drop`, `lines` or `kept`) and `lines` (all), `kept` (those that stay); both null where the text is null."""
     drop = boilerplate(pages, host, text, ratio, least)
     size = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
     drop = F.broadcast(drop) if size <= BROADCAST_LINES else drop
@@ -73,8 +72,9 @@ def split_lines(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 def deduplicated(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """The columns of docs with boilerplate lines taken out of the text; `n_chars`, where there is one, follows."""
-    out = split_lines(docs, F.col(host), F.col(text), ratio, least)
-    out = out.withColumn(text, F.array_join("kept", "\n")).select(*docs.columns)
+    rows, restored = set_aside(docs, *dict.fromkeys([host, text]))
+    out = split_lines(rows, F.col(host), F.col(text), ratio, least)
+    out = restored(out.withColumn(text, F.array_join("kept", "\n")))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

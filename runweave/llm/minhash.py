@@ -18,7 +18,7 @@ component is its name.
 
 **Cases.** Null and empty texts have an empty set, are linked with nothing and are their own component; so is a row
 with a null id (component_id null). A text of fewer words than five has one shingle. Rows with equal ids are one document
-of that id and get one component. Other columns are kept by `kept_documents`; names may clash with nothing but `_kept`.
+of that id and get one component. Other columns are kept by `kept_documents`, whatever their names.
 """
 
 from __future__ import annotations

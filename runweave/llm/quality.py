@@ -14,7 +14,7 @@ in one join of small rows; counts per step are pre-aggregated, so a hot language
 
 **Cases.** A null text has no words (base_failed). A null language is a stratum of its own. Labels other than 0 and 1 are left out;
 repeated labels of an id count each. An empty labels table gives no cutoffs: the base rules alone decide. Copies get the
-same verdict in the same stratum. Other columns are kept by `judged`; a clash with a statistic's name raises an error.
+same verdict in the same stratum. Other columns are kept by `judged`; a statistic takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runweave.llm.columns import without
 from runweave.llm.storage import checkpointed
 
 RISK, DELTA, STEPS = 0.02, 0.05, 40
@@ -57,8 +58,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed."""
-    if clash := {c.lower() for c in docs.columns} & {*STATISTICS, "_words", "_tri", "_sorted", "_again", "_placed", "_at", "_lines", "_text"}:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = without(docs, *STATISTICS, "_words", "_tri", "_sorted", "_again", "_placed", "_at", "_lines", "_text")
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     trimmed = F.trim("_text", F.lit(BLANK))
     words = F.when(trimmed == "", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -66,10 +66,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(BLANK)) != ""))
     df = _repeat_words(df)
     long = lambda c: c.cast("bigint")
-    without = lambda chars: F.length(F.translate("_text", chars, ""))
+    left = lambda chars: F.length(F.translate("_text", chars, ""))
     df = df.select(
-        *docs.columns, long(F.size("_words")).alias("n_words"), long(without(BLANK)).alias("word_chars"),
-        long(F.length("_text") - without(SYMBOLS)).alias("n_symbols"),
+        *docs.columns, long(F.size("_words")).alias("n_words"), long(left(BLANK)).alias("word_chars"),
+        long(F.length("_text") - left(SYMBOLS)).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"), long(F.size("_lines")).alias("n_lines"),
         "n_repeat_words")
     return df.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))

@@ -12,7 +12,7 @@ sorted within a partition before they are shuffled and rows within a bucket too,
 executor deals the same.
 
 **Cases.** Rows equal in all columns share a bucket and are dealt out like others; null and empty texts have size 1.
-An empty table gives no rows. Column names may clash only with `_bucket`, `_at`, `shard`, `slot`, which raises.
+An empty table gives no rows. `shard` and `slot` take the place of columns of those names (and of `_bucket`, `_at`, `_tie`).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runweave.llm.columns import without
 from runweave.llm.storage import checkpointed
 
 BUCKET_BYTES = 16 << 20
@@ -40,8 +41,7 @@ def hashed(columns: list[str], seed: int) -> F.Column:
 
 def scattered(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """docs with `_bucket`, and a table of buckets: `_bucket`, `_before` (rows in the buckets before it)."""
-    if clash := {c.lower() for c in docs.columns} & set(OWN):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = without(docs, *OWN)
     total = docs.agg(F.sum(text_size(text) + 100)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     plain = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -58,6 +58,7 @@ def scattered(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEE
 
 def dealt(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, text: str = "text") -> DataFrame:
     """The columns of docs, `shard` and `slot`."""
+    docs = without(docs, *OWN)
     rows, starts = scattered(docs, bucket_bytes, seed, text)
     plain = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     held = F.struct(hashed(plain, seed + 1).alias("_tie"), F.struct(*docs.columns).alias("row"))

@@ -16,7 +16,7 @@ computed once per distinct word of a piece of some MB.
 
 **Cases.** Null and empty texts, and texts without words, score 0. If the labelled rows lack a class, all scores are 0.
 Labels other than 0 and 1 and rows with a null id are not learned from. Rows are scored one by one, so copies score
-alike. Other columns are passed on; a clash with an output column raises an error.
+alike. Other columns are passed on; `score` takes the place of one of that name.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runweave.llm import textbytes as tb
+from runweave.llm.columns import set_aside, without
 
 WINDOW, STRIDE = 40, 30
 HIDDEN, WORD, CHARS = 8, 8, 8
@@ -342,9 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def scored(docs: DataFrame, model: bytes | None, text: str = "text", keep: list[str] | None = None, score: str = "score") -> DataFrame:
     """The columns `keep` of docs (default all) and the score of each text."""
-    keep = docs.columns if keep is None else keep
-    if score in docs.columns:
-        raise ValueError(f"column already there: {score}")
+    keep = without(docs, score).columns if keep is None else keep
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -367,4 +366,5 @@ def digest(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs that score below `TOXIC`, with their columns."""
-    return scored(docs, fit(docs, labels, key), score="_toxic").filter(F.col("_toxic") < TOXIC).select(*docs.columns)
+    rows, restored = set_aside(docs, "text")
+    return restored(scored(rows, fit(docs, labels, key)).filter(F.col("score") < TOXIC))
