@@ -504,9 +504,9 @@ def _activation(variable: str) -> str:
 
 VIEWS = {
     "results_line": _line(f"({_SCORES})", "metric"),
-    "results_bar": _compare(_SCORES, ["metric"]),
+    "results_bar": _compare(_SCORES, ["metric", "test_name"]),
     "perf_line": _line(f"({_COUNTED})", "metric"),
-    "perf_bar": _compare(_COUNTED, ["metric"]),
+    "perf_bar": _compare(_COUNTED, ["metric", "test_name"]),
     "jankbench_max_frame_durations": _compare(_from("r_jb_max_frame_duration"), ["variable"]),
     "jankbench_mean_frame_durations_line": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_line('r_jb_mean_frame_duration')})",
     "jankbench_mean_frame_durations_bar": _compare(_from("r_jb_mean_frame_duration"), ["variable"]),
@@ -538,13 +538,14 @@ VIEWS = {
     "sched_pelt_cfs_line": _line("r_sched_pelt_cfs_melt", "cluster, variable"),
     "sched_pelt_cfs_bar": _compare(_from("r_sched_pelt_cfs_melt"), ["cluster", "variable"]),
     "wakeup_latency_line": _line("r_wakeup_latency_mean", "comm"),
-    "wakeup_latency_bar": _compare(_from("r_wakeup_latency_mean"), ["comm"], digits=0, labels=False),
-    "wakeup_latency_quantiles_bar": _compare(_from("r_wakeup_latency_quantiles"), ["comm", "quantile"], "wakeup_latency", 0, labels=False),
+    "idle_residency_bar": "SELECT * FROM r_idle_residency",
+    "wakeup_latency_bar": _compare(_from("r_wakeup_latency_mean"), ["comm"], digits=0),
+    "wakeup_latency_quantiles_bar": _compare(_from("r_wakeup_latency_quantiles"), ["comm", "quantile"], "wakeup_latency", 0),
     "wakeup_latency_execution_cluster_bar": f"SELECT *, {_human('wakeup_latency')} AS label FROM r_wakeup_latency_execution_cluster",
     "wakeup_latency_target_cluster_bar": f"SELECT *, {_human('wakeup_latency')} AS label FROM r_wakeup_latency_target_cluster",
     "wakeup_latency_cgroup_line": _line("r_wakeup_latency_cgroup_mean", "cgroup"),
-    "wakeup_latency_cgroup_bar": _compare(_from("r_wakeup_latency_cgroup_mean"), ["cgroup"], digits=0, labels=False),
-    "wakeup_latency_cgroup_quantiles_bar": _compare(_from("r_wakeup_latency_cgroup_quantiles"), ["cgroup", "quantile"], digits=0, labels=False),
+    "wakeup_latency_cgroup_bar": _compare(_from("r_wakeup_latency_cgroup_mean"), ["cgroup"], digits=0),
+    "wakeup_latency_cgroup_quantiles_bar": _compare(_from("r_wakeup_latency_cgroup_quantiles"), ["cgroup", "quantile"], digits=0),
     "tasks_cpu_residency_cluster_line": _line("r_tasks_residency_cpu_total_cluster_melt", "cluster"),
     "tasks_cpu_residency_cluster_bar": _compare(_from("r_tasks_residency_cpu_total_cluster_melt"), ["cluster"]),
     "tasks_cpu_residency_per_task_bar": _compare(_from("r_tasks_residency_total_cluster_melt"), ["comm", "cluster"]),
@@ -570,13 +571,14 @@ def _cells(view: str, name: str, where: str = "", change: bool = True) -> str:
 
 
 _CELLS = [
-    (0, _cells("results_bar", "metric")),
+    (0, _cells("results_bar", "metric || ' (' || test_name || ')'")),
     (1, _cells("jankbench_mean_frame_durations_bar", "variable")),
     (2, _cells("jankbench_jank_percentage_bar", "variable")),
     (3, _cells("jankbench_max_frame_durations", "variable", change=False)),
     (4, _cells("power_meter_bar", "'CPU_total_power'", "WHERE channel = 'CPU'")),
     (5, "SELECT metric, tag, CAST(percentage AS VARCHAR) || '%' AS value FROM r_overutilized_mean"),
     (6, _cells("thermal_bar", "'thermal (' || cluster || ')'")),
+    (7, _cells("wakeup_latency_bar", "'latency (' || comm || ')'")),
     (8, _cells("tasks_cpu_residency_per_task_bar", "'CPU residency (' || comm || ')'", "WHERE cluster = 'total'")),
 ]
 VIEWS["summary"] = f"""
@@ -607,6 +609,10 @@ def _human_printed(x: str) -> str:
 
 _CHANGE = "(o_custkey / 7 - 100)"
 _SIGNED = f"'(' || CASE WHEN CAST(round(CAST({_CHANGE} AS DECIMAL(30, 12)), 2) AS DOUBLE) > 0 THEN '+' ELSE '' END || {_printed(_CHANGE, 2)} || '%)'"
+#: the limiting distribution, by whichever of its two series converges fast
+_LIMITING = """CASE WHEN lam = 0 THEN 1.0 WHEN lam < 1.18 THEN greatest(0.0, 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 60), lambda k:
+  exp(-pow((2 * k - 1) * pi() / lam, 2) / 8)))) ELSE least(1.0, 2 * list_sum(list_transform(range(1, 60), lambda k:
+  (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2 * k * k * lam * lam)))) END"""
 STEPS = {
     "trace_windows": "SELECT * FROM win",
     "switch_intervals": f"SELECT {KEYS}, t_ns, seq, cpu, pid, comm, t_end_ns FROM iv",
@@ -643,6 +649,7 @@ STEPS = {
       EXCEPT SELECT {KEYS}, comm FROM sw""",
     "human_labels": f"""
       SELECT o_orderkey, {_human_printed('o_totalprice')} AS plain, {_human_printed('(o_totalprice * 1000)')} AS large,
+        {_human_printed('(o_totalprice * -1000)')} AS negative, {_human_printed('(o_totalprice * 1e12)')} AS huge,
         {_human_printed('(o_custkey / 1e6)')} AS small, {_SIGNED} AS change,
         {_human_printed('o_custkey')} || ' ' || CASE WHEN o_orderkey % 10 < 2 THEN '* ' ELSE '' END || {_SIGNED} AS marked FROM orders""",
     "names": """
@@ -655,19 +662,36 @@ STEPS = {
         FROM lineitem GROUP BY l_returnflag, l_linestatus)""",
     "frame_test": f"""
       SELECT variable, 'candidate' AS tag, gap / (n * m) AS ks_d,
-        round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k:
-          (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2 * k * k * lam * lam))))), 9) AS ks_p
+        round({_LIMITING}, 9) AS ks_p
       FROM (SELECT *, sqrt(CAST(n AS DOUBLE) * m / (n + m)) * gap / (CAST(n AS DOUBLE) * m) AS lam FROM (
         SELECT variable, max(abs(own * m - base * n)) AS gap, any_value(n) AS n, any_value(m) AS m FROM (
           SELECT *, sum(o) OVER (ORDER BY value) AS own, sum(b) OVER (ORDER BY value) AS base, sum(o) OVER () AS n, sum(b) OVER () AS m
           FROM (SELECT variable, value, count(*) FILTER (tag = 'candidate') AS o, count(*) FILTER (tag = 'baseline') AS b
             FROM r_jankbench WHERE variable = 'total_duration' GROUP BY ALL)) GROUP BY variable))""",
+    "near_equal_test": f"""
+      SELECT 'price' AS facet, 'more' AS tag, round(gap / (n * m), 9) AS ks_d, round({_LIMITING}, 9) AS ks_p
+      FROM (SELECT *, sqrt(CAST(n AS DOUBLE) * m / (n + m)) * gap / (CAST(n AS DOUBLE) * m) AS lam FROM (
+        SELECT CAST(max(abs(own * m - base * n)) AS DOUBLE) AS gap, any_value(n) AS n, any_value(m) AS m FROM (
+          SELECT sum(o) OVER (ORDER BY value) AS own, sum(b) OVER (ORDER BY value) AS base, sum(o) OVER () AS n, sum(b) OVER () AS m
+          FROM (SELECT l_extendedprice AS value, count(*) AS b,
+              sum(CASE WHEN l_orderkey = (SELECT min(l_orderkey) FROM lineitem) THEN 2 ELSE 1 END) AS o FROM lineitem GROUP BY 1))))""",
+    "null_keys": """
+      SELECT flag, l_linestatus, l_orderkey, line, coalesce(lead(l_orderkey) OVER w, -1) AS next_order, CAST(sum(line) OVER w AS BIGINT) AS upto,
+        CAST(row_number() OVER w AS INTEGER) AS row
+      FROM (SELECT nullif(l_returnflag, 'A') AS flag, l_linestatus, l_orderkey, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)
+      WINDOW w AS (PARTITION BY flag, l_linestatus ORDER BY l_orderkey, line)""",
+    "nan_values": """
+      SELECT l_returnflag, CASE WHEN isnan(v) THEN 'NaN' WHEN isinf(v) THEN CASE WHEN v > 0 THEN 'inf' ELSE '-inf' END
+          ELSE CAST(CAST(v AS BIGINT) AS VARCHAR) END AS v,
+        round(sum(c) OVER (PARTITION BY l_returnflag ORDER BY v) / sum(c) OVER (PARTITION BY l_returnflag), 6) AS ecdf
+      FROM (SELECT l_returnflag, v, count(*) AS c FROM (SELECT l_returnflag,
+        CASE l_linenumber WHEN 7 THEN CAST('NaN' AS DOUBLE) WHEN 6 THEN CAST('inf' AS DOUBLE) WHEN 5 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity END AS v
+        FROM lineitem) GROUP BY ALL)""",
     "value_statistics": """
       SELECT pid, count(*) AS n, round(CASE WHEN min(v) = max(v) THEN min(v) WHEN min(v) = 0 THEN 0 ELSE exp(avg(CASE WHEN v > 0 THEN ln(v) END)) END, 6) AS gmean,
         round(stddev_samp(v), 6) AS std, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem
       FROM (SELECT pid, CAST(whole AS DOUBLE) AS v FROM ev) GROUP BY pid""",
 }
-VIEWS["show"] = f"SELECT wa_path, tag, kernel, {TAG_RANK} AS order_tag FROM runs"
 
 
 def all_queries() -> dict[str, str]:

@@ -67,9 +67,9 @@ class Options:
     ``opp`` rows are (cluster, kHz, capacity, power) and ``idle_power`` rows are
     (cluster, state, power); both empty means that no energy model is known.
 
-    Ordered work on inputs above ``slice_above_bytes`` is cut into time slices of about
-    ``rows_per_slice`` rows of an iteration, so no task gets a whole hot group. Distributions of
-    inputs above ``count_above_bytes`` are found from sliced counts per value.
+    Ordered work is cut into time slices of about ``rows_per_slice`` rows of an iteration, so no
+    task gets a whole hot group. ``sliced=False`` says that every group of every event is small
+    enough for a plain window.
     """
 
     clusters: Mapping[str, tuple[int, ...]] = field(default_factory=lambda: dict(CLUSTERS))
@@ -81,9 +81,8 @@ class Options:
     opp: tuple[tuple[str, int, float, float], ...] = ()
     idle_power: tuple[tuple[str, int, float], ...] = ()
     allow_missing: bool = False
-    slice_above_bytes: int = 256 * 1024 * 1024
+    sliced: bool = True
     rows_per_slice: int = 2_000_000
-    count_above_bytes: int = 8 * 1024 * 1024
 
     def overridden(self, values: Mapping) -> Options:
         """A copy with some settings replaced; an unknown name is an error."""

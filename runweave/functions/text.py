@@ -40,7 +40,7 @@ def task_comm(label: str | Column) -> Column:
 
 
 def perf_name(metric: str | Column) -> Column:
-    return F.substring(_col(metric), PERF_PREFIX + 1, 1_000_000)
+    return F.expr(f"substring({metric}, {PERF_PREFIX + 1})") if isinstance(metric, str) else F.substring(metric, F.lit(PERF_PREFIX + 1), F.length(metric))
 
 
 def miss_type(below: str | Column) -> Column:
@@ -50,18 +50,25 @@ def miss_type(below: str | Column) -> Column:
 
 # The functions below take the text of a numeric expression.
 
+def _text(x: str) -> str:
+    """A double without exponent: its own text, or decimals with at least one place."""
+    decimals = f"try_cast({x} as decimal(38, 12))"
+    trimmed = f"regexp_replace(regexp_replace(cast({decimals} as string), '0+$', ''), '[.]$', '.0')"
+    return f"if(cast({x} as string) like '%E%', coalesce({trimmed}, cast({x} as string)), cast({x} as string))"
+
+
 def _human(x: str) -> str:
     return f"""case
-        when {x} > 1e9D then concat(cast(round({x} / 1e9D, 3) as string), 'B')
-        when {x} > 1e6D then concat(cast(round({x} / 1e6D, 3) as string), 'M')
-        when {x} > 1e4D then concat(cast(round({x} / 1e3D, 2) as string), 'k')
-        when {x} != 0 and abs({x}) < 0.01D then concat(cast(round({x} * 1e6D, 2) as string), 'μ')
-        else cast({x} as string) end"""
+        when {x} > 1e9D then concat({_text(f"round({x} / 1e9D, 3)")}, 'B')
+        when {x} > 1e6D then concat({_text(f"round({x} / 1e6D, 3)")}, 'M')
+        when {x} > 1e4D then concat({_text(f"round({x} / 1e3D, 2)")}, 'k')
+        when {x} != 0 and abs({x}) < 0.01D then concat({_text(f"round({x} * 1e6D, 2)")}, 'μ')
+        else {_text(x)} end"""
 
 
 def _signed(x: str) -> str:
     rounded = f"round(cast({x} as double), 2)"
-    return f"concat('(', if({rounded} > 0, '+', ''), cast({rounded} as string), '%)')"
+    return f"concat('(', if({rounded} > 0, '+', ''), {_text(rounded)}, '%)')"
 
 
 def human_number(x: str) -> Column:
@@ -70,7 +77,7 @@ def human_number(x: str) -> Column:
 
 
 def percent(x: str) -> Column:
-    return F.expr(f"concat(cast(round(cast({x} as double), 2) as string), '%')")
+    return F.expr(f"concat({_text(f'round(cast({x} as double), 2)')}, '%')")
 
 
 def signed_percent(x: str) -> Column:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runweave.operators.ordered import follow, needs_slices, value_slice
+from runweave.operators.ordered import follow, value_slice
 
 SLICE = "value_slice"
-EXACT_CLOSED_FORM = 500
-EXACT_LATTICE = 200
+TERMS = 30  # of the limiting series: either form is exact to all digits where it is used
 
 
 def signal_mean(
@@ -24,50 +23,57 @@ def signal_mean(
     return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value).cast("double") * held), F.sum(held)).alias(value))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, limit: int, *aggregates: Column):
-    """One row per distinct value of a key, and the slice column to order it by when the input is large."""
-    large = needs_slices(df, limit)
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, sliced: bool, *aggregates: Column):
+    """One row per distinct value of a key, and the slice column to order it by."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *(aggregates or [F.count(F.lit(1)).alias("count")])
     )
-    if not large:
+    if not sliced:
         return counted, None
     return counted.withColumn(SLICE, value_slice(value)), SLICE
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], limit: int
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """Exact quantiles per key by linear interpolation, one row per key and quantile.
 
-    Small inputs use the built-in aggregate, which holds a group's distinct values in one task.
-    Larger ones count per value and find the ranks next to each quantile by a sliced running sum.
+    Values are counted, and the counts of their slices summed. The running total of the slices says
+    which of them hold a wanted rank; only the values of those are put in order.
     """
     keys = list(keys)
-    points = [float(q) for q in at]
-    if not needs_slices(df, limit):
-        found = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in points])).alias("found"))
-        pairs = F.arrays_zip(F.array(*[F.lit(q) for q in points]).alias("quantile"), F.col("found").alias(value))
-        return found.filter("found is not null").select(*keys, F.inline(pairs).alias("quantile", value))
-    counted, slice_col = value_counts(df, keys, value, limit)
-    ranked = follow(
-        counted, keys, [value], slice_col=slice_col, nullable_keys=True,
-        total={"upto": "count"}, whole={"rows": "count"},
+    group = F.struct(*keys).alias("_group") if keys else F.lit(0).alias("_group")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("count")
+    ).withColumn("_slice", value_slice("_v"))
+    totals = counted.groupBy("_group", "_slice").agg(F.sum("count").alias("n"))
+    along = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({
+        "before": F.coalesce(F.sum("n").over(along), F.lit(0)), "rows": F.sum("n").over(Window.partitionBy("_group")),
+    })
+    points = F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("quantile")
+    asked = totals.select("_group", "_slice", "before", "n", "rows", points).withColumn(
+        "at_rank", F.col("quantile") * (F.col("rows") - 1)
     )
-    at_rank = F.col("quantile") * (F.col("rows") - 1)
-    ranked = ranked.withColumn("quantile", F.explode(F.array(*[F.lit(q) for q in points])))
 
-    def covers(rank: Column) -> Column:
-        return (rank >= F.col("upto") - F.col("count")) & (rank < F.col("upto"))
+    def covers(rank: Column, first: Column, size: Column) -> Column:
+        return (rank >= first) & (rank < first + size)
+
+    def either(first: Column, size: Column) -> Column:
+        return covers(F.floor("at_rank"), first, size) | covers(F.ceil("at_rank"), first, size)
 
-    near = ranked.filter(covers(F.floor(at_rank)) | covers(F.ceil(at_rank)))
-    ends = near.groupBy(*keys, "quantile").agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.first("rows").alias("rows")
+    asked = asked.filter(either(F.col("before"), F.col("n"))).groupBy("_group", "_slice", "before").agg(
+        F.collect_list(F.struct("quantile", "at_rank")).alias("asks")
     )
-    weight = at_rank - F.floor(at_rank)
-    return ends.select(
-        *keys, "quantile", (F.col("low") + (F.col("high") - F.col("low")) * weight).cast("double").alias(value)
+    inside = Window.partitionBy("_group", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = counted.join(asked, ["_group", "_slice"]).withColumn(
+        "first", F.col("before") + F.coalesce(F.sum("count").over(inside), F.lit(0))
     )
+    near = near.select("_group", "_v", "first", "count", F.inline("asks")).filter(either(F.col("first"), F.col("count")))
+    ends = near.groupBy("_group", "quantile").agg(
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.first("at_rank").alias("at_rank")
+    )
+    weight = F.col("at_rank") - F.floor("at_rank")
+    found = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * weight)
+    return ends.select(*[F.col("_group")[k].alias(k) for k in keys], "quantile", found.cast("double").alias(value))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40) -> DataFrame:
@@ -87,52 +93,61 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40) ->
     return counts.select(*keys, "bin", edge.alias("bin_start"), "count")
 
 
-def ecdf(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
+def ecdf(df: DataFrame, keys: Sequence[str], value: str, sliced: bool = True) -> DataFrame:
     """Share of the values of a key that are at most each distinct value."""
-    counted, slice_col = value_counts(df, keys, value, limit)
-    upto = follow(
-        counted, keys, [value], slice_col=slice_col, nullable_keys=True,
-        total={"upto": "count"}, whole={"rows": "count"},
-    )
+    counted, slice_col = value_counts(df, keys, value, sliced)
+    upto = follow(counted, keys, [value], slice_col=slice_col, total={"upto": "count"}, whole={"rows": "count"})
     return upto.select(*keys, value, (F.col("upto") / F.col("rows")).alias("ecdf"))
 
 
 def two_sample_test(
-    df: DataFrame, facets: Sequence[str], value: str, tags: Sequence[str], limit: int
+    df: DataFrame, facets: Sequence[str], value: str, tags: Sequence[str], *, sliced: bool = True, exact: bool = False
 ) -> DataFrame:
     """Kolmogorov-Smirnov statistic and p-value of each tag's values against the first tag's.
 
-    Values are counted first; the reference tag's rows are repeated for each other tag, and the
-    greatest gap of the two running counts is found in whole numbers.
+    Values are counted first; the reference tag's counts are then repeated for each other tag, and
+    the greatest gap of the two running counts is found in whole numbers. The p-value is that of the
+    limiting distribution at every size, or the exact one if asked: its work grows with the product
+    of the sizes.
     """
     facets = list(facets)
     reference, others = tags[0], list(tags[1:])
+    counted, slice_col = value_counts(df.filter(F.col("tag").isin(list(tags))), [*facets, "tag"], value, sliced)
     arm = F.when(F.col("tag") == reference, F.array(*[F.lit(t) for t in others])).otherwise(F.array("tag"))
-    samples = df.filter(F.col("tag").isin(list(tags))).select(
-        *facets, value, (F.col("tag") == reference).cast("long").alias("base"), F.explode(arm).alias("tag")
-    )
-    counted, slice_col = value_counts(
-        samples, [*facets, "tag"], value, limit,
-        F.sum("base").alias("base"), F.sum(1 - F.col("base")).alias("own"),
-    )
+    base = F.when(F.col("tag") == reference, F.col("count")).otherwise(F.lit(0))
+    counted = counted.select(
+        *facets, value, *([SLICE] if sliced else []), base.alias("base"), (F.col("count") - base).alias("own"),
+        F.explode(arm).alias("tag"),
+    ).groupBy(*facets, "tag", value, *([SLICE] if sliced else [])).agg(F.sum("base").alias("base"), F.sum("own").alias("own"))
     run = follow(
-        counted, [*facets, "tag"], [value], slice_col=slice_col, nullable_keys=True,
+        counted, [*facets, "tag"], [value], slice_col=slice_col,
         total={"base_upto": "base", "own_upto": "own"}, whole={"m": "base", "n": "own"},
     )
-    gap = F.abs(F.col("own_upto") * F.col("m") - F.col("base_upto") * F.col("n"))
+    wide = "decimal(19,0)"
+    gap = F.abs(F.col("own_upto").cast(wide) * F.col("m").cast(wide) - F.col("base_upto").cast(wide) * F.col("n").cast(wide))
     tested = run.groupBy(*facets, "tag").agg(
-        F.max(gap).alias("gap"), F.first("n").alias("n"), F.first("m").alias("m")
+        F.max(gap).cast("double").alias("gap"), F.first("n").alias("n"), F.first("m").alias("m")
     ).filter("n > 0 and m > 0")
-    d = F.col("gap") / (F.col("n") * F.col("m"))
-    return tested.select(*facets, "tag", d.alias("ks_d"), two_sample_p("gap", "n", "m").alias("ks_p"))
+    d = F.col("gap") / (F.col("n").cast("double") * F.col("m"))
+    return tested.select(*facets, "tag", d.alias("ks_d"), two_sample_p("gap", "n", "m", exact).alias("ks_p"))
 
 
-def two_sample_p(gap: str, n: str, m: str) -> Column:
+def two_sample_p(gap: str, n: str, m: str, exact: bool = False) -> Column:
     """P-value for the greatest gap ``gap`` of the cross-multiplied counts of samples of n and m values.
 
-    Equal sizes: alternating sum of ratios of binomials. Unequal small sizes: share of the lattice
-    paths from (0,0) to (n,m) that leave the band. Larger: the limiting distribution.
+    The limiting distribution has two series: one converges fast for large gaps, the other for small
+    ones. Exact, for equal sizes: alternating sum of ratios of binomials. Exact, for unequal ones: share
+    of the lattice paths from (0,0) to (n,m) that leave the band.
     """
+    root = f"(sqrt(cast({n} as double) * {m} / (cast({n} as double) + {m})) * {gap} / (cast({n} as double) * {m}))"
+    limiting = F.expr(f"""
+      least(1D, greatest(0D, if({root} > 1,
+        2 * aggregate(sequence(1, {TERMS}), 0D, (s, k) -> s + if(k % 2 = 1, 1, -1) * exp(-2 * k * k * {root} * {root})),
+        1 - sqrt(2 * pi()) / {root} * aggregate(sequence(1, {TERMS}), 0D,
+          (s, k) -> s + exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * {root} * {root}))))))
+    """)
+    if not exact:
+        return F.when(F.col(gap) == 0, 1.0).otherwise(limiting)
     equal = f"""
       least(1D, greatest(0D, 2 * aggregate(
         sequence(1, greatest(1, cast({n} / ({gap} / {n}) as int))), 0D,
@@ -151,15 +166,6 @@ def two_sample_p(gap: str, n: str, m: str) -> Column:
           (row, j) -> concat(row, array(if(abs(i * {m} - j * {n}) >= {gap}, 0D,
             (above[j] * i + row[j - 1] * j) / (i + j)))))), -1)
     """
-    root = f"sqrt(cast({n} as double) * {m} / ({n} + {m})) * {gap} / (cast({n} as double) * {m})"
-    limiting = f"""
-      least(1D, greatest(0D, 2 * aggregate(sequence(1, 100), 0D,
-        (s, k) -> s + if(k % 2 = 1, 1, -1) * exp(-2 * k * k * ({root}) * ({root})))))
-    """
-    same, one_by_one = F.col(n) == F.col(m), F.greatest(n, m)
     return (
-        F.when(F.col(gap) == 0, 1.0)
-        .when(same & (one_by_one <= EXACT_CLOSED_FORM), F.expr(equal))
-        .when(~same & (one_by_one <= EXACT_LATTICE), F.expr(lattice))
-        .otherwise(F.expr(limiting))
+        F.when(F.col(gap) == 0, 1.0).when(F.col(n) == F.col(m), F.expr(equal)).otherwise(F.expr(lattice))
     )

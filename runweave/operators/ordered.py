@@ -1,10 +1,10 @@
 """Order-dependent columns that never need a whole group in one task.
 
-A plain window puts all rows of its group into one task. That is right for inputs known to be
-small. Above that size the caller passes ``slice_col``: a column that cuts each group into
-consecutive pieces. The windows then run per piece, and what crosses a piece border (the next
-piece's first row, the last known value, the total so far) comes from a table with one row per
-piece, made by a map-side combined aggregation. Results are the same either way.
+A plain window puts all rows of its group into one task. So the caller passes ``slice_col``: a column
+that cuts each group into consecutive pieces. The windows then run per piece, and what crosses a
+piece border (the next piece's first row, the last known value, the total so far) comes from a table
+with one row per piece, made by a map-side combined aggregation. Without ``slice_col`` the plain
+window runs: that is for groups the caller knows to be small. The size of the input decides nothing.
 """
 
 from __future__ import annotations
@@ -15,24 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scan_bytes(df: DataFrame) -> int | None:
-    """Size of everything the plan of ``df`` reads, from file sizes; None when it cannot be told."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
-def needs_slices(df: DataFrame, limit: int) -> bool:
-    size = scan_bytes(df)
-    return size is None or size > limit
-
-
-def cut_by(df: DataFrame, place: Column, limit: int, name: str = "piece") -> tuple[DataFrame, str | None]:
-    """``df`` with the slice column ``place`` when it reads more than ``limit`` bytes, and that column's name."""
-    if not needs_slices(df, limit):
-        return df, None
+def cut_by(df: DataFrame, place: Column, name: str = "piece") -> tuple[DataFrame, str]:
+    """``df`` with the slice column ``place``, and that column's name."""
     return df.withColumn(name, place), name
 
 
@@ -65,7 +49,6 @@ def follow(
     first: Mapping[str, str | Column] | None = None,
     whole: Mapping[str, str | Column] | None = None,
     number: str | None = None,
-    nullable_keys: bool = False,
 ) -> DataFrame:
     """``df`` with columns that look along the rows of each group ``keys`` in ``order`` (ascending).
 
@@ -73,8 +56,8 @@ def follow(
     null, up to the row itself. ``total``: running sum, the row included. ``first``: value in the
     group's first row. ``whole``: sum over the group. ``number``: 1-based row number.
     ``order`` must be total within a group. Pieces of ``slice_col`` must ascend with ``order``.
-    Keys that may be null need ``nullable_keys`` when sliced: they are then matched as one struct,
-    in which nulls are equal.
+    Rows with a null key are a group, as in a window: pieces are matched as one struct of key and
+    piece, in which nulls are equal.
     """
     asks = {
         name: {out: F.col(c) if isinstance(c, str) else c for out, c in (given or {}).items()}
@@ -87,10 +70,9 @@ def follow(
     # Outputs that are the first order column itself: the first and last of a piece are its min and max.
     looks = [*(ahead or {}).items(), *(behind or {}).items(), *(first or {}).items()]
     times = {out for out, c in looks if isinstance(c, str) and c == order[0]}
-    if nullable_keys:
-        grouped = df.withColumn("_group", F.struct(*keys))
-        return _sliced(grouped, ["_group"], list(order), slice_col, asks, number, times).drop("_group")
-    return _sliced(df, list(keys), list(order), slice_col, asks, number, times)
+    place = F.struct(*[F.col(k) for k in keys], F.col(slice_col).alias("_slice_of"))
+    grouped = df.withColumns({"_group": F.struct(*keys), "_piece": place})
+    return _sliced(grouped, list(order), asks, number, times).drop("_group", "_piece")
 
 
 def _plain(df, keys, order, asks, number) -> DataFrame:
@@ -109,9 +91,10 @@ def _plain(df, keys, order, asks, number) -> DataFrame:
     return df.withColumns(new)
 
 
-def _sliced(df, keys, order, slice_col, asks, number, times) -> DataFrame:
+def _sliced(df, order, asks, number, times) -> DataFrame:
+    """``_group`` is the struct of the keys, ``_piece`` that of the keys and the slice."""
     place = F.struct(*order)
-    piece = [*keys, slice_col]
+    piece = ["_piece"]
 
     def at_start(out, c):
         return F.min(c) if out in times else F.min_by(c, place)
@@ -129,9 +112,10 @@ def _sliced(df, keys, order, slice_col, asks, number, times) -> DataFrame:
     told["_piece_rows"] = F.count(F.lit(1))
     pieces = df.groupBy(*piece).agg(*[c.alias(out) for out, c in told.items()])
 
-    across = Window.partitionBy(*keys).orderBy(slice_col)
+    pieces = pieces.withColumn("_group", F.col("_piece").dropFields("_slice_of"))
+    across = Window.partitionBy("_group").orderBy("_piece")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy("_group")
     brought = {}
     brought |= {out: F.lead(f"_{out}").over(across) for out in asks["ahead"]}
     brought |= {out: F.lag(f"_{out}").over(across) for out in asks["behind"]}
@@ -180,7 +164,9 @@ def value_slice(value: str | Column) -> Column:
     """A slice number that ascends with a numeric value, by relative steps of one in ten thousand.
 
     It needs no look at the data: distinct values spread over many pieces whatever their range.
+    Infinities and NaN, the greatest of all as in Spark's order, have pieces of their own.
     """
     value = F.col(value) if isinstance(value, str) else value
     value = value.cast("double")
-    return (F.signum(value) * F.floor(F.log(1 + F.abs(value) * 1e6) * 1e4)).cast("long")
+    ends = F.when(F.isnan(value), F.lit(2**62)).when(value == float("inf"), F.lit(2**61)).when(value == float("-inf"), F.lit(-(2**61)))
+    return ends.otherwise((F.signum(value) * F.floor(F.log(1 + F.abs(value) * 1e6) * 1e4)).cast("long"))

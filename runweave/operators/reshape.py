@@ -15,8 +15,11 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str
 
 
 def by_tag(df: DataFrame, index: str, tags: Sequence[str], value: str = "value") -> DataFrame:
-    """One row per index value and a column per tag, in the order of the runs."""
-    return df.groupBy(index).pivot("tag", list(tags)).agg(F.first(value))
+    """One row per index value and a column per tag, in the order of the runs; two values for a cell are an error."""
+    one = F.when(F.count(value) <= 1, F.first(value, ignorenulls=True)).otherwise(
+        F.raise_error(F.lit(f"by_tag: several values of a {index} for one tag"))
+    )
+    return df.groupBy(index).pivot("tag", list(tags)).agg(one)
 
 
 def roll_up_channels(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

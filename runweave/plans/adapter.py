@@ -37,6 +37,8 @@ OPTIONS = Options().overridden({
         (cluster, state, base / (state + 1)) for cluster, base in (("little", 8.0), ("mid", 12.0), ("big", 24.0))
         for state in range(2)
     ),
+    # small slices, so that the tables at hand are cut as large ones are
+    "rows_per_slice": 500,
 })
 
 # The 37 value columns of an ADPF report besides its time and frame count.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runweave.functions import text
 from runweave.functions.stats import statistics
+from runweave.operators.ordered import follow
 from runweave.operators import cpus, distribution, tasks
 from runweave.plans import adapter, datasets, metrics, summary, views
 from runweave.sources import quality
@@ -55,14 +56,14 @@ def _view(make, *args, inexact=(), **how) -> Query:
     return query
 
 
-def _compared(make, *args, labels=True, **how) -> Query:
-    """A comparison; without rounding of its own, the value is rounded and the labels left out."""
+def _compared(make, *args, exact=True, **how) -> Query:
+    """A comparison; where it does not round the value itself, that is done here (not ``exact``)."""
 
     def query(spark, sf_dir):
         df = make(adapter.analysis(spark, sf_dir), *args, **how)
         inexact = [c for c in ("std", "sem", "perc_diff") if c in df.columns]
-        if not labels:
-            df = rounded(df, EXACT_DIGITS, "value").drop("value_label", "bar_label")
+        if not exact:
+            df = rounded(df, EXACT_DIGITS, "value")
         df = rounded(df, EXACT_DIGITS, *inexact)
         return rounded(df, TEST_DIGITS, "ks_p") if "ks_p" in df.columns else df
 
@@ -154,13 +155,13 @@ QUERIES |= {
     "view_sched_pelt_cfs_line": _view(views.sched_pelt_cfs_line),
     "view_sched_pelt_cfs_bar": _compared(views.sched_pelt_cfs_bar),
     "view_wakeup_latency_line": _view(views.wakeup_latency_line),
-    "view_wakeup_latency_bar": _compared(views.wakeup_latency_bar, labels=False),
-    "view_wakeup_latency_quantiles_bar": _compared(views.wakeup_latency_quantiles_bar, labels=False),
+    "view_wakeup_latency_bar": _compared(views.wakeup_latency_bar, exact=False),
+    "view_wakeup_latency_quantiles_bar": _compared(views.wakeup_latency_quantiles_bar, exact=False),
     "view_wakeup_latency_execution_cluster_bar": _view(views.wakeup_latency_execution_cluster_bar),
     "view_wakeup_latency_target_cluster_bar": _view(views.wakeup_latency_target_cluster_bar),
     "view_wakeup_latency_cgroup_line": _view(views.wakeup_latency_cgroup_line),
-    "view_wakeup_latency_cgroup_bar": _compared(views.wakeup_latency_cgroup_bar, labels=False),
-    "view_wakeup_latency_cgroup_quantiles_bar": _compared(views.wakeup_latency_cgroup_quantiles_bar, labels=False),
+    "view_wakeup_latency_cgroup_bar": _compared(views.wakeup_latency_cgroup_bar, exact=False),
+    "view_wakeup_latency_cgroup_quantiles_bar": _compared(views.wakeup_latency_cgroup_quantiles_bar, exact=False),
     "view_tasks_cpu_residency_cluster_line": _view(views.tasks_cpu_residency_cluster_line),
     "view_tasks_cpu_residency_cluster_bar": _compared(views.tasks_cpu_residency_cluster_bar),
     "view_tasks_cpu_residency_per_task_bar": _compared(views.tasks_cpu_residency_per_task_bar),
@@ -179,9 +180,10 @@ QUERIES |= {
     "view_frame_target_count_line": _view(views.frame_target_count_line, target_fps=adapter.TARGET_FPS),
     "view_frame_target_count_bar": _compared(views.frame_target_count_bar, target_fps=adapter.TARGET_FPS),
     "view_capacity_line": _view(views.capacity_line, iteration=1, cpu=2),
+    "view_idle_residency_bar": _view(views.idle_residency_bar),
     "view_summary": _view(
         summary.summary, ("results", "jb_mean_frame_duration", "jankbench_percs", "jb_max_frame_duration",
-                          "power_usage", "overutilized_mean", "thermal", "tasks_cpu_residency_per_task"),
+                          "power_usage", "overutilized_mean", "thermal", "wakeup_latency", "tasks_cpu_residency_per_task"),
         SCORES,
     ),
 }
@@ -258,7 +260,8 @@ def step_human_labels(spark, sf_dir):
     orders = adapter.read(spark, sf_dir, "orders")
     return orders.select(
         "o_orderkey", text.human_number("o_totalprice").alias("plain"),
-        text.human_number("o_totalprice * 1000").alias("large"), text.human_number("o_custkey / 1e6D").alias("small"),
+        text.human_number("o_totalprice * 1000").alias("large"), text.human_number("o_totalprice * -1000").alias("negative"),
+        text.human_number("o_totalprice * 1e12D").alias("huge"), text.human_number("o_custkey / 1e6D").alias("small"),
         text.signed_percent("o_custkey / 7 - 100").alias("change"),
         text.marked_change("o_custkey", "o_custkey / 7 - 100", "o_orderkey % 10 / 100").alias("marked"),
     )
@@ -282,7 +285,6 @@ def step_price_quantiles(spark, sf_dir):
     lines = adapter.read(spark, sf_dir, "lineitem")
     found = distribution.quantiles(
         lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", datasets.QUANTILES,
-        adapter.OPTIONS.count_above_bytes,
     )
     return rounded(found, EXACT_DIGITS, "l_extendedprice")
 
@@ -291,7 +293,39 @@ def step_frame_test(spark, sf_dir):
     """The two-sample test on all frame durations of both runs: tens of thousands of values each."""
     ana = adapter.analysis(spark, sf_dir)
     frames = ana.dataset("jankbench").filter("variable = 'total_duration'")
-    return rounded(distribution.two_sample_test(frames, ["variable"], "value", ana.tags, ana.limit), TEST_DIGITS, "ks_p")
+    return rounded(distribution.two_sample_test(frames, ["variable"], "value", ana.tags), TEST_DIGITS, "ks_p")
+
+
+def step_near_equal_test(spark, sf_dir):
+    """The two-sample test on samples that hardly differ: all prices, and the same with the first order's once more."""
+    lines = adapter.read(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("value"), "l_orderkey")
+    first = lines.agg(F.min("l_orderkey")).scalar()
+    copies = F.when(F.col("l_orderkey") == first, F.array(*map(F.lit, ("base", "more", "more"))))
+    tags = copies.otherwise(F.array(F.lit("base"), F.lit("more")))
+    samples = lines.select("value", F.explode(tags).alias("tag"), F.lit("price").alias("facet"))
+    return rounded(distribution.two_sample_test(samples, ["facet"], "value", ["base", "more"]), TEST_DIGITS, "ks_p", "ks_d")
+
+
+def step_null_keys(spark, sf_dir):
+    """Next value, running total and number in groups of which one has a null key, in slices."""
+    lines = adapter.read(spark, sf_dir, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("A")).alias("flag"), "l_linestatus", "l_orderkey",
+        F.col("l_linenumber").cast("bigint").alias("line"), F.expr("l_orderkey div 500").alias("piece"),
+    )
+    looked = follow(
+        lines, ["flag", "l_linestatus"], ["l_orderkey", "line"], slice_col="piece",
+        ahead={"next_order": "l_orderkey"}, total={"upto": "line"}, number="row",
+    )
+    return looked.drop("piece").na.fill(-1, ["next_order"])
+
+
+def step_nan_values(spark, sf_dir):
+    """Shares of values up to each one, with infinities and NaN among them."""
+    lines = adapter.read(spark, sf_dir, "lineitem")
+    value = F.expr("case l_linenumber when 7 then double('NaN') when 6 then double('Infinity') when 5 then double('-Infinity') else l_quantity end")
+    shares = distribution.ecdf(lines.select("l_returnflag", value.alias("v")), ["l_returnflag"], "v")
+    label = F.expr("case when isnan(v) then 'NaN' when abs(v) = double('Infinity') then if(v > 0, 'inf', '-inf') else cast(cast(v as bigint) as string) end")
+    return rounded(shares.select("l_returnflag", label.alias("v"), "ecdf"), EXACT_DIGITS, "ecdf")
 
 
 def step_value_statistics(spark, sf_dir):
@@ -320,6 +354,8 @@ QUERIES |= {
     "step_names": step_names,
     "step_price_quantiles": step_price_quantiles,
     "step_frame_test": step_frame_test,
+    "step_near_equal_test": step_near_equal_test,
+    "step_null_keys": step_null_keys,
+    "step_nan_values": step_nan_values,
     "step_value_statistics": step_value_statistics,
-    "view_show": _view(views.show),
 }

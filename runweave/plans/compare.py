@@ -12,7 +12,6 @@ from runweave.config import Options
 from runweave.functions.stats import STATISTICS, Statistic, statistics
 from runweave.functions.text import SIGNIFICANT, human_number, marked_change, percent, tag_order
 from runweave.operators.distribution import two_sample_test
-from runweave.operators.ordered import needs_slices, staged
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +25,8 @@ def compare_runs(
     digits: int = 1,
     percentage: bool = True,
     options: Options | None = None,
+    sliced: bool = False,
+    exact: bool = True,
     stats: dict[str, Statistic] | None = None,
 ) -> DataFrame:
     """Statistics over the iterations of each tag and facet, in long melt-like input ``df``.
@@ -34,7 +35,9 @@ def compare_runs(
     places, unless that is 0. With ``percentage`` and two tags or more, ``perc_diff`` is the change
     of the geometric mean from the first tag and ``ks_p`` the two-sample test against it; the first
     tag itself has a change of 0 and no p-value. Rows of tags that are not listed are left out.
-    ``stats`` names further aggregates, as functions of a column.
+    ``stats`` names further aggregates, as functions of a column. A facet has about one value per
+    iteration; for very many values a facet pass ``sliced=True``, and ``exact=False`` for the
+    limiting distribution in the test.
     """
     options, tags, facets = options or Options(), list(tags), list(facets)
     df = df.filter(F.col("tag").isin(tags))
@@ -47,8 +50,6 @@ def compare_runs(
         log.error("percentage differences need two runs or more")
         percentage = False
 
-    if percentage and needs_slices(df, options.slice_above_bytes):
-        df = staged(df.select("tag", *facets, value))
     made = statistics(value, STATISTICS | (stats or {}))
     table = df.groupBy("tag", *facets).agg(F.count(value).alias("n"), *made)
     if percentage:
@@ -56,7 +57,7 @@ def compare_runs(
         facet = Window.partitionBy(*facets)
         reference = F.max(F.when(F.col("tag") == tags[0], F.col("gmean"))).over(facet)
         table = table.withColumn("perc_diff", (F.try_divide("gmean", reference) - 1) * 100)
-        tests = two_sample_test(df, facets, value, tags, options.count_above_bytes)
+        tests = two_sample_test(df, facets, value, tags, sliced=sliced, exact=exact)
         matched = [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ["tag", *facets]]
         table = table.alias("c").join(tests.alias("t"), matched, "left").select("c.*", "t.ks_d", "t.ks_p")
 

@@ -19,6 +19,11 @@ from runweave.plans import metrics
 from runweave.trace import NS, Trace
 
 QUANTILES = (0.9, 0.95, 0.99)
+# Columns of outputs that views read even where no run has them.
+EMPTY_OUTPUTS = {
+    "fps": "wa_path string, kernel string, iteration int, ts bigint, frame_time double, deviation double, fps double",
+    "capacity": "wa_path string, kernel string, iteration int, time_it double, cpu int, capacity bigint",
+}
 TARGET_FPS = 30
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -61,7 +66,7 @@ class Analysis:
         if df is None:
             if not allow_missing:
                 raise MissingEvent(f"no run has the output {name}")
-            df = self.spark.createDataFrame([], "wa_path string, kernel string, iteration int")
+            df = self.spark.createDataFrame([], EMPTY_OUTPUTS.get(name, "wa_path string, kernel string, iteration int"))
         if preprocess:
             df = df.transform(preprocess)
         df = df.withColumn("tag", run_tag("wa_path"))
@@ -74,10 +79,6 @@ class Analysis:
             self.made[name] = LOADERS[name](self)
         return self.made[name]
 
-    @property
-    def limit(self) -> int:
-        return self.options.count_above_bytes
-
     @property
     def cluster_names_total(self) -> list[str]:
         return [*self.options.cluster_names, "total"]
@@ -114,14 +115,19 @@ def of_store(
     spark: SparkSession, path: str, runs: DataFrame, tags: Sequence[str], label: str, options: Options | None = None,
     results: Table | None = None, frames: Table | None = None,
 ) -> Analysis:
-    """An analysis of datasets written by ``run_metrics``."""
+    """An analysis of datasets written by ``run_metrics``: of the given ``runs`` with one of the ``tags`` only.
+
+    Other runs in the store, also of the same tag, are not read: ``wa_path`` is the partition column.
+    """
+
+    listed = [r.wa_path for r in runs.filter(F.col("tag").isin(list(tags))).select("wa_path").collect()]
 
     def source(name):
         try:
             stored = spark.read.parquet(f"{path}/{name}")
         except AnalysisException:
             return None
-        return stored.filter(run_tag("wa_path").isin(list(tags)))
+        return stored.filter(F.col("wa_path").isin(listed))
 
     return Analysis(spark, source, runs, tags, label, options or Options(), results, frames)
 
@@ -187,7 +193,7 @@ def adpf(ana):
 
     def numbered(df):
         place = F.struct("iteration", F.floor(F.col("time") / 10).alias("at"))
-        df, part = cut_by(df, place, ana.options.slice_above_bytes)
+        df, part = cut_by(df, place)
         rows = follow(df, ["wa_path"], ["iteration", "time"], slice_col=part, number="row")
         return rows.withColumn("ts", F.col("row") - 1).drop("row", "piece")
 
@@ -315,7 +321,7 @@ def wakeup_latency(ana):
 
 def wakeup_latency_quantiles(ana):
     keys = ["comm", "tag", "iteration"]
-    found = quantiles(ana.dataset("wakeup_latency"), keys, "wakeup_latency", QUANTILES, ana.limit)
+    found = quantiles(ana.dataset("wakeup_latency"), keys, "wakeup_latency", QUANTILES)
     return found.withColumn("order", ana.order())
 
 
@@ -347,7 +353,7 @@ def wakeup_latency_cgroup_mean(ana):
 
 def wakeup_latency_cgroup_quantiles(ana):
     keys = ["cgroup", "tag", "iteration"]
-    found = quantiles(ana.dataset("wakeup_latency_cgroup"), keys, "value", QUANTILES, ana.limit)
+    found = quantiles(ana.dataset("wakeup_latency_cgroup"), keys, "value", QUANTILES)
     return found.withColumn("order", ana.order())
 
 

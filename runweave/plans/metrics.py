@@ -10,6 +10,8 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,11 +295,19 @@ def sort_by_clusters(trace: Trace, df: DataFrame, columns: Sequence[str]) -> Dat
     )
 
 
+def sort_by_total(df: DataFrame, *keys: str, total: str = "Total") -> DataFrame:
+    """Rows with the largest ``total`` first, within ``keys``: the order in which totals are shown."""
+    return df.orderBy(*keys, F.desc(total))
+
+
 def run_metrics(
     trace: Trace, path: str, metrics: Sequence[str] | None = None, stage: str | None = None
 ) -> dict[str, str]:
     """Write the datasets of the metrics below ``path``; one that fails does not stop the others.
 
+    A metric fails when Spark raises, and when a dataset has no row of any run in hand; rows of
+    these runs from an earlier call are then gone. A run without rows beside others is logged.
+
     Steps shared by several metrics are written once below ``stage``, when it is given. Returns
     the message of each metric that failed.
     """
@@ -307,16 +317,19 @@ def run_metrics(
         raise RunweaveError(f"unknown metrics: {', '.join(unknown)}")
     if stage:
         trace = _prepared(trace, stage, len([m for m in wanted if m in USE_INTERVALS]) > 1)
+    runs = [r.wa_path for r in trace.runs.select("wa_path").distinct().collect()]
     failed = {}
     for metric in wanted:
         try:
             if metric in NEEDS_TASK_LIST:
                 _require_task_lists(trace)
             for make in METRICS[metric]:
-                write_dataset(make(trace), path, make.__name__, gather=make.__name__ not in STRAIGHT)
-                if read_table(trace.spark, f"{path}/{make.__name__}").isEmpty():
+                rows = write_dataset(make(trace), path, make.__name__, make.__name__ not in STRAIGHT, runs)
+                if not any(rows.values()):
                     raise EmptyMetric(f"{make.__name__} has no row for any iteration")
-        except RunweaveError as error:
+                if without := [run for run, n in rows.items() if not n]:
+                    log.warning("%s has no row for %s", make.__name__, ", ".join(without))
+        except (RunweaveError, PySparkException, Py4JJavaError) as error:
             log.error("%s: %s", metric, error)
             failed[metric] = str(error)
     return failed

@@ -37,6 +37,8 @@ def block(ana: Analysis, name: str, metrics: Sequence[str] = ()) -> DataFrame:
     table = views.results_bar(ana, metrics) if name == "results" else view(ana)
     if rows:
         table = table.filter(rows)
+    if name == "results" and "test_name" in table.columns:
+        table = table.withColumn(index, F.concat(index, F.lit(" ("), "test_name", F.lit(")")))
     before, _, after = pattern.partition("{}")
     figure = F.concat(F.lit(before), F.col(index), F.lit(after)) if "{}" in pattern else F.lit(pattern)
     value = F.col("value_label")

@@ -31,8 +31,14 @@ def results_line(ana, metrics):
     return _line(ana, ana.dataset("results").filter(_in("metric", metrics)), ["metric"])
 
 
+def _result_facets(df: DataFrame) -> list[str]:
+    """Scores of different tests are never pooled."""
+    return ["metric", *(["test_name"] if "test_name" in df.columns else [])]
+
+
 def results_bar(ana, metrics, **how):
-    return _bar(ana, ana.dataset("results").filter(_in("metric", metrics)), ["metric"], **how)
+    rows = ana.dataset("results").filter(_in("metric", metrics))
+    return _bar(ana, rows, _result_facets(rows), **how)
 
 
 def perf_line(ana, counters=None):
@@ -41,7 +47,8 @@ def perf_line(ana, counters=None):
 
 def perf_bar(ana, counters=None, **how):
     wanted = _in("metric", counters or ana.options.perf_counters)
-    return _bar(ana, ana.dataset("results_perf").filter(wanted), ["metric"], **how)
+    rows = ana.dataset("results_perf").filter(wanted)
+    return _bar(ana, rows, _result_facets(rows), **how)
 
 
 # Frames of the jank benchmark
@@ -63,7 +70,7 @@ def jankbench_frame_durations_hist(ana, bins=40):
 
 
 def jankbench_frame_durations_ecdf(ana):
-    return ecdf(ana.dataset("jankbench").filter("variable = 'total_duration'"), ["tag"], "value", ana.limit)
+    return ecdf(ana.dataset("jankbench").filter("variable = 'total_duration'"), ["tag"], "value")
 
 
 def jankbench_jank_percentage_line(ana):
@@ -287,10 +294,6 @@ def capacity_line(ana, iteration, cpu):
     return _line(ana, rows, ["iteration", "cpu"], "capacity", "time_it")
 
 
-def show(ana):
-    return ana.show()
-
-
 View = Callable[..., DataFrame]
 VIEWS: dict[str, View] = {
     name: made for name, made in list(globals().items())

@@ -33,7 +33,7 @@ def unread_files(runs: Runs, trace: Trace) -> DataFrame:
     events = [e for e in EVENT_FIELDS if trace.has(e)]
     # The listing and the scan write a path differently (file:/ and file:///), so files are told by their keys.
     read = reduce(DataFrame.unionByName, [
-        scan_event(trace.spark, runs, e).select(*RUN_KEYS, F.lit(e).alias("event")).distinct() for e in events
+        scan_event(trace.spark, runs, e, skip_unreadable=True).select(*RUN_KEYS, F.lit(e).alias("event")).distinct() for e in events
     ])
     return listed.join(read, [*RUN_KEYS, "event"], "left_anti")
 
@@ -51,7 +51,7 @@ def missing_tasks(trace: Trace) -> DataFrame:
 def time_checks(df: DataFrame, options: Options | None = None) -> DataFrame:
     """Per iteration: first and last time, rows without a time, rows earlier than the row before them."""
     options = options or Options()
-    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice), options.slice_above_bytes)
+    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice))
     rows = follow(cut, RUN_KEYS, ["seq"], slice_col=part, behind={"was_ns": "t_ns"})
     return rows.groupBy(*RUN_KEYS).agg(
         F.min("t_ns").alias("start_ns"), F.max("t_ns").alias("end_ns"),

@@ -78,11 +78,11 @@ def runs_table(spark: SparkSession, runs: Runs, kernels: Mapping[str, str] | Non
     return table.withColumns({"kernel": F.coalesce("kernel", F.lit(UNKNOWN)), "tag": run_tag("wa_path")})
 
 
-def scan_event(spark: SparkSession, runs: Runs, event: str) -> DataFrame:
-    """All rows of an event; files that cannot be read are left out (see ``quality.unread_files``)."""
+def scan_event(spark: SparkSession, runs: Runs, event: str, skip_unreadable: bool = False) -> DataFrame:
+    """All rows of an event. A file that cannot be read is an error, or is left out if asked (see ``quality.unread_files``)."""
     rows = (
         spark.read.schema(f"{HEADER}, {EVENT_FIELDS[event]}")
-        .option("pathGlobFilter", f"{{lisa__,}}{event}.pq").option("ignoreCorruptFiles", True)
+        .option("pathGlobFilter", f"{{lisa__,}}{event}.pq").option("ignoreCorruptFiles", skip_unreadable)
         .parquet(*[f"{runs.root}/{name}/*/{EVENT_DIR}" for name in runs.names])
     )
     run, _, iteration = _path_keys(F.col("_metadata.file_path"))
@@ -96,10 +96,10 @@ def scan_event(spark: SparkSession, runs: Runs, event: str) -> DataFrame:
 
 
 def scan_side_file(spark: SparkSession, runs: Runs, kind: str) -> DataFrame:
-    """CSV rows of all iterations, columns by header name."""
+    """CSV rows of all iterations, columns by header name; a file with another header is an error."""
     pattern, typed, default = SIDE_FILES[kind]
     rows = (
-        spark.read.option("header", True).option("pathGlobFilter", pattern)
+        spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", pattern)
         .csv([f"{runs.root}/{name}/*" for name in runs.names])
     )
     run, _, iteration = _path_keys(F.col("_metadata.file_path"))
@@ -110,11 +110,16 @@ def scan_side_file(spark: SparkSession, runs: Runs, kind: str) -> DataFrame:
 
 
 def scan_trace(
-    spark: SparkSession, runs: Runs, options: Options | None = None, kernels: Mapping[str, str] | None = None
+    spark: SparkSession, runs: Runs, options: Options | None = None, kernels: Mapping[str, str] | None = None,
+    skip_unreadable: bool = False,
 ) -> Trace:
-    """The trace of the listed runs; an event or side file no run has is absent from it."""
+    """The trace of the listed runs; an event or side file no run has is absent from it.
+
+    An event file that cannot be read stops whatever uses it. With ``skip_unreadable`` it is left out:
+    ``quality.unread_files`` lists such files.
+    """
     kinds = {r.event for r in runs.files.select("event").distinct().collect()} & set(EVENT_FIELDS)
-    makers = {event: (lambda e=event: scan_event(spark, runs, e)) for event in sorted(kinds)}
+    makers = {event: (lambda e=event: scan_event(spark, runs, e, skip_unreadable)) for event in sorted(kinds)}
     sides = runs.files.filter("event is null").agg(*[
         F.coalesce(F.bool_or(F.col("file").like(pattern.replace("*", "%"))), F.lit(False)).alias(kind)
         for kind, (pattern, _, _) in SIDE_FILES.items()
@@ -148,18 +153,22 @@ def with_events_at(trace: Trace, path: str) -> Trace:
 def unique_times(df: DataFrame, options: Options | None = None) -> DataFrame:
     """Events of one instant get one ns more each, in file order, so times are unique."""
     options = options or Options()
-    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice), options.slice_above_bytes)
+    cut, part = cut_by(df, F.floor(F.col("seq") / options.rows_per_slice))
     numbered = follow(cut, [*RUN_KEYS, "t_ns"], ["seq"], slice_col=part, number="nth")
     return numbered.withColumn("t_ns", F.col("t_ns") + F.col("nth") - 1).drop("nth", "piece")
 
 
 def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Benchmark results of several runs in one table; a column some lack is null there."""
-    tables = [
-        spark.read.parquet(p) if p.endswith((".parquet", ".pqt", ".pq"))
-        else spark.read.option("header", True).csv(p)
-        for p in paths
-    ]
+    columnar = [p for p in paths if p.endswith((".parquet", ".pqt", ".pq"))]
+    tables = [spark.read.option("mergeSchema", True).parquet(*columnar)] if columnar else []
+    if lines := [p for p in paths if p not in columnar]:
+        # one scan for all files of one header
+        heads = spark.read.text(lines, wholetext=True).select(
+            F.col("_metadata.file_path").alias("path"), F.trim(F.substring_index("value", "\n", 1)).alias("head")
+        )
+        for r in heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect():
+            tables.append(spark.read.option("header", True).option("enforceSchema", False).csv(r["paths"]))
     if not tables:
         raise MissingRuns("no results given")
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

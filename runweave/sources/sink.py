@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-def write_dataset(df: DataFrame, path: str, name: str, gather: bool = True) -> None:
+
+def write_dataset(
+    df: DataFrame, path: str, name: str, gather: bool = True, runs: Sequence[str] = ()
+) -> dict[str, int]:
     """Write a dataset of one or more runs; a rerun replaces the runs it holds and leaves the others.
 
+    Returns the number of rows written of each of ``runs``. Rows that an earlier call left of a run
+    that has none now are removed, so the folder never holds stale results of a run in hand.
+
     ``gather`` brings a run's rows together in files of even size, large runs in several. Leave it
     out for rows straight from a scan: their splits hold one run each already.
     """
     rows = df.hint("rebalance", "wa_path") if gather else df
+    counted = Observation()
+    if runs:
+        rows = rows.observe(counted, *[F.count_if(F.col("wa_path") == run).alias(f"run{i}") for i, run in enumerate(runs)])
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wa_path").parquet(
         f"{path}/{name}"
     )
+    found = {run: counted.get.get(f"run{i}") or 0 for i, run in enumerate(runs)} if runs else {}
+    remove_runs(df.sparkSession, f"{path}/{name}", [run for run, n in found.items() if not n])
+    return found
+
+
+def remove_runs(spark: SparkSession, path: str, runs: Sequence[str]) -> None:
+    """Delete the partitions of runs in a written dataset."""
+    conf = spark._jsc.hadoopConfiguration()
+    for run in runs:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/wa_path={run}")
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import follow, needs_slices, staged
+from runweave.operators.ordered import follow, staged
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
@@ -86,13 +86,6 @@ class Trace:
             F.min("t_ns").alias("start_ns"), F.max("t_ns").alias("end_ns"), F.count("t_ns").alias("events")
         )
 
-    @cached_property
-    def sliced(self) -> bool:
-        """Whether ordered work must be cut into slices: decided by the bytes the trace reads."""
-        limit = self.options.slice_above_bytes
-        tables = [self.clock] if self.clock is not None else list(self.tables.values())
-        return any(needs_slices(t, limit) for t in tables)
-
     def with_window(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with the window of its iteration (``start_ns``, ``end_ns`` unless others are named)."""
         windows = self.windows.select(*RUN_KEYS, *(columns or ("start_ns", "end_ns")))
@@ -107,20 +100,21 @@ class Trace:
     def follow(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_ns", "seq"), time: str = "t_ns", **asks
     ) -> DataFrame:
-        """``operators.ordered.follow`` per iteration and ``keys``, in time slices when the input is large."""
+        """``operators.ordered.follow`` per iteration and ``keys``, in time slices unless the options say otherwise."""
         group = [*RUN_KEYS, *keys]
-        if not self.sliced:
+        if not self.options.sliced:
             return follow(df, group, order, **asks)
         cut = self.with_window(df, "start_ns", "end_ns", "events")
         pieces = F.ceil(F.col("events") / F.lit(self.options.rows_per_slice))
         width = F.greatest(F.lit(1), F.expr("(end_ns - start_ns + 1)").cast("long") / pieces).cast("long")
-        place = F.greatest(F.lit(0), F.col(time) - F.col("start_ns"))
+        # times of another clock may lie on either side of the window: negative slices ascend as well
+        place = F.col(time) - F.col("start_ns")
         cut = cut.withColumn(SLICE, F.floor(place / width).cast("long")).drop("start_ns", "end_ns", "events")
         return follow(cut, group, order, slice_col=SLICE, **asks).drop(SLICE)
 
     def staged(self, df: DataFrame) -> DataFrame:
-        """An ordered step that another ordered step builds on: kept once when the input is large."""
-        return staged(df) if self.sliced else df
+        """An ordered step that another ordered step builds on: kept once where a checkpoint folder is named."""
+        return staged(df) if self.options.sliced else df
 
     def spans(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_ns", "seq"), **asks

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.operators.ordered import follow, needs_slices, scan_bytes, value_slice
+from runweave.operators.ordered import follow, value_slice
 
 ASKS = dict(
     ahead={"next_t": "t", "next_v": "v"}, behind={"was_v": "v"}, fill={"held": "v"}, total={"upto": "n"},
@@ -42,7 +42,7 @@ def test_null_keys(spark):
     rows = spark.createDataFrame(data, "key string, t long, seq long, v long, n long")
     plain = follow(rows, ["key"], ["t", "seq"], **ASKS)
     cut = rows.withColumn("piece", F.floor(F.col("t") / 6))
-    sliced = follow(cut, ["key"], ["t", "seq"], slice_col="piece", nullable_keys=True, **ASKS).drop("piece")
+    sliced = follow(cut, ["key"], ["t", "seq"], slice_col="piece", **ASKS).drop("piece")
     assert collected(sliced) == collected(plain)
 
 
@@ -65,11 +65,16 @@ def test_value_slices_ascend_with_values(spark):
     assert slices == sorted(slices)
 
 
-def test_size_decides(spark, tmp_path):
-    spark.range(1000).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t")).filter("id > 5")
-    size = scan_bytes(df)
-    assert size and size < 100_000
-    assert not needs_slices(df, 100_000) and needs_slices(df, 10)
-    # twice the scan, not the product a join is estimated at
-    assert scan_bytes(df.join(df.withColumnRenamed("id", "j"), F.col("id") == F.col("j"))) == 2 * size
+def test_null_keys_are_a_group_in_slices(spark):
+    rows = [(None if i % 3 else "a", i, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, t int, n int").withColumn("piece", F.floor(F.col("t") / 7))
+    plain = follow(df, ["key"], ["t"], ahead={"after": "t"}, total={"upto": "n"}, number="nth")
+    cut = follow(df, ["key"], ["t"], slice_col="piece", ahead={"after": "t"}, total={"upto": "n"}, number="nth")
+    assert sorted(map(str, cut.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_not_a_number_has_the_last_slice(spark):
+    values = [float("-inf"), -1.0, 0.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", value_slice("v").alias("s"))
+    slices = [r.s for r in df.orderBy("i").collect()]
+    assert slices == sorted(slices) and len(set(slices)) == 6

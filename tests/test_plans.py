@@ -7,7 +7,7 @@ import pytest
 from runweave.plans import adapter, catalogue, metrics
 
 SF = "/root/testdata/sf0.001"
-SLICED = adapter.OPTIONS.overridden({"slice_above_bytes": 0})
+SLICED = adapter.OPTIONS
 
 
 def plan(df):
@@ -40,7 +40,7 @@ def test_sliced_windows_hold_a_slice(spark, name):
     trace = adapter.trace(spark, SF, SLICED)
     text = plan(metrics.DATASETS[name](trace))
     shuffled = re.findall(r"hashpartitioning\(([^)]*)\)", text)
-    assert any("time_slice" in keys for keys in shuffled)
+    assert any("_piece" in keys for keys in shuffled)
 
 
 def test_borders_of_intervals_need_no_sort(spark):

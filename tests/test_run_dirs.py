@@ -1,7 +1,10 @@
 """From run directories to datasets and comparisons, with results worked out by hand."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from runweave import Options
 from runweave.config import energy_model
@@ -32,7 +35,7 @@ def runs(spark, root):
 
 @pytest.fixture(scope="module")
 def trace(spark, runs):
-    return scan.scan_trace(spark, runs, Options().overridden(MODEL), {RUN_A: "6.1"})
+    return scan.scan_trace(spark, runs, Options().overridden(MODEL), {RUN_A: "6.1"}, skip_unreadable=True)
 
 
 def rows(df, run=RUN_A, iteration=1, **where):
@@ -160,11 +163,14 @@ def test_side_files(trace):
 
 
 def test_unknown_counter(trace, spark, runs):
-    few = scan.scan_trace(spark, runs, Options().overridden({"perf_counter_ids": {8: "INST_RETIRED"}}))
+    few = scan.scan_trace(
+        spark, runs, Options().overridden({"perf_counter_ids": {8: "INST_RETIRED"}}), skip_unreadable=True
+    )
     with pytest.raises(PySparkException, match="unknown counter id 17"):
         metrics.perf_counters(few).collect()
     lenient = scan.scan_trace(
-        spark, runs, Options().overridden({"perf_counter_ids": {8: "INST_RETIRED"}, "allow_missing": True})
+        spark, runs, Options().overridden({"perf_counter_ids": {8: "INST_RETIRED"}, "allow_missing": True}),
+        skip_unreadable=True,
     )
     assert metrics.perf_counters(lenient).collect() == []
 
@@ -194,7 +200,7 @@ def test_unique_times(trace):
     frequency = scan.unique_times(trace.event("cpu_frequency"))
     assert sorted(r.t_ns for r in rows(frequency)) == [10 * 10**9, 10 * 10**9 + 1, 12 * 10**9, 13 * 10**9]
     again = scan.unique_times(
-        trace.event("cpu_frequency"), Options().overridden({"slice_above_bytes": 0, "rows_per_slice": 1})
+        trace.event("cpu_frequency"), Options().overridden({"rows_per_slice": 1})
     )
     assert sorted(r.t_ns for r in rows(again)) == sorted(r.t_ns for r in rows(frequency))
 
@@ -249,6 +255,48 @@ def test_failed_metric_does_not_stop_others(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "thermal")).count() == 2
 
 
+def test_unreadable_file_is_an_error(spark, runs):
+    strict = scan.scan_trace(spark, runs, Options().overridden(MODEL))
+    with pytest.raises(Exception, match="perf_counter"):
+        strict.event("perf_counter").collect()
+
+
+def test_rerun_without_rows_leaves_nothing_stale(spark, trace, tmp_path):
+    out = str(tmp_path)
+    assert metrics.run_metrics(trace, out, ["overutil"]) == {}
+    assert spark.read.parquet(f"{out}/overutilized").count() > 0
+    gone = replace(trace, tables={**trace.tables, "sched_overutilized": trace.event("sched_overutilized").limit(0)})
+    assert list(metrics.run_metrics(gone, out, ["overutil", "thermal"])) == ["overutil"]
+    assert not any((tmp_path / "overutilized").rglob("*.parquet"))
+    # Spark's own errors stop the metric they belong to only
+    few = replace(trace, options=trace.options.overridden({"perf_counter_ids": {8: "INST_RETIRED"}}))
+    assert list(metrics.run_metrics(few, out, ["perf-trace-event", "thermal"])) == ["perf-trace-event"]
+    assert spark.read.parquet(f"{out}/thermal").count() > 0
+
+
+def test_store_gives_the_runs_asked_for(spark, trace, tmp_path):
+    out = str(tmp_path)
+    metrics.run_metrics(trace, out, ["thermal"])
+    other = spark.read.parquet(f"{out}/thermal").filter(F.col("wa_path") == RUN_A).toPandas().assign(wa_path="other_base_2_0101")
+    spark.createDataFrame(other).write.mode("append").partitionBy("wa_path").parquet(f"{out}/thermal")
+    ana = datasets.of_store(spark, out, trace.runs, ["base", "new_idea"], "speedometer", trace.options)
+    assert {r.wa_path for r in ana.load("thermal").collect()} == {RUN_A, RUN_B}
+
+
+def test_side_file_with_another_header(spark, tmp_path):
+    write_job(tmp_path, RUN_A, 1)
+    job = write_job(tmp_path, RUN_B, 1)
+    (job / "poller-output.csv").write_text("thermal_zone2-temp,time,thermal_zone1-temp,thermal_zone0-temp\n30000,1.0,40000,50000\n")
+    trace = scan.scan_trace(spark, scan.list_runs(spark, str(tmp_path), [RUN_A, RUN_B]))
+    with pytest.raises(Exception, match="header|HEADER"):
+        metrics.thermal(trace).collect()
+
+
+def test_largest_total_first(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 5.0), (2, 9.0)], "iteration int, Total double")
+    assert [tuple(r) for r in metrics.sort_by_total(df, "iteration").collect()] == [(1, 5.0), (1, 2.0), (2, 9.0)]
+
+
 def test_results_of_several_runs(spark, tmp_path):
     (tmp_path / "a.csv").write_text("wa_path,iteration,metric,value\nw_a_1_0101,1,score,10\n")
     (tmp_path / "b.csv").write_text("wa_path,iteration,metric,value,unit\nw_b_1_0101,1,score,0,ms\n")

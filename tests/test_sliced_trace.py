@@ -7,7 +7,8 @@ from runweave.plans import adapter, metrics, views
 from tests.side_by_side import difference
 
 SF = "/root/testdata/sf0.001"
-SLICED = adapter.OPTIONS.overridden({"slice_above_bytes": 0, "rows_per_slice": 7, "count_above_bytes": 0})
+PLAIN = adapter.OPTIONS.overridden({"sliced": False})
+SLICED = adapter.OPTIONS.overridden({"rows_per_slice": 7})
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +33,8 @@ ORDERED = (
 @pytest.mark.parametrize("name", ORDERED)
 def test_dataset(spark, skewed_dir, name):
     make = metrics.DATASETS[name]
-    plain = make(adapter.trace(spark, skewed_dir))
+    plain = make(adapter.trace(spark, skewed_dir, PLAIN))
     cut = adapter.trace(spark, skewed_dir, SLICED)
-    assert cut.sliced
     assert difference(make(cut).toPandas().round(9), plain.toPandas().round(9)) is None
 
 
@@ -47,7 +47,7 @@ ACROSS = [
 @pytest.mark.parametrize("name", ("idle_residency", "freqs_residency", "energy_estimate", "task_activations"))
 def test_steps_kept_in_the_checkpoint_folder(spark, skewed_dir, tmp_path, name):
     make = metrics.DATASETS[name]
-    want = make(adapter.trace(spark, skewed_dir)).toPandas()
+    want = make(adapter.trace(spark, skewed_dir, PLAIN)).toPandas()
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     got = make(adapter.trace(spark, skewed_dir, SLICED))
     assert any(tmp_path.rglob("part-*"))
@@ -56,7 +56,7 @@ def test_steps_kept_in_the_checkpoint_folder(spark, skewed_dir, tmp_path, name):
 
 @pytest.mark.parametrize("view,args", ACROSS, ids=[v.__name__ for v, _ in ACROSS])
 def test_view(spark, skewed_dir, view, args):
-    plain = view(adapter.analysis(spark, skewed_dir), *args)
+    plain = view(adapter.analysis(spark, skewed_dir, PLAIN), *args)
     cut = view(adapter.analysis(spark, skewed_dir, SLICED), *args)
     keep = [c for c in plain.columns if not c.endswith("_label")]
     assert difference(cut.select(keep).toPandas().round(6), plain.select(keep).toPandas().round(6)) is None

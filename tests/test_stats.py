@@ -52,7 +52,7 @@ def exact_p(a, b):
 def test_two_sample_test(spark, a, b):
     rows = [("base", float(v)) for v in b] + [("new", float(v)) for v in a]
     df = spark.createDataFrame([(t, "f", v) for t, v in rows], "tag string, facet string, v double")
-    got = two_sample_test(df, ["facet"], "v", ["base", "new"], 10**12).collect()[0]
+    got = two_sample_test(df, ["facet"], "v", ["base", "new"], exact=True).collect()[0]
     gap, p = exact_p(a, b)
     assert got.ks_d == pytest.approx(gap / (len(a) * len(b)))
     assert got.ks_p == pytest.approx(p, abs=1e-12)
@@ -61,30 +61,47 @@ def test_two_sample_test(spark, a, b):
 def test_two_sample_test_of_a_null_facet(spark):
     rows = [(t, None, float(v)) for t, vs in (("base", range(6)), ("new", range(3, 9))) for v in vs]
     df = spark.createDataFrame(rows, "tag string, facet string, v double")
-    for limit in (0, 10**12):
-        got = two_sample_test(df, ["facet"], "v", ["base", "new"], limit).collect()
+    for sliced in (True, False):
+        got = two_sample_test(df, ["facet"], "v", ["base", "new"], sliced=sliced, exact=True).collect()
         assert [(r.facet, r.tag, r.ks_d) for r in got] == [(None, "new", 0.5)]
 
 
-def test_p_of_larger_samples(spark):
-    # the limiting distribution is near the exact one where both apply, and is used beyond it
-    df = spark.createDataFrame([(16_000, 400, 400), (22_500, 500, 500), (27_500, 550, 550)], "gap long, n long, m long")
-    for r in df.select("gap", "n", two_sample_p("gap", "n", "m").alias("p")).collect():
-        lam = math.sqrt(r.n / 2) * r.gap / r.n**2
-        limit = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))
-        assert r.p == pytest.approx(limit, rel=0.15)
+def test_p_by_the_limiting_distribution(spark):
+    def limit(n, m, d):
+        lam = math.sqrt(n * m / (n + m)) * d
+        if lam < 0.2:
+            return 1.0
+        return 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 400))
 
+    sizes = [(400, 400, 0.1), (500, 500, 0.06), (501, 501, 0.06), (200, 199, 0.1), (201, 200, 0.1), (10**6, 10**6 + 1, 1e-6), (10**7, 10**7, 1e-7), (3000, 5000, 0.02)]
+    df = spark.createDataFrame([(float(d * n * m), n, m, limit(n, m, d)) for n, m, d in sizes], "gap double, n long, m long, want double")
+    for r in df.select("want", two_sample_p("gap", "n", "m").alias("p")).collect():
+        assert r.p == pytest.approx(r.want, abs=1e-9)
 
-def test_quantiles_both_ways(spark):
+
+def test_nearly_equal_large_samples(spark):
+    base, more = spark.range(300_000), spark.range(300_001)
+    rows = base.select(F.lit("base").alias("tag"), F.col("id").cast("double").alias("v")).unionAll(
+        more.select(F.lit("more"), F.col("id").cast("double"))).withColumn("f", F.lit("x"))
+    assert two_sample_test(rows, ["f"], "v", ["base", "more"]).first().ks_p == 1.0
+
+
+def test_quantiles(spark):
     df = spark.range(0, 1000).select(
-        (F.col("id") % 3).alias("k"), F.pmod(F.col("id") * 7919, F.lit(503)).cast("double").alias("v")
+        F.nullif(F.col("id") % 3, F.lit(2)).alias("k"), F.pmod(F.col("id") * 7919, F.lit(503)).cast("double").alias("v")
     )
-    built_in = quantiles(df, ["k"], "v", (0.0, 0.5, 0.9, 0.95, 0.99, 1.0), 10**12)
-    counted = quantiles(df, ["k"], "v", (0.0, 0.5, 0.9, 0.95, 0.99, 1.0), 0)
-    as_dict = [{(r.k, r.quantile): r.v for r in d.collect()} for d in (built_in, counted)]
-    assert as_dict[0].keys() == as_dict[1].keys() and len(as_dict[0]) == 18
-    for key, v in as_dict[0].items():
-        assert as_dict[1][key] == pytest.approx(v)
+    at = (0.0, 0.5, 0.9, 0.95, 0.99, 1.0)
+    got = {(r.k, r.quantile): r.v for r in quantiles(df, ["k"], "v", at).collect()}
+    built_in = df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(q) for q in at])).alias("p")).collect()
+    want = {(r.k, q): v for r in built_in for q, v in zip(at, r.p)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_labels_of_large_and_negative_numbers(spark):
+    df = spark.createDataFrame([(-2.5e7,), (2.5e17,), (1e-9,), (-1e-4,), (12340.0,), (0.0,)], "v double")
+    got = [tuple(r) for r in df.select(text.human_number("v"), text.percent("v")).collect()]
+    assert got == [("-25000000.0", "-25000000.0%"), ("250000000.0B", "250000000000000000.0%"), ("0.0μ", "0.0%"), ("-100.0μ", "0.0%"),
+                   ("12.34k", "12340.0%"), ("0.0", "0.0%")]
 
 
 def test_histogram_and_ecdf(spark):
@@ -93,7 +110,7 @@ def test_histogram_and_ecdf(spark):
     assert bins == {("a", 0): (0.0, 1), ("a", 3): (7.5, 1), ("b", 2): (5.0, 1)}
     one_value = histogram(spark.createDataFrame([("a", 2.0), ("a", 2.0)], "tag string, v double"), ["tag"], "v")
     assert [(r.bin, r["count"]) for r in one_value.collect()] == [(0, 2)]
-    steps = {(r.tag, r.v): r.ecdf for r in ecdf(df, ["tag"], "v", 10**12).collect()}
+    steps = {(r.tag, r.v): r.ecdf for r in ecdf(df, ["tag"], "v").collect()}
     assert steps == {("a", 0.0): 0.5, ("a", 10.0): 1.0, ("b", 5.0): 1.0}
 
 
