@@ -109,9 +109,14 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     heads = np.concatenate([[0], np.cumsum(runs)])
     owner = np.repeat(np.arange(len(counts)), runs)
     at = np.arange(heads[-1]) - heads[owner] + firsts[owner]
-    out = np.zeros(len(at), dtype=U64)
-    size = np.minimum(counts, width)[owner]
-    wide = np.concatenate([hashes, np.zeros(width, dtype=U64)])
+    factors = [U64(pow(RADIX, 2 * k + 3, 1 << 64)) for k in range(width)]
+    full = max(0, len(hashes) - width + 1)
+    sums = np.zeros(len(hashes), dtype=U64)
     for k in range(width):
-        out += np.where(k < size, wide[at + k] * U64(pow(RADIX, 2 * k + 3, 1 << 64)), U64(0)) if n else U64(0)
-    return mix(out + size.astype(U64)), heads
+        sums[:full] += hashes[k:k + full] * factors[k]
+    out = sums[at] + U64(width)
+    short = np.flatnonzero(counts[owner] < width)
+    for i in short.tolist():  # one run of all words
+        own = hashes[at[i]:at[i] + counts[owner[i]]]
+        out[i] = (own * np.array(factors[:len(own)], dtype=U64)).sum(dtype=U64) + U64(len(own))
+    return mix(out), heads
