@@ -36,7 +36,7 @@ from runweave.llm.columns import without
 
 #: fixed values: the split pattern of this kind of vocabulary
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-KNOWN_WORDS = 400_000  # entries of each of two tables of seen pre-tokens; the older one is dropped when the newer is full
+KNOWN_WORDS = 120_000  # entries of each of two tables of seen pre-tokens; the older one is dropped when the newer is full
 #: the same pattern for texts of code points below 256, where the classes can be written out
 _LETTERS, _NUMBERS, _SPACES = (
     "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
