@@ -678,7 +678,7 @@ STEPS = {
     "null_keys": """
       SELECT flag, l_linestatus, l_orderkey, line, coalesce(lead(l_orderkey) OVER w, -1) AS next_order, CAST(sum(line) OVER w AS BIGINT) AS upto,
         CAST(row_number() OVER w AS INTEGER) AS row
-      FROM (SELECT nullif(l_returnflag, 'A') AS flag, l_linestatus, l_orderkey, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)
+      FROM (SELECT DISTINCT nullif(l_returnflag, 'A') AS flag, l_linestatus, l_orderkey, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)
       WINDOW w AS (PARTITION BY flag, l_linestatus ORDER BY l_orderkey, line)""",
     "nan_values": """
       SELECT l_returnflag, CASE WHEN isnan(v) THEN 'NaN' WHEN isinf(v) THEN CASE WHEN v > 0 THEN 'inf' ELSE '-inf' END

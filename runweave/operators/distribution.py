@@ -26,7 +26,7 @@ def signal_mean(
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, sliced: bool, *aggregates: Column):
     """One row per distinct value of a key, and the slice column to order it by."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        *(aggregates or [F.count(F.lit(1)).alias("count")])
+        *(aggregates or [F.count(F.lit(1)).alias("_count")])
     )
     if not sliced:
         return counted, None
@@ -42,9 +42,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     keys = list(keys)
     group = F.struct(*keys).alias("_group") if keys else F.lit(0).alias("_group")
     counted = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("count")
+        F.count(F.lit(1)).alias("_count")
     ).withColumn("_slice", value_slice("_v"))
-    totals = counted.groupBy("_group", "_slice").agg(F.sum("count").alias("n"))
+    totals = counted.groupBy("_group", "_slice").agg(F.sum("_count").alias("n"))
     along = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({
         "before": F.coalesce(F.sum("n").over(along), F.lit(0)), "rows": F.sum("n").over(Window.partitionBy("_group")),
@@ -65,9 +65,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     )
     inside = Window.partitionBy("_group", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     near = counted.join(asked, ["_group", "_slice"]).withColumn(
-        "first", F.col("before") + F.coalesce(F.sum("count").over(inside), F.lit(0))
+        "first", F.col("before") + F.coalesce(F.sum("_count").over(inside), F.lit(0))
     )
-    near = near.select("_group", "_v", "first", "count", F.inline("asks")).filter(either(F.col("first"), F.col("count")))
+    near = near.select("_group", "_v", "first", "_count", F.inline("asks")).filter(either(F.col("first"), F.col("_count")))
     ends = near.groupBy("_group", "quantile").agg(
         F.min("_v").alias("low"), F.max("_v").alias("high"), F.first("at_rank").alias("at_rank")
     )
@@ -96,7 +96,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40) ->
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, sliced: bool = True) -> DataFrame:
     """Share of the values of a key that are at most each distinct value."""
     counted, slice_col = value_counts(df, keys, value, sliced)
-    upto = follow(counted, keys, [value], slice_col=slice_col, total={"upto": "count"}, whole={"rows": "count"})
+    upto = follow(counted, keys, [value], slice_col=slice_col, total={"upto": "_count"}, whole={"rows": "_count"})
     return upto.select(*keys, value, (F.col("upto") / F.col("rows")).alias("ecdf"))
 
 
@@ -114,9 +114,9 @@ def two_sample_test(
     reference, others = tags[0], list(tags[1:])
     counted, slice_col = value_counts(df.filter(F.col("tag").isin(list(tags))), [*facets, "tag"], value, sliced)
     arm = F.when(F.col("tag") == reference, F.array(*[F.lit(t) for t in others])).otherwise(F.array("tag"))
-    base = F.when(F.col("tag") == reference, F.col("count")).otherwise(F.lit(0))
+    base = F.when(F.col("tag") == reference, F.col("_count")).otherwise(F.lit(0))
     counted = counted.select(
-        *facets, value, *([SLICE] if sliced else []), base.alias("base"), (F.col("count") - base).alias("own"),
+        *facets, value, *([SLICE] if sliced else []), base.alias("base"), (F.col("_count") - base).alias("own"),
         F.explode(arm).alias("tag"),
     ).groupBy(*facets, "tag", value, *([SLICE] if sliced else [])).agg(F.sum("base").alias("base"), F.sum("own").alias("own"))
     run = follow(

@@ -311,7 +311,7 @@ def step_null_keys(spark, sf_dir):
     lines = adapter.read(spark, sf_dir, "lineitem").select(
         F.nullif("l_returnflag", F.lit("A")).alias("flag"), "l_linestatus", "l_orderkey",
         F.col("l_linenumber").cast("bigint").alias("line"), F.expr("l_orderkey div 500").alias("piece"),
-    )
+    ).distinct()
     looked = follow(
         lines, ["flag", "l_linestatus"], ["l_orderkey", "line"], slice_col="piece",
         ahead={"next_order": "l_orderkey"}, total={"upto": "line"}, number="row",
