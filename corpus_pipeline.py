@@ -10,11 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from runweave.llm import bpe, decontaminate, lines, minhash, toxicity
-from runweave.llm.settings import vocabulary
+from runweave.llm.settings import bounded_batches, vocabulary
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the labels learned from are the table's."""
+    bounded_batches(spark)
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,16 +26,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: that of the least id."""
+    bounded_batches(spark)
     return minhash.kept_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark passages."""
+    bounded_batches(spark)
     return decontaminate.removed(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
+    bounded_batches(spark)
     return bpe.digest(docs, vocabulary())
 
 

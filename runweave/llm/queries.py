@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, passages, quality, sharding, suffixes, toxicity
-from runweave.llm.settings import vocabulary
+from runweave.llm.settings import bounded_batches, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
