@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from runweave.config import Options, local_table
 from runweave.functions.text import run_tag, run_workload
 from runweave.plans.datasets import Analysis, of_trace
+from runweave.sources.schema import ADPF_COLUMNS
 from runweave.trace import RUN_KEYS, Tables, Trace
 
 BASELINE = "synth_baseline_10_0101"
@@ -41,15 +42,6 @@ OPTIONS = Options().overridden({
     "rows_per_slice": 500,
 })
 
-# The 37 value columns of an ADPF report besides its time and frame count.
-ADPF_FEATURES = (
-    "Adaptive Batching", "Adaptive Decals", "Adaptive Framerate", "Adaptive LOD", "Adaptive Lut",
-    "Adaptive MSAA", "Adaptive Resolution", "Adaptive Shadow Cascade", "Adaptive Shadow Distance",
-    "Adaptive Shadowmap Resolution", "Adaptive Shadow Quality", "Adaptive Transparency",
-    "Adaptive View Distance", "Adaptive Sorting", "Adaptive Physics", "Adaptive Layer Culling", "Adaptive Fog",
-)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -142,10 +134,8 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
             *RUN_KEYS, (t_ns.cast("double") / 1e9).alias("time"), seq.cast("double").alias("# frame count"),
             (whole % 60 + 1).cast("double").alias("average fps"), (whole % 5).cast("double").alias("sigma fps"),
             (whole % 3).cast("double").alias("thermal status"),
-            *[
-                ((cents + place) % 10).cast("double").alias(f"{prefix}{feature}")
-                for place, feature in enumerate(ADPF_FEATURES) for prefix in ("", "sn_")
-            ],
+            # after time, frame count and the three above, a feature and its sn_ twin have one value
+            *[((cents + i // 2) % 10).cast("double").alias(name) for i, name in enumerate(ADPF_COLUMNS[5:])],
         ),
     }
     return Trace(spark, Tables(makers), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev)

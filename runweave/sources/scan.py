@@ -70,10 +70,25 @@ def list_runs(spark: SparkSession, root: str, names: Sequence[str] | None = None
     return Runs(root, list(names or present), files, iterations)
 
 
+def kernel_releases(spark: SparkSession, runs: Runs) -> dict[str, str]:
+    """Kernel release of each run that says so."""
+    try:
+        told = spark.read.text(f"{runs.root}/{{{','.join(runs.names)}}}/__meta/target_info.json", wholetext=True)
+    except AnalysisException:
+        return {}
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/__meta/[^/]+$", 1)
+    rows = told.select(run.alias("run"), F.get_json_object("value", "$.kernel_version.release").alias("release"))
+    return {r.run: r.release for r in rows.filter("release is not null").collect()}
+
+
 def runs_table(spark: SparkSession, runs: Runs, kernels: Mapping[str, str] | None = None) -> DataFrame:
-    """A row per run: kernel (``<unknown>`` when not given), label, tag and order."""
+    """A row per run: kernel, label, tag and order.
+
+    The kernel is the one given, or else that of the run's own ``__meta/target_info.json``, or ``<unknown>``.
+    """
+    kernels = {**kernel_releases(spark, runs), **(kernels or {})}
     labels = {r.wa_path: r.label for r in runs.iterations.groupBy("wa_path").agg(F.min("label").alias("label")).collect()}
-    rows = [(n, (kernels or {}).get(n), labels[n], i) for i, n in enumerate(runs.names)]
+    rows = [(n, kernels.get(n), labels[n], i) for i, n in enumerate(runs.names)]
     table = local_table(spark, rows, "wa_path string, kernel string, label string, run_order int")
     return table.withColumns({"kernel": F.coalesce("kernel", F.lit(UNKNOWN)), "tag": run_tag("wa_path")})
 

@@ -53,3 +53,18 @@ SIDE_FILES = {
     "frames": ("*frames*.csv", {}, "bigint"),
 }
 RENAMED = {"time since start": "time"}
+
+# The columns of an ADPF report.
+ADPF_COLUMNS = (
+    "time since start", "# frame count",
+    "average fps", "sigma fps", "thermal status",
+    "Adaptive Batching", "sn_Adaptive Batching", "Adaptive Decals", "sn_Adaptive Decals",
+    "Adaptive Framerate", "sn_Adaptive Framerate", "Adaptive LOD", "sn_Adaptive LOD", "Adaptive Lut", "sn_Adaptive Lut",
+    "Adaptive MSAA", "sn_Adaptive MSAA", "Adaptive Resolution", "sn_Adaptive Resolution",
+    "Adaptive Shadow Cascade", "sn_Adaptive Shadow Cascade", "Adaptive Shadow Distance", "sn_Adaptive Shadow Distance",
+    "Adaptive Shadowmap Resolution", "sn_Adaptive Shadowmap Resolution",
+    "Adaptive Shadow Quality", "sn_Adaptive Shadow Quality", "Adaptive Transparency", "sn_Adaptive Transparency",
+    "Adaptive View Distance", "sn_Adaptive View Distance", "Adaptive Sorting", "sn_Adaptive Sorting",
+    "Adaptive Physics", "sn_Adaptive Physics", "Adaptive Layer Culling", "sn_Adaptive Layer Culling",
+    "Adaptive Fog", "sn_Adaptive Fog",
+)

@@ -292,6 +292,15 @@ def test_side_file_with_another_header(spark, tmp_path):
         metrics.thermal(trace).collect()
 
 
+def test_kernel_of_the_run_itself(spark, tmp_path):
+    write_job(tmp_path, RUN_A, 1)
+    write_job(tmp_path, RUN_B, 1)
+    (tmp_path / RUN_A / "__meta").mkdir()
+    (tmp_path / RUN_A / "__meta" / "target_info.json").write_text('{"kernel_version": {"release": "6.6.1-x"}}')
+    listed = scan.list_runs(spark, str(tmp_path), [RUN_A, RUN_B])
+    assert {r.wa_path: r.kernel for r in scan.runs_table(spark, listed).collect()} == {RUN_A: "6.6.1-x", RUN_B: "<unknown>"}
+
+
 def test_largest_total_first(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 5.0), (2, 9.0)], "iteration int, Total double")
     assert [tuple(r) for r in metrics.sort_by_total(df, "iteration").collect()] == [(1, 5.0), (1, 2.0), (2, 9.0)]
