@@ -32,7 +32,7 @@ def test_no_python_and_no_all_pairs(spark, name):
 
 
 # One row of bounds, or one row per run: aggregated before they meet.
-ONE_ROW = {"view_jankbench_frame_durations_hist", "view_jankbench_mean_frame_durations_bar", "view_summary"}
+ONE_ROW = {"step_near_equal_test", "view_jankbench_frame_durations_hist", "view_jankbench_mean_frame_durations_bar", "view_summary"}
 
 
 @pytest.mark.parametrize("name", ["tasks_residency", "wakeup_latency", "energy_estimate", "idle_residency", "fps"])
