@@ -269,6 +269,46 @@ def test_passages(docs, empty, texts):
     assert passages.near_passages(empty).count() == 0
 
 
+def passage_rows(spark, *rows):
+    made = passages.near_passages(spark.createDataFrame(list(enumerate(rows, 1)), "doc_id bigint, text string"))
+    return [r.asDict() for r in made.collect()]
+
+
+def test_passages_behind_earlier_parts(spark):
+    passage = made_up(60, 40).split()
+    parts = [" ".join([made_up(40, 41), *passage[a:a + 35], made_up(40, 42)]) for a in (0, 13, 25)]
+    copies = [" ".join([made_up(50, 43 + i), *passage, made_up(50, 53 + i)]) for i in range(2)]
+    rows = [r for r in passage_rows(spark, *parts, *copies) if r["doc_id"] > 3]
+    assert {(r["doc_id"], r["ref_doc_id"], r["similarity"]) for r in rows} == {(5, 4, 1.0)}
+    assert {(r["begin"], r["end"]) for r in rows} == {(50, 110)}
+
+
+def test_passages_of_a_chain_and_of_many_parts(spark):
+    passage = made_up(120, 60).split()
+    variant = [w if i % 25 else f"new{i}" for i, w in enumerate(passage)]
+    third = [w if (i + 12) % 25 else f"newer{i}" for i, w in enumerate(variant)]
+    parts = [" ".join([made_up(30, 61 + i), *passage[9 * i:9 * i + 30], made_up(30, 81 + i)]) for i in range(12)]
+    rows = passage_rows(spark, *parts, " ".join(passage), " ".join(third), " ".join(passage))
+    assert (15, 13, 1.0) in {(r["doc_id"], r["ref_doc_id"], r["similarity"]) for r in rows}
+
+
+def test_passages_beside_an_earlier_place_of_their_shingles(spark):
+    # the first text has each shingle of the passage at places before it too
+    passage = made_up(60, 90).split()
+    stray = " ".join(" ".join([made_up(60, 200 + i), *passage[i % 56:i % 56 + 5]]) for i in range(168))
+    rows = passage_rows(spark, " ".join([stray, made_up(60, 190), *passage]), " ".join(passage))
+    assert [(r["doc_id"], r["ref_doc_id"], r["end"] - r["begin"], r["similarity"]) for r in rows] == [(2, 1, 60, 1.0)]
+
+
+def test_ranks_of_windows(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 5, 5, rng.randrange(40)]), i // 3, i, i, [i]) for i in range(3000)]
+    got = passages.ranked(spark.createDataFrame(rows, "key bigint, d bigint, l bigint, r bigint, cs array<bigint>")).collect()
+    for key in {r[0] for r in rows}:
+        own = sorted((r.rank, r.d, r.l) for r in got if r.key == key)
+        assert own == [(n, r[1], r[2]) for n, r in enumerate(sorted(r for r in rows if r[0] == key))]
+
+
 def test_bpe(docs, empty, texts):
     from tokenizers import Tokenizer
 
