@@ -300,6 +300,15 @@ def test_passages_beside_an_earlier_place_of_their_shingles(spark):
     assert [(r["doc_id"], r["ref_doc_id"], r["end"] - r["begin"], r["similarity"]) for r in rows] == [(2, 1, 60, 1.0)]
 
 
+def test_passages_with_a_wide_insertion(spark):
+    one, two = made_up(98, 140).split(), made_up(70, 141).split()
+    first = " ".join([made_up(60, 142), *one, made_up(60, 143), *two])
+    second = " ".join([*one[:49], made_up(17, 144), *one[49:], made_up(60, 145), *two, made_up(60, 146)])
+    rows = passage_rows(spark, first, second)
+    assert {(r["begin"], r["end"], r["ref_begin"], r["ref_end"]) for r in rows} == {(0, 115, 60, 158), (175, 245, 218, 288)}
+    assert all(r["similarity"] >= 0.75 for r in rows)
+
+
 def test_ranks_of_windows(spark):
     rng = random.Random(6)
     rows = [(rng.choice([5, 5, 5, rng.randrange(40)]), i // 3, i, i, [i]) for i in range(3000)]
