@@ -148,6 +148,20 @@ def test_proximity(spark):
     assert [(h["item"], h["exact"]) for h in hits] == [("9", False)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_proximity_with_a_replaced_word_in_any_deal_of_documents(spark, parts):
+    item = made_up(13, 50)
+    w = item.split()
+    rows = [(i, " ".join([made_up(20, 300 + i), *w[:i], "replaced", *w[i + 1:], made_up(20, 330 + i)])) for i in range(13)]
+    rows += [(20, " ".join(w[:12])), (21, made_up(60, 360)), (22, " ".join([*w, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts, "doc_id")
+    alone = spark.createDataFrame(rows[5:6], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(9, item)], BENCH)
+    got = {r.doc_id: [(h["item"], h["exact"]) for h in r.hits] for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {**{i: [("9", False)] for i in [*range(13), 20]}, 21: [], 22: [("9", True)]}
+    assert [(h["item"], h["exact"]) for h in decontaminate.matches(alone, bench).first().hits] == [("9", False)]
+
+
 def test_sharding(docs, empty, texts):
     for size in (sharding.BUCKET_BYTES, 2000):
         rows = sharding.dealt(docs, bucket_bytes=size).collect()
