@@ -156,3 +156,43 @@ def _license_sql() -> str:
 
 
 SQL["op2_licenses"] = _license_sql()
+
+#: the 256 steps of CRC-32 (reflected polynomial 0xEDB88320) as a list
+_CRC_TABLE = """
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps
+  FROM range(256) AS r(b)"""
+
+
+def _crc32(text: str, steps: str = "steps") -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; `steps` is the list above."""
+    step = f"xor(s >> 8, {steps}[(xor(s, x) & 255) + 1])"
+    values = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({values}, lambda s, x: {step}, 4294967295), 4294967295)"
+
+
+SQL["op11_resampling"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+doc AS (SELECT doc_id, {ALNUM_WORDS.format("text")} AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word FROM doc),
+goal AS (SELECT unnest({ALNUM_WORDS.format("text")}) AS word FROM benchmark),
+bucket AS (
+  SELECT word, {_crc32("word")} % 10000 AS bucket
+  FROM (SELECT word FROM word UNION SELECT word FROM goal), crc),
+have AS (SELECT bucket, count(*) AS s FROM word JOIN bucket USING (word) GROUP BY 1),
+want AS (SELECT bucket, count(*) AS t FROM goal JOIN bucket USING (word) GROUP BY 1),
+sums AS (SELECT (SELECT count(*) FROM word) + 10000.0 AS s_all, (SELECT count(*) FROM goal) + 10000.0 AS t_all),
+gain AS (
+  SELECT word, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * CAST(s_all AS DOUBLE)
+    / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * CAST(t_all AS DOUBLE)))) AS BIGINT) AS gain
+  FROM bucket LEFT JOIN have USING (bucket) LEFT JOIN want USING (bucket), sums),
+weighed AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM word JOIN gain USING (word) GROUP BY 1),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (doc_id)),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN CAST(place AS BIGINT) END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.llm import bpe, decontaminate, licenses, lines, minhash, oracle, passages, quality, sharding, suffixes, toxicity
+from runweave.llm import (
+    bpe, decontaminate, licenses, lines, minhash, oracle, passages, quality, resampling, sharding, suffixes, toxicity,
+)
 from runweave.llm.settings import bounded_batches, vocabulary
 
 
@@ -63,6 +65,12 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance for the benchmark's distribution of words, and the rank of those drawn."""
+    return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op7_passages, op8_minhash, op9_toxicity, op10_bpe)}
+    op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op7_passages, op8_minhash, op9_toxicity, op10_bpe,
+    op11_resampling)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
