@@ -196,3 +196,38 @@ placed AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN CAST(place AS BIGINT) END AS rank
 FROM scored LEFT JOIN placed USING (doc_id)
 """
+
+SQL["op13_trie"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+turn AS (
+  SELECT conv_id, md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT c AS conv_id, c - c % 20 AS base, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM turn), crc),
+part AS (
+  SELECT c.conv_id, 0 AS own, t.i, t.k, t.words FROM conv c JOIN turn t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.k, t.words FROM conv c JOIN turn t ON t.conv_id = c.conv_id AND t.i >= c.h),
+seq AS (
+  SELECT conv_id, list(k ORDER BY own, i) FILTER (WHERE k IS NOT NULL) AS ks, list(words ORDER BY own, i) FILTER (WHERE k IS NOT NULL) AS ws
+  FROM conv LEFT JOIN part USING (conv_id) GROUP BY 1),
+step AS (
+  SELECT conv_id, d, array_to_string(ks[1:d], '') AS path, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS words, d = coalesce(len(ks), 0) AS ends
+  FROM (SELECT *, unnest(range(0, coalesce(len(ks), 0) + 1)) AS d FROM seq)),
+node AS (
+  SELECT d, coalesce(path, '') AS path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM step GROUP BY 1, 2),
+child AS (SELECT d - 1 AS d, left(path, CAST(32 * (d - 1) AS BIGINT)) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+under AS (
+  SELECT x.d, x.path, CAST(sum((y.n_convs - 1) * y.words) AS BIGINT) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM node x JOIN node y ON y.d >= x.d AND left(y.path, CAST(32 * x.d AS BIGINT)) = x.path
+  LEFT JOIN child c ON c.d = y.d AND c.path = y.path GROUP BY 1, 2)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children,
+  under.leaves AS n_leaves, under.saved AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN under ON under.d = node.d AND under.path = node.path
+LEFT JOIN child ON child.d = node.d AND child.path = node.path
+LEFT JOIN node up ON up.d = node.d - 1 AND up.path = left(node.path, CAST(32 * up.d AS BIGINT))
+"""
