@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runweave.llm import (
-    bpe, decontaminate, licenses, lines, minhash, oracle, passages, quality, resampling, sharding, suffixes, toxicity, tries,
+    bpe, decontaminate, licenses, lines, minhash, nearest, oracle, passages, quality, resampling, sharding, suffixes, toxicity, tries,
 )
 from runweave.llm.settings import bounded_batches, vocabulary
 
@@ -70,6 +70,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every hundredth vector."""
+    return nearest.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return tries.digest(table(spark, sf_dir, "conversations"))
@@ -77,5 +82,5 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffixes, op2_licenses, op3_decontaminate, op4_sharding, op5_line_dedup, op6_quality, op7_passages, op8_minhash, op9_toxicity, op10_bpe,
-    op11_resampling, op13_trie)}
+    op11_resampling, op12_neighbours, op13_trie)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
