@@ -9,9 +9,10 @@ window runs: that is for groups the caller knows to be small. The size of the in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,12 +37,27 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables that all executors read may be written: the checkpoint folder, or else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder now and read from there: for what must not be computed twice."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def follow(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     *,
     slice_col: str | None = None,
+    placed: Sequence[str] = (),
     ahead: Mapping[str, str | Column] | None = None,
     behind: Mapping[str, str | Column] | None = None,
     fill: Mapping[str, str | Column] | None = None,
@@ -57,7 +73,8 @@ def follow(
     group's first row. ``whole``: sum over the group. ``number``: 1-based row number.
     ``order`` must be total within a group. Pieces of ``slice_col`` must ascend with ``order``.
     Rows with a null key are a group, as in a window: pieces are matched as one struct of key and
-    piece, in which nulls are equal.
+    piece, in which nulls are equal. ``placed`` names columns without nulls, each a key or the slice, by
+    which the rows are already dealt out, as in a bucketed table: windows then need no exchange.
     """
     asks = {
         name: {out: F.col(c) if isinstance(c, str) else c for out, c in (given or {}).items()}
@@ -72,7 +89,7 @@ def follow(
     times = {out for out, c in looks if isinstance(c, str) and c == order[0]}
     place = F.struct(*[F.col(k) for k in keys], F.col(slice_col).alias("_slice_of"))
     grouped = df.withColumns({"_group": F.struct(*keys), "_piece": place})
-    return _sliced(grouped, list(order), asks, number, times).drop("_group", "_piece")
+    return _sliced(grouped, list(order), asks, number, times, list(placed)).drop("_group", "_piece")
 
 
 def _plain(df, keys, order, asks, number) -> DataFrame:
@@ -91,10 +108,10 @@ def _plain(df, keys, order, asks, number) -> DataFrame:
     return df.withColumns(new)
 
 
-def _sliced(df, order, asks, number, times) -> DataFrame:
+def _sliced(df, order, asks, number, times, placed) -> DataFrame:
     """``_group`` is the struct of the keys, ``_piece`` that of the keys and the slice."""
     place = F.struct(*order)
-    piece = ["_piece"]
+    piece = [*placed, "_piece"]
 
     def at_start(out, c):
         return F.min(c) if out in times else F.min_by(c, place)

@@ -138,7 +138,7 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
             *[((cents + i // 2) % 10).cast("double").alias(name) for i, name in enumerate(ADPF_COLUMNS[5:])],
         ),
     }
-    return Trace(spark, Tables(makers), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev)
+    return Trace(spark, Tables(makers), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev, origin=sf_dir)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -342,7 +342,7 @@ def _prepared(trace: Trace, stage: str, intervals: bool) -> Trace:
         write_table(df, f"{stage}/{name}")
         return replace(trace, prepared={**trace.prepared, name: read_table(trace.spark, f"{stage}/{name}")})
 
-    trace = kept(trace, "windows", trace.windows)
+    trace = kept(trace, "slices", trace.slices)
     if intervals and trace.has("sched_switch"):
         trace = kept(trace, "switch_intervals", tasks.switch_intervals(trace))
     return trace

@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import follow, staged
+from runweave.operators.ordered import follow, kept_once, staged
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
 SLICE = "time_slice"
+PLACED = (*RUN_KEYS, SLICE)
+WINDOW = ("min(t_ns) as start_ns", "max(t_ns) as end_ns", "count(t_ns) as events")
+
+SKETCH = 4096  # items a level of the quantile sketch: ranks are right to less than a thousandth
+GRID = 1024    # most slices of an iteration
+_SLICES: dict[tuple, DataFrame] = {}  # tables of slices already written, by application, origin and size
 
 # A (run, iteration) row of the window table is under 100 bytes: this many stay far below the
 # 8 GB a broadcast may hold, and at a size every executor can keep.
@@ -51,7 +57,8 @@ class Trace:
     ``runs`` has a row per run (``wa_path, kernel, label, tag, run_order``) and is made from the
     list of runs the driver was given. ``iterations`` is an upper bound of the number of
     (run, iteration) pairs, when it is known. ``clock`` may name a cheaper table that covers the
-    times of all events. ``prepared`` holds shared steps already written out.
+    times of all events. ``prepared`` holds shared steps already written out. Traces of one ``origin``, which
+    stands for data that does not change, share their table of slices.
     """
 
     spark: SparkSession
@@ -60,6 +67,7 @@ class Trace:
     options: Options = field(default_factory=Options)
     iterations: int | None = None
     clock: DataFrame | None = None
+    origin: str | None = None
     prepared: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def event(self, name: str) -> DataFrame:
@@ -70,28 +78,65 @@ class Trace:
     def has(self, name: str) -> bool:
         return name in self.tables
 
+    def _times(self) -> DataFrame:
+        if self.clock is not None:
+            return self.clock.select(*RUN_KEYS, "t_ns")
+        tables = [t for t in self.tables.values() if "t_ns" in t.columns]
+        times = tables[0].select(*RUN_KEYS, "t_ns")
+        for table in tables[1:]:
+            times = times.unionByName(table.select(*RUN_KEYS, "t_ns"))
+        return times
+
     @cached_property
     def windows(self) -> DataFrame:
         """First and last time of each iteration over all of its events, and how many there are."""
-        if "windows" in self.prepared:
-            return self.prepared["windows"]
-        if self.clock is not None:
-            times = self.clock.select(*RUN_KEYS, "t_ns")
-        else:
-            tables = [t for t in self.tables.values() if "t_ns" in t.columns]
-            times = tables[0].select(*RUN_KEYS, "t_ns")
-            for table in tables[1:]:
-                times = times.unionByName(table.select(*RUN_KEYS, "t_ns"))
-        return times.groupBy(*RUN_KEYS).agg(
-            F.min("t_ns").alias("start_ns"), F.max("t_ns").alias("end_ns"), F.count("t_ns").alias("events")
-        )
+        for kept in ("windows", "slices"):
+            if kept in self.prepared:
+                return self.prepared[kept].select(*RUN_KEYS, "start_ns", "end_ns", "events")
+        known = self._known_slices()
+        return known.drop("borders") if known is not None else self._times().groupBy(*RUN_KEYS).agg(*map(F.expr, WINDOW))
+
+    def _slices_key(self) -> tuple | None:
+        return self.origin and (self.spark.sparkContext.applicationId, self.origin, self.options.rows_per_slice)
+
+    def _known_slices(self) -> DataFrame | None:
+        if "slices" in self.prepared:
+            return self.prepared["slices"]
+        return _SLICES.get(self._slices_key())
+
+    @cached_property
+    def slices(self) -> DataFrame:
+        """Windows with the ``borders`` of the iteration's time slices; a slice lasts from its border to the next.
+
+        Borders are quantiles of the times of all events, so slices have about ``rows_per_slice`` rows wherever
+        in the iteration these are. They come from a mergeable sketch, whose answers may differ between two
+        runs of one plan: so they are written once, and all ordered steps of the trace read them.
+        """
+        known = self._known_slices()
+        if known is not None:
+            return known
+        sketch = F.expr(f"kll_sketch_agg_bigint(t_ns, {SKETCH})").alias("sketch")
+        told = self._times().groupBy(*RUN_KEYS).agg(*map(F.expr, WINDOW), sketch)
+        ranks = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+        pieces = F.least(F.lit(GRID), F.ceil(F.col("events") / F.lit(self.options.rows_per_slice))).cast("int")
+        chosen = F.transform(F.sequence(F.lit(1), F.col("pieces") - 1), lambda i: F.get("times", F.floor(i * GRID / F.col("pieces")).cast("int") - 1))
+        times = F.when(F.col("pieces") > 1, F.call_function("kll_sketch_get_quantile_bigint", F.col("sketch"), ranks))
+        cut = told.withColumn("pieces", pieces).withColumn("times", times)
+        # many rows of one instant stay in one slice: their border is named once
+        borders = F.when(F.col("pieces") > 1, F.array_distinct(chosen)).otherwise(F.array().cast("array<bigint>"))
+        made = kept_once(cut.select(*RUN_KEYS, "start_ns", "end_ns", "events", borders.alias("borders")))
+        if self.origin:
+            _SLICES[self._slices_key()] = made
+        return made
+
+    def _small(self, windows: DataFrame) -> DataFrame:
+        few = self.iterations is not None and self.iterations <= MAX_BROADCAST_ITERATIONS
+        return F.broadcast(windows) if few else windows
 
     def with_window(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with the window of its iteration (``start_ns``, ``end_ns`` unless others are named)."""
         windows = self.windows.select(*RUN_KEYS, *(columns or ("start_ns", "end_ns")))
-        if self.iterations is not None and self.iterations <= MAX_BROADCAST_ITERATIONS:
-            windows = F.broadcast(windows)
-        return df.join(windows, list(RUN_KEYS), "left")
+        return df.join(self._small(windows), list(RUN_KEYS), "left")
 
     def with_run(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with columns of the run (the kernel unless others are named)."""
@@ -104,13 +149,14 @@ class Trace:
         group = [*RUN_KEYS, *keys]
         if not self.options.sliced:
             return follow(df, group, order, **asks)
-        cut = self.with_window(df, "start_ns", "end_ns", "events")
-        pieces = F.ceil(F.col("events") / F.lit(self.options.rows_per_slice))
-        width = F.greatest(F.lit(1), F.expr("(end_ns - start_ns + 1)").cast("long") / pieces).cast("long")
-        # times of another clock may lie on either side of the window: negative slices ascend as well
-        place = F.col(time) - F.col("start_ns")
-        cut = cut.withColumn(SLICE, F.floor(place / width).cast("long")).drop("start_ns", "end_ns", "events")
-        return follow(cut, group, order, slice_col=SLICE, **asks).drop(SLICE)
+        if SLICE in df.columns:  # a store's table, dealt out by run, iteration and slice
+            return follow(df, group, order, slice_col=SLICE, placed=PLACED, **asks)
+        return follow(self.cut(df, time), group, order, slice_col=SLICE, **asks).drop(SLICE)
+
+    def cut(self, df: DataFrame, time: str = "t_ns", *columns: str) -> DataFrame:
+        """``df`` with the time slice of each row, and columns of its window."""
+        borders = self.slices.select(*RUN_KEYS, "borders", *columns)
+        return df.join(self._small(borders), list(RUN_KEYS), "left").withColumn(SLICE, slice_of("borders", time)).drop("borders")
 
     def staged(self, df: DataFrame) -> DataFrame:
         """An ordered step that another ordered step builds on: kept once where a checkpoint folder is named."""
@@ -120,10 +166,24 @@ class Trace:
         self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_ns", "seq"), **asks
     ) -> DataFrame:
         """Rows as intervals: each lasts to the next row of its key, the last one to the end of its iteration."""
-        after = self.follow(df, keys, order, ahead={"_next": "t_ns"}, **asks)
-        return self.with_window(after, "end_ns").withColumn("t_end_ns", F.coalesce("_next", "end_ns")).drop(
-            "_next", "end_ns"
-        )
+        look = {"ahead": {"_next": "t_ns"}, **asks}
+        if self.options.sliced and SLICE not in df.columns:
+            after = follow(self.cut(df, "t_ns", "end_ns"), [*RUN_KEYS, *keys], order, slice_col=SLICE, **look).drop(SLICE)
+        else:
+            after = self.with_window(self.follow(df, keys, order, **look), "end_ns")
+        return after.withColumn("t_end_ns", F.coalesce("_next", "end_ns")).drop("_next", "end_ns")
+
+
+def slice_of(borders: str, time: str) -> Column:
+    """How many of the ascending borders are at or before the time; 0 for a time that is null."""
+    size = F.coalesce(F.size(borders), F.lit(0))
+
+    def step(place, width):
+        ahead = place + width
+        return F.when((ahead <= size) & (F.get(borders, ahead - 1) <= F.col(time)), ahead).otherwise(place)
+
+    widths = F.array(*[F.lit(1 << bit) for bit in reversed(range(GRID.bit_length()))])
+    return F.when(size == 0, F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
 
 
 def seconds(ns: str | Column) -> Column:
