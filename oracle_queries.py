@@ -675,6 +675,27 @@ STEPS = {
           SELECT sum(o) OVER (ORDER BY value) AS own, sum(b) OVER (ORDER BY value) AS base, sum(o) OVER () AS n, sum(b) OVER () AS m
           FROM (SELECT l_extendedprice AS value, count(*) AS b,
               sum(CASE WHEN l_orderkey = (SELECT min(l_orderkey) FROM lineitem) THEN 2 ELSE 1 END) AS o FROM lineitem GROUP BY 1))))""",
+    "next_run": f"""
+      SELECT w.wa_path, w.iteration, w.pid, w.t_ns, CASE WHEN s.t_ns - w.t_ns <= 48 * 3600000000000 THEN s.t_ns ELSE -1 END AS ran_ns,
+        CASE WHEN s.t_ns - w.t_ns <= 48 * 3600000000000 THEN s.cpu ELSE -1 END AS cpu
+      FROM (SELECT * FROM ev WHERE type = 'signup') w ASOF LEFT JOIN sw s
+      ON w.wa_path = s.wa_path AND w.iteration = s.iteration AND w.pid = s.pid AND w.t_ns <= s.t_ns""",
+    "nearest_change": f"""
+      SELECT c.wa_path, c.iteration, c.cpu, c.t_ns,
+        coalesce(CASE WHEN b.t_ns IS NULL OR a.t_ns - c.t_ns < c.t_ns - b.t_ns THEN a.t_ns ELSE b.t_ns END, -1) AS change_ns,
+        coalesce(CASE WHEN b.t_ns IS NULL OR a.t_ns - c.t_ns < c.t_ns - b.t_ns THEN a.frequency ELSE b.frequency END, -1) AS frequency
+      FROM (SELECT * FROM ev WHERE type = 'signup') c
+      ASOF LEFT JOIN freq b ON c.wa_path = b.wa_path AND c.iteration = b.iteration AND c.cpu = b.cpu AND c.t_ns >= b.t_ns
+      ASOF LEFT JOIN freq a ON c.wa_path = a.wa_path AND c.iteration = a.iteration AND c.cpu = a.cpu AND c.t_ns <= a.t_ns""",
+    "overlapping_runs": f"""
+      SELECT l.wa_path, l.iteration, l.cluster, l.seq, r.seq AS other, least(l.till, r.till) - greatest(l.t_ns, r.t_ns) AS overlap
+      FROM (SELECT *, {_cluster('cpu')} AS cluster, t_end_ns + 6 * 3600000000000 AS till FROM iv WHERE comm = 'RenderThread') l
+      JOIN (SELECT *, {_cluster('cpu')} AS cluster, t_end_ns + 6 * 3600000000000 AS till FROM iv WHERE comm = 'GameThread') r
+      ON l.wa_path = r.wa_path AND l.iteration = r.iteration AND l.cluster = r.cluster AND l.t_ns < r.till AND r.t_ns < l.till""",
+    "burst_intervals": f"""
+      SELECT {KEYS}, cpu, t_ns, coalesce(lead(t_ns) OVER (PARTITION BY {KEYS}, cpu ORDER BY t_ns, seq), max(t_ns) OVER (PARTITION BY {KEYS})) AS t_end_ns, seq
+      FROM (SELECT {KEYS}, cpu, seq, CASE WHEN seq % 10 <> 0 THEN began + (t_ns - began) // 100 ELSE t_ns END AS t_ns
+        FROM (SELECT ev.*, epoch_us(date_trunc('day', ts) - to_days(CAST((day(ts) - 1) % 3 AS INTEGER))) * 1000 AS began FROM ev JOIN events ON seq = event_id))""",
     "null_keys": """
       SELECT flag, l_linestatus, l_orderkey, line, coalesce(lead(l_orderkey) OVER w, -1) AS next_order, CAST(sum(line) OVER w AS BIGINT) AS upto,
         CAST(row_number() OVER w AS INTEGER) AS row
@@ -702,5 +723,8 @@ def all_queries() -> dict[str, str]:
         sql[f"runs_{name}"] = with_parts(body)
     for name, body in VIEWS.items():
         sql[f"view_{name}"] = with_parts(f"SELECT * FROM ({body.strip()})")
+    # the same rows from the event store
+    sql |= {f"store_{name}": sql[name] for name in (
+        "tasks_residency_total", "idle_residency", "freqs_residency", "energy_estimate_mean", "overutilized", "perf_counters", "wakeup_latency", "task_activations")}
     sql |= {f"step_{name}": with_parts(body) for name, body in STEPS.items()}
     return sql

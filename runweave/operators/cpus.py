@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.trace import RUN_KEYS, Trace, seconds
-
-AWAKE = -1
-IDLE_EXIT = 4294967295  # fixed value: the idle event's "left idle" code as an unsigned number
+from runweave.operators import sweep
+from runweave.operators.sweep import AWAKE, IDLE_EXIT
+from runweave.trace import PLACED, RUN_KEYS, Trace, place, seconds
 
 
 def idle_events(trace: Trace) -> DataFrame:
@@ -16,7 +15,7 @@ def idle_events(trace: Trace) -> DataFrame:
     events = trace.event("cpu_idle")
     state = F.when(F.col("state") == IDLE_EXIT, F.lit(AWAKE)).otherwise(F.col("state")).cast("long")
     return events.select(
-        *RUN_KEYS, "t_ns", "seq", "cpu", state.alias("state"), trace.options.cluster_of("cpu").alias("cluster")
+        *place(events), "t_ns", "seq", "cpu", state.alias("state"), trace.options.cluster_of("cpu").alias("cluster")
     )
 
 
@@ -39,6 +38,8 @@ def cluster_idle_residency(trace: Trace) -> DataFrame:
     k deep, as a running sum over the changes, gives the time the whole cluster is; state k is that
     time less the time of k+1. Changes at one instant need no merging: between them no time passes.
     """
+    if "timeline" in trace.prepared:
+        return sweep.cluster_idle_residency(trace)
     low = F.least("before", "state")
     high = F.greatest("before", "state")
     steps = idle_steps(trace).select(
@@ -67,8 +68,9 @@ def cluster_idle_residency(trace: Trace) -> DataFrame:
 
 def frequency_events(trace: Trace) -> DataFrame:
     """Frequency changes in kHz, with the cluster of the CPU."""
-    return trace.event("cpu_frequency").select(
-        *RUN_KEYS, "t_ns", "seq", "cpu", "frequency", trace.options.cluster_of("cpu").alias("cluster")
+    events = trace.event("cpu_frequency")
+    return events.select(
+        *place(events), "t_ns", "seq", "cpu", "frequency", trace.options.cluster_of("cpu").alias("cluster")
     )
 
 
@@ -80,6 +82,8 @@ def domain_frequency_events(trace: Trace) -> DataFrame:
 
 def frequency_residency(trace: Trace) -> DataFrame:
     """Time per cluster and frequency: in total, and while any CPU of the cluster is awake."""
+    if "timeline" in trace.prepared:
+        return sweep.frequency_residency(trace)
     freqs = domain_frequency_events(trace).select(
         *RUN_KEYS, "cluster", "t_ns", "cpu", "seq", "frequency", F.lit(0).cast("long").alias("step")
     )
@@ -108,7 +112,8 @@ def frequency_residency(trace: Trace) -> DataFrame:
 
 def overutilized_time(trace: Trace) -> DataFrame:
     """Seconds an iteration is overutilized, its length, and the percentage."""
-    spans = trace.spans(trace.event("sched_overutilized").select(*RUN_KEYS, "t_ns", "seq", "overutilized"), [])
+    events = trace.event("sched_overutilized")
+    spans = trace.spans(events.select(*place(events), "t_ns", "seq", "overutilized"), [])
     over = spans.groupBy(*RUN_KEYS).agg(
         F.sum(F.when(F.col("overutilized") == 1, F.col("t_end_ns") - F.col("t_ns")).otherwise(0)).alias("ns")
     )
@@ -128,24 +133,30 @@ def power_spans(trace: Trace) -> DataFrame:
     opp = F.broadcast(trace.options.opp_table(trace.spark).select("cluster", "frequency", "active_power"))
     idle = F.broadcast(trace.options.idle_power_table(trace.spark))
     none = F.lit(None).cast("long")
-    changes = frequency_events(trace).select(
-        *RUN_KEYS, "cluster", "cpu", "t_ns", F.lit(0).alias("kind"), "seq", "frequency", none.alias("state")
-    ).unionByName(
-        idle_events(trace).select(
-            *RUN_KEYS, "cluster", "cpu", "t_ns", F.lit(1).alias("kind"), "seq", none.alias("frequency"), "state"
+    if "timeline" in trace.prepared:  # both kinds in one table, dealt out already
+        changes = trace.prepared["timeline"].filter(~F.col("carried") & F.col("kind").isin(sweep.FREQUENCY, sweep.IDLE)).select(
+            *PLACED, trace.options.cluster_of("cpu").alias("cluster"), "cpu", "t_ns", "kind", "seq", "frequency", "state"
+        )
+    else:
+        changes = frequency_events(trace).select(
+            *RUN_KEYS, "cluster", "cpu", "t_ns", F.lit(0).alias("kind"), "seq", "frequency", none.alias("state")
+        ).unionByName(
+            idle_events(trace).select(
+                *RUN_KEYS, "cluster", "cpu", "t_ns", F.lit(1).alias("kind"), "seq", none.alias("frequency"), "state"
+            )
         )
-    ).filter("cluster is not null")
+    changes = changes.filter("cluster is not null")
     held = trace.spans(
         changes, ["cpu"], ["t_ns", "kind", "seq"], fill={"held_frequency": "frequency", "held_state": "state"}
     )
     held = held.filter("t_end_ns > t_ns").select(
-        *RUN_KEYS, "cluster", "cpu", "t_ns", "t_end_ns",
+        *place(held), "cluster", "cpu", "t_ns", "t_end_ns",
         F.col("held_frequency").alias("frequency"),
         F.coalesce("held_state", F.lit(AWAKE).cast("long")).alias("state"),
     )
     priced = held.join(opp, ["cluster", "frequency"], "left").join(idle, ["cluster", "state"], "left")
     power = F.when(F.col("state") == AWAKE, F.col("active_power")).otherwise(F.col("idle_power"))
-    return priced.select(*RUN_KEYS, "cluster", "cpu", "t_ns", "t_end_ns", power.alias("power")).filter(
+    return priced.select(*place(priced), "cluster", "cpu", "t_ns", "t_end_ns", power.alias("power")).filter(
         "power is not null"
     )
 
@@ -153,7 +164,8 @@ def power_spans(trace: Trace) -> DataFrame:
 def energy_estimate(trace: Trace) -> DataFrame:
     """Power of every CPU, cluster and of all at each instant it changes (``cpu0`` ..., clusters, ``total``)."""
     cpus = trace.options.cpus
-    changes = power_spans(trace).groupBy(*RUN_KEYS, "t_ns").agg(
+    spans = power_spans(trace)
+    changes = spans.groupBy(*place(spans), "t_ns").agg(
         *[F.max(F.when(F.col("cpu") == cpu, F.col("power"))).alias(f"set_{cpu}") for cpu in cpus]
     )
     held = trace.follow(trace.staged(changes), [], ["t_ns"], fill={f"cpu{cpu}": f"set_{cpu}" for cpu in cpus})

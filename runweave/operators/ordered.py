@@ -51,6 +51,32 @@ def kept_once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SKETCH = 4096  # items a level of the quantile sketch: ranks are right to less than a thousandth
+GRID = 1024    # most slices that borders are asked for at once
+
+
+def even_borders(df: DataFrame, time: str, rows_per_slice: int) -> list[int]:
+    """Ascending values of a long column that cut the rows of ``df`` into slices of about equal counts: at most ``GRID`` - 1."""
+    ranks = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    told = df.agg(F.count(time).alias("n"), F.expr(f"kll_sketch_agg_bigint({time}, {SKETCH})").alias("sketch")).select(
+        "n", F.when(F.col("n") > 0, F.call_function("kll_sketch_get_quantile_bigint", F.col("sketch"), ranks)).alias("times")).first()
+    pieces = min(GRID, -(-told["n"] // rows_per_slice))
+    return sorted({told["times"][i * GRID // pieces - 1] for i in range(1, pieces)})
+
+
+def slice_of(borders: str | Sequence[int], time: str) -> Column:
+    """How many of the ascending borders (a column or values) are at or before the time; 0 for a time that is null."""
+    borders = F.col(borders) if isinstance(borders, str) else F.array(*map(F.lit, borders)).cast("array<bigint>")
+    size = F.coalesce(F.size(borders), F.lit(0))
+
+    def step(place, width):
+        ahead = place + width
+        return F.when((ahead <= size) & (F.get(borders, ahead - 1) <= F.col(time)), ahead).otherwise(place)
+
+    widths = F.array(*[F.lit(1 << bit) for bit in reversed(range(GRID.bit_length()))])
+    return F.when(size == 0, F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
+
+
 def follow(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.trace import RUN_KEYS, Trace, seconds
+from runweave.trace import RUN_KEYS, Trace, place, seconds
 
 NOT_PRESENTED = 9223372036854775807  # fixed value: present time of a frame that is still pending
 
 
 def power_samples(trace: Trace) -> DataFrame:
     """Mean power in mW between two readings of a channel's energy counter (uJ); from the second on."""
-    readings = trace.event("pixel6_emeter").select(
-        *RUN_KEYS, "t_ns", "seq", F.col("chan_name").alias("channel"), "value"
+    events = trace.event("pixel6_emeter")
+    readings = events.select(
+        *place(events), "t_ns", "seq", F.col("chan_name").alias("channel"), "value"
     )
     pairs = trace.follow(readings, ["channel"], behind={"was": "value", "was_ns": "t_ns"})
     # uJ per ns is 1e9 uW, or 1e6 mW
@@ -23,7 +24,8 @@ def power_samples(trace: Trace) -> DataFrame:
 
 def counter_deltas(trace: Trace) -> DataFrame:
     """Counter readings in long form: the reading as ``<name>-Total``, its increase as ``<name>``."""
-    readings = trace.event("perf_counter").select(*RUN_KEYS, "t_ns", "seq", "cpu", "counter_id", "value")
+    events = trace.event("perf_counter")
+    readings = events.select(*place(events), "t_ns", "seq", "cpu", "counter_id", "value")
     pairs = trace.follow(readings, ["counter_id", "cpu"], behind={"was": "value"}).filter(
         "was is not null and value is not null"
     )

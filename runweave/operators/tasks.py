@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runweave.trace import RUN_KEYS, Trace, seconds
+from runweave.operators import sweep
+from runweave.trace import RUN_KEYS, Trace, place, seconds
 
 TASK = ("pid", "comm")
 IDLE_TASKS = "swapper"
@@ -15,8 +16,9 @@ IDLE_TASKS = "swapper"
 
 def switch_ins(trace: Trace) -> DataFrame:
     """Each time a task is given a CPU."""
-    return trace.event("sched_switch").select(
-        *RUN_KEYS, "t_ns", "seq", "cpu", F.col("next_pid").alias("pid"), F.col("next_comm").alias("comm")
+    events = trace.event("sched_switch")
+    return events.select(
+        *place(events), "t_ns", "seq", "cpu", F.col("next_pid").alias("pid"), F.col("next_comm").alias("comm")
     )
 
 
@@ -29,6 +31,8 @@ def switch_intervals(trace: Trace) -> DataFrame:
 
 def task_cpu_ns(trace: Trace) -> DataFrame:
     """CPU time in ns per task and CPU."""
+    if "timeline" in trace.prepared:
+        return sweep.task_cpu_ns(trace)
     return switch_intervals(trace).groupBy(*RUN_KEYS, *TASK, "cpu").agg(
         F.sum(F.col("t_end_ns") - F.col("t_ns")).alias("ns")
     )
@@ -96,10 +100,10 @@ def wakeup_latency(trace: Trace, keep: Keep = all_tasks) -> DataFrame:
     if trace.has("sched_wakeup_new"):
         wakeups = wakeups.unionByName(trace.event("sched_wakeup_new"), allowMissingColumns=True)
     woken = keep(trace, wakeups).select(
-        *RUN_KEYS, "t_ns", "seq", F.lit(0).alias("kind"), "pid", "comm", F.col("target_cpu").alias("cpu")
+        *place(wakeups), "t_ns", "seq", F.lit(0).alias("kind"), "pid", "comm", F.col("target_cpu").alias("cpu")
     )
     ran = keep(trace, switch_ins(trace)).select(
-        *RUN_KEYS, "t_ns", "seq", F.lit(1).alias("kind"), "pid", F.lit(None).cast("string").alias("comm"), "cpu"
+        *place(wakeups), "t_ns", "seq", F.lit(1).alias("kind"), "pid", F.lit(None).cast("string").alias("comm"), "cpu"
     )
     rows = trace.follow(
         woken.unionByName(ran), ["pid"], ["t_ns", "kind", "seq"], ahead={"then": F.struct("t_ns", "kind", "cpu")}

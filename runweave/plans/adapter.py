@@ -8,13 +8,17 @@ results and ``lineitem`` the per-frame table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.config import Options, local_table
 from runweave.functions.text import run_tag, run_workload
+from runweave.operators.ordered import shared_folder
 from runweave.plans.datasets import Analysis, of_trace
 from runweave.sources.schema import ADPF_COLUMNS
+from runweave.sources.store import open_store, write_store
 from runweave.trace import RUN_KEYS, Tables, Trace
 
 BASELINE = "synth_baseline_10_0101"
@@ -141,6 +145,30 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
     return Trace(spark, Tables(makers), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev, origin=sf_dir)
 
 
+_STORES: dict[tuple, str] = {}  # folders of stores already written, by application, directory and slices
+
+
+def stored_trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace:
+    """The trace read from a store, which the first call for a directory writes to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, options.rows_per_slice)
+    if key not in _STORES:
+        folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        write_store(trace(spark, sf_dir, options), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _STORES[key] = folder
+    return open_store(spark, _STORES[key], options, 2 * ITERATIONS)
+
+
+def burst_trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace:
+    """The trace with nine tenths of each iteration's events moved into the first hundredth of its three days."""
+    ev = base_events(spark, sf_dir)
+    began = f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', date_trunc('DAY', timestamp_micros(t_ns div 1000)) - make_interval(0, 0, 0, (day(timestamp_micros(t_ns div 1000)) - 1) % 3)) * 1000"
+    ev = ev.withColumn("began", F.expr(began)).withColumn(
+        "t_ns", F.when(F.col("seq") % 10 != 0, F.col("began") + F.expr("(t_ns - began) div 100")).otherwise(F.col("t_ns"))).drop("began")
+    switches = lambda: ev.select(
+        *RUN_KEYS, "t_ns", "seq", "cpu", F.col("pid").alias("next_pid"), F.col("comm").alias("next_comm"))
+    return Trace(spark, Tables({"sched_switch": switches}), runs_table(spark), options, iterations=2 * ITERATIONS, clock=ev, origin=f"{sf_dir} in bursts")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as benchmark results: the mean price per iteration, test and metric.
 

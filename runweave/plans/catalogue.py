@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from runweave.functions import text
 from runweave.functions.stats import statistics
 from runweave.operators.ordered import follow
-from runweave.operators import cpus, distribution, tasks
+from runweave.operators import cpus, distribution, matching, tasks
 from runweave.plans import adapter, datasets, metrics, summary, views
 from runweave.sources import quality
 from runweave.sources.scan import unique_times
@@ -198,6 +198,7 @@ def _trace(make, *inexact) -> Query:
 
 
 HOUR_NS = 3_600_000_000_000
+SLICE_ROWS = 500  # as the adapter's slices: the tables at hand are cut as large ones are
 
 
 def step_unique_times(spark, sf_dir):
@@ -239,14 +240,52 @@ def step_held_mean(trace):
 
 def step_frequency_as_of(trace):
     """The frequency of a task's CPU at each of its switch-ins, 0 before the first change."""
-    none = F.lit(None).cast("long")
-    rows = tasks.switch_ins(trace).select(*RUN_KEYS, "cpu", "t_ns", F.lit(1).alias("kind"), "seq", "pid", none.alias("f"))
-    freqs = cpus.frequency_events(trace).select(
-        *RUN_KEYS, "cpu", "t_ns", F.lit(0).alias("kind"), "seq", none.alias("pid"), F.col("frequency").alias("f")
-    )
-    held = trace.follow(rows.unionByName(freqs), ["cpu"], ["t_ns", "kind", "seq"], fill={"frequency": "f"})
-    known = F.coalesce("frequency", F.lit(0)).alias("frequency")
-    return held.filter("kind = 1").select(*RUN_KEYS, "cpu", "t_ns", "pid", known)
+    held = matching.asof(tasks.switch_ins(trace), cpus.frequency_events(trace), [*RUN_KEYS, "cpu"], order=["seq"], rows_per_slice=SLICE_ROWS)
+    return held.select(*RUN_KEYS, "cpu", "t_ns", "pid", F.coalesce("match.frequency", F.lit(0)).alias("frequency"))
+
+
+def step_next_run(trace):
+    """The next switch-in of each woken task that comes within two days."""
+    woken = trace.event("sched_wakeup").select(*RUN_KEYS, "t_ns", "pid", "comm")
+    found = matching.asof(woken, tasks.switch_ins(trace), [*RUN_KEYS, "pid"], direction="forward", tolerance=48 * HOUR_NS, order=["seq"], rows_per_slice=SLICE_ROWS)
+    ran = F.coalesce(F.col("match.t_ns"), F.lit(-1).cast("long"))
+    return found.select(*RUN_KEYS, "pid", "t_ns", ran.alias("ran_ns"), F.coalesce("match.cpu", F.lit(-1)).alias("cpu"))
+
+
+def step_nearest_change(trace):
+    """The frequency change of the same CPU that is nearest to each capacity change, before or after it."""
+    found = matching.asof(trace.event("sched_cpu_capacity"), cpus.frequency_events(trace), [*RUN_KEYS, "cpu"], direction="nearest", order=["seq"], rows_per_slice=SLICE_ROWS)
+    return found.select(*RUN_KEYS, "cpu", "t_ns", F.coalesce("match.t_ns", F.lit(-1).cast("long")).alias("change_ns"),
+                        F.coalesce("match.frequency", F.lit(-1)).alias("frequency"))
+
+
+def step_overlapping_runs(trace):
+    """Times at which two tasks run on CPUs of one cluster at once, of intervals lengthened by six hours so that they overlap their own side's too."""
+    intervals = tasks.switch_intervals(trace).select(
+        *RUN_KEYS, trace.options.cluster_of("cpu").alias("cluster"), "comm", "cpu", "seq", "t_ns", (F.col("t_end_ns") + 6 * HOUR_NS).alias("t_end_ns"))
+    one, other = intervals.filter("comm = 'RenderThread'"), intervals.filter("comm = 'GameThread'")
+    pairs = matching.overlaps(one, other, [*RUN_KEYS, "cluster"], rows_per_slice=SLICE_ROWS)
+    return pairs.select(*RUN_KEYS, "cluster", F.col("left.seq").alias("seq"), F.col("right.seq").alias("other"), "overlap")
+
+
+def step_burst_intervals(spark, sf_dir):
+    """Who runs on each CPU from when to when, where most events of an iteration are in a small part of it."""
+    intervals = tasks.switch_intervals(adapter.burst_trace(spark, sf_dir))
+    return intervals.select(*RUN_KEYS, "cpu", "t_ns", "t_end_ns", "seq")
+
+
+def _stored(make, *inexact) -> Query:
+    """A metric's dataset from the event store."""
+
+    def query(spark, sf_dir):
+        df = make(adapter.stored_trace(spark, sf_dir))
+        return rounded(df, EXACT_DIGITS, *inexact) if inexact else df
+
+    return query
+
+
+STORED = ("tasks_residency_total", "idle_residency", "freqs_residency", "energy_estimate_mean", "overutilized", "perf_counters", "wakeup_latency", "task_activations")
+QUERIES |= {f"store_{name}": _stored(metrics.DATASETS[name]) for name in STORED}
 
 
 def step_cluster_residency(trace):
@@ -345,6 +384,10 @@ QUERIES |= {
     "step_cgroup_members": _trace(tasks.cgroup_members),
     "step_held_mean": _trace(step_held_mean, "frequency"),
     "step_frequency_as_of": _trace(step_frequency_as_of),
+    "step_next_run": _trace(step_next_run),
+    "step_nearest_change": _trace(step_nearest_change),
+    "step_overlapping_runs": _trace(step_overlapping_runs),
+    "step_burst_intervals": step_burst_intervals,
     "step_unique_times": step_unique_times,
     "step_time_checks": step_time_checks,
     "step_missing_events": step_missing_events,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import follow, kept_once, staged
+from runweave.operators.ordered import GRID, SKETCH, follow, kept_once, slice_of, staged
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
@@ -19,8 +19,6 @@ SLICE = "time_slice"
 PLACED = (*RUN_KEYS, SLICE)
 WINDOW = ("min(t_ns) as start_ns", "max(t_ns) as end_ns", "count(t_ns) as events")
 
-SKETCH = 4096  # items a level of the quantile sketch: ranks are right to less than a thousandth
-GRID = 1024    # most slices of an iteration
 _SLICES: dict[tuple, DataFrame] = {}  # tables of slices already written, by application, origin and size
 
 # A (run, iteration) row of the window table is under 100 bytes: this many stay far below the
@@ -160,7 +158,7 @@ class Trace:
 
     def staged(self, df: DataFrame) -> DataFrame:
         """An ordered step that another ordered step builds on: kept once where a checkpoint folder is named."""
-        return staged(df) if self.options.sliced else df
+        return staged(df) if self.options.sliced and SLICE not in df.columns else df
 
     def spans(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_ns", "seq"), **asks
@@ -174,16 +172,9 @@ class Trace:
         return after.withColumn("t_end_ns", F.coalesce("_next", "end_ns")).drop("_next", "end_ns")
 
 
-def slice_of(borders: str, time: str) -> Column:
-    """How many of the ascending borders are at or before the time; 0 for a time that is null."""
-    size = F.coalesce(F.size(borders), F.lit(0))
-
-    def step(place, width):
-        ahead = place + width
-        return F.when((ahead <= size) & (F.get(borders, ahead - 1) <= F.col(time)), ahead).otherwise(place)
-
-    widths = F.array(*[F.lit(1 << bit) for bit in reversed(range(GRID.bit_length()))])
-    return F.when(size == 0, F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
+def place(df: DataFrame) -> list[str]:
+    """The keys of a trace's rows, with the slice where a store has it."""
+    return [*RUN_KEYS, *([SLICE] if SLICE in df.columns else [])]
 
 
 def seconds(ns: str | Column) -> Column:
