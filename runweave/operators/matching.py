@@ -2,7 +2,8 @@
 
 Neither is a range join. Both put the rows of the two sides in one order per key and carry along it what the other side
 had last, or how many rows it has had: ordered work in slices, so that a key with most of the rows is cut like any other.
-Slices have equal counts by a quantile sketch of all times.
+Slices have equal counts by a quantile sketch of all times. Inputs are written to the
+shared folder once, as ordered work reads them more than once.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ def asof(
     ties = [f"_tie{i}" for i in range(len(order))]
     own_ties = [F.col(o).alias(t) for o, t in zip(order, ties)]
     types = [right.schema[o].dataType for o in order]
-    rows = left.select(
+    asking = left.select(
         *keys, F.col(time).cast("long").alias(AT), F.lit(1).alias(SIDE), *[none.cast(d).alias(t) for t, d in zip(ties, types)],
-        mine.alias("_left"), none.cast(kinds["_right"]).alias("_right"),
-    ).unionByName(right.filter(F.col(time).isNotNull()).select(
-        *keys, F.col(time).cast("long").alias(AT), F.lit(0).alias(SIDE), *own_ties, none.cast(kinds["_left"]).alias("_left"), theirs.alias("_right")))
-    borders = even_borders(left.select(time).unionAll(right.select(time)), time, rows_per_slice)
-    rows = rows.withColumn(PART, slice_of(borders, AT))
+        mine.alias("_left"), none.cast(kinds["_right"]).alias("_right"))
+    offered = right.select(
+        *keys, F.col(time).cast("long").alias(AT), F.lit(0).alias(SIDE), *own_ties, none.cast(kinds["_left"]).alias("_left"),
+        F.when(F.col(time).isNotNull(), theirs).alias("_right"))
+    rows = kept_once(asking, offered)
+    rows = rows.withColumn(PART, slice_of(even_borders(rows, AT, rows_per_slice), AT))
     # ascending order, in which right rows come first of those at one time
     if direction != "forward":
         rows = follow(rows, keys, [AT, SIDE, *ties], slice_col=PART, fill={"_before": "_right"})
@@ -83,6 +85,7 @@ def overlaps(
         return df.filter(known).select(*keys, F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"))
 
     left, right = usable(left), usable(right)
+    left, right = kept_once(left), kept_once(right)
     borders = even_borders(left.select("_from").unionAll(right.select("_from")), "_from", rows_per_slice)
 
     def numbered(df: DataFrame) -> DataFrame:

@@ -43,23 +43,28 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def kept_once(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder now and read from there: for what must not be computed twice."""
-    spark = df.sparkSession
+def kept_once(*parts: DataFrame) -> DataFrame:
+    """Tables of one schema written to the shared folder now and read from there: for what must not be computed twice."""
+    spark = parts[0].sparkSession
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 SKETCH = 4096  # items a level of the quantile sketch: ranks are right to less than a thousandth
 GRID = 1024    # most slices that borders are asked for at once
 
 
+def sketch_quantiles(sketch: str) -> str:
+    """The values at all ranks of the grid, as the text of an expression."""
+    return f"kll_sketch_get_quantile_bigint({sketch}, array({', '.join(f'{i / GRID}D' for i in range(1, GRID))}))"
+
+
 def even_borders(df: DataFrame, time: str, rows_per_slice: int) -> list[int]:
     """Ascending values of a long column that cut the rows of ``df`` into slices of about equal counts: at most ``GRID`` - 1."""
-    ranks = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
     told = df.agg(F.count(time).alias("n"), F.expr(f"kll_sketch_agg_bigint({time}, {SKETCH})").alias("sketch")).select(
-        "n", F.when(F.col("n") > 0, F.call_function("kll_sketch_get_quantile_bigint", F.col("sketch"), ranks)).alias("times")).first()
+        "n", F.when(F.col("n") > 0, F.expr(sketch_quantiles("sketch"))).alias("times")).first()
     pieces = min(GRID, -(-told["n"] // rows_per_slice))
     return sorted({told["times"][i * GRID // pieces - 1] for i in range(1, pieces)})
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import GRID, SKETCH, follow, kept_once, slice_of, staged
+from runweave.operators.ordered import GRID, SKETCH, follow, kept_once, sketch_quantiles, slice_of, staged
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
@@ -115,10 +115,9 @@ class Trace:
             return known
         sketch = F.expr(f"kll_sketch_agg_bigint(t_ns, {SKETCH})").alias("sketch")
         told = self._times().groupBy(*RUN_KEYS).agg(*map(F.expr, WINDOW), sketch)
-        ranks = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
         pieces = F.least(F.lit(GRID), F.ceil(F.col("events") / F.lit(self.options.rows_per_slice))).cast("int")
         chosen = F.transform(F.sequence(F.lit(1), F.col("pieces") - 1), lambda i: F.get("times", F.floor(i * GRID / F.col("pieces")).cast("int") - 1))
-        times = F.when(F.col("pieces") > 1, F.call_function("kll_sketch_get_quantile_bigint", F.col("sketch"), ranks))
+        times = F.when(F.col("pieces") > 1, F.expr(sketch_quantiles("sketch")))
         cut = told.withColumn("pieces", pieces).withColumn("times", times)
         # many rows of one instant stay in one slice: their border is named once
         borders = F.when(F.col("pieces") > 1, F.array_distinct(chosen)).otherwise(F.array().cast("array<bigint>"))
