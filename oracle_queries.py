@@ -708,6 +708,12 @@ STEPS = {
       FROM (SELECT l_returnflag, v, count(*) AS c FROM (SELECT l_returnflag,
         CASE l_linenumber WHEN 7 THEN CAST('NaN' AS DOUBLE) WHEN 6 THEN CAST('inf' AS DOUBLE) WHEN 5 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity END AS v
         FROM lineitem) GROUP BY ALL)""",
+    "own_statistics": """
+      SELECT tag, metric, test_name, count(*) AS n, round(CASE WHEN count(*) > 2 THEN (sum(value) - min(value) - max(value)) / (count(*) - 2) END, 6) AS trimmed,
+        round(max(value) - min(value), 6) AS spread, round(max(value), 6) AS largest
+      FROM r_results WHERE metric IN ('jank_p', 'mean') GROUP BY ALL""",
+    "merged_statistics": """
+      SELECT l_returnflag, l_linestatus, round(count(*) FILTER (l_extendedprice > 50000) / count(*), 6) AS above FROM lineitem GROUP BY ALL""",
     "value_statistics": """
       SELECT pid, count(*) AS n, round(CASE WHEN min(v) = max(v) THEN min(v) WHEN min(v) = 0 THEN 0 ELSE exp(avg(CASE WHEN v > 0 THEN ln(v) END)) END, 6) AS gmean,
         round(stddev_samp(v), 6) AS std, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.functions import text
-from runweave.functions.stats import statistics
+from runweave.functions.stats import Mergeable, python_statistics, statistics
 from runweave.operators.ordered import follow
 from runweave.operators import cpus, distribution, matching, tasks
 from runweave.plans import adapter, datasets, metrics, summary, views
+from runweave.plans.compare import compare_runs
 from runweave.sources import quality
 from runweave.sources.scan import unique_times
 from runweave.trace import RUN_KEYS
@@ -367,6 +369,24 @@ def step_nan_values(spark, sf_dir):
     return rounded(shares.select("l_returnflag", label.alias("v"), "ecdf"), EXACT_DIGITS, "ecdf")
 
 
+def step_own_statistics(spark, sf_dir):
+    """A comparison of results with a user's own statistics: a function of all values, and one that is merged from parts."""
+    ana = adapter.analysis(spark, sf_dir)
+    rows = ana.dataset("results").filter(F.col("metric").isin(list(SCORES)))
+    spread = Mergeable(lambda: None, lambda s, v: (min(v.min(), s[0] if s else v.min()), max(v.max(), s[1] if s else v.max())),
+                       lambda a, b: (min(a[0], b[0]), max(a[1], b[1])) if a and b else a or b, lambda s: float(s[1] - s[0]) if s else None)
+    own = {"trimmed": lambda v: float(np.sort(v)[1:-1].mean()) if len(v) > 2 else None, "spread": spread, "largest": F.max}
+    table = compare_runs(rows, ana.tags, ["metric", "test_name"], percentage=False, stats=own)
+    return rounded(table.select("tag", "metric", "test_name", "n", *own), EXACT_DIGITS, *own)
+
+
+def step_merged_statistics(spark, sf_dir):
+    """Mean and share of values above 50,000, merged from parts, of all prices."""
+    lines = adapter.read(spark, sf_dir, "lineitem")
+    parts = Mergeable(lambda: (0, 0), lambda s, v: (s[0] + len(v), s[1] + int((v > 50_000).sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[1] / s[0] if s[0] else None)
+    return rounded(python_statistics(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"above": parts}), EXACT_DIGITS, "above")
+
+
 def step_value_statistics(spark, sf_dir):
     """Statistics per user, zeros among the values."""
     ev = adapter.base_events(spark, sf_dir).withColumn("value", F.col("whole").cast("double"))
@@ -401,4 +421,6 @@ QUERIES |= {
     "step_null_keys": step_null_keys,
     "step_nan_values": step_nan_values,
     "step_value_statistics": step_value_statistics,
+    "step_own_statistics": step_own_statistics,
+    "step_merged_statistics": step_merged_statistics,
 }

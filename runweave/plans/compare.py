@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.config import Options
-from runweave.functions.stats import STATISTICS, Statistic, statistics
+from runweave.functions.stats import STATISTICS, Mergeable, Statistic, Whole, python_statistics, split_statistics, statistics
 from runweave.functions.text import SIGNIFICANT, human_number, marked_change, percent, tag_order
 from runweave.operators.distribution import two_sample_test
 
@@ -27,7 +27,7 @@ def compare_runs(
     options: Options | None = None,
     sliced: bool = False,
     exact: bool = True,
-    stats: dict[str, Statistic] | None = None,
+    stats: dict[str, Statistic | Whole | Mergeable | Callable] | None = None,
 ) -> DataFrame:
     """Statistics over the iterations of each tag and facet, in long melt-like input ``df``.
 
@@ -35,7 +35,8 @@ def compare_runs(
     places, unless that is 0. With ``percentage`` and two tags or more, ``perc_diff`` is the change
     of the geometric mean from the first tag and ``ks_p`` the two-sample test against it; the first
     tag itself has a change of 0 and no p-value. Rows of tags that are not listed are left out.
-    ``stats`` names further aggregates, as functions of a column. A facet has about one value per
+    ``stats`` names further aggregates: functions of a column to an aggregate, Python functions of a numpy array of
+    all values of a tag and facet, or ``Mergeable`` ones for very many values. A facet has about one value per
     iteration; for very many values a facet pass ``sliced=True``, and ``exact=False`` for the
     limiting distribution in the test.
     """
@@ -50,16 +51,18 @@ def compare_runs(
         log.error("percentage differences need two runs or more")
         percentage = False
 
-    made = statistics(value, STATISTICS | (stats or {}))
+    columns, python = split_statistics(stats)
+    made = statistics(value, STATISTICS | columns)
     table = df.groupBy("tag", *facets).agg(F.count(value).alias("n"), *made)
+    if python:
+        table = _beside(table, python_statistics(df, ["tag", *facets], value, python), ["tag", *facets], list(python))
     if percentage:
         # A facet has at most one row per tag here, so the reference row is found without a join.
         facet = Window.partitionBy(*facets)
         reference = F.max(F.when(F.col("tag") == tags[0], F.col("gmean"))).over(facet)
         table = table.withColumn("perc_diff", (F.try_divide("gmean", reference) - 1) * 100)
         tests = two_sample_test(df, facets, value, tags, sliced=sliced, exact=exact)
-        matched = [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ["tag", *facets]]
-        table = table.alias("c").join(tests.alias("t"), matched, "left").select("c.*", "t.ks_d", "t.ks_p")
+        table = _beside(table, tests, ["tag", *facets], ["ks_d", "ks_p"])
 
     def shown(column: str) -> Column:
         return F.round(column, digits) if digits > 0 else F.col(column)
@@ -77,6 +80,12 @@ def compare_runs(
     return table.withColumns(labels)
 
 
+def _beside(table: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``table`` with columns of the row of ``other`` that has its keys; null keys are equal."""
+    matched = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    return table.alias("c").join(other.alias("t"), matched, "left").select("c.*", *[F.col(f"t.`{c}`") for c in columns])
+
+
 def comparison_order(df: DataFrame, sort: Sequence[str] | None = None, order_cluster: bool = False) -> DataFrame:
     """Rows in the order of the table: by metric, rank of the cluster if asked, and run; or as given."""
     keys = list(sort) if sort else ["metric", *(["order_cluster"] if order_cluster else []), "order_tag"]

@@ -7,6 +7,7 @@ file's path and the order of rows from its row index.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -173,18 +174,60 @@ def unique_times(df: DataFrame, options: Options | None = None) -> DataFrame:
     return numbered.withColumn("t_ns", F.col("t_ns") + F.col("nth") - 1).drop("nth", "piece")
 
 
-def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Benchmark results of several runs in one table; a column some lack is null there."""
-    columnar = [p for p in paths if p.endswith((".parquet", ".pqt", ".pq"))]
-    tables = [spark.read.option("mergeSchema", True).parquet(*columnar)] if columnar else []
+COLUMNAR = (".parquet", ".pqt", ".pq")
+RESULT_FILES, FRAME_FILES = "results*", "*jankbench*"
+
+
+def files_of(spark: SparkSession, runs: Runs, pattern: str) -> list[str]:
+    """Paths of a run's own tables, at any depth below the runs' directories. Only names are listed."""
+    roots = [f"{runs.root}/{name}" for name in runs.names]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", f"{pattern}.{{csv,{','.join(e[1:] for e in COLUMNAR)}}}").load(roots)
+    return sorted(r["path"] for r in listed.select("path").collect())
+
+
+def _tables(spark: SparkSession, paths: Sequence[str], named: Sequence[str]) -> DataFrame:
+    """Files of several schemas as one table; a column some lack is null there. One scan for all CSV files of one header.
+
+    A CSV file's header is the line that has all of ``named`` among its fields: lines are read one by one, no file is held.
+    """
+    columnar = [p for p in paths if p.endswith(COLUMNAR)]
+    tables = [spark.read.option("mergeSchema", True).parquet(*columnar).select("*", F.col("_metadata.file_path").alias("_path"))] if columnar else []
     if lines := [p for p in paths if p not in columnar]:
-        # one scan for all files of one header
-        heads = spark.read.text(lines, wholetext=True).select(
-            F.col("_metadata.file_path").alias("path"), F.trim(F.substring_index("value", "\n", 1)).alias("head")
-        )
-        for r in heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect():
-            tables.append(spark.read.option("header", True).option("enforceSchema", False).csv(r["paths"]))
-    if not tables:
+        fields = F.transform(F.split(F.trim("value"), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+        heads = spark.read.text(lines).filter(reduce(lambda a, b: a & b, [F.array_contains(fields, n) for n in named])).select(
+            F.col("_metadata.file_path").alias("path"), F.trim("value").alias("head")).distinct()
+        of_head = heads.groupBy("head").agg(F.collect_set("path").alias("paths")).orderBy("head").collect()  # as many as files
+        if without := len(lines) - sum(len(r["paths"]) for r in of_head):
+            raise MissingRuns(f"{without} files have no header with {', '.join(named)}")
+        for r in of_head:
+            table = spark.read.option("header", True).option("enforceSchema", False).csv(r["paths"])
+            tables.append(table.select("*", F.col("_metadata.file_path").alias("_path")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _with_run(table: DataFrame, runs: Runs | None) -> DataFrame:
+    """The run and iteration of each row: its own columns, or else those of the file's path."""
+    if runs is not None:
+        root = runs.root.rstrip("/").rpartition("/")[2]
+        run = F.nullif(F.regexp_extract("_path", f"/{re.escape(root)}/([^/]+)/", 1), F.lit(""))
+        iteration = F.nullif(F.regexp_extract("_path", r"/[^/-]+-[^/]+-(\d+)/[^/]+$", 1), F.lit(""))
+        own = lambda c: F.col(c).cast("string") if c in table.columns else F.lit(None).cast("string")
+        table = table.withColumns({"wa_path": F.coalesce(own("wa_path"), run), "iteration": F.coalesce(own("iteration"), iteration)})
+    return table.withColumns({"value": F.col("value").cast("double"), "iteration": F.col("iteration").cast("int")}).drop("_path")
+
+
+def read_results(spark: SparkSession, runs: Runs | Sequence[str]) -> DataFrame:
+    """Benchmark results of the listed runs (or of given files) in one table; a column some lack is null there."""
+    paths = files_of(spark, runs, RESULT_FILES) if isinstance(runs, Runs) else list(runs)
+    if not paths:
         raise MissingRuns("no results given")
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return table.withColumns({"value": F.col("value").cast("double"), "iteration": F.col("iteration").cast("int")})
+    return _with_run(_tables(spark, paths, ("metric", "value")), runs if isinstance(runs, Runs) else None)
+
+
+def read_frames(spark: SparkSession, runs: Runs) -> DataFrame:
+    """The per-frame table of the listed runs in long form: ``wa_path, iteration, variable, value``."""
+    paths = files_of(spark, runs, FRAME_FILES)
+    if not paths:
+        raise MissingRuns("no run has a table of frames")
+    return _with_run(_tables(spark, paths, ("variable", "value")), runs).select(*RUN_KEYS, "variable", "value")

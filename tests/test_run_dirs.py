@@ -315,3 +315,42 @@ def test_results_of_several_runs(spark, tmp_path):
     ]
     with pytest.raises(MissingRuns):
         scan.read_results(spark, [])
+
+
+def results_below(path):
+    for run, head, rows in (
+        ("wl_one_1_0101", "iteration,metric,value,unit", ["1,score,10,x", "2,score,11,x"]),
+        ("wl_two_1_0101", 'metric,"value",iteration,wa_path', ["score,20,1,wl_two_1_0101"]),
+    ):
+        job = path / "runs" / run / "wk1-wl-1" / "trace-events"
+        job.mkdir(parents=True)
+        (job.parent / "other.csv").write_text("a\n1\n")
+        (path / "runs" / run / "results.csv").write_text("\n".join([head, *rows]) + "\n")
+        frames = path / "runs" / run / "wk1-wl-1" / ("jankbench.csv" if "one" in run else "jankbench_2.csv")
+        frames.write_text("variable,value,extra\njank_frame,1,z\n" if "one" in run else "value,variable\n16.5,total_duration\n")
+    return scan.Runs(str(path / "runs"), ["wl_one_1_0101", "wl_two_1_0101"], None, None)
+
+
+def test_results_and_frames_by_listing(spark, tmp_path):
+    runs = results_below(tmp_path)
+    found = scan.read_results(spark, runs)
+    assert sorted((r.wa_path, r.iteration, r.metric, r.value, r.unit) for r in found.collect()) == [
+        ("wl_one_1_0101", 1, "score", 10.0, "x"), ("wl_one_1_0101", 2, "score", 11.0, "x"), ("wl_two_1_0101", 1, "score", 20.0, None)]
+    frames = scan.read_frames(spark, runs)
+    assert sorted(map(tuple, frames.collect())) == [("wl_one_1_0101", 1, "jank_frame", 1.0), ("wl_two_1_0101", 1, "total_duration", 16.5)]
+
+
+def test_results_in_columns_and_lines(spark, tmp_path):
+    runs = results_below(tmp_path)
+    spark.range(1).selectExpr("'fps' as metric", "3 as value", "7 as iteration").toPandas().to_parquet(tmp_path / "runs" / "wl_two_1_0101" / "results_2.pqt")
+    found = scan.read_results(spark, runs).filter("metric = 'fps'").collect()
+    assert [(r.wa_path, r.iteration, r.value) for r in found] == [("wl_two_1_0101", 7, 3.0)]
+
+
+def test_file_without_header_is_an_error(spark, tmp_path):
+    runs = results_below(tmp_path)
+    (tmp_path / "runs" / "wl_one_1_0101" / "results_3.csv").write_text("1,2\n")
+    with pytest.raises(MissingRuns, match="no header"):
+        scan.read_results(spark, runs)
+    with pytest.raises(MissingRuns):
+        scan.read_frames(spark, scan.Runs(str(tmp_path / "runs"), ["wl_one_1_0101/wk1-wl-1/trace-events"], None, None))

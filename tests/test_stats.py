@@ -178,3 +178,41 @@ def test_roll_up_keeps_a_channel_of_that_name(spark):
     df = spark.createDataFrame([("CPU", 1.0), ("CPU(big)", 2.0), ("GPU", 4.0)], "channel string, power double")
     got = sorted((r.channel, r.power) for r in roll_up_channels(df.withColumn("k", F.lit(1)), ["k"], "power").collect())
     assert got == [("CPU", 1.0), ("CPU", 3.0), ("CPU(big)", 2.0), ("GPU", 4.0), ("Total", 7.0)]
+
+
+def mean_of_parts():
+    from runweave.functions.stats import Mergeable
+
+    return Mergeable(lambda: (0.0, 0), lambda s, v: (s[0] + v.sum(), s[1] + len(v)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[0] / s[1] if s[1] else None)
+
+
+def test_python_statistics(spark, monkeypatch):
+    import numpy as np
+
+    from runweave.functions import stats
+
+    rows = [(g, v) for g in ("a", "b", None) for v in (1.0, 2.0, 9.0, None)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = stats.python_statistics(df, ["g"], "v", {"mean": mean_of_parts(), "middle": stats.Whole(np.median)})
+    assert {r["g"]: (r["mean"], r["middle"]) for r in got.collect()} == {"a": (4.0, 2.0), "b": (4.0, 2.0), None: (4.0, 2.0), "none": (None, None)}
+    everything = stats.python_statistics(df, [], "v", {"mean": mean_of_parts()}).collect()
+    assert [r["mean"] for r in everything] == [4.0]
+
+
+def test_python_statistics_of_many_groups(spark):
+    from runweave.functions import stats
+
+    df = spark.range(60_000).selectExpr("id % 25000 as g", "cast(id as double) as v")
+    got = stats.python_statistics(df, ["g"], "v", {"mean": mean_of_parts()})
+    want = df.groupBy("g").agg({"v": "avg"})
+    assert got.join(want, "g").filter("mean <> `avg(v)`").count() == 0 and got.count() == 25_000
+
+
+def test_kinds_of_statistics(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from runweave.functions import stats
+
+    columns, python = stats.split_statistics({"a": F.max, "b": lambda v: np.sort(v)[0], "c": mean_of_parts(), "d": np.median, "e": lambda v: F.sum(v) / 2})
+    assert set(columns) == {"a", "e"} and set(python) == {"b", "c", "d"}
