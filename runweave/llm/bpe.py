@@ -10,6 +10,9 @@ merge list can make: that is the sufficient lookahead. Tokens before the point w
 meet never change again and are emitted; only the positions after that point are kept. A position that no longer
 has a branch among the last L is let go.
 
+**Words.** Positions depend on the bytes before them only. So the pre-tokens of a batch that have not been seen are taken in sorted
+order, and each starts from the positions that it shares with the one before it: `Transducer.word`.
+
 **Parts.** `MergeList` is read from the vocabulary's JSON file. `Transducer` takes bytes of one pre-token in any
 chunks. `TextDecoder` is the other direction: bytes go in, text comes out as soon as a character is complete, and
 malformed bytes become U+FFFD by the usual rule of maximal parts. Pre-tokens (the file's split pattern) that have been
@@ -23,7 +26,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +39,8 @@ from runweave.llm.columns import without
 
 #: fixed values: the split pattern of this kind of vocabulary
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+KNOWN_PAIRS = 300_000  # pairs of tokens of which it is remembered whether they may be neighbours
+DECODED = 16_384  # ids that are decoded at once
 KNOWN_WORDS = 120_000  # entries of each of two tables of seen pre-tokens; the older one is dropped when the newer is full
 #: the same pattern for texts of code points below 256, where the classes can be written out
 _LETTERS, _NUMBERS, _SPACES = (
@@ -44,8 +49,9 @@ SPLIT_LATIN = re.compile(
     f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
     f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 LATIN = re.compile(r"[\x00-\xff]*\Z")
-LONG_WORD = 256  # bytes; longer pre-tokens are streamed and not kept
-CHUNK = 4096  # bytes of a long pre-token read at once
+CHUNK = 1024  # bytes of a pre-token read at once; after each chunk what is stable is emitted
+ROWS = 2_000  # of a batch that are encoded and decoded at once
+PIECE_CHARS = 4_000_000  # of texts whose unseen pre-tokens are encoded together
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -88,6 +94,7 @@ class MergeList:
             if a in usable and b in usable and self.neighbours(a, b, self.born[token]):
                 usable.add(token)
         self.lookahead = max(len(self.text_of[t]) for t in usable)
+        self.pairs: dict[int, bool] = {}
         #: every end of a usable token, with the token that it is, if it is one: a walk backwards stops early
         self.ends: dict[bytes, int | None] = {}
         for token in usable:
@@ -117,6 +124,17 @@ class MergeList:
                 return True
 
 
+    def fits(self, left: int, right: int) -> bool:
+        """`neighbours` of two whole tokens, remembered for a fixed number of pairs."""
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= KNOWN_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.neighbours(left, right)
+        return known
+
+
 class Transducer:
     """Bytes of one pre-token in, stable tokens out. Keeps the positions that a later byte can still branch from."""
 
@@ -126,24 +144,55 @@ class Transducer:
         self.last: list[tuple[int, int] | None] = [None]  # of each kept position: last token, where it starts
         self.before: int | None = None  # the last emitted token
 
-    def feed(self, data: bytes, stable: bool = True) -> list[int]:
-        """Take in bytes; return the tokens that no further byte can change (none unless `stable`)."""
-        last, ends, fits = self.last, self.merges.ends, self.merges.neighbours
+    def feed(self, data: bytes) -> list[int]:
+        """Take in bytes; return the tokens that no further byte can change."""
+        self._extend(data)
+        return self._stable()
+
+    def _extend(self, data: bytes) -> None:
+        """Add the position of each byte: the one token that fits there, and where it starts."""
+        last, ends, fits, before = self.last, self.merges.ends, self.merges.fits, self.before
         begin = len(self.kept)
         self.kept += data
-        kept = self.kept
+        kept, size = self.kept, self.merges.lookahead
         for end in range(begin + 1, len(kept) + 1):
-            start = end - 1
-            while True:
-                token = ends[kept[start:end]]  # the last byte alone is a token, so the walk ends before it leaves the table
+            if before is None and end <= size:
+                # nothing stands before: what is a token by itself is its own encoding
+                token = ends.get(kept[:end])
+                if token is not None:
+                    last.append((token, 0))
+                    continue
+            # tokens that end here, the longest first: exactly one fits what stands before it
+            start, found = end - 1, []
+            while start >= 0:
+                token = ends.get(kept[start:end], -1)
+                if token == -1:
+                    break
                 if token is not None and (start == 0 or last[start] is not None):
-                    # the first token after emitted ones still has to fit the last of those
-                    before = last[start][0] if start else self.before
-                    if before is None or fits(before, token):
-                        last.append((token, start))
-                        break
+                    found.append((token, start))
                 start -= 1
-        return self._stable() if stable else []
+            for token, start in reversed(found):
+                # the first token after emitted ones still has to fit the last of those
+                earlier = last[start][0] if start else before
+                if earlier is None or fits(earlier, token):
+                    last.append((token, start))
+                    break
+
+    def word(self, data: bytes) -> list[int]:
+        """All tokens of a pre-token. Positions of what its first chunk shares with that of the last one are taken over."""
+        head, kept = data[:CHUNK], self.kept
+        same, most = 0, min(len(kept), len(head))
+        while same < most and kept[same] == head[same]:
+            same += 1
+        del self.last[same + 1:]
+        self.kept = kept[:same]
+        if len(data) <= CHUNK:
+            self._extend(head[same:])
+            return [self.last[p][0] for p in self._path(len(self.kept))[1:]]
+        out = self.feed(head[same:])
+        for i in range(CHUNK, len(data), CHUNK):
+            out += self.feed(data[i:i + CHUNK])
+        return out + self.finish()
 
     def _path(self, position: int) -> list[int]:
         out = [position]
@@ -234,21 +283,26 @@ class Words(dict):
         self.machine = Transducer(merges)
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode("utf-8")
-        if len(data) <= LONG_WORD:
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode words that have not been seen, in sorted order."""
+        for word in sorted(words):  # code points are in the order of their bytes
+            data = word.encode("utf-8")
             packed = self.older.get(word)
             if packed is None:
-                self.machine.feed(data, stable=False)
-                tokens = self.machine.finish()
+                tokens = self.machine.word(data)
                 packed = struct.pack(f"<{len(tokens)}I", *tokens)
-            if len(self) >= KNOWN_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = packed
-            return packed
-        out = [np.array(self.machine.feed(data[i:i + CHUNK]), dtype="<u4").tobytes() for i in range(0, len(data), CHUNK)]
-        return b"".join(out) + np.array(self.machine.finish(), dtype="<u4").tobytes()
+            if len(data) <= CHUNK:  # the table is for words that come again, not for whole texts without a space
+                if len(self) >= KNOWN_WORDS:
+                    self.older = dict(self)
+                    self.clear()
+                self[word] = packed
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            tokens = self.machine.word(word.encode("utf-8"))
+            packed = np.array(tokens, dtype="<u4").tobytes()
+        return packed
 
 
 @lru_cache(maxsize=2)
@@ -272,13 +326,31 @@ def encode_text(text: str, path: str) -> bytes:
     return b"".join(out)
 
 
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """As `encode_text` of each, with the unseen pre-tokens of a few MB of text taken in sorted order."""
+    merges, words = machine(path)
+    out: list[bytes] = []
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= PIECE_CHARS):
+            size += len(texts[last])
+            last += 1
+        piece = texts[first:last]
+        split = [None if merges.split_special and any(s in t for s in merges.special) else pre_tokens(t) for t in piece]
+        words.learn({w for found in split if found for w in found if len(w) <= CHUNK}.difference(words))
+        out += [encode_text(t, path) if found is None else b"".join(map(words.__getitem__, found)) for t, found in zip(piece, split)]
+        first = last
+    return out
+
+
 def decode_ids(packed: bytes, path: str) -> str:
     """Text of ids, in runs of some thousand ids."""
     token = machine(path)[0].text_of
     decoder, out = TextDecoder(), []
     ids = np.frombuffer(packed, dtype="<u4")
-    for i in range(0, len(ids), 4 * CHUNK):
-        out.append(decoder.feed(b"".join([token[t] for t in ids[i:i + 4 * CHUNK].tolist()])))
+    for i in range(0, len(ids), DECODED):
+        out.append(decoder.feed(b"".join([token[t] for t in ids[i:i + DECODED].tolist()])))
     out.append(decoder.feed(b"", final=True))
     return "".join(out)
 
@@ -293,7 +365,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            packed = [encode_text(t.as_py() or "", path) for t in column]
+            packed = encode_texts([t or "" for t in column.to_pylist()], path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, ids])
 
     docs = without(docs, ids)
@@ -319,11 +391,11 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for i in range(0, batch.num_rows, 256):
-                packed = [encode_text(t.as_py() or "", path) for t in column.slice(i, 256)]
+            for i in range(0, batch.num_rows, ROWS):
+                packed = encode_texts([t or "" for t in column.slice(i, ROWS).to_pylist()], path)
                 texts = [decode_ids(p, path) for p in packed]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(i, 256).columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
+                    [*batch.slice(i, ROWS).columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
                     names=[*batch.schema.names, "ids", "decoded"])
 
     docs = without(docs, "ids", "decoded")

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 BATCH_ROWS = 2_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    """Path of a public vocabulary file, the same on driver and executors.
-
-    The folder is that of the installed vocabulary package, or the environment variable TOKENIZER_FILES.
-    """
-    folder = os.environ.get("TOKENIZER_FILES")
-    if folder:
-        return os.path.join(folder, name)
+    """Path of a file of the installed vocabulary package, the same on driver and executors."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

@@ -417,3 +417,17 @@ def test_toxicity(spark, docs, empty, texts):
     scores = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     assert scores[0] == scores[1] == scores[2] == 0.0 and all(0 <= s <= 1 for s in scores.values())
     assert toxicity.accepted(docs, labels.limit(0)).columns == docs.columns and toxicity.digest(empty, labels).count() == 0
+
+
+def test_bpe_of_many_texts_in_sorted_order(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    known, rng = Tokenizer.from_file(path), random.Random(7)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 40)
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 900)
+    many = [t or "" for t in texts] + ["".join(rng.choice("theandé \n") for _ in range(rng.randint(0, 300))) for _ in range(150)]
+    many += ["a" * n for n in (bpe.CHUNK - 1, bpe.CHUNK, bpe.CHUNK + 1, 5 * bpe.CHUNK)] + ["b" * 3000 + " " + "b" * 40]
+    got = bpe.encode_texts(many, path)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [known.encode(t, add_special_tokens=False).ids for t in many]
