@@ -385,26 +385,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(task, _added(df, {text: "string"}))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns and `ids`, `decoded`, in one pass over the rows."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", rows: int = ROWS) -> DataFrame:
+    """All columns and `ids`, `decoded`, in one pass over the table. Fewer `rows` at once take less memory and more time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for i in range(0, batch.num_rows, ROWS):
-                packed = encode_texts([t or "" for t in column.slice(i, ROWS).to_pylist()], path)
+            for i in range(0, batch.num_rows, rows):
+                packed = encode_texts([t or "" for t in column.slice(i, rows).to_pylist()], path)
                 texts = [decode_ids(p, path) for p in packed]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(i, ROWS).columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
+                    [*batch.slice(i, rows).columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
                     names=[*batch.schema.names, "ids", "decoded"])
 
     docs = without(docs, "ids", "decoded")
     return docs.mapInArrow(task, _added(docs, {"ids": "binary", "decoded": "string"}))
 
 
-def digest(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def digest(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", rows: int = ROWS) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded as by `round_trip`."""
-    both = round_trip(docs.select(F.col(key), F.col(text).alias("text")), path)
+    both = round_trip(docs.select(F.col(key), F.col(text).alias("text")), path, rows=rows)
     return both.select(
         F.col(key),
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
