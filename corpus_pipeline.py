@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
     bounded_batches(spark)
-    return bpe.digest(docs, vocabulary())
+    return bpe.digest(docs, vocabulary(), rows=256)
 
 
 STAGES = [
