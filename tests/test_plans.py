@@ -55,7 +55,7 @@ def test_only_small_sides_are_broadcast(spark):
         df = metrics.DATASETS[name](adapter.trace(spark, SF))
         logical = df._jdf.queryExecution().analyzed().toString()
         for i in [m.start() for m in hinted.finditer(logical)]:
-            assert re.search(r"LocalRelation|min\(t_ns|kernel|label", logical[i:i + 900])
+            assert re.search(r"LocalRelation|min\(t_ns|kernel|label|borders", logical[i:i + 900])
 
 
 def test_filters_and_columns_reach_the_scan(spark):
