@@ -161,6 +161,11 @@ def cgroup_members(trace: Trace) -> DataFrame:
     ).distinct()
 
 
+def only_members(trace: Trace, df: DataFrame) -> DataFrame:
+    """Rows of pids that were ever attached to one of the cgroups, whatever their name was then."""
+    return df.join(cgroup_members(trace).select(*RUN_KEYS, "pid").distinct(), [*RUN_KEYS, "pid"], "left_semi")
+
+
 def by_cgroup(trace: Trace, df: DataFrame) -> DataFrame:
     """Rows of tasks of a cgroup, once for each cgroup the task was ever attached to.
 

@@ -214,7 +214,8 @@ def cgroup_attach_task(trace):
 
 
 def _latency_by_cgroup(trace):
-    return tasks.by_cgroup(trace, tasks.wakeup_latency(trace))
+    # other tasks' wakeups and runs are left out before the order, not after it
+    return tasks.by_cgroup(trace, tasks.wakeup_latency(trace, tasks.only_members))
 
 
 def wakeup_latency_cgroup(trace):
