@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runweave.operators.ordered import follow, value_slice
 
 SLICE = "value_slice"
+EXACT_CELLS = 50_000_000  # of the band of the exact test, about 0.6 microseconds each
 TERMS = 30  # of the limiting series: either form is exact to all digits where it is used
 
 
@@ -107,8 +108,8 @@ def two_sample_test(
 
     Values are counted first; the reference tag's counts are then repeated for each other tag, and
     the greatest gap of the two running counts is found in whole numbers. The p-value is that of the
-    limiting distribution at every size, or the exact one if asked: its work grows with the product
-    of the sizes.
+    limiting distribution at every size, or the exact one if asked: its work grows with the greatest
+    gap times the product of the sizes.
     """
     facets = list(facets)
     reference, others = tags[0], list(tags[1:])
@@ -137,7 +138,8 @@ def two_sample_p(gap: str, n: str, m: str, exact: bool = False) -> Column:
 
     The limiting distribution has two series: one converges fast for large gaps, the other for small
     ones. Exact, for equal sizes: alternating sum of ratios of binomials. Exact, for unequal ones: share
-    of the lattice paths from (0,0) to (n,m) that leave the band.
+    of the lattice paths from (0,0) to (n,m) that leave the band, by a recursion over the band's cells; with more
+    than ``EXACT_CELLS`` of them an error.
     """
     root = f"(sqrt(cast({n} as double) * {m} / (cast({n} as double) + {m})) * {gap} / (cast({n} as double) * {m}))"
     limiting = F.expr(f"""
@@ -155,17 +157,21 @@ def two_sample_p(gap: str, n: str, m: str, exact: bool = False) -> Column:
           sequence(1, cast(k * ({gap} / {n}) as int)), 1D,
           (p, j) -> p * ({n} - cast(k * ({gap} / {n}) as int) + j) / ({n} + j)))))
     """
-    # Share of paths kept inside the band at (i, j), row by row.
-    first_row = f"transform(sequence(0, cast({m} as int)), j -> if(j * {n} < {gap}, 1D, 0D))"
+    # Share of paths kept inside the band, by diagonals i + j = d: the cells of the band only, from `low` on.
+    low = f"greatest(0L, d - {m}, cast(floor((d * {n} - {gap}) / ({n} + {m})) as bigint) + 1)"
+    high = f"least(d, cast({n} as bigint), cast(ceil((d * {n} + {gap}) / ({n} + {m})) as bigint) - 1)"
     lattice = f"""
       1D - element_at(aggregate(
-        sequence(1, cast({n} as int)), {first_row},
-        (above, i) -> aggregate(
-          sequence(1, cast({m} as int)),
-          array(if(i * {m} < {gap}, above[0], 0D)),
-          (row, j) -> concat(row, array(if(abs(i * {m} - j * {n}) >= {gap}, 0D,
-            (above[j] * i + row[j - 1] * j) / (i + j)))))), -1)
+        sequence(1L, cast({n} as bigint) + {m}), named_struct('low', 0L, 'kept', array(1D)),
+        (last, d) -> named_struct('low', {low}, 'kept', if({low} > {high}, array(0D), transform(sequence({low}, {high}), i ->
+          (coalesce(get(last.kept, cast(i - 1 - last.low as int)), 0D) * i
+            + coalesce(get(last.kept, cast(i - last.low as int)), 0D) * (d - i)) / d)))).kept, -1)
     """
+    cells = F.when(F.col(n) == F.col(m), F.lit(0.0)).otherwise(2 * F.col(gap))
+    small = F.when(cells <= EXACT_CELLS, F.expr(lattice)).otherwise(F.raise_error(F.concat(
+        F.lit("the exact test of "), F.col(n).cast("string"), F.lit(" and "), F.col(m).cast("string"),
+        F.lit(" values is too much work: ask for exact=False"),
+    )).cast("double"))
     return (
-        F.when(F.col(gap) == 0, 1.0).when(F.col(n) == F.col(m), F.expr(equal)).otherwise(F.expr(lattice))
+        F.when(F.col(gap) == 0, 1.0).when(F.col(n) == F.col(m), F.expr(equal)).otherwise(small)
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def compare_runs(
     facets: Sequence[str] = (),
     value: str = "value",
     *,
-    digits: int = 1,
+    digits: int | Mapping[str, int] = 1,
     percentage: bool = True,
     options: Options | None = None,
     sliced: bool = False,
@@ -32,7 +34,7 @@ def compare_runs(
     """Statistics over the iterations of each tag and facet, in long melt-like input ``df``.
 
     ``value`` of the result is the geometric mean; it, ``std`` and ``sem`` are rounded to ``digits``
-    places, unless that is 0. With ``percentage`` and two tags or more, ``perc_diff`` is the change
+    places, unless that is 0; a mapping gives the places by the value of the facet ``block``. With ``percentage`` and two tags or more, ``perc_diff`` is the change
     of the geometric mean from the first tag and ``ks_p`` the two-sample test against it; the first
     tag itself has a change of 0 and no p-value. Rows of tags that are not listed are left out.
     ``stats`` names further aggregates: functions of a column to an aggregate, Python functions of a numpy array of
@@ -64,8 +66,13 @@ def compare_runs(
         tests = two_sample_test(df, facets, value, tags, sliced=sliced, exact=exact)
         table = _beside(table, tests, ["tag", *facets], ["ks_d", "ks_p"])
 
+    def rounded(column: str, places: int) -> Column:
+        return F.round(column, places) if places > 0 else F.col(column)
+
     def shown(column: str) -> Column:
-        return F.round(column, digits) if digits > 0 else F.col(column)
+        if isinstance(digits, int):
+            return rounded(column, digits)
+        return F.coalesce(*[F.when(F.col("block") == name, rounded(column, d)) for name, d in digits.items()])
 
     table = table.withColumns({"value": shown("gmean"), "std": shown("std"), "sem": shown("sem")}).drop("gmean")
     labels = {"order_tag": tag_order("tag", tags), "value_label": human_number("value")}
@@ -80,6 +87,48 @@ def compare_runs(
     return table.withColumns(labels)
 
 
+@dataclass(frozen=True)
+class Asked:
+    """What a comparison is asked for, before it is made: several of them can be made at once."""
+
+    rows: DataFrame
+    facets: Sequence[str]
+    value: str
+    digits: int
+
+
+def asked(
+    df: DataFrame, tags: Sequence[str], facets: Sequence[str] = (), value: str = "value", *, digits: int = 1,
+    options: Options | None = None,
+) -> Asked:
+    """Takes the arguments of ``compare_runs``, for ``compare_stacked``."""
+    more = [c for c in ("metric", "unit") if c in df.columns and c not in facets]
+    return Asked(df.filter(F.col("tag").isin(list(tags))), [*facets, *more], value, digits)
+
+
+def compare_stacked(
+    parts: Mapping[str, Asked], tags: Sequence[str], *, options: Options | None = None, percentage: bool = True
+) -> DataFrame:
+    """Comparisons of several tables in one: one aggregation and one test over all of them.
+
+    The tables are stacked as ``block`` (their name in ``parts``), ``facet`` (a struct of all their facets as strings,
+    null where a table has no such facet), ``tag`` and ``value``; the result has a row per block, facet and tag.
+    """
+    names = sorted({facet for part in parts.values() for facet in part.facets})
+
+    def stacked(block: str, part: Asked) -> DataFrame:
+        own = [(F.col(f"`{n}`") if n in part.facets else F.lit(None)).cast("string").alias(n) for n in names]
+        return part.rows.select(
+            "tag", F.lit(block).alias("block"), F.struct(*own).alias("facet"), F.col(f"`{part.value}`").cast("double").alias("value")
+        )
+
+    rows = reduce(DataFrame.unionByName, [stacked(block, part) for block, part in parts.items()])
+    return compare_runs(
+        rows, tags, ["block", "facet"], digits={block: part.digits for block, part in parts.items()},
+        options=options, percentage=percentage,
+    )
+
+
 def _beside(table: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``table`` with columns of the row of ``other`` that has its keys; null keys are equal."""
     matched = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]

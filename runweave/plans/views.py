@@ -13,8 +13,9 @@ from runweave.plans.compare import compare_runs, series
 from runweave.plans.datasets import TARGET_FPS, Analysis, frame_target_counts
 
 
-def _bar(ana: Analysis, df: DataFrame, facets: Sequence[str], value="value", **how) -> DataFrame:
-    return compare_runs(df, ana.tags, facets, value, options=ana.options, **how)
+def _bar(ana: Analysis, df: DataFrame, facets: Sequence[str], value="value", compare=compare_runs, **how):
+    """``compare=asked`` leaves the comparison to ``compare_stacked``."""
+    return compare(df, ana.tags, facets, value, options=ana.options, **how)
 
 
 def _line(ana: Analysis, df: DataFrame, facets: Sequence[str] = (), value="value", x="iteration") -> DataFrame:
@@ -53,8 +54,8 @@ def perf_bar(ana, counters=None, **how):
 
 # Frames of the jank benchmark
 
-def jankbench_max_frame_durations(ana):
-    return _bar(ana, ana.dataset("jb_max_frame_duration"), ["variable"])
+def jankbench_max_frame_durations(ana, **how):
+    return _bar(ana, ana.dataset("jb_max_frame_duration"), ["variable"], **how)
 
 
 def jankbench_mean_frame_durations_line(ana):

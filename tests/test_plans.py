@@ -35,6 +35,12 @@ def test_no_python_and_no_all_pairs(spark, name):
 ONE_ROW = {"step_near_equal_test", "view_jankbench_frame_durations_hist", "view_jankbench_mean_frame_durations_bar", "view_summary"}
 
 
+def test_summary_is_one_comparison(spark):
+    """Eight blocks share one aggregation and one test: it was 101 exchanges by keys with a comparison for each."""
+    text = plan(catalogue.QUERIES["view_summary"](spark, SF))
+    assert text.count("Exchange hashpartitioning") <= 60
+
+
 @pytest.mark.parametrize("name", ["tasks_residency", "wakeup_latency", "energy_estimate", "idle_residency", "fps"])
 def test_sliced_windows_hold_a_slice(spark, name):
     trace = adapter.trace(spark, SF, SLICED)

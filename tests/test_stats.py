@@ -10,7 +10,7 @@ from runweave.functions import text
 from runweave.functions.stats import statistics
 from runweave.operators.distribution import ecdf, histogram, quantiles, two_sample_p, two_sample_test
 from runweave.operators.reshape import roll_up_channels
-from runweave.plans.compare import compare_runs, comparison_order, series, series_order
+from runweave.plans.compare import asked, compare_runs, compare_stacked, comparison_order, series, series_order
 from runweave.plans.metrics import sort_by_clusters
 from runweave.trace import Trace
 
@@ -153,6 +153,35 @@ def test_compare_runs(spark):
     assert {r.top for r in own.filter("tag = 'new'").collect()} == {8.0, 3.0}
 
 
+def test_stacked_comparison_is_that_of_each_part(spark):
+    tags = ["base", "new"]
+    one = spark.createDataFrame(
+        [(t, i, c, "ms", float(v + i)) for t, v in (("base", 3), ("new", 5)) for c in ("little", None) for i in range(4)],
+        "tag string, iteration int, cluster string, unit string, value double")
+    two = spark.createDataFrame([(t, i, 7 + i % 2, float(i + len(t))) for t in ("base", "new", "else") for i in range(6)],
+                                "tag string, iteration int, cpu int, time double")
+    three = two.limit(0)
+    parts = {"one": asked(one, tags, ["cluster"]), "two": asked(two, tags, ["cpu"], "time", digits=0),
+             "three": asked(three, tags, ["cpu"], "time")}
+    shown = ["tag", "n", "value", "std", "sem", "perc_diff", "ks_d", "ks_p", "bar_label"]
+    got = compare_stacked(parts, tags)
+    assert {r.block for r in got.collect()} == {"one", "two"}
+    for name, df, facet, value, digits in (("one", one, "cluster", "value", 1), ("two", two, "cpu", "time", 0)):
+        want = compare_runs(df, tags, [facet], value, digits=digits)
+        own = got.filter(F.col("block") == name).select(F.col("facet")[facet].alias("f"), *shown)
+        assert sorted(map(str, own.collect())) == sorted(map(str, want.select(F.col(facet).cast("string").alias("f"), *shown).collect()))
+
+
+def test_exact_p_of_thousands_of_values(spark):
+    row = spark.createDataFrame([(0.03 * 3000 * 2999, 3000, 2999), (3.0, 6, 4)], "gap double, n long, m long")
+    exact, small = [r.p for r in row.select(two_sample_p("gap", "n", "m", True).alias("p")).collect()]
+    limit = row.select(two_sample_p("gap", "n", "m").alias("p")).first().p
+    assert exact == pytest.approx(limit, abs=5e-3) and 0 <= small <= 1
+    many = spark.createDataFrame([(5e7, 30_000, 20_000)], "gap double, n long, m long")
+    with pytest.raises(Exception, match="too much work"):
+        many.select(two_sample_p("gap", "n", "m", True)).collect()
+
+
 def test_row_orders(spark):
     df = spark.createDataFrame(
         [("w", "k", i, c, 1.0) for i in (2, 1) for c in ("big", "little", "mid")],
