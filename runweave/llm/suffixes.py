@@ -10,11 +10,13 @@ segments, one for about 33 bytes; two equal strings are never in one segment. (1
 hashes are cut up). (2) Segments with equal bytes are aggregated to the earliest: groups of copies cost one row here. (3) Hashes with
 two or more different segments are brought together, about `TASK_STARTS` starts a task, and a suffix array over them finds equal strings. A
 hash with more than `HOT_SEGMENTS` different segments (the borders of a passage that very many texts share) is cut
-into its single strings, which are aggregated by their own hashes. (4) Marks return to their documents, where spans are cut out.
+into its single strings, which are aggregated by their own hashes. Joins by hash leave the rows of a hot hash where they are
+(`spread.py`). (4) Marks return to their documents, where spans are cut out.
 
 **Cases.** Null texts are empty; nothing shorter than 100 bytes is removed. Bytes are judged on the input, overlaps count,
-also within a document. Rows with a null id come last in order. Rows with equal ids and texts do not remove each other, as neither starts
-earlier; of one id, all rows are expected to have one text (else marks of all of them apply). An empty table gives no rows.
+also within a document. Rows with a null id come last in order. Rows with equal ids, or without one, and equal texts do not remove each
+other, as neither starts earlier; of those with unlike texts the order is that of a hash of the text, so what they share stays in one of
+them. An empty table gives no rows.
 Strings are compared byte by byte within a task and by 64 or 128 bits of hashes across tasks.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from runweave.llm import textbytes as tb
 from runweave.llm.repeats import repeated
+from runweave.llm.spread import spread_join
 from runweave.llm.storage import written
 
 LENGTH = 100
@@ -36,6 +39,7 @@ GRAM = 37
 RUN = LENGTH - GRAM + 1  # starts of one segment at most, so that a mark fits in 64 bits
 TASK_STARTS = 200_000
 HOT_SEGMENTS = 5_000
+SHARED_IDS = 200_000  # ids of several rows that are broadcast; with more of them all rows are told apart by their texts too
 LAST_ID = (1 << 63) - 1
 ALL = -1  # a mark with all bits
 
@@ -75,15 +79,16 @@ def segments_of(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """h: least hash, s: content, d: document, at: first start * 256 + number of starts."""
+    """h: least hash, s: content, d, c: document, at: first start * 256 + number of starts. docs: d, c, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, borders in tb.pieces(batches, "text"):
             text, first, size, h, s = segments_of(data, borders)
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(ids[text]), pa.array(first * 256 + size)], names=["h", "s", "d", "at"])
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(s), pa.array(ids[text]), pa.array(hashes[text]), pa.array(first * 256 + size)], names=["h", "s", "d", "c", "at"])
 
-    return docs.mapInArrow(task, "h bigint, s bigint, d bigint, at bigint")
+    return docs.mapInArrow(task, "h bigint, s bigint, d bigint, c bigint, at bigint")
 
 
 def suffix_order(text: np.ndarray, borders: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -150,7 +155,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
 
 
 def equal_strings(text: np.ndarray, borders: np.ndarray, sizes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Mark of each segment: bit o is set if its string at o also starts earlier, in another segment or in this one."""
+    """Mark of each segment: bit o is set if its string at o also starts earlier, in another segment or in this one.
+
+    doc: numbers that ascend with the documents' order.
+    """
     owner = np.repeat(np.arange(len(sizes)), np.diff(borders))
     offset = np.arange(len(text)) - borders[:-1][owner]
     order = suffix_order(text, borders)
@@ -173,16 +181,17 @@ CODEC = "zstd"
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """d, z: documents with packed bytes, as they are to be shuffled."""
+    """The keys of documents with z, their packed bytes, as they are to be shuffled. docs: whole numbers, then the text."""
+    keys = docs.columns[:-1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec(CODEC)
         for batch in batches:
-            rows = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
+            rows = [(t or "").encode("utf-8") for t in batch.column(len(keys)).to_pylist()]
             z = [len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["d", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=[*keys, "z"])
 
-    return docs.mapInArrow(task, "d bigint, z binary")
+    return docs.mapInArrow(task, ", ".join(f"{k} bigint" for k in keys) + ", z binary")
 
 
 def unpacked(z: bytes) -> bytes:
@@ -190,37 +199,40 @@ def unpacked(z: bytes) -> bytes:
 
 
 def segment_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `wanted` (h, s, d, at) with the bytes of their segments."""
-    lists = wanted.groupBy("d").agg(F.collect_list(F.struct("h", "s", "at")).alias("own"))
+    """The rows of `wanted` (h, s, d, c, at) with the bytes of their segments; of rows with equal ids and texts, those of each."""
+    lists = wanted.groupBy("d", "c").agg(F.collect_list(F.struct("h", "s", "at")).alias("own"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(2)
+            own = batch.column(3)
             heads, flat = own.offsets.to_numpy(), own.flatten()
             at = flat.field("at").to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(heads))
             first, size, base = at >> 8, at & 255, heads[0]
             cut = []
-            for i, z in enumerate(batch.column(1).to_pylist()):
+            for i, z in enumerate(batch.column(2).to_pylist()):
                 text = unpacked(z)
                 for j in range(heads[i] - base, heads[i + 1] - base):
                     cut.append(text[first[j]:first[j] + size[j] + LENGTH - 1])
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [flat.field("h"), flat.field("s"), batch.column(0).take(pa.array(row)), flat.field("at"), pa.array(cut, pa.binary())],
-                names=["h", "s", "d", "at", "cut"])
+                [flat.field("h"), flat.field("s"), batch.column(0).take(take), batch.column(1).take(take), flat.field("at"), pa.array(cut, pa.binary())],
+                names=["h", "s", "d", "c", "at", "cut"])
 
-    return texts.join(lists, "d").select("d", "z", "own").mapInArrow(task, "h bigint, s bigint, d bigint, at bigint, cut binary")
+    return texts.join(lists, ["d", "c"]).select("d", "c", "z", "own").mapInArrow(task, "h bigint, s bigint, d bigint, c bigint, at bigint, cut binary")
 
 
 def array_marks(cuts: DataFrame, tasks: int) -> DataFrame:
     """h, s, mark from one suffix array a task."""
 
     def task(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("d", "ascending"), ("at", "ascending")])
+        table = table.sort_by([("d", "ascending"), ("c", "ascending"), ("at", "ascending")])
         column = table["cut"].combine_chunks()
         text, borders = tb.packed(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks))
         at = table["at"].to_numpy()
-        marks = equal_strings(text, borders, at & 255, table["d"].to_numpy(), at >> 8)
+        d, c = table["d"].to_numpy(), table["c"].to_numpy()
+        doc = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (c[1:] != c[:-1]))])
+        marks = equal_strings(text, borders, at & 255, doc, at >> 8)
         return pa.table({"h": table["h"], "s": table["s"], "mark": marks})
 
     return cuts.groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks)).alias("task")).applyInArrow(task, "h bigint, s bigint, mark bigint")
@@ -233,8 +245,8 @@ def string_marks(cuts: DataFrame) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 batch = whole.slice(i, 4096)
-                text, borders = tb.packed(batch.column(4))
-                at = batch.column(3).to_numpy()
+                text, borders = tb.packed(batch.column(5))
+                at = batch.column(4).to_numpy()
                 size, first = at & 255, at >> 8
                 owner = np.repeat(np.arange(batch.num_rows), size)
                 o = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
@@ -244,33 +256,35 @@ def string_marks(cuts: DataFrame) -> DataFrame:
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(one.view(np.int64)), pa.array(other.view(np.int64)),
-                     batch.column(2).take(take), pa.array(first[owner] + o), pa.array(o.astype(np.int32))], names=["h", "s", "a", "b", "d", "p", "o"])
+                     batch.column(2).take(take), batch.column(3).take(take), pa.array(first[owner] + o), pa.array(o.astype(np.int32))],
+                    names=["h", "s", "a", "b", "d", "c", "p", "o"])
 
-    rows = cuts.mapInArrow(task, "h bigint, s bigint, a bigint, b bigint, d bigint, p bigint, o int")
-    least = rows.groupBy("a", "b").agg(F.min(F.struct("d", "p")).alias("x"), F.count("*").alias("n")).filter("n > 1")
-    later = rows.join(least, ["a", "b"]).filter("d <> x.d OR p <> x.p")
+    rows = written(cuts.mapInArrow(task, "h bigint, s bigint, a bigint, b bigint, d bigint, c bigint, p bigint, o int"))
+    least = written(rows.groupBy("a", "b").agg(F.min(F.struct("d", "c", "p")).alias("x"), F.count("*").alias("n")).filter("n > 1"))
+    later = spread_join(rows, least, ["a", "b"], "n").filter("d <> x.d OR c <> x.c OR p <> x.p")
     return later.groupBy("h", "s").agg(F.expr("bit_or(shiftleft(1L, o))").alias("mark"))
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """d, at, mark: starts of strings that also start earlier."""
+    """d, c, at, mark: starts of strings that also start earlier. docs: d, c, text."""
     spark = docs.sparkSession
-    found = written(repeated(segments(docs), "h", "d", "at"))
-    firsts = written(found.groupBy("h", "s").agg(F.min(F.struct("d", "at")).alias("x"), F.count("*").alias("n")))
+    found = written(repeated(segments(docs), "h", "d", "c", "at"))
+    firsts = written(found.groupBy("h", "s").agg(F.min(F.struct("d", "c", "at")).alias("x"), F.count("*").alias("n")))
     several = written(firsts.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"))
-    wanted = firsts.join(several, "h").select("h", "s", "x.d", "x.at", "segments")
+    wanted = spread_join(firsts, several, ["h"], "segments").select("h", "s", "x.d", "x.c", "x.at", "segments")
     small = wanted.filter(F.col("segments") <= HOT_SEGMENTS)
     starts = small.agg(F.sum(F.expr("at & 255"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-starts // TASK_STARTS))
-    cuts = written(segment_texts(packed_texts(docs), wanted.select("h", "s", "d", "at")))
+    cuts = written(segment_texts(packed_texts(docs), wanted.select("h", "s", "d", "c", "at")))
     hot = several.filter(F.col("segments") > HOT_SEGMENTS).select("h")
     own = array_marks(cuts.join(hot, "h", "left_anti"), parts)
     if not hot.isEmpty():
         own = own.unionAll(string_marks(cuts.join(hot, "h", "left_semi")))
+    own = own.filter("mark <> 0").groupBy("h", "s").agg(F.expr("bit_or(mark)").alias("mark"))  # once for rows that are repeated
     named = firsts.join(own, ["h", "s"], "left").select("h", "s", "x", "n", F.coalesce("mark", F.lit(0)).cast("bigint").alias("mark"))
-    named = named.filter("n > 1 OR mark <> 0").select("h", "s", "x", "mark")
-    is_first = (F.col("d") == F.col("x.d")) & (F.col("at") == F.col("x.at"))
-    marked = found.join(named, ["h", "s"]).select("d", "at", F.when(is_first, F.col("mark")).otherwise(F.lit(ALL)).cast("bigint").alias("mark"))
+    named = written(named.filter("n > 1 OR mark <> 0"))
+    is_first = (F.col("d") == F.col("x.d")) & (F.col("c") == F.col("x.c")) & (F.col("at") == F.col("x.at"))
+    marked = spread_join(found, named, ["h", "s"], "n").select("d", "c", "at", F.when(is_first, F.col("mark")).otherwise(F.lit(ALL)).cast("bigint").alias("mark"))
     return marked.filter("mark <> 0")
 
 
@@ -289,15 +303,29 @@ def removed_spans(length: int, at: np.ndarray, mark: np.ndarray) -> tuple[np.nda
     return turns[0::2], turns[1::2]
 
 
+def ordered_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """d, c, text: the rows in the order of (d, c). c is 0 where the id is the row's own, else a hash of its text.
+
+    Only ids are read to find the shared ones; all rows without an id share one.
+    """
+    own = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("d"), F.col(text).alias("text"))
+    shared = written(own.groupBy("d").agg(F.count("*").alias("rows")).filter("rows > 1").select("d", F.lit(True).alias("shared")))
+    hashed = F.xxhash64("text")
+    if shared.count() > SHARED_IDS:
+        return own.select("d", hashed.alias("c"), "text")
+    told = F.when(F.col("shared"), hashed).otherwise(F.lit(0)).cast("bigint")
+    return own.join(F.broadcast(shared), "d", "left").select("d", told.alias("c"), "text")
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, spans (begin, end of removed runs of bytes), kept (bytes that are left) of every row."""
-    own = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("d"), F.col(text).alias("text"))
-    lists = marks(own).groupBy("d").agg(F.collect_list(F.struct("at", "mark")).alias("own"))
+    own = ordered_rows(docs, key, text)
+    lists = marks(own).groupBy("d", "c").agg(F.collect_set(F.struct("at", "mark")).alias("own"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, runs, kept = [], [], []
-            for z, own in zip(batch.column(1), batch.column(2)):
+            for z, own in zip(batch.column(2), batch.column(3)):
                 data = unpacked(z.as_py())
                 sizes.append(len(data))
                 begins = ends = np.zeros(0, np.int64)
@@ -309,7 +337,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                 names=["d", "n_bytes", "spans", "kept"])
 
-    out = packed_texts(own).join(lists, "d", "left").select("d", "z", "own").mapInArrow(task, "d bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+    out = packed_texts(own).join(lists, ["d", "c"], "left").select("d", "c", "z", "own").mapInArrow(task, "d bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
     return out.select(F.when(F.col("d") == LAST_ID, None).otherwise(F.col("d")).alias(key), "n_bytes", "spans", "kept")
 
 

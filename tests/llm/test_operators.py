@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from runweave.llm import bpe, decontaminate, graph, licenses, lines, minhash, passages, quality, sharding, suffixes, toxicity
+from runweave.llm import bpe, decontaminate, graph, licenses, lines, minhash, passages, quality, sharding, spread, suffixes, toxicity
 from runweave.llm import textbytes as tb
 from runweave.llm.settings import vocabulary
 
@@ -101,6 +102,31 @@ def test_suffixes_of_null_ids_and_repeated_rows(spark):
     assert got == [(-1, len(text)), (7, 0), (7, 0)]
 
 
+@pytest.mark.parametrize("shared", [200_000, 0])
+def test_suffixes_of_unlike_texts_without_an_id(spark, monkeypatch, shared):
+    monkeypatch.setattr(suffixes, "SHARED_IDS", shared)
+    kept, lost, own, other = made_up(60, 9), made_up(70, 10), made_up(80, 11), made_up(90, 12)
+    rows = [(1, lost), (None, lost), (None, own), (None, own), (3, kept), (3, other), (3, f"{other} {kept}")]
+    got = {}
+    for r in suffixes.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, len(r.kept)))
+    assert got[1] == [(len(lost), len(lost))]
+    assert sorted(got[None]) == sorted([(len(lost), 0), (len(own), len(own)), (len(own), len(own))])
+    # three texts of one id: one of two that share a passage gives it up, and nothing else is lost
+    assert sum(k for _, k in got[3]) in range(len(kept) + len(other), len(kept) + len(other) + 3)
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 1), (None, 3), (4, 2)) for i in range(n)], "k bigint, i int")
+    facts = rows.groupBy("k").count().filter("k is null or k <> 4").withColumn("x", F.lit("f"))
+    want = sorted(map(tuple, rows.join(facts, "k").select("k", "i", "x").collect()))
+    for heavy in (1, 3, 10_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(spread, "HEAVY", heavy)
+            got = spread.spread_join(rows, facts, ["k"], "count").select("k", "i", "x")
+            assert sorted(map(tuple, got.collect())) == want and len(want) == 51
+
+
 def test_licenses(docs, texts):
     got = {r.doc_id: r for r in licenses.digest(docs).collect()}
     assert got[4].base_labels == "mit" and got[4].n_base == 1 and got[4].first_word == got[4].last_word == 0 and got[4].score == 0.5
