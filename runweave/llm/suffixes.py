@@ -10,8 +10,8 @@ segments, one for about 33 bytes; two equal strings are never in one segment. (1
 hashes are cut up). (2) Segments with equal bytes are aggregated to the earliest: groups of copies cost one row here. (3) Hashes with
 two or more different segments are brought together, about `TASK_STARTS` starts a task, and a suffix array over them finds equal strings. A
 hash with more than `HOT_SEGMENTS` different segments (the borders of a passage that very many texts share) is cut
-into its single strings, which are aggregated by their own hashes. Joins by hash leave the rows of a hot hash where they are
-(`spread.py`). (4) Marks return to their documents, where spans are cut out.
+into its single strings, which are aggregated by their own hashes. (4) Marks return to
+their segments, those of hot ones without moving rows (`spread.py`), and with them to their documents, where spans are cut out.
 
 **Cases.** Null texts are empty; nothing shorter than 100 bytes is removed. Bytes are judged on the input, overlaps count,
 also within a document. Rows with a null id come last in order. Rows with equal ids, or without one, and equal texts do not remove each
@@ -39,6 +39,7 @@ GRAM = 37
 RUN = LENGTH - GRAM + 1  # starts of one segment at most, so that a mark fits in 64 bits
 TASK_STARTS = 200_000
 HOT_SEGMENTS = 5_000
+PIECE_BYTES = 1 << 20  # of text that is hashed at once, some 100 bytes of memory each
 SHARED_IDS = 200_000  # ids of several rows that are broadcast; with more of them all rows are told apart by their texts too
 LAST_ID = (1 << 63) - 1
 ALL = -1  # a mark with all bits
@@ -82,7 +83,7 @@ def segments(docs: DataFrame) -> DataFrame:
     """h: least hash, s: content, d, c: document, at: first start * 256 + number of starts. docs: d, c, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, borders in tb.pieces(batches, "text"):
+        for batch, data, borders in tb.pieces(batches, "text", PIECE_BYTES):
             text, first, size, h, s = segments_of(data, borders)
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -259,9 +260,9 @@ def string_marks(cuts: DataFrame) -> DataFrame:
                      batch.column(2).take(take), batch.column(3).take(take), pa.array(first[owner] + o), pa.array(o.astype(np.int32))],
                     names=["h", "s", "a", "b", "d", "c", "p", "o"])
 
-    rows = written(cuts.mapInArrow(task, "h bigint, s bigint, a bigint, b bigint, d bigint, c bigint, p bigint, o int"))
-    least = written(rows.groupBy("a", "b").agg(F.min(F.struct("d", "c", "p")).alias("x"), F.count("*").alias("n")).filter("n > 1"))
-    later = spread_join(rows, least, ["a", "b"], "n").filter("d <> x.d OR c <> x.c OR p <> x.p")
+    rows = cuts.mapInArrow(task, "h bigint, s bigint, a bigint, b bigint, d bigint, c bigint, p bigint, o int")
+    least = rows.groupBy("a", "b").agg(F.min(F.struct("d", "c", "p")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    later = rows.join(least, ["a", "b"]).filter("d <> x.d OR c <> x.c OR p <> x.p")
     return later.groupBy("h", "s").agg(F.expr("bit_or(shiftleft(1L, o))").alias("mark"))
 
 
@@ -271,7 +272,7 @@ def marks(docs: DataFrame) -> DataFrame:
     found = written(repeated(segments(docs), "h", "d", "c", "at"))
     firsts = written(found.groupBy("h", "s").agg(F.min(F.struct("d", "c", "at")).alias("x"), F.count("*").alias("n")))
     several = written(firsts.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"))
-    wanted = spread_join(firsts, several, ["h"], "segments").select("h", "s", "x.d", "x.c", "x.at", "segments")
+    wanted = firsts.join(several, "h").select("h", "s", "x.d", "x.c", "x.at", "segments")
     small = wanted.filter(F.col("segments") <= HOT_SEGMENTS)
     starts = small.agg(F.sum(F.expr("at & 255"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-starts // TASK_STARTS))
