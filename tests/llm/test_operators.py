@@ -349,13 +349,39 @@ def test_passages_with_a_wide_insertion(spark):
     assert all(r["similarity"] >= 0.75 for r in rows)
 
 
-def test_ranks_of_windows(spark):
+def test_ties_of_windows(spark):
     rng = random.Random(6)
-    rows = [(rng.choice([5, 5, 5, rng.randrange(40)]), i // 3, i, i, [i]) for i in range(3000)]
-    got = passages.ranked(spark.createDataFrame(rows, "key bigint, d bigint, l bigint, r bigint, cs array<bigint>")).collect()
-    for key in {r[0] for r in rows}:
-        own = sorted((r.rank, r.d, r.l) for r in got if r.key == key)
-        assert own == [(n, r[1], r[2]) for n, r in enumerate(sorted(r for r in rows if r[0] == key))]
+    rows = [(rng.choice([5, 5, 5, rng.randrange(40)]), i // 3, i, i + 9) for i in range(3000)]
+    made = spark.createDataFrame(rows, "key bigint, d bigint, l bigint, r bigint").repartition(7)
+    got = [tuple(r) for r in passages.tied(made).select("key", "d", "l", "r", "e", "xl", "xr").collect()]
+    least = {}
+    for key, d, left, right in sorted(rows):
+        least.setdefault(key, (d, left, right))
+    assert sorted(got) == sorted((*r, *least[r[0]]) for r in rows if r[1] > least[r[0]][0])
+
+
+def test_passages_found_of_all_near_repeats(spark):
+    """Recall against all pairs of runs of 46 shingles, of passages edited to similarities around 0.75 and up."""
+    rng = random.Random(77)
+    passages_of = [made_up(rng.randint(55, 140), 1000 + i).split() for i in range(25)]
+    texts = []
+    for i in range(150):
+        own = [w if rng.random() > rng.choice([0, 0, 0.01, 0.03]) else f"edit{i}x{j}" for j, w in enumerate(rng.choice(passages_of))]
+        texts.append([*made_up(rng.randint(0, 80), 2000 + i).split(), *own, *made_up(rng.randint(0, 80), 3000 + i).split()])
+    rows = passage_rows(spark, *(" ".join(t) for t in texts))
+    found, asked, hit = {}, 0, 0
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["begin"], r["end"]))
+    sets = [[{hash(tuple(t[k:k + 5])) for k in range(a, a + 46)} for a in range(len(t) - 49)] for t in texts]
+    flat = [set().union(*s) if s else set() for s in sets]
+    for d in range(1, len(texts)):
+        near = [e for e in range(d) if len(flat[d] & flat[e]) >= 36]
+        for a, one in enumerate(sets[d]):
+            if any(len(one & other) * 100 >= 75 * len(one | other) for e in near for other in sets[e]):
+                asked += 1
+                hit += any(b < a + 50 and a < c for b, c in found.get(d + 1, []))
+    print("passages found:", hit, "of", asked)
+    assert asked > 2000 and hit >= 0.9 * asked
 
 
 def test_bpe(docs, empty, texts):
