@@ -353,11 +353,20 @@ def test_ties_of_windows(spark):
     rng = random.Random(6)
     rows = [(rng.choice([5, 5, 5, rng.randrange(40)]), i // 3, i, i + 9) for i in range(3000)]
     made = spark.createDataFrame(rows, "key bigint, d bigint, l bigint, r bigint").repartition(7)
-    got = [tuple(r) for r in passages.tied(made).select("key", "d", "l", "r", "e", "xl", "xr").collect()]
     least = {}
     for key, d, left, right in sorted(rows):
         least.setdefault(key, (d, left, right))
-    assert sorted(got) == sorted((*r, *least[r[0]]) for r in rows if r[1] > least[r[0]][0])
+    for hot in ([], [5], [5, 7, 99]):
+        got = [tuple(r) for r in passages.tied(made, hot).select("key", "d", "l", "r", "e", "xl", "xr").collect()]
+        assert sorted(got) == sorted((*r, *least[r[0]]) for r in rows if r[1] > least[r[0]][0])
+
+
+def test_hot_keys_of_windows(spark):
+    one = made_up(100, 7)
+    rows = [(i, one if i % 3 == 0 else made_up(100, 5000 + i)) for i in range(6000)]
+    hot = passages.hot_keys(spark.createDataFrame(rows, "d bigint, text string").repartition(4))
+    keys = {r.key for r in passages.windows(spark.createDataFrame([(1, one)], "d bigint, text string")).collect()}
+    assert set(hot) <= keys and passages.hot_keys(spark.createDataFrame([], "d bigint, text string")) == []
 
 
 def test_passages_found_of_all_near_repeats(spark):
