@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from runweave.operators.distribution import quantiles, signal_mean
 from runweave.operators.ordered import cut_by, follow
 from runweave.operators.reshape import melt, roll_up_channels
 from runweave.plans import metrics
+from runweave.sources.sink import read_dataset
 from runweave.trace import NS, Trace
 
 QUANTILES = (0.9, 0.95, 0.99)
@@ -123,11 +123,7 @@ def of_store(
     listed = [r.wa_path for r in runs.filter(F.col("tag").isin(list(tags))).select("wa_path").collect()]
 
     def source(name):
-        try:
-            stored = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException:
-            return None
-        return stored.filter(F.col("wa_path").isin(listed))
+        return read_dataset(spark, path, name, listed)
 
     return Analysis(spark, source, runs, tags, label, options or Options(), results, frames)
 

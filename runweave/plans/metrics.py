@@ -307,7 +307,7 @@ def run_metrics(
     """Write the datasets of the metrics below ``path``; one that fails does not stop the others.
 
     A metric fails when Spark raises, and when a dataset has no row of any run in hand; rows of
-    these runs from an earlier call are then gone. A run without rows beside others is logged.
+    these runs from an earlier call are then read no more. A run without rows beside others is logged.
 
     Steps shared by several metrics are written once below ``stage``, when it is given. Returns
     the message of each metric that failed.

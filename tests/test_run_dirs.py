@@ -10,7 +10,7 @@ from runweave import Options
 from runweave.config import energy_model
 from runweave.errors import MissingConfig, MissingEvent, MissingRuns, RunweaveError
 from runweave.plans import datasets, metrics, views
-from runweave.sources import quality, scan
+from runweave.sources import quality, scan, sink
 from tests.rundirs import RUN_A, RUN_B, write_job, write_runs
 
 MODEL = energy_model({
@@ -217,13 +217,13 @@ def test_written_metrics(spark, trace, runs, root, tmp_path):
     assert failed == {}
     with pytest.raises(RunweaveError):
         metrics.run_metrics(trace, out, ["nonsense"])
-    before = spark.read.parquet(f"{out}/tasks_residency").count()
+    before = sink.read_dataset(spark, out, "tasks_residency").count()
 
     # A rerun of one run replaces that run only.
     only_b = scan.scan_trace(spark, scan.list_runs(spark, str(root), [RUN_B]))
     failed = metrics.run_metrics(only_b, out, ["tasks-residency", "energy-estimate"])
     assert list(failed) == ["energy-estimate"]
-    assert spark.read.parquet(f"{out}/tasks_residency").count() == before
+    assert sink.read_dataset(spark, out, "tasks_residency").count() == before
 
     ana = datasets.of_store(spark, out, trace.runs, ["base", "new_idea"], "speedometer", trace.options)
     bars = views.tasks_cpu_residency_cluster_bar(ana).filter("cluster = 'little'").collect()
@@ -252,7 +252,7 @@ def test_failed_metric_does_not_stop_others(spark, tmp_path):
         trace, str(tmp_path / "out"), ["perf-trace-event", "wakeup-latency", "idle", "thermal"]
     )
     assert sorted(failed) == ["idle", "perf-trace-event", "wakeup-latency"]
-    assert spark.read.parquet(str(tmp_path / "out" / "thermal")).count() == 2
+    assert sink.read_dataset(spark, str(tmp_path / "out"), "thermal").count() == 2
 
 
 def test_unreadable_file_is_an_error(spark, runs):
@@ -264,21 +264,47 @@ def test_unreadable_file_is_an_error(spark, runs):
 def test_rerun_without_rows_leaves_nothing_stale(spark, trace, tmp_path):
     out = str(tmp_path)
     assert metrics.run_metrics(trace, out, ["overutil"]) == {}
-    assert spark.read.parquet(f"{out}/overutilized").count() > 0
+    assert sink.read_dataset(spark, out, "overutilized").count() > 0
     gone = replace(trace, tables={**trace.tables, "sched_overutilized": trace.event("sched_overutilized").limit(0)})
     assert list(metrics.run_metrics(gone, out, ["overutil", "thermal"])) == ["overutil"]
-    assert not any((tmp_path / "overutilized").rglob("*.parquet"))
+    assert sink.read_dataset(spark, out, "overutilized") is None
     # Spark's own errors stop the metric they belong to only
     few = replace(trace, options=trace.options.overridden({"perf_counter_ids": {8: "INST_RETIRED"}}))
     assert list(metrics.run_metrics(few, out, ["perf-trace-event", "thermal"])) == ["perf-trace-event"]
-    assert spark.read.parquet(f"{out}/thermal").count() > 0
+    assert sink.read_dataset(spark, out, "thermal").count() > 0
+
+
+def test_readers_see_all_of_a_rerun_or_nothing(spark, tmp_path):
+    out = str(tmp_path)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "wa_path string, v int")
+
+    def read():
+        return sorted(map(tuple, sink.read_dataset(spark, out, "d").select("wa_path", "v").collect()))
+
+    assert sink.read_dataset(spark, out, "d") is None
+    assert sink.write_dataset(rows, out, "d", runs=["a", "b", "c"]) == {"a": 2, "b": 1, "c": 0}
+    early = sink.read_dataset(spark, out, "d").select("wa_path", "v")
+    # a rerun that fails after some of its rows are written
+    with pytest.raises(PySparkException):
+        sink.write_dataset(rows.withColumn("v", F.expr("if(v = 3, raise_error('broken'), v + 10)")), out, "d", runs=["a", "b"])
+    assert read() == [("a", 1), ("a", 2), ("b", 3)]
+    # one that ends replaces its runs only; a table opened before still has its rows
+    assert sink.write_dataset(rows.filter("wa_path = 'a'").withColumn("v", F.col("v") + 10), out, "d", runs=["a"]) == {"a": 2}
+    assert read() == [("a", 11), ("a", 12), ("b", 3)]
+    assert sorted(map(tuple, early.collect())) == [("a", 1), ("a", 2), ("b", 3)]
+    assert sink.replaced_versions(spark, out, "d").count() == 0  # run b still stands in the first
+    assert sink.write_dataset(rows.limit(0), out, "d", runs=["a", "b"]) == {"a": 0, "b": 0}
+    assert sink.read_dataset(spark, out, "d") is None and sink.replaced_versions(spark, out, "d").count() == 2
+    sink.write_dataset(rows.filter("v = 3"), out, "d", gather=False)
+    assert read() == [("b", 3)]
+    assert [r.v for r in sink.read_dataset(spark, out, "d", ["b", "z"]).collect()] == [3] and sink.read_dataset(spark, out, "d", ["z"]) is None
 
 
 def test_store_gives_the_runs_asked_for(spark, trace, tmp_path):
     out = str(tmp_path)
     metrics.run_metrics(trace, out, ["thermal"])
-    other = spark.read.parquet(f"{out}/thermal").filter(F.col("wa_path") == RUN_A).toPandas().assign(wa_path="other_base_2_0101")
-    spark.createDataFrame(other).write.mode("append").partitionBy("wa_path").parquet(f"{out}/thermal")
+    other = sink.read_dataset(spark, out, "thermal").filter(F.col("wa_path") == RUN_A).toPandas().assign(wa_path="other_base_2_0101")
+    sink.write_dataset(spark.createDataFrame(other), out, "thermal")
     ana = datasets.of_store(spark, out, trace.runs, ["base", "new_idea"], "speedometer", trace.options)
     assert {r.wa_path for r in ana.load("thermal").collect()} == {RUN_A, RUN_B}
 
