@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from runweave.operators.ordered import even_borders, follow, kept_once, slice_of
 
 ROWS_PER_SLICE = 2_000_000
-CHUNK = 4096  # ranks in one array
+BLOCK = 4096  # intervals of one side in one array, and of the other that meet it in one group
 SIDE, AT, PART = "_side", "_at", "_part"
 
 
@@ -77,8 +77,9 @@ def overlaps(
 
     ``left`` and ``right`` are structs of the sides' columns. Intervals of either side may overlap each other. Of two that
     overlap, one begins while the other lasts; so each side's intervals are numbered by their start, and an interval's partners
-    that begin while it lasts are the numbers between two running counts. Pairs come from an equal join on these numbers, and as
-    many are made as there are results. Empty intervals and null keys or times match nothing.
+    that begin while it lasts are the numbers between two running counts. The other side's intervals lie in arrays of `BLOCK`
+    consecutive numbers, and an interval is joined to the arrays its partners are in: pairs are made from these as the last
+    step, as many as there are results, and are never moved or written. Empty intervals and null keys or times match nothing.
     """
     def usable(df: DataFrame) -> DataFrame:
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(start) < F.col(end))
@@ -96,7 +97,7 @@ def overlaps(
     left, right = numbered(left), numbered(right)
 
     def beginning(during: DataFrame, others: DataFrame, after: bool) -> DataFrame:
-        """(keys, _no, other): others that begin in [from, to) of an interval, or in (from, to) if ``after`` it."""
+        """(keys, _no, _lo, _hi): the others numbered above _lo and up to _hi begin in [from, to) of an interval, or in (from, to) if ``after``."""
         point = lambda df, at, kind, no: df.select(*keys, F.col(at).alias(AT), F.lit(kind).alias("_kind"), no.alias("_no"))
         none = F.lit(None).cast("int")
         # at one time: ends are asked before others begin, starts before them or after them
@@ -104,15 +105,27 @@ def overlaps(
             point(during, "_from", 1 if after else -2, F.col("_no")))
         cut = points.withColumns({PART: slice_of(borders, AT), "_one": (F.col("_kind") == 0).cast("long"), "_id": F.coalesce("_no", F.lit(0))})
         counted = follow(cut, keys, [AT, "_kind", "_id"], slice_col=PART, total={"_seen": "_one"}).filter("_kind <> 0")
-        spans = counted.groupBy(*keys, "_no").agg(
+        return counted.groupBy(*keys, "_no").agg(
             F.max(F.when(F.col("_kind") != -1, F.col("_seen"))).alias("_lo"), F.max(F.when(F.col("_kind") == -1, F.col("_seen"))).alias("_hi")).filter("_hi > _lo")
-        chunks = spans.select(*keys, "_no", "_hi", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(CHUNK).cast("long"))).alias("_lo"))
-        last = F.least(F.col("_hi"), F.col("_lo") + CHUNK)
-        return chunks.select(*keys, "_no", F.explode(F.sequence((F.col("_lo") + 1).cast("int"), last.cast("int"))).alias("_other"))
-
-    pairs = beginning(left, right, False).withColumnsRenamed({"_no": "_l", "_other": "_r"}).unionByName(
-        beginning(right, left, True).withColumnsRenamed({"_no": "_r", "_other": "_l"}))
-    lefts = left.select(*keys, F.col("_no").alias("_l"), F.col("_own").alias("left"), F.col("_from").alias("_lf"), F.col("_to").alias("_lt"))
-    rights = right.select(*keys, F.col("_no").alias("_r"), F.col("_own").alias("right"), F.col("_from").alias("_rf"), F.col("_to").alias("_rt"))
-    joined = pairs.join(lefts, [*keys, "_l"]).join(rights, [*keys, "_r"])
-    return joined.select(*keys, "left", "right", (F.least("_lt", "_rt") - F.greatest("_lf", "_rf")).alias("overlap"))
+
+    def paired(during: DataFrame, others: DataFrame, after: bool) -> DataFrame:
+        """(keys, _own, _from, _to, _other): each interval with all others that begin while it lasts."""
+        row = F.struct("_no", "_own", "_from", "_to")
+        ordered = F.array_sort(F.collect_list(row), lambda a, b: (a["_no"] - b["_no"]).cast("int"))
+        blocks = others.groupBy(*keys, F.expr(f"(_no - 1) div {BLOCK}").alias("_block")).agg(ordered.alias("_others"))
+        asked = beginning(during, others, after).join(during, [*keys, "_no"]).select(
+            *keys, F.expr(f"_no div {BLOCK}").alias("_share"), "_own", "_from", "_to", "_lo", "_hi",
+            F.explode(F.expr(f"sequence(_lo div {BLOCK}, (_hi - 1) div {BLOCK})")).alias("_block"))
+        # a block that very many meet goes out once for each share of them: no group has more than BLOCK * BLOCK pairs
+        asked = kept_once(asked)
+        met = asked.select(*keys, "_block", "_share").distinct().join(blocks, [*keys, "_block"])
+        first = F.greatest(F.col("_lo") - F.col("_block") * BLOCK, F.lit(0))
+        last = F.least(F.col("_hi") - F.col("_block") * BLOCK, F.lit(BLOCK))
+        partners = F.slice("_others", (first + 1).cast("int"), (last - first).cast("int"))
+        return asked.join(met.hint("merge"), [*keys, "_block", "_share"]).select(*keys, "_own", "_from", "_to", F.explode(partners).alias("_other"))
+
+    def sides(pairs: DataFrame, left: str, right: str) -> DataFrame:
+        shared = F.least("_to", "_other._to") - F.greatest("_from", "_other._from")
+        return pairs.select(*keys, F.col(left).alias("left"), F.col(right).alias("right"), shared.alias("overlap"))
+
+    return sides(paired(left, right, False), "_own", "_other._own").unionByName(sides(paired(right, left, True), "_other._own", "_own"))

@@ -1,9 +1,11 @@
 """As-of matches and overlapping intervals against loops, with ties, nulls, one hot key and tiny slices."""
 
 import random
+import re
 
 import pytest
 
+from runweave.operators import matching
 from runweave.operators.matching import asof, overlaps
 from runweave.operators.ordered import even_borders, slice_of
 
@@ -85,3 +87,21 @@ def test_borders_have_equal_counts(spark):
     sizes = df.groupBy(slice_of(borders, "t").alias("s")).count().collect()
     assert max(r["count"] for r in sizes) <= 200
     assert even_borders(df.limit(0), "t", 10) == []
+
+
+def test_pairs_are_made_last_from_blocks(spark, monkeypatch):
+    """Pairs grow with the square of a key's intervals: they are neither exchanged nor written, whatever the size of a block."""
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    rng = random.Random(3)
+    left, right = ([("hot", start, start + rng.randrange(1, 90), i) for i in range(n) for start in [rng.randrange(100)]] for n in (70, 50))
+    schema = "k string, t_ns bigint, t_end_ns bigint, i int"
+    got = overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], rows_per_slice=9)
+    want = sorted((a[3], b[3], min(a[2], b[2]) - max(a[1], b[1])) for a in left for b in right if a[1] < b[2] and b[1] < a[2])
+    assert sorted((r["left"]["i"], r["right"]["i"], r["overlap"]) for r in got.collect()) == want and len(want) > 1000
+    lines = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    made = [i for i, line in enumerate(lines) if "Generate explode(slice" in line]
+    assert len(made) == 2
+    for i in made:
+        depth = len(re.match(r"[\s:+-]*", lines[i]).group())
+        above = [x for x in lines[:i] if len(re.match(r"[\s:+-]*", x).group()) < depth]
+        assert not [x for x in above if "Exchange" in x or "Join" in x]
