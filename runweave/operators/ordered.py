@@ -82,6 +82,20 @@ def slice_of(borders: str | Sequence[int], time: str) -> Column:
     return F.when(size == 0, F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
 
 
+def with_slice(df: DataFrame, name: str, borders: str, time: str) -> DataFrame:
+    """``df`` with `slice_of` as a column, for borders that are an array column.
+
+    One step of the search is one projection: these are compiled together with the join that brings the borders, so that the array is not
+    copied for every row, which would make a row cost more the more slices there are.
+    """
+    size = F.coalesce(F.size(borders), F.lit(0))
+    df = df.withColumn(name, F.lit(0))
+    for bit in reversed(range(GRID.bit_length())):
+        ahead = F.col(name) + F.lit(1 << bit)
+        df = df.withColumn(name, F.when((ahead <= size) & (F.get(borders, ahead - 1) <= F.col(time)), ahead).otherwise(F.col(name)))
+    return df
+
+
 def follow(
     df: DataFrame,
     keys: Sequence[str],

@@ -19,11 +19,13 @@ STATE = ("state", "frequency", "pid", "comm")
 IDLE_EXIT = 4294967295  # fixed value: the idle event's "left idle" code as an unsigned number
 
 
-def timeline(trace: Trace) -> DataFrame:
-    """Rows of all state changes with their slice, and for each slice what it inherits from the ones before (``carried``).
+def _laned(trace: Trace, rows: DataFrame) -> DataFrame:
+    """With ``lane``, the cluster of the CPU, or a lane of its own for a CPU of no cluster."""
+    return rows.select("*", F.coalesce(trace.options.cluster_of("cpu"), F.concat(F.lit("cpu"), F.col("cpu").cast("string")), F.lit("")).alias("lane"))
 
-    ``lane`` is the cluster of the CPU, or a lane of its own for a CPU of no cluster.
-    """
+
+def changes(trace: Trace) -> DataFrame:
+    """The timeline's own rows: all state changes with their slice."""
     kinds = {
         "cpu_frequency": (FREQUENCY, {"frequency": F.col("frequency").cast("long")}),
         "cpu_idle": (IDLE, {"state": F.when(F.col("state") == IDLE_EXIT, F.lit(AWAKE)).otherwise(F.col("state")).cast("long")}),
@@ -36,7 +38,11 @@ def timeline(trace: Trace) -> DataFrame:
             columns = [values.get(c, F.lit(None).cast(t)).alias(c) for c, t in none.items()]
             part = trace.event(event).select(*RUN_KEYS, "t_ns", "seq", F.col("cpu").cast("int").alias("cpu"), F.lit(kind).alias("kind"), *columns)
             rows = part if rows is None else rows.unionByName(part)
-    rows = trace.cut(rows).withColumn("carried", F.lit(False))
+    return _laned(trace, trace.cut(rows).withColumn("carried", F.lit(False)))
+
+
+def carried(trace: Trace, rows: DataFrame) -> DataFrame:
+    """For each slice what it inherits from the ones before, made of the `changes`: as a store reads them, they are grouped where they are."""
     # the last row of each CPU and kind in a slice, and from these what every later slice begins with
     place = F.struct("t_ns", "seq")
     lasts = rows.groupBy(*PLACED, "cpu", "kind").agg(F.max_by(F.struct(*STATE), place).alias("last"))
@@ -48,9 +54,7 @@ def timeline(trace: Trace) -> DataFrame:
         lasts, [*PLACED, "cpu", "kind"], "left")
     earlier = Window.partitionBy(*RUN_KEYS, "cpu", "kind").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("last", F.last("last", ignorenulls=True).over(earlier)).filter("last is not null")
-    carried = held.select(*PLACED, "cpu", "kind", "t_ns", F.lit(-1).cast("long").alias("seq"), "last.*", F.lit(True).alias("carried"))
-    lane = F.coalesce(trace.options.cluster_of("cpu"), F.concat(F.lit("cpu"), F.col("cpu").cast("string")), F.lit("")).alias("lane")
-    return rows.unionByName(carried).select("*", lane)
+    return _laned(trace, held.select(*PLACED, "cpu", "kind", "t_ns", F.lit(-1).cast("long").alias("seq"), "last.*", F.lit(True).alias("carried")))
 
 
 def _slot(trace: Trace) -> Column:

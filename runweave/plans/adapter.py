@@ -9,6 +9,7 @@ results and ``lineitem`` the per-frame table.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from runweave.functions.text import run_tag, run_workload
 from runweave.operators.ordered import shared_folder
 from runweave.plans.datasets import Analysis, of_trace
 from runweave.sources.schema import ADPF_COLUMNS
-from runweave.sources.store import open_store, write_store
+from runweave.sources.store import add_tables, open_store, write_store
 from runweave.trace import RUN_KEYS, Tables, Trace
 
 BASELINE = "synth_baseline_10_0101"
@@ -148,13 +149,15 @@ def trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace
 _STORES: dict[tuple, str] = {}  # folders of stores already written, by application, directory and slices
 
 
-def stored_trace(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> Trace:
-    """The trace read from a store, which the first call for a directory writes to the shared folder."""
+def stored_trace(spark: SparkSession, sf_dir: str, tables: Collection[str], options: Options = OPTIONS) -> Trace:
+    """The trace read from a store in the shared folder with these tables: each is written when the first call for a directory asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, options.rows_per_slice)
     if key not in _STORES:
         folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-        write_store(trace(spark, sf_dir, options), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        write_store(trace(spark, sf_dir, options), folder, int(spark.conf.get("spark.sql.shuffle.partitions")), tables)
         _STORES[key] = folder
+    else:
+        add_tables(trace(spark, sf_dir, options), _STORES[key], tables)
     return open_store(spark, _STORES[key], options, 2 * ITERATIONS)
 
 

@@ -276,18 +276,17 @@ def step_burst_intervals(spark, sf_dir):
     return intervals.select(*RUN_KEYS, "cpu", "t_ns", "t_end_ns", "seq")
 
 
-def _stored(make, *inexact) -> Query:
-    """A metric's dataset from the event store."""
-
-    def query(spark, sf_dir):
-        df = make(adapter.stored_trace(spark, sf_dir))
-        return rounded(df, EXACT_DIGITS, *inexact) if inexact else df
-
-    return query
+def _stored(make, *tables) -> Query:
+    """A metric's dataset from the event store, of which it reads these tables."""
+    return lambda spark, sf_dir: make(adapter.stored_trace(spark, sf_dir, tables))
 
 
-STORED = ("tasks_residency_total", "idle_residency", "freqs_residency", "energy_estimate_mean", "overutilized", "perf_counters", "wakeup_latency", "task_activations")
-QUERIES |= {f"store_{name}": _stored(metrics.DATASETS[name]) for name in STORED}
+STORED = {
+    "tasks_residency_total": ["timeline"], "idle_residency": ["timeline"], "freqs_residency": ["timeline"], "energy_estimate_mean": ["timeline"],
+    "overutilized": ["sched_overutilized"], "perf_counters": ["perf_counter"], "wakeup_latency": ["sched_wakeup", "sched_switch"],
+    "task_activations": ["sched_switch"],
+}
+QUERIES |= {f"store_{name}": _stored(metrics.DATASETS[name], *tables) for name, tables in STORED.items()}
 
 
 def step_cluster_residency(trace):

@@ -11,6 +11,8 @@ A slice has about ``rows_per_slice`` rows, so no bucket is one hot run; the numb
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Collection
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +30,21 @@ def _name(folder: str, table: str) -> str:
     return f"store_{hashlib.md5(folder.encode()).hexdigest()[:16]}_{table}".replace("-", "_")
 
 
-def _write(df: DataFrame, folder: str, table: str, buckets: int) -> tuple[str, int, str]:
-    """Write a table in buckets, one file each, and return what is needed to find it again."""
+def _write(df: DataFrame, folder: str, table: str, buckets: int, mode: str = "overwrite") -> tuple[str, int, str]:
+    """Write a table in buckets, one file each (and one more if appended to), and return what is needed to find it again."""
     spark, name = df.sparkSession, _name(folder, table)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    dealt = df.repartition(buckets, *PLACED).sortWithinPartitions(*PLACED, *ORDER)
-    (dealt.write.format("parquet").mode("overwrite").option("path", f"{folder}/{table}")
+    if mode == "overwrite":
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    # the writer itself sorts what it is given by bucket and by these columns
+    (df.repartition(buckets, *PLACED).write.format("parquet").mode(mode).option("path", f"{folder}/{table}")
      .bucketBy(buckets, *PLACED).sortBy(*PLACED, *ORDER).saveAsTable(name))
     return table, buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def write_store(trace: Trace, folder: str, buckets: int | None = None) -> None:
+def write_store(trace: Trace, folder: str, buckets: int | None = None, tables: Collection[str] | None = None) -> None:
     """Lay the events of a trace out below ``folder``; an earlier store there is replaced.
 
+    ``tables`` names the events a caller is going to read, and ``timeline``; all of them otherwise. `add_tables` brings others later.
     The layout table is written last: a store that was not finished cannot be opened.
     """
     spark = trace.spark
@@ -49,16 +53,33 @@ def write_store(trace: Trace, folder: str, buckets: int | None = None) -> None:
     if buckets is None:
         rows = trace.slices.agg(F.sum("events")).first()[0] or 0
         buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // trace.options.rows_per_slice))
-    found = []
-    for name, table in trace.tables.items():
-        if "t_ns" in table.columns:
-            found.append(_write(trace.cut(table), folder, name, buckets))
+    if tables is None:
+        tables = [*trace.tables, *(["timeline"] if SWEPT & set(trace.tables) else [])]
+    _lay_out(trace, folder, buckets, tables, "overwrite")
+
+
+def add_tables(trace: Trace, folder: str, tables: Collection[str]) -> None:
+    """Further tables of the trace in a store that has been written: with its slices and its number of buckets."""
+    spark = trace.spark
+    known = {r["name"]: r["dealt"] for r in spark.read.parquet(f"{folder}/layout").collect()}  # a row per event
+    missing = [t for t in tables if t not in known]
+    if missing:
+        sliced = replace(trace, prepared={**trace.prepared, "slices": spark.read.parquet(f"{folder}/slices")})
+        _lay_out(sliced, folder, max(known.values()), missing, "append")
+
+
+def _lay_out(trace: Trace, folder: str, buckets: int, tables: Collection[str], mode: str) -> None:
+    spark, found = trace.spark, []
+    for name in tables:
+        if name == "timeline":
+            found.append(_write(sweep.changes(trace), folder, name, buckets))
+            _write(sweep.carried(trace, spark.table(_name(folder, name))), folder, name, buckets, "append")
+        elif "t_ns" in trace.event(name).columns:
+            found.append(_write(trace.cut(trace.event(name)), folder, name, buckets))
         else:
-            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+            trace.event(name).write.mode("overwrite").parquet(f"{folder}/{name}")
             found.append((name, 0, ""))
-    if SWEPT & set(trace.tables):
-        found.append(_write(sweep.timeline(trace), folder, "timeline", buckets))
-    spark.createDataFrame(found, "name string, buckets int, columns string").write.mode("overwrite").parquet(f"{folder}/layout")
+    spark.createDataFrame([(*row, buckets) for row in found], "name string, buckets int, columns string, dealt int").write.mode(mode).parquet(f"{folder}/layout")
 
 
 def open_store(spark: SparkSession, folder: str, options: Options | None = None, iterations: int | None = None) -> Trace:
@@ -78,8 +99,9 @@ def open_store(spark: SparkSession, folder: str, options: Options | None = None,
         spark.sql(f"CREATE TABLE IF NOT EXISTS {known} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'")
         return spark.table(known)
 
-    makers = {r["name"]: (lambda r=r: table(*r)) for r in layout if r["name"] != "timeline"}
+    layout = [(r["name"], r["buckets"], r["columns"]) for r in layout]
+    makers = {r[0]: (lambda r=r: table(*r)) for r in layout if r[0] != "timeline"}
     prepared = {"slices": spark.read.parquet(f"{folder}/slices")}
-    prepared |= {"timeline": table(*r) for r in layout if r["name"] == "timeline"}
+    prepared |= {"timeline": table(*r) for r in layout if r[0] == "timeline"}
     runs = spark.read.parquet(f"{folder}/runs")
     return Trace(spark, Tables(makers), runs, options or Options(), iterations=iterations, prepared=prepared)

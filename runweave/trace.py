@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runweave.config import Options
 from runweave.errors import MissingEvent
-from runweave.operators.ordered import GRID, SKETCH, follow, kept_once, sketch_quantiles, slice_of, staged
+from runweave.operators.ordered import GRID, SKETCH, follow, kept_once, sketch_quantiles, staged, with_slice
 
 RUN_KEYS = ("wa_path", "iteration")
 NS = 1_000_000_000
@@ -116,7 +116,9 @@ class Trace:
         sketch = F.expr(f"kll_sketch_agg_bigint(t_ns, {SKETCH})").alias("sketch")
         told = self._times().groupBy(*RUN_KEYS).agg(*map(F.expr, WINDOW), sketch)
         pieces = F.least(F.lit(GRID), F.ceil(F.col("events") / F.lit(self.options.rows_per_slice))).cast("int")
-        chosen = F.transform(F.sequence(F.lit(1), F.col("pieces") - 1), lambda i: F.get("times", F.floor(i * GRID / F.col("pieces")).cast("int") - 1))
+        places = F.sequence(F.lit(1), F.col("pieces") - 1)
+        # the times are bound by a lambda of their own: named in the inner one, they would be asked of the sketch once for each place
+        chosen = F.get(F.transform(F.array("times"), lambda times: F.transform(places, lambda i: F.get(times, F.floor(i * GRID / F.col("pieces")).cast("int") - 1))), F.lit(0))
         times = F.when(F.col("pieces") > 1, F.expr(sketch_quantiles("sketch")))
         cut = told.withColumn("pieces", pieces).withColumn("times", times)
         # many rows of one instant stay in one slice: their border is named once
@@ -153,7 +155,7 @@ class Trace:
     def cut(self, df: DataFrame, time: str = "t_ns", *columns: str) -> DataFrame:
         """``df`` with the time slice of each row, and columns of its window."""
         borders = self.slices.select(*RUN_KEYS, "borders", *columns)
-        return df.join(self._small(borders), list(RUN_KEYS), "left").withColumn(SLICE, slice_of("borders", time)).drop("borders")
+        return with_slice(df.join(self._small(borders), list(RUN_KEYS), "left"), SLICE, "borders", time).drop("borders")
 
     def staged(self, df: DataFrame) -> DataFrame:
         """An ordered step that another ordered step builds on: kept once where a checkpoint folder is named."""

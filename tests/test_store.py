@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runweave.operators import sweep
+from runweave.operators.ordered import with_slice
 from runweave.plans import adapter, metrics
 from runweave.sources.store import open_store, write_store
 from runweave.trace import RUN_KEYS, SLICE
@@ -95,3 +96,29 @@ def test_a_burst_gives_no_large_slice(spark):
     sizes = trace.cut(trace.event("sched_switch")).groupBy(*RUN_KEYS, SLICE).count()
     most, slices = sizes.agg(F.max("count"), F.count("*")).first()
     assert most <= 40 and slices >= 10_000 / 40
+
+
+def test_a_query_writes_the_tables_it_reads(spark):
+    """Others are laid out when they are asked for, in the same slices and as many buckets."""
+    options = adapter.OPTIONS.overridden({"rows_per_slice": 11})
+    first = adapter.stored_trace(spark, SF, ["sched_overutilized"], options)
+    assert set(first.tables) == {"sched_overutilized"} and "timeline" not in first.prepared
+    for _ in range(2):
+        later = adapter.stored_trace(spark, SF, ["timeline", "perf_counter"], options)
+        assert set(later.tables) == {"sched_overutilized", "perf_counter"} and "timeline" in later.prepared
+    plain = adapter.trace(spark, SF, PLAIN)
+    for make in (metrics.overutilized, metrics.perf_counters, metrics.idle_residency, metrics.tasks_residency_total):
+        assert difference(make(later).toPandas().round(9), make(plain).toPandas().round(9)) is None
+
+
+def test_slices_are_found_by_compiled_code(spark):
+    """No array of borders is copied for a row: its cost does not grow with the number of slices."""
+    plan = plan_of(adapter.trace(spark, SF, CUT).cut(adapter.base_events(spark, SF)))
+    assert "lambda" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_with_slice(spark):
+    rows = [([], 5), (None, 5), ([3], 2), ([3], 3), ([3], None), *((list(range(0, 2 * n, 2)), t) for n in (2, 7, 8, 1023) for t in (-1, 0, 1, n, 2 * n - 3, 2 * n - 2, 2 * n))]
+    df = spark.createDataFrame(rows, "borders array<bigint>, t bigint")
+    got = with_slice(df, "s", "borders", "t").collect()
+    assert [r["s"] for r in got] == [0 if t is None else sum(b <= t for b in borders or []) for borders, t in rows]
