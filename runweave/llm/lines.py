@@ -48,7 +48,8 @@ def digest_of(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """_host, _drop: digests of the lines to drop, one row per host that has any. Written to the shared folder."""
-    page = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.unhex(F.md5(text.cast("binary"))).alias("page"), text.alias("text")).filter("text is not null")
+    page = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.unhex(F.md5(text.cast("binary"))).alias("page"), text.alias("text"))
+    # a null text has no lines; a filter would be moved below the text's own expressions and work them out a second time
     # one more empty line for each page: the pages that have it are all pages
     line = page.select("_host", "page", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("text", "\n")))).alias("line"))
     line = line.select("_host", "page", digest_of(F.col("line")).alias("line"))

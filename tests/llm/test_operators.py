@@ -210,6 +210,15 @@ def test_line_dedup(spark):
     assert lines.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_text_of_pages_is_worked_out_once_for_counting(spark, monkeypatch):
+    plans, kept = [], lines.checkpointed
+    monkeypatch.setattr(lines, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    rows = [(i, f"http://h/{i}", None if i == 4 else f"<p>menu</p><p>own {i}</p>") for i in range(8)]
+    got = lines.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.n_lines, r.n_dropped) for r in got} == {i: (0, 0) if i == 4 else (5, 2 - 1) for i in range(8)}
+    assert plans[0].count("regexp_replace(") == 3
+
+
 def brute_quality(text):
     w = words(text) if not text else re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, covered = {}, set()
