@@ -341,6 +341,58 @@ def test_passages_of_a_chain_and_of_many_parts(spark):
     assert (15, 13, 1.0) in {(r["doc_id"], r["ref_doc_id"], r["similarity"]) for r in rows}
 
 
+def edited(passage, first=34, step=35):
+    """With a new word at every 35th place: similarity 0.77 at 120 words, and no exact run of 32 shingles is left."""
+    return [f"new{i}" if i % step == first else w for i, w in enumerate(passage)]
+
+
+def test_passages_of_texts_behind_earlier_parts_of_both(spark):
+    """Every shingle of the passages is in an earlier text, each in texts that have too little of them; both later texts differ."""
+    rows, want = [], set()
+    for n in range(8):
+        passage = made_up(120, 700 + n).split()
+        rows += [" ".join([made_up(40, 800 + 20 * n + i), *passage[9 * i:9 * i + 30], made_up(40, 1000 + 20 * n + i)]) for i in range(11)]
+        rows += [" ".join([made_up(50, 1200 + n), *passage]), " ".join([*edited(passage), made_up(50, 1300 + n)])]
+        want.add((len(rows), len(rows) - 1))
+    rows = passage_rows(spark, *rows)
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in rows if r["end"] - r["begin"] >= 100} == want
+    assert all(r["similarity"] >= 0.75 for r in rows)
+
+
+def test_ties_of_windows_that_no_result_links(spark):
+    """Equal ranges are tied to their earliest, others in pairs if a side of the least place is alike; not those that are linked to one place."""
+    passage = made_up(90, 1400).split()
+    texts = [[*passage[40:60]], passage, edited(passage, 5), passage, [*made_up(35, 1401).split(), *passage[38:62], *made_up(35, 1402).split()]]
+    texts = [" ".join([made_up(60, 1410 + i), *t, made_up(60, 1420 + i)]) for i, t in enumerate(texts)]
+    own = spark.createDataFrame(list(enumerate(texts, 1)), "d bigint, text string").repartition(3)
+    made = passages.windows(own)
+    ties = passages.tied(made)
+    linked = [(2, 60, 150, 1, 60, 150, 1.0), (4, 60, 150, 1, 60, 150, 1.0)]
+    for links in ([], linked):
+        found = passages.unlinked(ties, spark.createDataFrame(
+            links, "doc_id bigint, begin bigint, end bigint, ref_doc_id bigint, ref_begin bigint, ref_end bigint, similarity double"), own).collect()
+        assert len(found) == len(set(found)) and all(r["d"] > r["e"] > 1 for r in found)
+        assert ((4, 2) in {(r["d"], r["e"]) for r in found}) == (not links)
+        assert (3, 2) in {(r["d"], r["e"]) for r in found}
+        known = {(r.key, r.d, r.l, r.r) for r in made.collect()}
+        assert all((r["key"], r["d"], r["l"], r["r"]) in known and (r["key"], r["e"], r["xl"], r["xr"]) in known for r in found)
+
+
+def test_least_places_and_bits_beside_them():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 40, 300).astype(np.uint64) * np.uint64(8) + rng.integers(0, 8, 300).astype(np.uint64)
+    left = rng.integers(0, 280, 200)
+    right, key = left + rng.integers(0, 20, 200), rng.integers(0, 42 * 8, 200).astype(np.uint64)
+    want = [next((c for c in range(a, b + 1) if values[c] >> 3 == k >> 3), -1) for k, a, b in zip(key.tolist(), left, right)]
+    assert passages.least_places(values, key, left, right).tolist() == want
+    bits, text = rng.integers(0, 1 << 62, 90).astype(np.uint64), np.repeat([0, 2, 3], [50, 1, 39])
+    before, behind = passages.alike_ahead(bits, text)
+    for i in range(90):
+        near = [j for j in range(90) if text[j] == text[i]]
+        assert before[i] == np.bitwise_or.reduce([bits[j] for j in near if i - passages.SIDE < j <= i])
+        assert behind[i] == np.bitwise_or.reduce([bits[j] for j in near if i <= j < i + passages.SIDE])
+
+
 def test_passages_beside_an_earlier_place_of_their_shingles(spark):
     # the first text has each shingle of the passage at places before it too
     passage = made_up(60, 90).split()
