@@ -393,6 +393,24 @@ def test_least_places_and_bits_beside_them():
         assert behind[i] == np.bitwise_or.reduce([bits[j] for j in near if i <= j < i + passages.SIDE])
 
 
+def test_single_shingles_in_order_are_verified_by_counts(monkeypatch):
+    """With the results of the way for texts that repeat themselves, which two foreign shingles at the end ask for."""
+    rng, cases = np.random.default_rng(11), []
+    for n in range(200):
+        own = rng.permutation(1 << 20)[:rng.integers(60, 700)].astype(np.uint64)
+        other = np.where(rng.random(len(own)) < (0.01, 0.04, 0.15)[n % 3], own + np.uint64(1 << 30), own)
+        for k in range(n % 4):  # 60 foreign shingles in place of up to 80
+            at = int(rng.integers(0, len(other)))
+            other = np.concatenate([other[:at], np.arange(60, dtype=np.uint64) + np.uint64((k + 1) << 40), other[at + int(rng.integers(0, 80)):]])
+        if len(set(other.tolist())) == len(other):
+            cases.append((own, other))
+    want = [sorted(passages.verified(np.append(own, [np.uint64(1 << 60)] * 2), other)) for own, other in cases]
+    assert sum(map(len, want)) > len(cases)
+    for name in ("_similarity", "_equal_ahead"):
+        monkeypatch.setattr(passages, name, None)
+    assert [sorted(passages.verified(own, other)) for own, other in cases] == want
+
+
 def test_passages_beside_an_earlier_place_of_their_shingles(spark):
     # the first text has each shingle of the passage at places before it too
     passage = made_up(60, 90).split()
