@@ -411,6 +411,34 @@ def test_single_shingles_in_order_are_verified_by_counts(monkeypatch):
     assert [sorted(passages.verified(own, other)) for own, other in cases] == want
 
 
+def test_runs_of_one_text_are_verified_with_the_places_of_the_whole():
+    """As each by itself, with true similarities; the shingles of many short texts at once are those of each."""
+    rng, found = np.random.default_rng(12), 0
+    for n in range(300):
+        whole = rng.integers(0, (60, 400, 1 << 40)[n % 3], 400).astype(np.uint64)
+        first, last = sorted(rng.integers(0, 400, 2).tolist())
+        own, places = whole[first:last], passages.places_of(whole)
+        other = np.where(rng.random(len(own)) < 0.03, np.uint64(1 << 50), own)[int(rng.integers(0, 9)):]
+        rows = list(passages.verified(own, other, places.before[first:last] - first))
+        assert rows == list(passages.verified(own, other))
+        for a, b, x, y, similar in rows:
+            one, two = set(own[a:b + 1].tolist()), set(other[x:y + 1].tolist())
+            assert similar == len(one & two) / len(one | two) >= passages.SIMILAR
+        found += len(rows)
+    assert found > 100 and not list(passages.verified(np.arange(60, dtype=np.uint64), np.zeros(0, np.uint64)))
+    texts = [made_up(rng.integers(1, 90), 2100 + i).encode() for i in range(9)] + [b"", b"two words"]
+    got = list(passages._shingles_each(iter(texts)))
+    assert [x.tolist() for x in got] == [passages.shingles_of(*passages._one(t))[0].tolist() for t in texts]
+
+
+def test_passages_of_equal_ids_of_which_one_is_short(spark):
+    """A tie's range may lie behind the end of another text with the same id."""
+    passage = made_up(70, 2200)
+    rows = [(1, f"{made_up(80, 2201)} {passage}"), (1, made_up(6, 2202)), (2, passage), (2, "short")]
+    made = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.begin, r.end, r.ref_doc_id, r.ref_begin, r.ref_end, r.similarity) for r in made] == [(2, 0, 70, 1, 80, 150, 1.0)]
+
+
 def test_passages_beside_an_earlier_place_of_their_shingles(spark):
     # the first text has each shingle of the passage at places before it too
     passage = made_up(60, 90).split()
