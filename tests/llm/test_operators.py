@@ -378,6 +378,21 @@ def test_ties_of_windows_that_no_result_links(spark):
         assert all((r["key"], r["d"], r["l"], r["r"]) in known and (r["key"], r["e"], r["xl"], r["xr"]) in known for r in found)
 
 
+def test_windows_of_a_hot_key_are_paired_in_blocks(spark, monkeypatch):
+    """The pairs are the same ones, dealt by key and block, and only one side of them is repeated."""
+    passage = made_up(90, 2300).split()
+    rows = [(i, " ".join([made_up(30, 2301 + i), *(w if (j + i) % 31 else f"new{i}x{j}" for j, w in enumerate(passage)), made_up(30, 2401 + i)])) for i in range(40)]
+    own = spark.createDataFrame(rows, "d bigint, text string").repartition(3)
+    links = spark.createDataFrame([], "doc_id bigint, begin bigint, end bigint, ref_doc_id bigint, ref_begin bigint, ref_end bigint, similarity double")
+    ties, got = passages.tied(passages.windows(own)), []
+    for block in (10_000, 3):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found = passages.unlinked(ties, links, own)
+        assert "block" in found._jdf.queryExecution().optimizedPlan().toString()
+        got.append(sorted(tuple(r) for r in found.collect()))
+    assert got[0] == got[1] and len(set(got[0])) == len(got[0]) > 200
+
+
 def test_least_places_and_bits_beside_them():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 40, 300).astype(np.uint64) * np.uint64(8) + rng.integers(0, 8, 300).astype(np.uint64)
