@@ -86,13 +86,14 @@ def with_slice(df: DataFrame, name: str, borders: str, time: str) -> DataFrame:
     """``df`` with `slice_of` as a column, for borders that are an array column.
 
     One step of the search is one projection: these are compiled together with the join that brings the borders, so that the array is not
-    copied for every row, which would make a row cost more the more slices there are.
+    copied for every row, which would make a row cost more the more slices there are. A step names the one before it twice and no more (past the
+    end, or without borders, ``get`` is null): where the slice is part of a join's key, Spark's optimizer puts all steps into one expression,
+    which doubles with each of them.
     """
-    size = F.coalesce(F.size(borders), F.lit(0))
     df = df.withColumn(name, F.lit(0))
     for bit in reversed(range(GRID.bit_length())):
-        ahead = F.col(name) + F.lit(1 << bit)
-        df = df.withColumn(name, F.when((ahead <= size) & (F.get(borders, ahead - 1) <= F.col(time)), ahead).otherwise(F.col(name)))
+        step = F.lit(1 << bit)
+        df = df.withColumn(name, F.col(name) + F.when(F.get(borders, F.col(name) + step - 1) <= F.col(time), step).otherwise(0))
     return df
 
 

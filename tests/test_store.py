@@ -1,5 +1,6 @@
 """The event store: same rows as without it, no exchange of events before windows, slices of equal counts also in bursts."""
 
+import math
 import re
 
 import pytest
@@ -122,3 +123,10 @@ def test_with_slice(spark):
     df = spark.createDataFrame(rows, "borders array<bigint>, t bigint")
     got = with_slice(df, "s", "borders", "t").collect()
     assert [r["s"] for r in got] == [0 if t is None else sum(b <= t for b in borders or []) for borders, t in rows]
+
+
+def test_steps_of_a_slice_are_small_as_one_expression(spark):
+    """Where a join's key holds the slice, the optimizer puts each step in place of its name in the next one."""
+    df = with_slice(spark.createDataFrame([([3], 2)], "borders array<bigint>, t bigint"), "s", "borders", "t")
+    steps = re.findall(r"Project \[(.*) AS s#\d+\]", df._jdf.queryExecution().analyzed().toString())
+    assert len(steps) > 10 and math.prod(max(1, len(re.findall(r"\bs#\d+", step))) for step in steps) <= 2 ** len(steps)
