@@ -491,6 +491,60 @@ def test_hot_keys_of_windows(spark):
     assert set(hot) <= keys and passages.hot_keys(spark.createDataFrame([], "d bigint, text string")) == []
 
 
+def test_windows_of_the_earliest_text_at_other_places_are_tied(spark):
+    """The first text has all shingles of the passage before it too, in parts with too little of it: every key's earliest window is in one of them."""
+    passage = made_up(120, 3000).split()
+    parts = [" ".join([made_up(60, 3100 + i), *passage[9 * i:9 * i + 30], made_up(60, 3200 + i)]) for i in range(11)]
+    before = " ".join([*parts, made_up(60, 3300)]).split()
+    own = spark.createDataFrame([(1, " ".join([*before, *passage])), (2, " ".join([*edited(passage), made_up(50, 3301)]))], "d bigint, text string")
+    links = spark.createDataFrame([], "doc_id bigint, begin bigint, end bigint, ref_doc_id bigint, ref_begin bigint, ref_end bigint, similarity double")
+    ties = passages.tied(passages.windows(own), others=True)
+    assert {r["e"] for r in ties.collect()} == {1} and ties.filter("d = e AND many").count()
+    found = passages.unlinked(ties, links, own).collect()
+    assert {(r["d"], r["e"]) for r in found} == {(2, 1)} and len({r["key"] & 7 for r in found if r["xl"] >= len(before)}) >= 2
+
+
+def test_windows_that_differ_beside_the_least_place_are_tied(spark):
+    """Four new words on either side of it: eight in ten shingles are the same, but hardly one of those nearby."""
+    def least(text):
+        runs = passages.shingles_of(*passages._one(" ".join(text).encode()))[0]
+        values = runs * passages.FACTORS[0] + passages.TERMS[0]
+        c = int((values >> np.uint64(32)).argmin())
+        return c, int(((values[c] & ~passages.LOW)).view(np.int64))
+
+    for seed in range(3700, 3800):
+        passage = made_up(330, seed).split()
+        c, key = least(passage)
+        places = {x for j in range(4) for x in (c - 1 - 6 * j, c + 5 + 6 * j)}
+        near = [f"new{i}" if i in places else w for i, w in enumerate(passage)]
+        part = [*made_up(60, 1).split(), *passage[c:c + 5], *made_up(60, 2).split()]
+        if 60 < c < 260 and least(near) == (c, key) and least(part) == (60, key):
+            break
+    own = spark.createDataFrame([(1, " ".join(part)), (2, " ".join(passage)), (3, " ".join(near))], "d bigint, text string")
+    links = spark.createDataFrame([], "doc_id bigint, begin bigint, end bigint, ref_doc_id bigint, ref_begin bigint, ref_end bigint, similarity double")
+    found = passages.unlinked(passages.tied(passages.windows(own)), links, own).collect()
+    assert (key, 3, 2) in {(r["key"], r["d"], r["e"]) for r in found}
+
+
+def test_marks_of_ranges():
+    """The shared bits and what is lost are at least the shared shingles; the need is that of the run of least different ones."""
+    rng = np.random.default_rng(5)
+    runs = rng.choice(rng.integers(0, 1 << 63, 400, dtype=np.uint64), 900)
+    heads = np.array([0, 300, 900])
+    text = np.repeat([0, 1], np.diff(heads))
+    of = rng.integers(0, 2, 200)
+    left = heads[of] + rng.integers(0, 250, 200)
+    right = np.minimum(left + rng.integers(passages.LEAST - 1, 300, 200), heads[of + 1] - 1)
+    marks, lost, need = passages.marked(runs, text, left, right)
+    sets = [set(runs[a:b + 1].tolist()) for a, b in zip(left, right)]
+    bits = np.unpackbits(marks.view(np.uint8), axis=1)
+    assert lost.tolist() == [len(s) - int(m.sum()) for s, m in zip(sets, bits)]
+    for i, j in itertools.product(range(0, 200, 7), range(200)):
+        assert int((bits[i] & bits[j]).sum()) + min(lost[i], lost[j]) >= len(sets[i] & sets[j])
+    for a, b, n in zip(left, right, need):
+        assert n == np.ceil(0.75 * min(len(set(runs[i:i + passages.LEAST].tolist())) for i in range(a, b - passages.LEAST + 2)))
+
+
 def test_passages_found_of_all_near_repeats(spark):
     """Recall against all pairs of runs of 46 shingles, of passages edited to similarities around 0.75 and up."""
     rng = random.Random(77)
